@@ -7,6 +7,7 @@ import importlib
 # Slice modules, each exposing QUERIES (name -> fn(spark, sf_dir)) and ORACLE (name -> SQL).
 SLICES = (
     "fixfold.plans.vote_plans",
+    "fixfold.plans.grade_plans",
 )
 
 

@@ -24,6 +24,95 @@ dataset_ids AS (SELECT o_orderkey AS instance_id FROM orders)"""
 VIEWS["subset_ids"] = """
 subset_ids AS (SELECT o_orderkey AS instance_id FROM orders WHERE o_orderpriority = '1-URGENT')"""
 
+_REPOS = ("['pytest-dev/pytest', 'psf/requests', 'django/django', 'astropy/astropy', "
+          "'mwaskom/seaborn', 'sympy/sympy', 'matplotlib/matplotlib']")
+
+
+def _repo(k: str) -> str:
+    return f"({_REPOS})[{k} % 7 + 1]"
+
+
+def _inst(k: str) -> str:
+    return f"(replace({_repo(k)}, '/', '__') || '-' || CAST({k} AS VARCHAR))"
+
+
+_STATUS = """(CASE WHEN event_type IN ('view', 'click') THEN 'PASSED' WHEN event_type = 'purchase' THEN 'XFAIL'
+  WHEN event_type = 'signup' THEN 'SKIPPED' WHEN event_id % 2 = 0 THEN 'ERROR' ELSE 'FAILED' END)"""
+
+
+def _test(d: str, n: str, rendered: bool) -> str:
+    t = f"('tests/test_m.py::t' || CAST({n} AS VARCHAR))"
+    if rendered:
+        opt = (f"({t} || '[/tmp/d' || CAST(event_id % 5 AS VARCHAR) || '/case' || "
+               f"CAST(({n}) % 3 AS VARCHAR) || '.txt]')")
+        mouse = f"({t} || CASE WHEN event_id % 2 = 0 THEN '[MouseButton.LEFT]' ELSE '[MouseButton.RIGHT]' END)"
+    else:
+        opt = f"({t} || '[/case' || CAST(({n}) % 3 AS VARCHAR) || '.txt]')"
+        mouse = f"({t} || '[1]')"
+    return (f"(CASE WHEN {d} = 1 THEN {opt} WHEN {d} = 2 THEN 'test_t' || CAST({n} AS VARCHAR) || ' (m.T)' "
+            f"WHEN {d} = 5 THEN 'test_t' || CAST({n} AS VARCHAR) WHEN {d} = 6 THEN {mouse} ELSE {t} END)")
+
+
+VIEWS["status_rows"] = f"""
+status_rows AS (
+  SELECT {_inst('user_id')} AS instance_id, event_id AS line_no,
+         {_test('user_id % 7', 'event_id % 13', False)} AS test_case, {_STATUS} AS status
+  FROM events)"""
+
+VIEWS["expected_tests"] = f"""
+expected_tests AS (
+  SELECT DISTINCT {_inst('user_id')} AS instance_id,
+         CASE WHEN ((event_id + 5) % 14) % 5 = 0 THEN 'FAIL_TO_PASS'
+              WHEN ((event_id + 5) % 14) % 5 <= 2 THEN 'PASS_TO_PASS'
+              WHEN ((event_id + 5) % 14) % 5 = 3 THEN 'FAIL_TO_FAIL' ELSE 'PASS_TO_FAIL' END AS category,
+         {_test('user_id % 7', '(event_id + 5) % 14', False)} AS test_case
+  FROM events)"""
+
+_T = _test("user_id % 7", "event_id % 13", True)
+_SKIP_WORD = "'skipped ''why'''"
+_LINE = f"""(CASE
+  WHEN user_id % 7 = 2 THEN {_T} || ' ... ' || CASE {_STATUS}
+        WHEN 'PASSED' THEN CASE WHEN event_id % 4 = 0 THEN 'noise' || chr(10) || 'ok' ELSE 'ok' END
+        WHEN 'FAILED' THEN 'FAIL' WHEN 'ERROR' THEN 'ERROR' WHEN 'SKIPPED' THEN {_SKIP_WORD}
+        ELSE 'expected failure' END
+  WHEN user_id % 7 = 3 THEN CASE WHEN event_id % 2 = 0
+        THEN chr(27) || '[32m' || {_STATUS} || chr(27) || '[0m ' || {_T}
+        ELSE {_T} || ' ' || {_STATUS} END
+  WHEN user_id % 7 = 4 THEN CASE {_STATUS} WHEN 'PASSED' THEN {_T} || ' PASSED [ 50%]'
+        WHEN 'FAILED' THEN 'FAILED ' || {_T} || ' - y' ELSE {_STATUS} || ' ' || {_T} END
+  WHEN user_id % 7 = 5 THEN CASE {_STATUS}
+        WHEN 'FAILED' THEN '____ p/test_m.py:' || {_T} || ' ____' || chr(10) || {_T} || ' F'
+        WHEN 'ERROR' THEN {_T} || ' E'
+        WHEN 'PASSED' THEN {_T} || ' ok' || CASE WHEN event_id % 3 = 0 THEN ' [OK]' ELSE '' END
+        ELSE {_T} || ' s' END
+  WHEN user_id % 7 = 0 THEN {_STATUS} || ' ' || {_T}
+        || CASE WHEN {_STATUS} = 'FAILED' THEN ' - AssertionError: boom' ELSE '' END
+  ELSE {_STATUS} || ' ' || {_T} END)"""
+
+VIEWS["logs"] = f"""
+logs AS (
+  SELECT {_inst('user_id')} AS instance_id, {_repo('user_id')} AS repo,
+         'PASSED tests/pre.py::ignored' || chr(10)
+         || CASE WHEN user_id % 11 = 0 THEN '>>>>> Patch Apply Failed' ELSE '>>>>> Applied Patch (pred)' END
+         || chr(10) || string_agg(line, chr(10) ORDER BY event_id) AS content
+  FROM (SELECT user_id, event_id, {_LINE} AS line FROM events)
+  GROUP BY user_id)"""
+
+VIEWS["predictions"] = f"""
+predictions AS (
+  SELECT {_inst('user_id')} AS instance_id, 'm1' AS model_name_or_path,
+         CASE WHEN user_id % 9 = 0 THEN NULL WHEN user_id % 9 = 1 THEN ''
+              ELSE 'diff --git a/f' || CAST(user_id AS VARCHAR) || '.py b/f' || CAST(user_id AS VARCHAR) || '.py'
+         END AS model_patch
+  FROM (SELECT DISTINCT user_id FROM events))"""
+
+VIEWS["eval_instances"] = f"""
+eval_instances AS (
+  SELECT {_inst('c_custkey')} AS instance_id, {_repo('c_custkey')} AS repo,
+         repeat('@@ -1 +1 @@' || chr(10), CAST(c_nationkey % 4 + 1 AS INTEGER)) AS patch,
+         c_mktsegment = 'BUILDING' AS in_subset
+  FROM customer)"""
+
 
 def with_views(names: list[str], *ctes: str) -> str:
     """``WITH`` clause holding the named views followed by extra CTEs."""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from fixfold.sources.tables import Tables
 
-NL = F.lit("\n")
+NL = "\n"
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,8 +25,8 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.concat(F.lit("+"), F.col("l_returnflag"))
     patch = F.when(
         F.col("l_linenumber") % 5 == 0,
-        F.concat(first, NL, first, NL, F.lit("-"), F.col("l_linestatus")),
-    ).otherwise(F.concat(first, NL, F.lit("-"), F.col("l_linestatus")))
+        F.concat(first, F.lit(NL), first, F.lit(NL), F.lit("-"), F.col("l_linestatus")),
+    ).otherwise(F.concat(first, F.lit(NL), F.lit("-"), F.col("l_linestatus")))
     return li.select(
         F.col("l_orderkey").alias("instance_id"),
         F.concat(F.when(run_no >= 10, F.lit("django_r")).otherwise(F.lit("r")),
@@ -46,3 +46,139 @@ def subset_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = Tables(spark, sf_dir).orders
     return o.where(F.col("o_orderpriority") == "1-URGENT").select(
         F.col("o_orderkey").alias("instance_id"))
+
+
+# --- grading inputs (V2, V3): one instance per events user -------------------
+
+# Stand-in repositories, one per log dialect, chosen by user_id % 7.
+DIALECT_REPOS = ("pytest-dev/pytest", "psf/requests", "django/django", "astropy/astropy",
+                 "mwaskom/seaborn", "sympy/sympy", "matplotlib/matplotlib")
+
+
+def _s(c):
+    return c.cast("string")
+
+
+def _repo_for(key_col):
+    return F.element_at(F.array(*[F.lit(r) for r in DIALECT_REPOS]), (key_col % 7 + 1).cast("int"))
+
+
+def _instance_for(key_col):
+    return F.concat(F.replace(_repo_for(key_col), F.lit("/"), F.lit("__")), F.lit("-"), _s(key_col))
+
+
+def _event_status():
+    et = F.col("event_type")
+    return (F.when(et.isin("view", "click"), F.lit("PASSED"))
+            .when(et == "purchase", F.lit("XFAIL"))
+            .when(et == "signup", F.lit("SKIPPED"))
+            .when(F.col("event_id") % 2 == 0, F.lit("ERROR"))
+            .otherwise(F.lit("FAILED")))
+
+
+def _test_name(dialect, n, rendered: bool):
+    t = F.concat(F.lit("tests/test_m.py::t"), _s(n))
+    opt = (F.concat(t, F.lit("[/tmp/d"), _s(F.col("event_id") % 5), F.lit("/case"), _s(n % 3), F.lit(".txt]"))
+           if rendered else F.concat(t, F.lit("[/case"), _s(n % 3), F.lit(".txt]")))
+    mouse = (F.concat(t, F.when(F.col("event_id") % 2 == 0, F.lit("[MouseButton.LEFT]"))
+                      .otherwise(F.lit("[MouseButton.RIGHT]")))
+             if rendered else F.concat(t, F.lit("[1]")))
+    return (F.when(dialect == 1, opt)
+            .when(dialect == 2, F.concat(F.lit("test_t"), _s(n), F.lit(" (m.T)")))
+            .when(dialect == 5, F.concat(F.lit("test_t"), _s(n)))
+            .when(dialect == 6, mouse)
+            .otherwise(t))
+
+
+def status_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2 status(instance_id, line_no, test_case, status) from ``events``."""
+    ev = Tables(spark, sf_dir).events
+    d = F.col("user_id") % 7
+    return ev.select(_instance_for(F.col("user_id")).alias("instance_id"),
+                     F.col("event_id").alias("line_no"),
+                     _test_name(d, F.col("event_id") % 13, False).alias("test_case"),
+                     _event_status().alias("status"))
+
+
+def expected_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected tests (instance_id, category, test_case) from ``events``; some
+    names never appear in any log (absent → failure)."""
+    ev = Tables(spark, sf_dir).events
+    n = (F.col("event_id") + 5) % 14
+    cat = (F.when(n % 5 == 0, F.lit("FAIL_TO_PASS"))
+           .when(n % 5 <= 2, F.lit("PASS_TO_PASS"))
+           .when(n % 5 == 3, F.lit("FAIL_TO_FAIL"))
+           .otherwise(F.lit("PASS_TO_FAIL")))
+    return ev.select(_instance_for(F.col("user_id")).alias("instance_id"), cat.alias("category"),
+                     _test_name(F.col("user_id") % 7, n, False).alias("test_case")).distinct()
+
+
+def _rendered_line():
+    d = F.col("user_id") % 7
+    n = F.col("event_id") % 13
+    st = _event_status()
+    t = _test_name(d, n, True)
+    nl = F.lit("\n")
+    plain = F.concat(st, F.lit(" "), t)
+    pytest = F.concat(plain, F.when(st == "FAILED", F.lit(" - AssertionError: boom")).otherwise(F.lit("")))
+    verbose_word = (F.when(st == "PASSED", F.when(F.col("event_id") % 4 == 0, F.lit("noise\nok"))
+                           .otherwise(F.lit("ok")))
+                    .when(st == "FAILED", F.lit("FAIL"))
+                    .when(st == "ERROR", F.lit("ERROR"))
+                    .when(st == "SKIPPED", F.lit("skipped 'why'"))
+                    .otherwise(F.lit("expected failure")))
+    verbose = F.concat(t, F.lit(" ... "), verbose_word)
+    esc = F.lit("\u001b")
+    ansi = F.when(F.col("event_id") % 2 == 0,
+                  F.concat(esc, F.lit("[32m"), st, esc, F.lit("[0m "), t)) \
+        .otherwise(F.concat(t, F.lit(" "), st))
+    mixed = (F.when(st == "PASSED", F.concat(t, F.lit(" PASSED [ 50%]")))
+             .when(st == "FAILED", F.concat(F.lit("FAILED "), t, F.lit(" - y")))
+             .otherwise(plain))
+    framed = (F.when(st == "FAILED", F.concat(F.lit("____ p/test_m.py:"), t, F.lit(" ____"), nl, t, F.lit(" F")))
+              .when(st == "ERROR", F.concat(t, F.lit(" E")))
+              .when(st == "PASSED", F.concat(t, F.lit(" ok"),
+                                             F.when(F.col("event_id") % 3 == 0, F.lit(" [OK]")).otherwise(F.lit(""))))
+              .otherwise(F.concat(t, F.lit(" s"))))
+    return (F.when(d == 2, verbose).when(d == 3, ansi).when(d == 4, mixed)
+            .when(d == 5, framed).when(d == 0, pytest).otherwise(plain))
+
+
+def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V3 logs(instance_id, repo, content): one log per events user — a line
+    before the marker, the marker (a failure marker for every 11th user), then
+    one rendered line per event in event order."""
+    ev = Tables(spark, sf_dir).events
+    lines = ev.select("user_id", "event_id", _rendered_line().alias("line"))
+    body = lines.groupBy("user_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))),
+                                 lambda x: x["line"]), "\n").alias("body"))
+    header = F.when(F.col("user_id") % 11 == 0, F.lit(">>>>> Patch Apply Failed")) \
+        .otherwise(F.lit(">>>>> Applied Patch (pred)"))
+    return body.select(
+        _instance_for(F.col("user_id")).alias("instance_id"),
+        _repo_for(F.col("user_id")).alias("repo"),
+        F.concat(F.lit("PASSED tests/pre.py::ignored\n"), header, F.lit("\n"), F.col("body"))
+        .alias("content"))
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions (instance_id, model_name_or_path, model_patch): one per events
+    user; every 9th has no patch, the next one an empty patch."""
+    users = Tables(spark, sf_dir).events.select("user_id").distinct()
+    u = F.col("user_id")
+    patch = (F.when(u % 9 == 0, F.lit(None).cast("string"))
+             .when(u % 9 == 1, F.lit(""))
+             .otherwise(F.concat(F.lit("diff --git a/f"), _s(u), F.lit(".py b/f"), _s(u), F.lit(".py"))))
+    return users.select(_instance_for(u).alias("instance_id"),
+                        F.lit("m1").alias("model_name_or_path"), patch.alias("model_patch"))
+
+
+def eval_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluated dataset: one instance per customer, with a gold patch."""
+    c = Tables(spark, sf_dir).customer
+    k = F.col("c_custkey")
+    return c.select(_instance_for(k).alias("instance_id"), _repo_for(k).alias("repo"),
+                    F.repeat(F.lit("@@ -1 +1 @@\n"), (F.col("c_nationkey") % 4 + 1).cast("int"))
+                    .alias("patch"),
+                    (F.col("c_mktsegment") == "BUILDING").alias("in_subset"))
