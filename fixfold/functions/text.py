@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 
 NL = "\n"
 
+# The characters Python's str.split()/str.strip() treat as whitespace,
+# written as a regex class both Java regex and RE2 read the same way.
+PY_WS = (r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+         r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+PY_NON_WS = "[^" + PY_WS[1:]
+
 
 def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -42,17 +48,17 @@ def count_chars(c, chars: str) -> Column:
 
 def strip(c) -> Column:
     """Python ``str.strip()``: Unicode whitespace at both ends."""
-    return F.regexp_replace(col_(c), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(col_(c), f"^{PY_WS}+|{PY_WS}+$", "")
 
 
 def word_count(c) -> Column:
     """Whitespace-separated words, Unicode aware (``len(text.split())``)."""
-    return F.size(F.regexp_extract_all(col_(c), F.lit(r"(?U)\S+"), 0))
+    return F.size(F.regexp_extract_all(col_(c), F.lit(PY_NON_WS + "+"), 0))
 
 
 def non_blank(c) -> Column:
     """Text with at least one non-whitespace character; NULL counts as blank."""
-    return F.coalesce(col_(c).rlike(r"(?U)\S"), F.lit(False))
+    return F.coalesce(col_(c).rlike(PY_NON_WS), F.lit(False))
 
 
 def non_empty(c) -> Column:

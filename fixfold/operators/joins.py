@@ -86,9 +86,9 @@ def exclude_exact(df: DataFrame, evaluation: DataFrame, line: str = "line") -> D
     """Rows whose raw record text equals an evaluation record.  Joined on a
     hash first (short keys shuffle cheaply), then the text itself is compared."""
     h = F.sha2(F.col(line), 256)
-    ev = evaluation.select(h.alias("_h"), F.col(line).alias("_line")).distinct()
+    ev = evaluation.select(h.alias("_eh"), F.col(line).alias("_line")).distinct()
     return df.withColumn("_h", h).join(
-        ev, (F.col("_h") == ev["_h"]) & (F.col(line) == ev["_line"]), "left_anti").drop("_h")
+        ev, (F.col("_h") == F.col("_eh")) & (F.col(line) == F.col("_line")), "left_anti").drop("_h")
 
 
 def backfill(df: DataFrame, first: DataFrame, second_fn, key: str = "instance_id",

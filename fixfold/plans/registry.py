@@ -8,6 +8,7 @@ import importlib
 SLICES = (
     "fixfold.plans.vote_plans",
     "fixfold.plans.grade_plans",
+    "fixfold.plans.curate_plans",
 )
 
 

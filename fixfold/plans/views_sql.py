@@ -114,6 +114,45 @@ eval_instances AS (
   FROM customer)"""
 
 
+VIEWS["patches"] = """
+patches AS (
+  WITH l0 AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) - 1 AS i
+              FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)),
+  l1 AS (SELECT doc_id, i, line, CASE i % 3 WHEN 0 THEN ' ' WHEN 1 THEN '+' ELSE '-' END AS pre,
+                (i // 6) % (doc_id % 3 + 1) AS f, (i // 6) // (doc_id % 3 + 1) AS k FROM l0),
+  hk AS (SELECT doc_id, f, k,
+                '@@ -' || CAST(k * 10 + 1 AS VARCHAR) || ',' || CAST(count(*) FILTER (WHERE pre IN (' ', '-')) AS VARCHAR)
+                || ' +' || CAST(k * 10 + 1 AS VARCHAR) || ',' || CAST(count(*) FILTER (WHERE pre IN (' ', '+')) AS VARCHAR)
+                || ' @@' || chr(10) || string_agg(pre || line, chr(10) ORDER BY i) AS htext
+         FROM l1 GROUP BY doc_id, f, k),
+  fl AS (SELECT doc_id, f,
+                CASE WHEN (doc_id + f) % 2 = 0 THEN 'src/pkg/mod' || CAST(f AS VARCHAR) || '.py'
+                     ELSE 'tests/test_mod' || CAST(f AS VARCHAR) || '.py' END AS path,
+                string_agg(htext, chr(10) ORDER BY k) AS body
+         FROM hk GROUP BY doc_id, f)
+  SELECT doc_id, string_agg('diff --git a/' || path || ' b/' || path || chr(10)
+           || CASE WHEN (doc_id + f) % 7 = 0 THEN '--- /dev/null' ELSE '--- a/' || path END
+           || chr(10) || '+++ b/' || path || chr(10) || body, chr(10) ORDER BY f) || chr(10) AS patch
+  FROM fl GROUP BY doc_id)"""
+
+VIEWS["instances"] = """
+instances AS (
+  SELECT replace(source || '/' || lang, '/', '__') || '-' || CAST(d.doc_id AS VARCHAR) AS instance_id,
+         source || '/' || lang AS repo, d.doc_id AS pull_number,
+         text || CASE d.doc_id % 4 WHEN 0 THEN ' fixes #' || CAST(d.doc_id % 50 AS VARCHAR)
+                                  WHEN 1 THEN ' Closes #' || CAST(d.doc_id % 50 AS VARCHAR) || ' <!-- closes #9 -->'
+                                  WHEN 2 THEN ' see http://x/y.png'
+                                  ELSE ' see #' || CAST(d.doc_id % 50 AS VARCHAR) END AS problem_statement,
+         CASE d.doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN '+    with pytest.raises(ValueError, match="bad"):'
+              WHEN 2 THEN '+        self.assertRaises(KeyError)' WHEN 3 THEN '+    with pytest.raises(ValueError):'
+              ELSE '+def test_ok():' || chr(10) || '+    assert f() == 1' END AS test_patch,
+         TIMESTAMP '2020-01-01 00:00:00' + d.doc_id * INTERVAL 1 HOUR AS created_at,
+         p.patch
+  FROM documents d JOIN patches p ON p.doc_id = d.doc_id)"""
+
+VIEWS["issues"] = """
+issues AS (SELECT source || '/' || lang AS repo, doc_id AS number FROM documents)"""
+
 def with_views(names: list[str], *ctes: str) -> str:
     """``WITH`` clause holding the named views followed by extra CTEs."""
     parts = [VIEWS[n].strip() for n in names] + [c.strip() for c in ctes]

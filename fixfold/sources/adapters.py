@@ -182,3 +182,80 @@ def eval_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.repeat(F.lit("@@ -1 +1 @@\n"), (F.col("c_nationkey") % 4 + 1).cast("int"))
                     .alias("patch"),
                     (F.col("c_mktsegment") == "BUILDING").alias("in_subset"))
+
+
+# --- curation and diff inputs (V4, V6): one task per document ----------------
+
+def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V6 patches(doc_id, patch): every line of a document becomes a diff line
+    (prefix by position: ' ', '+', '-'), six lines per hunk, hunks dealt over
+    1–3 files; every 7th file is a new file.  Headers are consistent."""
+    d = Tables(spark, sf_dir).documents.select("doc_id", "text")
+    lines = d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    nf = F.col("doc_id") % 3 + 1
+    h = F.expr("i div 6")
+    pre = F.when(F.col("i") % 3 == 0, F.lit(" ")).when(F.col("i") % 3 == 1, F.lit("+")).otherwise(F.lit("-"))
+    lines = lines.select("doc_id", "i", "line", pre.alias("pre"),
+                         (h % nf).alias("f"), F.floor(h / nf).alias("k"))
+    start = _s(F.col("k") * 10 + 1)
+    hunks = lines.groupBy("doc_id", "f", "k").agg(
+        F.count_if(F.col("pre").isin(" ", "-")).alias("src_len"),
+        F.count_if(F.col("pre").isin(" ", "+")).alias("tgt_len"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.concat("pre", "line").alias("l")))),
+                                 lambda x: x["l"]), "\n").alias("body"))
+    hunks = hunks.select("doc_id", "f", "k", F.concat(
+        F.lit("@@ -"), start, F.lit(","), _s(F.col("src_len")), F.lit(" +"), start, F.lit(","),
+        _s(F.col("tgt_len")), F.lit(" @@\n"), F.col("body")).alias("htext"))
+    files = hunks.groupBy("doc_id", "f").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "htext"))),
+                                 lambda x: x["htext"]), "\n").alias("body"))
+    path = F.when((F.col("doc_id") + F.col("f")) % 2 == 0,
+                  F.concat(F.lit("src/pkg/mod"), _s(F.col("f")), F.lit(".py"))) \
+        .otherwise(F.concat(F.lit("tests/test_mod"), _s(F.col("f")), F.lit(".py")))
+    files = files.select("doc_id", "f", path.alias("path"), "body")
+    src = F.when((F.col("doc_id") + F.col("f")) % 7 == 0, F.lit("--- /dev/null")) \
+        .otherwise(F.concat(F.lit("--- a/"), F.col("path")))
+    ftext = F.concat(F.lit("diff --git a/"), F.col("path"), F.lit(" b/"), F.col("path"), F.lit("\n"),
+                     src, F.lit("\n+++ b/"), F.col("path"), F.lit("\n"), F.col("body"))
+    return files.select("doc_id", "f", ftext.alias("ftext")).groupBy("doc_id").agg(
+        F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("f", "ftext"))),
+                                          lambda x: x["ftext"]), "\n"), F.lit("\n")).alias("patch"))
+
+
+def _doc_repo():
+    return F.concat(F.col("source"), F.lit("/"), F.col("lang"))
+
+
+def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V4 task instances: one per document.  The statement is the whole text
+    plus an issue marker chosen by doc_id % 4; the test patch is one of five
+    shapes by doc_id % 5; the patch is V6."""
+    d = Tables(spark, sf_dir).documents.select("doc_id", "text", "lang", "source")
+    k = _s(F.col("doc_id") % 50)
+    m = F.col("doc_id") % 4
+    marker = (F.when(m == 0, F.concat(F.lit(" fixes #"), k))
+              .when(m == 1, F.concat(F.lit(" Closes #"), k, F.lit(" <!-- closes #9 -->")))
+              .when(m == 2, F.lit(" see http://x/y.png"))
+              .otherwise(F.concat(F.lit(" see #"), k)))
+    t5 = F.col("doc_id") % 5
+    test_patch = (F.when(t5 == 0, F.lit(""))
+                  .when(t5 == 1, F.lit('+    with pytest.raises(ValueError, match="bad"):'))
+                  .when(t5 == 2, F.lit("+        self.assertRaises(KeyError)"))
+                  .when(t5 == 3, F.lit("+    with pytest.raises(ValueError):"))
+                  .otherwise(F.lit("+def test_ok():\n+    assert f() == 1")))
+    repo = _doc_repo()
+    base = d.select(
+        F.concat(F.replace(repo, F.lit("/"), F.lit("__")), F.lit("-"), _s(F.col("doc_id"))).alias("instance_id"),
+        repo.alias("repo"), F.col("doc_id").alias("pull_number"),
+        F.concat(F.col("text"), marker).alias("problem_statement"),
+        test_patch.alias("test_patch"),
+        (F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")
+         + F.make_dt_interval(hours=F.col("doc_id"))).alias("created_at"),
+        F.col("doc_id"))
+    return base.join(patches(spark, sf_dir), "doc_id").drop("doc_id")
+
+
+def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known issues (repo, number): every document is an issue of its repo."""
+    d = Tables(spark, sf_dir).documents
+    return d.select(_doc_repo().alias("repo"), F.col("doc_id").alias("number"))
