@@ -9,6 +9,7 @@ SLICES = (
     "fixfold.plans.vote_plans",
     "fixfold.plans.grade_plans",
     "fixfold.plans.curate_plans",
+    "fixfold.plans.collect_plans",
 )
 
 

@@ -259,3 +259,126 @@ def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known issues (repo, number): every document is an issue of its repo."""
     d = Tables(spark, sf_dir).documents
     return d.select(_doc_repo().alias("repo"), F.col("doc_id").alias("number"))
+
+
+# --- collection inputs (V4 pulls, feeds; V5 releases and tasks) --------------
+
+def _hours_from_2020(n):
+    return F.lit("2020-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(hours=n)
+
+
+def pulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pull requests, one per document: title = first line, body = whole text
+    plus a closing reference to the document's own number (doc_id % 3), every
+    5th unmerged."""
+    d = Tables(spark, sf_dir).documents
+    n = F.col("doc_id")
+    ref = (F.when(n % 3 == 0, F.concat(F.lit(" fixes #"), _s(n)))
+           .when(n % 3 == 1, F.concat(F.lit(" Closes #"), _s(n), F.lit(" <!-- closes #9 -->")))
+           .otherwise(F.lit("")))
+    created = _hours_from_2020(n)
+    src = F.concat(F.lit("src/"), F.col("source"), F.lit(".py"))
+    return d.select(
+        _doc_repo().alias("repo"), n.alias("number"),
+        F.substring_index("text", "\n", 1).alias("title"),
+        F.concat(F.col("text"), ref).alias("body"),
+        created.alias("created_at"),
+        F.when(n % 5 == 0, F.lit(None).cast("timestamp_ntz"))
+        .otherwise(created + F.make_dt_interval(days=F.lit(1))).alias("merged_at"),
+        F.md5("text").alias("base_commit"),
+        F.when(n % 3 == 0, F.lit(None).cast("string")).otherwise(F.md5(F.col("lang")))
+        .alias("environment_setup_commit"),
+        F.concat(F.lit("--- a/"), src, F.lit("\n+++ b/"), src, F.lit("\n@@ -1 +1 @@\n-a\n+b\n")).alias("patch"),
+        F.when(n % 4 == 0, F.lit("")).otherwise(F.lit("+def test_x(): pass")).alias("test_patch"))
+
+
+def _conv_with_repo(spark, sf_dir, role):
+    t = Tables(spark, sf_dir)
+    c = t.conversations.where(F.col("role") == role)
+    d = t.documents.select(F.col("doc_id").alias("conv_id"), _doc_repo().alias("repo"))
+    return c.join(d, "conv_id")
+
+
+def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits of a pull: the assistant turns of the conversation with the same id."""
+    c = _conv_with_repo(spark, sf_dir, "assistant")
+    ref = (F.when(F.col("turn") % 4 == 1, F.concat(F.lit(" resolves #"), _s(F.col("conv_id"))))
+           .when(F.col("turn") % 4 == 3, F.concat(F.lit(" fixes #"), _s(F.col("conv_id") + 1)))
+           .otherwise(F.lit("")))
+    return c.select("repo", F.col("conv_id").alias("number"), F.col("turn").alias("pos"),
+                    F.concat(F.col("text"), ref).alias("message"),
+                    (_hours_from_2020(F.col("conv_id")) + F.make_dt_interval(mins=F.col("turn") * 10))
+                    .alias("author_date"))
+
+
+def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issue comments: the user turns of the conversation with the issue's id."""
+    c = _conv_with_repo(spark, sf_dir, "user")
+    return c.select("repo", F.col("conv_id").alias("issue_number"), F.col("turn").alias("pos"),
+                    F.col("text").alias("body"),
+                    (_hours_from_2020(F.col("conv_id")) + F.make_dt_interval(mins=(F.col("turn") * 7) % 20))
+                    .alias("updated_at"))
+
+
+def issue_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues (repo, number, title, body): every document."""
+    d = Tables(spark, sf_dir).documents
+    return d.select(_doc_repo().alias("repo"), F.col("doc_id").alias("number"),
+                    F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body"))
+
+
+def changelog_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V5 changelog pages (repo, html): one page per order priority with two
+    anchors per (year, month, day-of-month tenth) release of its orders."""
+    o = Tables(spark, sf_dir).orders
+    d = F.col("o_orderdate")
+    g = o.groupBy(F.col("o_orderpriority").alias("repo"), F.year(d).alias("y"), F.month(d).alias("m"),
+                  F.floor(F.dayofmonth(d) / 10).alias("t")).agg(F.max(d).alias("last"))
+    ver = F.concat_ws(".", _s(F.col("y")), _s(F.col("m")), _s(F.col("t")))
+    anchor = F.concat(F.lit('<a class="reference internal nav-link" href="#version-'),
+                      F.replace(ver, F.lit("."), F.lit("-")), F.lit('">Version '), ver, F.lit(" ("),
+                      F.date_format("last", "yyyy-MM-dd"), F.lit(")</a>"))
+    g = g.select("repo", "y", "m", "t", F.concat(anchor, F.lit("\n"), anchor).alias("a"))
+    return g.groupBy("repo").agg(F.concat(
+        F.lit("<html><body>\n"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "m", "t", "a"))),
+                                 lambda x: x["a"]), "\n"),
+        F.lit("\n</body></html>")).alias("html"))
+
+
+def release_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V5 tasks: line items with their order's priority as repository and the
+    ship date as creation time."""
+    t = Tables(spark, sf_dir)
+    o = t.orders.select("o_orderkey", F.col("o_orderpriority").alias("repo"))
+    li = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    return li.join(o, li.l_orderkey == o.o_orderkey).select(
+        F.concat_ws("-", _s(F.col("l_orderkey")), _s(F.col("l_linenumber")), _s(F.col("l_partkey")),
+                    _s(F.col("l_suppkey"))).alias("task_id"),
+        "repo", F.col("l_shipdate").alias("created_at"))
+
+
+def version_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files with version lines (instance_id, repo, file_pos, text): the
+    document text plus a version assignment of one of four shapes."""
+    d = Tables(spark, sf_dir).documents
+    n = F.col("doc_id")
+    tail = (F.when(n % 4 == 0, F.concat(F.lit('\n__version__ = "'), _s(n % 7), F.lit("."), _s(n % 11),
+                                        F.lit("."), _s(n), F.lit('"')))
+            .when(n % 4 == 1, F.concat(F.lit("\nVERSION = ("), _s(n % 5), F.lit(", "), _s(n % 9), F.lit(", 0)")))
+            .when(n % 4 == 2, F.lit('\n"""\n__version__ = "9.9.9"\n"""'))
+            .otherwise(F.lit("")))
+    repo = _doc_repo()
+    return d.select(F.concat(F.replace(repo, F.lit("/"), F.lit("__")), F.lit("-"), _s(n)).alias("instance_id"),
+                    repo.alias("repo"), F.lit(0).alias("file_pos"), F.concat("text", tail).alias("text"))
+
+
+def tracker_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracker timestamps (event_id, stamp) rendered from event times in the two
+    tracker formats, a third with the "See timeline at" prefix."""
+    e = Tables(spark, sf_dir).events
+    f1 = F.date_format("ts", "MM/dd/yy HH:mm:ss")
+    f2 = F.date_format("ts", "MMM d, yyyy, h:mm:ss a")
+    k = F.col("event_id") % 3
+    return e.select("event_id", F.when(k == 0, F.concat(F.lit("See timeline at "), f1))
+                    .when(k == 1, f2).otherwise(f1).alias("stamp"))
