@@ -10,6 +10,7 @@ SLICES = (
     "fixfold.plans.grade_plans",
     "fixfold.plans.curate_plans",
     "fixfold.plans.collect_plans",
+    "fixfold.plans.retrieve_plans",
 )
 
 

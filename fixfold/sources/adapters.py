@@ -382,3 +382,28 @@ def tracker_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id") % 3
     return e.select("event_id", F.when(k == 0, F.concat(F.lit("See timeline at "), f1))
                     .when(k == 1, f2).otherwise(f1).alias("stamp"))
+
+
+# --- retrieval inputs (V7) -----------------------------------------------------
+
+CORPORA = ("de", "en", "es", "fr")
+
+
+def corpus_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V7 corpus (corpus, docid, contents): documents grouped by language; every
+    50th document is a README."""
+    d = Tables(spark, sf_dir).documents
+    n = F.col("doc_id")
+    docid = F.when(n % 50 == 0, F.concat(F.col("source"), F.lit("/README_"), _s(n), F.lit(".md"))) \
+        .otherwise(F.concat(F.col("source"), F.lit("/mod_"), _s(n), F.lit(".py")))
+    return d.select(F.col("lang").alias("corpus"), docid.alias("docid"), F.col("text").alias("contents"))
+
+
+def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V7 queries (qid, corpus, query): every benchmark item searches one
+    language corpus; every 9th names a corpus that has no index."""
+    b = Tables(spark, sf_dir).benchmark
+    i = F.col("item_id")
+    corpus = F.when(i % 9 == 0, F.lit("none")).otherwise(
+        F.element_at(F.array(*[F.lit(c) for c in CORPORA]), (i % 4 + 1).cast("int")))
+    return b.select(i.alias("qid"), corpus.alias("corpus"), F.col("text").alias("query"))
