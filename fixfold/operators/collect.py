@@ -152,8 +152,31 @@ def make_instances(pulls: DataFrame, statements: DataFrame, hints: DataFrame) ->
 
 
 def parse_issue_url(url) -> list[Column]:
-    """Owner, repo and number out of an issue URL."""
-    pat = r"^https?://[^/]+/([^/]+)/([^/]+)/issues/(\d+)"
+    """Owner, repo and issue number of a forge issue URL; a URL without
+    that shape is an error."""
+    pat = r"github\.com/(.+?)/(.+?)/issues/(\d+)"
     u = col_(url)
-    return [F.regexp_extract(u, pat, 1).alias("owner"), F.regexp_extract(u, pat, 2).alias("repo_name"),
-            F.regexp_extract(u, pat, 3).alias("issue_number")]
+    ok = u.rlike(pat)
+
+    def part(i, name):
+        return F.when(ok, F.regexp_extract(u, pat, i)).otherwise(
+            F.raise_error(F.concat(F.lit("not an issue url: "), u))).alias(name)
+
+    return [part(1, "owner"), part(2, "repo_name"), part(3, "issue_number")]
+
+
+def issue_text(issues: DataFrame, comments: DataFrame | None = None) -> DataFrame:
+    """``title\nbody`` of each issue; with comments, a newline and
+    ``Comment: c1\nComment:c2…`` (nothing after the newline when an issue has
+    no comments).  (repo, number, text)."""
+    base = issues.select("repo", "number", F.concat_ws("\n", F.coalesce("title", F.lit("")),
+                                                       F.coalesce("body", F.lit(""))).alias("text"))
+    if comments is None:
+        return base
+    c = comments.groupBy("repo", F.col("issue_number").alias("number")).agg(
+        _ordered_join(F.struct("pos", "body"), "body", "\nComment:").alias("ctext"))
+    return base.join(c, ["repo", "number"], "left").select(
+        "repo", "number",
+        F.concat(F.col("text"), F.lit("\n"),
+                 F.when(F.col("ctext").isNotNull(), F.concat(F.lit("Comment: "), F.col("ctext")))
+                 .otherwise(F.lit(""))).alias("text"))

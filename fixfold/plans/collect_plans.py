@@ -381,7 +381,7 @@ ORACLE["latest_per_group"] = with_views(_RV, _REL) + """
 SELECT repo, version, arg_max(task_id, (created_at, task_id)) AS task_id FROM versioned GROUP BY ALL"""
 
 _P1, _P2 = VE.DEFAULT_VERSION_PATTERNS
-ORACLE["find_version"] = with_views(["version_files"]) + f"""
+FIND_VERSION_SELECT = f"""
 SELECT instance_id,
   CASE WHEN raw IS NULL THEN NULL ELSE regexp_replace(
     CASE WHEN contains(r2, ',') THEN array_to_string(string_split(trim(r2), ',')[1:2], '.') ELSE r2 END,
@@ -392,6 +392,7 @@ FROM (SELECT instance_id, raw,
                                              WHEN regexp_matches(t, $${_P2}$$) THEN regexp_extract(t, $${_P2}$$, 1) END,
                                         ' ', '') AS raw
             FROM (SELECT instance_id, regexp_replace(text, '(?s)\"\"\".*?\"\"\"', '', 'g') AS t FROM version_files)))"""
+ORACLE["find_version"] = with_views(["version_files"]) + "\n" + FIND_VERSION_SELECT
 ORACLE["parse_tracker_time"] = with_views(["tracker_times"]) + """
 SELECT event_id, strftime(coalesce(
   CASE WHEN contains(s, '/') THEN try_strptime(s, '%m/%d/%y %H:%M:%S') END,

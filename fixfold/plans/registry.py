@@ -11,6 +11,7 @@ SLICES = (
     "fixfold.plans.curate_plans",
     "fixfold.plans.collect_plans",
     "fixfold.plans.retrieve_plans",
+    "fixfold.plans.misc_plans",
 )
 
 
