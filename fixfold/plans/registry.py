@@ -12,6 +12,7 @@ SLICES = (
     "fixfold.plans.collect_plans",
     "fixfold.plans.retrieve_plans",
     "fixfold.plans.misc_plans",
+    "fixfold.plans.locate_plans",
 )
 
 

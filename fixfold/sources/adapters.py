@@ -407,3 +407,117 @@ def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = F.when(i % 9 == 0, F.lit("none")).otherwise(
         F.element_at(F.array(*[F.lit(c) for c in CORPORA]), (i % 4 + 1).cast("int")))
     return b.select(i.alias("qid"), corpus.alias("corpus"), F.col("text").alias("query"))
+
+
+# --- code inputs (V8): documents rendered as small Python modules ------------
+
+def _code_line():
+    """One Python line per document line, by position in a 12-line cycle:
+    class, docstring, method, body, return, method, return, constant,
+    function, body, return, import."""
+    i = F.col("i")
+    k = i % 12
+    n = _s(F.length("line"))
+    clean = F.regexp_replace(F.col("line"), r"[^\p{L} ]", "")
+    return (F.when(k == 0, F.concat(F.lit("class C"), _s(i), F.lit(":")))
+            .when(k == 1, F.concat(F.lit('    """'), clean, F.lit('"""')))
+            .when(k == 2, F.concat(F.lit("    def m"), _s(i), F.lit("(self):")))
+            .when(k == 3, F.concat(F.lit("        x = "), n))
+            .when(k == 4, F.lit("        return x"))
+            .when(k == 5, F.concat(F.lit("    def m"), _s(i), F.lit("(self):")))
+            .when(k == 6, F.concat(F.lit("        return "), n))
+            .when(k == 7, F.concat(F.lit("V"), _s(i), F.lit(" = "), n))
+            .when(k == 8, F.concat(F.lit("def f"), _s(i), F.lit("():")))
+            .when(k == 9, F.concat(F.lit("    y = "), n))
+            .when(k == 10, F.lit("    return y"))
+            .otherwise(F.concat(F.lit("from pkg"), _s(F.floor(i / 12) % 5), F.lit(" import mod"))))
+
+
+def _code_path():
+    n = F.col("doc_id")
+    k = _s(n % 5)
+    return (F.when(n % 50 == 0, F.concat(F.lit("docs/README_"), _s(n), F.lit(".md")))
+            .when(n % 7 == 0, F.concat(F.lit("pkg"), k, F.lit("/tests/test_"), _s(n), F.lit(".py")))
+            .otherwise(F.concat(F.lit("pkg"), k, F.lit("/mod_"), _s(n), F.lit(".py"))))
+
+
+def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(instance_id, repo, path, line_no, text): every line of every module."""
+    d = Tables(spark, sf_dir).documents
+    inst = F.concat(F.replace(_doc_repo(), F.lit("/"), F.lit("__")), F.lit("-"), _s(F.col("doc_id")))
+    base = d.select(inst.alias("instance_id"), _doc_repo().alias("repo"), _code_path().alias("path"),
+                    F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    return base.select("instance_id", "repo", "path", (F.col("i") + 1).alias("line_no"),
+                       _code_line().alias("text"))
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(instance_id, repo, path, text): one module per document."""
+    lines = code_lines(spark, sf_dir)
+    return lines.groupBy("instance_id", "repo", "path").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
+
+
+def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(instance_id, path, kind, cls, name, start, end): the classes, methods and
+    functions of each module with their line spans (what a repository
+    structure dump lists)."""
+    d = Tables(spark, sf_dir).documents
+    inst = F.concat(F.replace(_doc_repo(), F.lit("/"), F.lit("__")), F.lit("-"), _s(F.col("doc_id")))
+    n = F.size(F.split("text", "\n", -1))
+    base = d.select(inst.alias("instance_id"), _code_path().alias("path"), n.alias("n"),
+                    F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    i, k = F.col("i"), F.col("i") % 12
+    kind = (F.when(k == 0, F.lit("class")).when(k.isin(2, 5), F.lit("method")).when(k == 8, F.lit("function")))
+    name = (F.when(k == 0, F.concat(F.lit("C"), _s(i))).when(k.isin(2, 5), F.concat(F.lit("m"), _s(i)))
+            .when(k == 8, F.concat(F.lit("f"), _s(i))))
+    cls = F.when(k.isin(2, 5), F.concat(F.lit("C"), _s(i - k)))
+    span = F.when(k == 0, 6).when(k == 2, 2).when(k == 5, 1).otherwise(2)
+    return base.where(kind.isNotNull()).select(
+        "instance_id", "path", kind.alias("kind"), cls.alias("cls"), name.alias("name"),
+        (i + 1).alias("start"), F.least(i + 1 + span, F.col("n")).alias("end"))
+
+
+def locate_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Located-symbol answers (instance_id, answer): a non-Python location first,
+    then for cycles 0–7 of the module a function, a class with one method, a
+    constant and a whole class."""
+    d = Tables(spark, sf_dir).documents
+    inst = F.concat(F.replace(_doc_repo(), F.lit("/"), F.lit("__")), F.lit("-"), _s(F.col("doc_id")))
+    p = _code_path()
+
+    def block(k):
+        c = k * 12
+        return F.concat(F.lit("# "), p, F.lit("\nfunction: f"), _s(c + 8), F.lit("\n\n\n# "), p,
+                        F.lit("\nclass: C"), _s(c), F.lit("\nmethod: m"), _s(c + 2), F.lit("\n\n\n# "), p,
+                        F.lit("\nvariable: V"), _s(c + 7), F.lit("\n\n\n# "), p, F.lit("\nclass: C"), _s(c + 12))
+
+    body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), block), "\n\n\n")
+    return d.select(inst.alias("instance_id"),
+                    F.concat(F.lit("Here:\n```\n# docs/README.md\nfunction: x\n\n\n"), body, F.lit("\n```\n"))
+                    .alias("answer"))
+
+
+def edit_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search/replace answers (instance_id, attempt, answer): two attempts per
+    module; the first searches a line that is absent for every third module.
+    Each answer also holds an edit of an unknown file and a blank search."""
+    d = Tables(spark, sf_dir).documents
+    inst = F.concat(F.replace(_doc_repo(), F.lit("/"), F.lit("__")), F.lit("-"), _s(F.col("doc_id")))
+    first_len = _s(F.length(F.split("text", "\n", -1)[0]))
+    hit = F.concat(F.lit("        return "), first_len)
+    p = _code_path()
+
+    def ans(search, repl):
+        return F.concat(F.lit("I will edit.\n```python\n### "), p, F.lit("\n<<<<<<< SEARCH\n"), search,
+                        F.lit("\n=======\n"), repl, F.lit("\n>>>>>>> REPLACE\n```\n```python\n### other.py\n"
+                                                           "<<<<<<< SEARCH\nx\n=======\ny\n>>>>>>> REPLACE\n```\n"
+                                                           "```python\n### "), p,
+                        F.lit("\n<<<<<<< SEARCH\n   \n=======\nz\n>>>>>>> REPLACE\n```"))
+
+    miss = F.when(F.col("doc_id") % 3 == 0, F.lit("        not present")).otherwise(hit)
+    a0 = d.select(inst.alias("instance_id"), F.lit(0).alias("attempt"),
+                  ans(miss, F.concat(hit, F.lit(" + 1"))).alias("answer"))
+    a1 = d.select(inst.alias("instance_id"), F.lit(1).alias("attempt"),
+                  ans(hit, F.concat(hit, F.lit(" * 2"))).alias("answer"))
+    return a0.unionByName(a1)
