@@ -13,6 +13,7 @@ SLICES = (
     "fixfold.plans.retrieve_plans",
     "fixfold.plans.misc_plans",
     "fixfold.plans.locate_plans",
+    "fixfold.plans.stream_plans",
 )
 
 
