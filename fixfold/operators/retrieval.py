@@ -35,12 +35,22 @@ def terms(text) -> Column:
 
 
 def bm25_index(docs: DataFrame, corpus: str = "corpus", docid: str = "docid",
-               contents: str = "contents") -> dict[str, DataFrame]:
-    """Postings, document lengths and term statistics for all corpora."""
-    toks = docs.select(corpus, docid, terms(F.col(contents)).alias("_t"))
-    doc_len = toks.select(corpus, docid, F.size("_t").alias("dl"))
-    postings = toks.select(corpus, docid, F.explode("_t").alias("term")) \
+               contents: str = "contents", materialize: bool = True) -> dict[str, DataFrame]:
+    """Postings, document lengths and term statistics for all corpora.
+
+    The corpus is tokenized once: the postings are written as a parquet table
+    in the shared ``spark.checkpoint.dir`` folder and document lengths,
+    corpus statistics and document frequencies are aggregates of that table,
+    so every later use reads the index instead of re-tokenizing the corpus."""
+    postings = docs.select(corpus, docid, F.explode(terms(F.col(contents))).alias("term")) \
         .groupBy(corpus, "term", docid).agg(F.count(F.lit(1)).alias("tf"))
+    if materialize:
+        from fixfold.streaming.jobs import scratch
+
+        path = scratch(docs.sparkSession, "bm25-postings")
+        postings.write.mode("overwrite").parquet(path)
+        postings = docs.sparkSession.read.parquet(path)
+    doc_len = postings.groupBy(corpus, docid).agg(F.sum("tf").alias("dl"))
     corpus_stats = doc_len.groupBy(corpus).agg(F.count(F.lit(1)).alias("n_docs"),
                                                F.avg("dl").alias("avgdl"))
     term_stats = postings.groupBy(corpus, "term").agg(F.count(F.lit(1)).alias("df")) \
@@ -81,7 +91,7 @@ def bm25_search(index: dict[str, DataFrame], queries: DataFrame, k: int = 20,
 def search_all(index: dict[str, DataFrame], queries: DataFrame, k: int = 20,
                qid: str = "qid", corpus: str = "corpus", text: str = "query") -> tuple[DataFrame, DataFrame]:
     """Hits for the queries whose corpus is indexed, and the skipped queries."""
-    known = index["corpus_stats"].select(corpus)
+    known = index["postings"].select(corpus).distinct()
     ok = queries.join(known, corpus, "left_semi")
     skipped = queries.join(known, corpus, "left_anti").select(qid, corpus)
     return bm25_search(index, ok, k, qid=qid, corpus=corpus, text=text), skipped
@@ -124,40 +134,25 @@ def files_in_text(text) -> Column:
     return F.regexp_extract_all(col_(text), F.lit(FILES_IN_TEXT), 1)
 
 
-def containing_docs(docs: DataFrame, passages: DataFrame, shingle: int = 5,
-                    pid: str = "qid", passage: str = "text", corpus: str | None = None) -> DataFrame:
-    """(pid, docid[, corpus]) for documents whose text contains a whole passage.
-
-    Exact, without comparing every pair: if a document contains the passage,
-    it contains the passage's interior words (2nd to (shingle+1)-th) as
-    consecutive whitespace-separated words.  Documents and passages are joined
-    on the hash of that word window, then containment is verified on the full
-    texts.  Passages shorter than three words have no interior window and are
-    not matched."""
-    from fixfold.functions.text import PY_NON_WS
-
-    ws = F.regexp_extract_all(F.col(passage), F.lit(PY_NON_WS + "+"), 0)
-    n = F.least(F.size(ws) - 2, F.lit(shingle))
-    key = F.array_join(F.slice(ws, 2, n), " ")
-    ps = passages.where(F.size(ws) >= 3).select(pid, *([corpus] if corpus else []), passage,
-                                               n.alias("_n"), F.xxhash64(key).alias("_h"))
-    # window sizes in use: at most `shingle` small integers, so reading them on the driver is bounded
-    sizes = sorted(r["_n"] for r in ps.select("_n").distinct().collect())
-    extra = [corpus] if corpus else []
-    dw = docs.select("docid", *extra, "contents",
-                     F.regexp_extract_all("contents", F.lit(PY_NON_WS + "+"), 0).alias("_w"))
-    windows = None
-    for size in sizes:
-        starts = F.sequence(F.lit(1), F.greatest(F.size("_w") - size + 1, F.lit(1)))
-        win = dw.select("docid", *extra, "contents",
-                        F.explode(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("_w", i, size), " "))))
-                        .alias("_h")).withColumn("_n", F.lit(size))
-        windows = win if windows is None else windows.unionByName(win)
-    if windows is None:
-        return passages.sparkSession.createDataFrame([], f"{pid} long, docid string")
-    keys = ["_n", "_h"] + extra
-    cand = windows.join(ps, keys).where(F.instr(F.col("contents"), F.col(passage)) > 0)
-    return cand.select(pid, "docid", *extra).distinct()
+def containing_docs(index: dict[str, DataFrame], docs: DataFrame, passages: DataFrame, pid: str = "qid",
+                    passage: str = "text", corpus: str = "corpus") -> DataFrame:
+    """(pid, docid, corpus) for documents of the passage's corpus whose text
+    contains the whole passage.
+
+    Exact without comparing every pair: a document that contains the passage
+    contains each *interior* token of it (not the first or last, which may be
+    cut from a longer word) as a token of its own.  Each passage therefore
+    probes the postings of its rarest interior token only, and containment is
+    verified on the full texts.  Passages with fewer than three tokens have no
+    interior token and are not matched."""
+    toks = terms(F.col(passage))
+    ps = passages.where(F.size(toks) >= 3).select(
+        pid, corpus, passage, F.explode(F.slice(toks, 2, F.size(toks) - 2)).alias("term"))
+    rare = ps.join(index["term_stats"].select(corpus, "term", "df"), [corpus, "term"]) \
+        .groupBy(pid, corpus, passage).agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+    cand = rare.join(index["postings"].select(corpus, "term", "docid"), [corpus, "term"])
+    return cand.join(docs.select(corpus, "docid", "contents"), [corpus, "docid"]) \
+        .where(F.instr(F.col("contents"), F.col(passage)) > 0).select(pid, "docid", corpus).distinct()
 
 
 def write_index(index: dict[str, DataFrame], path: str, corpus: str = "corpus") -> None:

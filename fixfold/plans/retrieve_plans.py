@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from fixfold.functions import prompts as PR
 from fixfold.functions.criteria import WORD
-from fixfold.functions.text import PY_NON_WS
 from fixfold.operators import context as CX
 from fixfold.operators import retrieval as R
 from fixfold.plans.views_sql import VIEWS, with_views
@@ -28,9 +27,10 @@ def _hits(spark, sf):
     return hits
 
 
-def _gold(spark, sf):
+def _gold(spark, sf, index=None):
     q = A.search_queries(spark, sf).withColumnRenamed("query", "text")
-    return R.containing_docs(A.corpus_docs(spark, sf), q, pid="qid", passage="text", corpus="corpus")
+    docs = A.corpus_docs(spark, sf)
+    return R.containing_docs(index or R.bm25_index(docs), docs, q, pid="qid", passage="text", corpus="corpus")
 
 
 def _readmes(spark, sf):
@@ -90,7 +90,9 @@ def q_containing_docs(spark, sf):
 
 
 def q_recall_metrics(spark, sf):
-    return R.recall_metrics(_hits(spark, sf), _gold(spark, sf))
+    idx = _index(spark, sf)
+    hits, _ = R.search_all(idx, A.search_queries(spark, sf), K_HITS)
+    return R.recall_metrics(hits, _gold(spark, sf, idx))
 
 
 def q_with_hits(spark, sf):
@@ -239,10 +241,11 @@ hits AS (
                         row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, docid) AS rank
                  FROM scores) WHERE rank <= {K_HITS})"""
 
+_TOK0 = WORD + "+"
 _GOLD = """
 gold AS (
   SELECT DISTINCT q.qid, d.docid FROM search_queries q JOIN corpus_docs d ON d.corpus = q.corpus
-  WHERE len(regexp_extract_all(q.query, '""" + PY_NON_WS + """+')) >= 3 AND strpos(d.contents, q.query) > 0)"""
+  WHERE len(regexp_extract_all(lower(q.query), '""" + _TOK0 + """')) >= 3 AND strpos(d.contents, q.query) > 0)"""
 
 _PROMPT = f"""
 readme_pick AS (
