@@ -125,3 +125,95 @@ TEMPLATES = {
                       ("col", "readmes_text"), ("col", "code_text"), "</code>", FULL_FILE_INSTRUCTIONS,
                       "<example>", FULL_GENERATION_EXAMPLE, "</example>"],
 }
+
+# Prompts of the locate → edit repair chain ({name} marks an input column).
+LOCATE_FILES_PROMPT = """### Repository Structure ###
+{structure}
+
+###
+
+### GitHub Problem Description ###
+{problem_statement}
+
+###
+
+Please look through the Repository structure and GitHub problem description and provide a list of files that one would need to edit to fix the problem.
+Please only provide the full path and return the most important 20 files.
+The returned files should be separated by new lines and wrapped with ```
+For example:
+```
+django/db/models/fields/__init__.py
+django/db/migrations/serializer.py
+django/conf/__init__.py
+sympy/core/mul.py
+...
+```
+
+Do not miss ``` before and after the files.
+"""
+
+LOCATE_SYMBOLS_PROMPT = '''### Code Skeleton ###
+{file_skeleton}
+
+###
+
+### Problem ###
+{problem_statement}
+
+###
+
+Please provide a complete set of locations related to fixing the problem, including directly related ones as well as any potentially related functions, classes, methods and variables.
+Please provide each location using one of the following formats and concatenate them with two blank lines.
+```
+Format 1
+# file1.py
+function: ...
+
+Format 2
+# file2.py
+class: ...
+
+Format 3
+# file3.py
+class: ...
+method: ...
+
+Format 4
+# file4.py
+variable: ...
+```
+
+Return the most important 30 locations.
+Do not miss ``` before and after the locations.'''
+
+REPAIR_PROMPT = '''### Code ###
+{code_content}
+
+###
+
+### Problem ###
+{problem_statement}
+
+###
+
+Generate the most important edit using the following format:
+1. The file path
+2. The start of search block: <<<<<<< SEARCH
+3. A contiguous chunk of lines to search for in the existing source code
+4. The dividing line: =======
+5. The lines to replace into the source code
+6. The end of the replace block: >>>>>>> REPLACE
+
+For example:
+```python
+### xxx/xx.py
+<<<<<<< SEARCH
+original code
+=======
+code after modification
+>>>>>>> REPLACE
+```
+
+Please note that the *SEARCH/REPLACE* edit REQUIRES PROPER INDENTATION. If you would like to add the line '        print(x)', you must fully write that out, with all those spaces before the code!
+Don't forget import.
+Wrap each *SEARCH/REPLACE* edit in blocks ```python...```.'''

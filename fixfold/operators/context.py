@@ -116,3 +116,27 @@ def training_labels(x, y) -> list[Column]:
 def eval_labels(x, y) -> list[Column]:
     """P21 test form: inputs and labels unshifted."""
     return [col_(x).alias("input_ids"), col_(y).alias("labels")]
+
+
+def edit_excerpt(files: DataFrame, hunks: DataFrame, key: str = "instance_id", path: str = "path",
+                 contents: str = "contents", context_lines: int = 15) -> DataFrame:
+    """An edits-only code view.  For every hunk of a file: its numbered
+    source lines with ``context_lines`` of context on both sides (clamped to the
+    file), ``...`` marking skipped text before and after; blocks of one file in
+    hunk order inside ``[start of f] … [end of f]``; files in path order.
+    ``hunks``: (key, path, hunk_idx, src_start, src_len)."""
+    numbered = files.select(key, path, F.split(add_line_numbers(F.col(contents)), "\n", -1).alias("nl"))
+    j = hunks.join(numbered, [key, path])
+    n = F.size("nl")
+    start = F.greatest(F.col("src_start") - 1 - context_lines, F.lit(0))
+    end = F.least(F.col("src_start") - 1 + F.col("src_len") + context_lines, n)
+    block = F.concat(F.when(start > 0, F.lit("...\n")).otherwise(F.lit("")),
+                     F.array_join(F.slice("nl", start + 1, F.greatest(end - start, F.lit(0))), "\n"), F.lit("\n"),
+                     F.when(end < n, F.lit("...\n")).otherwise(F.lit("")))
+    per_file = j.groupBy(key, path).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("hunk_idx", block.alias("b")))), lambda x: x["b"]), "").alias("body"))
+    ftext = F.concat(F.lit("[start of "), F.col(path), F.lit("]\n"), strip_newlines(F.col("body")),
+                     F.lit("\n[end of "), F.col(path), F.lit("]\n"))
+    return per_file.groupBy(key).agg(strip_newlines(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct(F.col(path).alias("p"), ftext.alias("t")))), lambda x: x["t"]), ""))
+        .alias("code_text"))

@@ -165,3 +165,114 @@ def renumber_hunks(hunks: DataFrame, keys) -> DataFrame:
                         (F.col("context") + F.col("removed")).alias("new_src_len"),
                         (F.col("src_start") + delta).alias("new_tgt_start"),
                         (F.col("context") + F.col("added")).alias("new_tgt_len"))
+
+
+FULL_HUNK = r"^@@\s+-(\d+),(\d+)\s+\+(\d+),(\d+)\s+@@(.*)$"
+
+
+def _hunk_arrays(lines: DataFrame, keys) -> DataFrame:
+    """Per hunk with a full header: its start, the text after the header's
+    closing ``@@`` and its body lines (a trailing empty line that ends the
+    patch is not part of the body)."""
+    keys = list(keys)
+    w = Window.partitionBy(*keys)
+    last_pos = F.max("pos").over(w)
+    l = lines.withColumn("_last", last_pos)
+    body = l.where((F.col("file_idx") > 0) & (F.col("hunk_idx") > 0) & (F.col("kind") != "hunk")
+                   & ~((F.col("pos") == F.col("_last")) & (F.col("line") == "")))
+    hdr = l.where(F.col("kind") == "hunk").select(
+        *keys, "file_idx", "hunk_idx", F.col("pos").alias("hpos"),
+        F.regexp_extract("line", FULL_HUNK, 1).alias("a"), F.regexp_extract("line", FULL_HUNK, 5).alias("rest"))
+    hdr = hdr.where(F.col("a") != "").withColumn("a", F.col("a").cast("long"))
+    b = body.groupBy(*keys, "file_idx", "hunk_idx").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]).alias("body"))
+    return hdr.join(b, keys + ["file_idx", "hunk_idx"], "left").withColumn(
+        "body", F.coalesce("body", F.array().cast("array<string>")))
+
+
+def _counts(ls):
+    """(context, added, removed) of hunk lines: ± by first character, the rest context."""
+    sub = F.size(F.filter(ls, lambda x: x.startswith("-")))
+    add = F.size(F.filter(ls, lambda x: x.startswith("+")))
+    return F.size(ls) - sub - add, add, sub
+
+
+def _file_headers(lines: DataFrame, keys) -> DataFrame:
+    """Files whose header has ``--- a/`` and ``+++ b/`` lines (others are dropped),
+    with the ``diff`` line kept only when it directly precedes ``--- a/``."""
+    keys = list(keys)
+    w = Window.partitionBy(*keys).orderBy("pos")
+    l = lines.where(F.col("kind") == "header").withColumn("_next", F.lead("line").over(w))
+    g = l.groupBy(*keys, "file_idx").agg(
+        F.max(F.when(F.col("line").startswith("--- a/"), F.col("line"))).alias("src"),
+        F.max(F.when(F.col("line").startswith("+++ b/"), F.col("line"))).alias("tgt"),
+        F.max(F.when(F.col("line").startswith("diff") & F.coalesce(F.col("_next"), F.lit("")).startswith("--- a/"),
+                     F.col("line"))).alias("diff_line"))
+    return g.where(F.col("src").isNotNull() & F.col("tgt").isNotNull())
+
+
+def repair_patch(lines: DataFrame, keys) -> DataFrame:
+    """Keep each file's headers (the ``diff`` line only when it directly
+    precedes ``--- a/``), drop other header junk and files without ``--- a/``,
+    rewrite every full hunk header with recounted lengths and
+    ``post_start = pre_start + Σ earlier deltas`` in the file (X3).
+    (keys, repaired)."""
+    keys = list(keys)
+    h = _hunk_arrays(lines, keys)
+    # counts use the body without the empty line that separates hunks
+    ctx, add, sub = _counts(F.col("body"))
+    h = h.withColumn("pre_len", ctx + sub).withColumn("post_len", ctx + add)
+    wf = Window.partitionBy(*keys, "file_idx").orderBy("hunk_idx").rowsBetween(Window.unboundedPreceding, -1)
+    h = h.withColumn("post", F.col("a") + F.coalesce(F.sum(F.col("post_len") - F.col("pre_len")).over(wf), F.lit(0)))
+    htext = F.array_join(F.concat(F.array(F.concat(
+        F.lit("@@ -"), F.col("a").cast("string"), F.lit(","), F.col("pre_len").cast("string"), F.lit(" +"),
+        F.col("post").cast("string"), F.lit(","), F.col("post_len").cast("string"), F.lit(" @@"), F.col("rest"))),
+        F.col("body")), "\n")
+    files = _file_headers(lines, keys)
+    hunks = h.groupBy(*keys, "file_idx").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("hunk_idx", htext.alias("t")))), lambda x: x["t"]), "\n").alias("hunks"))
+    ftext = files.join(hunks, keys + ["file_idx"], "left").select(
+        *keys, "file_idx", F.concat_ws("\n", "diff_line", "src", "tgt", "hunks").alias("t"))
+    return ftext.groupBy(*keys).agg(F.concat(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("file_idx", "t"))), lambda x: x["t"]), "\n"), F.lit("\n")).alias("repaired"))
+
+
+def minimal_patch(lines: DataFrame, keys) -> DataFrame:
+    """Per hunk keep the lines from the first changed line to one line past
+    the last changed line (trailing whitespace removed), move ``pre_start`` past
+    the dropped leading context, recount and renumber (X3).  Files are emitted
+    as their ``--- a/`` / ``+++ b/`` headers followed by the hunks.
+    (keys, minimal)."""
+    from fixfold.functions.text import PY_WS
+
+    keys = list(keys)
+    h = _hunk_arrays(lines, keys)
+    seq = F.concat(F.array(F.col("rest")), F.col("body"), F.array(F.lit("")))
+    n = F.size(seq)
+    pm = lambda arr: F.transform(arr, lambda x: x.startswith("+") | x.startswith("-"))
+    p_first = F.array_position(pm(seq), True)
+    p_last_rev = F.array_position(pm(F.reverse(seq)), True)
+    first_idx = F.when(p_first > 0, p_first - 1).otherwise(n)
+    end = F.when(p_last_rev > 0, n - (p_last_rev - 1) + 1).otherwise(F.lit(1))
+    length = F.greatest(F.least(end, n) - first_idx, F.lit(0))
+    kept = F.transform(F.slice(seq, first_idx + 1, length), lambda x: F.regexp_replace(x, f"{PY_WS}+$", ""))
+    h = h.withColumn("kept", F.when(first_idx < n, kept).otherwise(F.array().cast("array<string>")))
+    h = h.withColumn("pre", F.col("a") + first_idx - 1)
+    # counting view: the kept lines as text with outer newlines stripped, split again
+    stripped = F.regexp_replace(F.array_join("kept", "\n"), r"^\n+|\n+$", "")
+    cl = F.split(stripped, "\n", -1)
+    ctx, add, sub = _counts(cl)
+    h = h.withColumn("pre_len", ctx + sub).withColumn("post_len", ctx + add)
+    wf = Window.partitionBy(*keys, "file_idx").orderBy("hunk_idx").rowsBetween(Window.unboundedPreceding, -1)
+    h = h.withColumn("post", F.col("pre") + F.coalesce(F.sum(F.col("post_len") - F.col("pre_len")).over(wf), F.lit(0)))
+    htext = F.concat(F.lit("@@ -"), F.col("pre").cast("string"), F.lit(","), F.col("pre_len").cast("string"),
+                     F.lit(" +"), F.col("post").cast("string"), F.lit(","), F.col("post_len").cast("string"),
+                     F.lit(" @@\n"), F.array_join("kept", "\n"), F.lit("\n"))
+    files = _file_headers(lines, keys)
+    hunks = h.groupBy(*keys, "file_idx").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("hunk_idx", htext.alias("t")))), lambda x: x["t"]), "").alias("hunks"))
+    ftext = files.join(hunks, keys + ["file_idx"], "left").select(
+        *keys, "file_idx", F.concat(F.col("src"), F.lit("\n"), F.col("tgt"), F.lit("\n"),
+                                    F.coalesce("hunks", F.lit(""))).alias("t"))
+    return ftext.groupBy(*keys).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("file_idx", "t"))), lambda x: x["t"]), "").alias("minimal"))

@@ -330,3 +330,142 @@ SELECT instance_id, file_idx, path,
   ends_with(path, '.py') AND (starts_with(instance_id, 'pytest')
     OR NOT len(list_filter(string_split(path, '/'), lambda s: starts_with(s, 'test'))) > 0) AS python_source
 FROM pfiles"""
+
+
+# --- X4 / X5 -------------------------------------------------------------------
+
+def q_repair_patch(spark, sf):
+    return D.repair_patch(_lines(spark, sf), K)
+
+
+def q_minimal_patch(spark, sf):
+    return D.minimal_patch(_lines(spark, sf), K)
+
+
+QUERIES.update({"repair_patch": q_repair_patch, "minimal_patch": q_minimal_patch})
+
+_FULL = "'^@@\\s+-(\\d+),(\\d+)\\s+\\+(\\d+),(\\d+)\\s+@@(.*)$'"
+_HUNKS_SQL = f"""
+plast AS (SELECT instance_id, max(pos) AS last_pos FROM plines GROUP BY instance_id),
+hhdr AS (
+  SELECT instance_id, file_idx, hunk_idx, CAST(regexp_extract(line, {_FULL}, 1) AS BIGINT) AS a,
+         regexp_extract(line, {_FULL}, 5) AS rest
+  FROM plines WHERE kind = 'hunk' AND regexp_extract(line, {_FULL}, 1) <> ''),
+hbody AS (
+  SELECT p.instance_id, p.file_idx, p.hunk_idx, list(p.line ORDER BY p.pos) AS body
+  FROM plines p JOIN plast USING (instance_id)
+  WHERE p.file_idx > 0 AND p.hunk_idx > 0 AND p.kind <> 'hunk' AND NOT (p.pos = plast.last_pos AND p.line = '')
+  GROUP BY ALL),
+harr AS (SELECT h.*, coalesce(b.body, []::VARCHAR[]) AS body FROM hhdr h LEFT JOIN hbody b USING (instance_id, file_idx, hunk_idx)),
+fhdr AS (
+  SELECT instance_id, file_idx,
+         max(CASE WHEN starts_with(line, '--- a/') THEN line END) AS src,
+         max(CASE WHEN starts_with(line, '+++ b/') THEN line END) AS tgt,
+         max(CASE WHEN starts_with(line, 'diff') AND starts_with(coalesce(nxt, ''), '--- a/') THEN line END) AS diff_line
+  FROM (SELECT *, lead(line) OVER (PARTITION BY instance_id ORDER BY pos) AS nxt FROM plines WHERE kind = 'header')
+  GROUP BY ALL
+  HAVING max(CASE WHEN starts_with(line, '--- a/') THEN line END) IS NOT NULL
+     AND max(CASE WHEN starts_with(line, '+++ b/') THEN line END) IS NOT NULL)"""
+
+ORACLE["repair_patch"] = with_views(_V, LINES_SQL, _HUNKS_SQL) + """
+, rc AS (
+  SELECT *, len(body) - len(list_filter(body, lambda x: starts_with(x, '-'))) - len(list_filter(body, lambda x: starts_with(x, '+'))) AS ctx,
+         len(list_filter(body, lambda x: starts_with(x, '+'))) AS n_add, len(list_filter(body, lambda x: starts_with(x, '-'))) AS n_sub
+  FROM harr),
+rn AS (
+  SELECT *, ctx + n_sub AS pre_len, ctx + n_add AS post_len,
+         a + coalesce(sum(n_add - n_sub) OVER (PARTITION BY instance_id, file_idx ORDER BY hunk_idx
+                                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS post
+  FROM rc),
+ht AS (
+  SELECT instance_id, file_idx, string_agg(array_to_string(
+           ['@@ -' || CAST(a AS VARCHAR) || ',' || CAST(pre_len AS VARCHAR) || ' +' || CAST(post AS VARCHAR) || ','
+            || CAST(post_len AS VARCHAR) || ' @@' || rest] || body, chr(10)), chr(10) ORDER BY hunk_idx) AS hunks
+  FROM rn GROUP BY ALL),
+ft AS (SELECT f.instance_id, f.file_idx, concat_ws(chr(10), f.diff_line, f.src, f.tgt, h.hunks) AS t
+       FROM fhdr f LEFT JOIN ht h USING (instance_id, file_idx))
+SELECT instance_id, string_agg(t, chr(10) ORDER BY file_idx) || chr(10) AS repaired FROM ft GROUP BY instance_id"""
+
+ORACLE["minimal_patch"] = with_views(_V, LINES_SQL, _HUNKS_SQL) + f"""
+, s0 AS (SELECT *, [rest] || body || [''] AS seq FROM harr),
+s1 AS (
+  SELECT *, len(seq) AS n,
+         list_position(list_transform(seq, lambda x: starts_with(x, '+') OR starts_with(x, '-')), true) AS pf,
+         list_position(list_transform(list_reverse(seq), lambda x: starts_with(x, '+') OR starts_with(x, '-')), true) AS pl
+  FROM s0),
+s2 AS (
+  SELECT *, CASE WHEN coalesce(pf, 0) > 0 THEN pf - 1 ELSE n END AS fi,
+         CASE WHEN coalesce(pl, 0) > 0 THEN n - (pl - 1) + 1 ELSE 1 END AS en
+  FROM s1),
+s3 AS (
+  SELECT *, CASE WHEN fi < n THEN list_transform(seq[fi + 1:least(en, n)], lambda x: regexp_replace(x, '{PY_WS}+$', ''))
+                 ELSE []::VARCHAR[] END AS kept,
+         a + fi - 1 AS pre
+  FROM s2),
+s4 AS (SELECT *, string_split(regexp_replace(array_to_string(kept, chr(10)), '^\\n+|\\n+$', '', 'g'), chr(10)) AS cl FROM s3),
+s5 AS (
+  SELECT *, len(cl) - len(list_filter(cl, lambda x: starts_with(x, '-'))) - len(list_filter(cl, lambda x: starts_with(x, '+'))) AS ctx,
+         len(list_filter(cl, lambda x: starts_with(x, '+'))) AS n_add, len(list_filter(cl, lambda x: starts_with(x, '-'))) AS n_sub
+  FROM s4),
+s6 AS (
+  SELECT *, ctx + n_sub AS pre_len, ctx + n_add AS post_len,
+         pre + coalesce(sum(n_add - n_sub) OVER (PARTITION BY instance_id, file_idx ORDER BY hunk_idx
+                                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS post
+  FROM s5),
+ht AS (
+  SELECT instance_id, file_idx, string_agg('@@ -' || CAST(pre AS VARCHAR) || ',' || CAST(pre_len AS VARCHAR) || ' +'
+           || CAST(post AS VARCHAR) || ',' || CAST(post_len AS VARCHAR) || ' @@' || chr(10)
+           || array_to_string(kept, chr(10)) || chr(10), '' ORDER BY hunk_idx) AS hunks
+  FROM s6 GROUP BY ALL),
+ft AS (SELECT f.instance_id, f.file_idx, f.src || chr(10) || f.tgt || chr(10) || coalesce(h.hunks, '') AS t
+       FROM fhdr f LEFT JOIN ht h USING (instance_id, file_idx))
+SELECT instance_id, string_agg(t, '' ORDER BY file_idx) AS minimal FROM ft GROUP BY instance_id"""
+
+
+def q_edit_excerpt(spark, sf):
+    from fixfold.operators.context import edit_excerpt
+
+    lines = _lines(spark, sf)
+    files = D.patch_files(lines, K).where(F.col("change") == "modified")
+    hunks = D.patch_hunks(lines, K).join(files.select("instance_id", "file_idx", "path"), ["instance_id", "file_idx"])
+    contents = files.select("instance_id", "path").join(
+        _doc_contents(spark, sf), "instance_id")
+    return edit_excerpt(contents, hunks.select("instance_id", "path", "hunk_idx", "src_start", "src_len"))
+
+
+def _doc_contents(spark, sf):
+    """Every file of a task is shown with its task's document text as content."""
+    from fixfold.sources.tables import Tables
+
+    d = Tables(spark, sf).documents
+    inst = F.concat(F.replace(F.concat(F.col("source"), F.lit("/"), F.col("lang")), F.lit("/"), F.lit("__")),
+                    F.lit("-"), F.col("doc_id").cast("string"))
+    return d.select(inst.alias("instance_id"), F.col("text").alias("contents"))
+
+
+QUERIES["edit_excerpt"] = q_edit_excerpt
+
+
+def _num(c):
+    return (f"list_transform(string_split({c}, chr(10)), lambda l, i: CAST(i AS VARCHAR) || ' ' || l)")
+
+
+ORACLE["edit_excerpt"] = with_views(_V, LINES_SQL) + f"""
+, fc AS (
+  SELECT f.instance_id, f.file_idx, f.path, {_num('d.text')} AS nl
+  FROM pfiles f JOIN (SELECT replace(source || '/' || lang, '/', '__') || '-' || CAST(doc_id AS VARCHAR) AS instance_id,
+                             text FROM documents) d USING (instance_id)
+  WHERE f.change = 'modified'),
+hb AS (
+  SELECT c.instance_id, c.path, h.hunk_idx, len(c.nl) AS n, c.nl,
+         greatest(h.src_start - 1 - 15, 0) AS s, least(h.src_start - 1 + h.src_len + 15, len(c.nl)) AS e
+  FROM phunks h JOIN fc c USING (instance_id, file_idx)),
+blocks AS (
+  SELECT instance_id, path, string_agg(CASE WHEN s > 0 THEN '...' || chr(10) ELSE '' END
+           || array_to_string(nl[s + 1:e], chr(10)) || chr(10)
+           || CASE WHEN e < n THEN '...' || chr(10) ELSE '' END, '' ORDER BY hunk_idx) AS body
+  FROM hb GROUP BY ALL)
+SELECT instance_id, regexp_replace(string_agg('[start of ' || path || ']' || chr(10)
+         || regexp_replace(body, '^\\n+|\\n+$', '', 'g') || chr(10) || '[end of ' || path || ']' || chr(10), '' ORDER BY path),
+       '^\\n+|\\n+$', '', 'g') AS code_text
+FROM blocks GROUP BY instance_id"""

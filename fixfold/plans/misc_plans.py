@@ -509,3 +509,18 @@ SELECT f.instance_id,
        regexp_replace(array_to_string(string_split(trim('0.' || CAST(length(f.text) AS VARCHAR) || '.9'), '.')[1:2], '.'),
                       '[^0-9.]', '', 'g') AS version, 2 AS method
 FROM version_files f WHERE f.instance_id NOT IN (SELECT instance_id FROM fv WHERE version IS NOT NULL)"""
+
+
+def q_run_inference(spark, sf):
+    """I2 over the model calls' prompts with a deterministic stand-in model that
+    answers every prompt with a diff fence holding the whole prompt."""
+    from fixfold.operators.repair import run_inference
+
+    calls = _calls(spark, sf).select(F.col("call_id").alias("instance_id"), F.col("prompt").alias("text"))
+    done = calls.where(F.col("instance_id") % 1000 == 0).select("instance_id")
+    echo = lambda ts: ["```diff\n" + t + "\n```" for t in ts]
+    out = run_inference(calls, echo, "gpt-4-0613", done=done, max_cost=BUDGET_CAP)
+    return out.select("instance_id", "model_name_or_path", "model_patch", F.round("cost", 9).alias("cost"))
+
+
+QUERIES["run_inference"] = q_run_inference

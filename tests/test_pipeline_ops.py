@@ -98,3 +98,45 @@ def test_parse_kv(spark):
     df = spark.createDataFrame([("a=True,b=3,c=1.5,d=None,e='x',f=plain",)], "s string")
     m = df.select(I.parse_kv(F.col("s")).alias("m")).collect()[0]["m"]
     assert m == {"a": "true", "b": "3", "c": "1.5", "d": "null", "e": '"x"', "f": '"plain"'}
+
+
+def test_repair_chain_end_to_end(spark):
+    from fixfold.operators.repair import repair_chain
+
+    def model(texts):
+        out = []
+        for t in texts:
+            if t.startswith("### Repository Structure"):
+                out.append("Files:\n```\npkg/a.py\n```")
+            elif t.startswith("### Code Skeleton"):
+                assert "### File: pkg/a.py ###" in t and "def f():" in t
+                out.append("```\n# pkg/a.py\nfunction: f\n```")
+            else:
+                assert "#pkg/a.py" in t and "    return 1" in t
+                out.append("```python\n### pkg/a.py\n<<<<<<< SEARCH\n    return 1\n=======\n    return 2\n"
+                           ">>>>>>> REPLACE\n```")
+        return out
+
+    inst = spark.createDataFrame([("x__y-1", "f returns the wrong value")], "instance_id string, problem_statement string")
+    files = spark.createDataFrame([("x__y-1", "pkg/a.py", "def f():\n    return 1\n"),
+                                   ("x__y-1", "pkg/tests/test_a.py", "def test():\n    pass\n")],
+                                  "instance_id string, path string, text string")
+    symbols = spark.createDataFrame([("x__y-1", "pkg/a.py", "function", None, "f", 1, 2)],
+                                    "instance_id string, path string, kind string, cls string, name string, start int, end int")
+    lines = spark.createDataFrame([("x__y-1", "pkg/a.py", 1, "def f():"), ("x__y-1", "pkg/a.py", 2, "    return 1")],
+                                  "instance_id string, path string, line_no int, text string")
+    r = repair_chain(inst, files, symbols, lines, model).collect()
+    assert len(r) == 1 and "-    return 1\n+    return 2" in r[0]["model_patch"]
+
+
+def test_run_inference_orders_filters_and_caps(spark):
+    from fixfold.operators.repair import run_inference
+
+    df = spark.createDataFrame([("a", "x " * 10), ("b", "y " * 3), ("c", "z " * 5), ("d", "w")],
+                               "instance_id string, text string")
+    done = spark.createDataFrame([("d",)], "instance_id string")
+    fn = lambda ts: ["<patch>" + t + "</patch>" for t in ts]
+    out = run_inference(df, fn, "gpt-4-0613", done=done, max_cost=0.0005)
+    got = {r["instance_id"]: r for r in out.collect()}
+    # shortest first: b (cost 0.00027 < cap), then c crosses the cap and is kept, a is not reached
+    assert set(got) == {"b", "c"} and got["b"]["model_patch"] == "y " * 3
