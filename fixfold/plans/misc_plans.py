@@ -517,7 +517,9 @@ def q_run_inference(spark, sf):
     from fixfold.operators.repair import run_inference
 
     calls = _calls(spark, sf).select(F.col("call_id").alias("instance_id"), F.col("prompt").alias("text"))
-    done = calls.where(F.col("instance_id") % 1000 == 0).select("instance_id")
+    # a resumed run: every conversation's opening turn was answered before
+    conv = Tables(spark, sf).conversations
+    done = conv.where(F.col("turn") == 0).select((F.col("conv_id") * 1000 + F.col("turn")).alias("instance_id"))
     echo = lambda ts: ["```diff\n" + t + "\n```" for t in ts]
     out = run_inference(calls, echo, "gpt-4-0613", done=done, max_cost=BUDGET_CAP)
     return out.select("instance_id", "model_name_or_path", "model_patch", F.round("cost", 9).alias("cost"))

@@ -91,3 +91,27 @@ def test_clean_requirements(spark):
 def test_replace_packages(spark):
     df = spark.createDataFrame([("x\n\n types-pkg_resources \ny",)], "requirements string")
     assert ENV.replace_packages(df).collect()[0][0] == "x\ntypes-pkg-resources==0.1.3\ny\n"
+
+
+def test_read_split_and_many(spark, tmp_path):
+    df = spark.createDataFrame([("a", "train"), ("b", "test")], "instance_id string, split string")
+    df.write.partitionBy("split").parquet(str(tmp_path / "ds"))
+    assert rows(io.read_split(spark, "lite", "test", {"lite": str(tmp_path / "ds")}), "instance_id") == [("b",)]
+    with pytest.raises(ValueError):
+        io.read_split(spark, str(tmp_path / "ds"), "dev")
+    for i in range(2):
+        (tmp_path / f"s{i}.jsonl").write_text(json.dumps({"instance_id": f"x{i}"}) + "\n")
+    m = io.read_many(spark, str(tmp_path / "s*.jsonl"))
+    assert sorted(r["instance_id"] for r in m.collect()) == ["x0", "x1"]
+
+
+def test_write_dual_and_jsonl(spark, tmp_path):
+    from fixfold.operators.curate import write_dual
+
+    df = spark.createDataFrame([("a", "p", "s", "t"), ("b", "p", "s", " "), ("c", "", "s", "t")],
+                               "instance_id string, patch string, problem_statement string, test_patch string")
+    write_dual(df, str(tmp_path / "out"))
+    assert sorted(r[0] for r in spark.read.json(str(tmp_path / "out.all")).select("instance_id").collect()) == ["a", "b"]
+    assert [r[0] for r in spark.read.json(str(tmp_path / "out")).select("instance_id").collect()] == ["a"]
+    io.write_jsonl(df.select("instance_id"), str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 3
