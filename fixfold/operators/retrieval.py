@@ -9,7 +9,10 @@ Search: the distinct terms of each query (R3 keeps the first ``max_terms``)
 join the postings on (corpus, term); scores are summed per (query, doc); the
 top k per query come from a ``row_number() <= k`` filter, which Spark plans
 as a partial group limit before the shuffle, so a query with millions of
-candidate documents never sits whole in one task.
+candidate documents never sits whole in one task.  Terms that occur in a
+large share of a corpus are not joined exhaustively: an exact upper bound on
+what they can add decides when the other terms' candidates already hold the
+top k (see ``bm25_search``).
 
 The analyser is a documented lower-case word tokenizer (``[\\p{L}\\p{N}_]+``),
 so scores are this library's BM25 (k1=0.9, b=0.4, idf = ln(1 + (N-df+0.5)/(df+0.5))),
@@ -53,7 +56,11 @@ def bm25_index(docs: DataFrame, corpus: str = "corpus", docid: str = "docid",
     doc_len = postings.groupBy(corpus, docid).agg(F.sum("tf").alias("dl"))
     corpus_stats = doc_len.groupBy(corpus).agg(F.count(F.lit(1)).alias("n_docs"),
                                                F.avg("dl").alias("avgdl"))
-    term_stats = postings.groupBy(corpus, "term").agg(F.count(F.lit(1)).alias("df")) \
+    # per term: document frequency and the largest tf-part any document gives it
+    # (at the default k1, b) — the exact bound the pruned search relies on
+    tfn = postings.join(doc_len, [corpus, docid]).join(corpus_stats, corpus).select(
+        corpus, "term", (F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("tfn"))
+    term_stats = tfn.groupBy(corpus, "term").agg(F.count(F.lit(1)).alias("df"), F.max("tfn").alias("max_tfn")) \
         .join(corpus_stats, corpus) \
         .withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     return {"postings": postings, "doc_len": doc_len, "corpus_stats": corpus_stats,
@@ -66,26 +73,81 @@ def truncate_query(text, max_terms: int | None = None) -> Column:
     return t if max_terms is None else F.slice(t, 1, max_terms)
 
 
+def _scored(q: DataFrame, index: dict[str, DataFrame], qid: str, corpus: str, k1: float, b: float) -> DataFrame:
+    """Exhaustive scores of the query terms ``q`` (qid, corpus, term, qtf)."""
+    p = index["postings"].join(index["doc_len"], [corpus, "docid"])
+    ts = index["term_stats"].select(corpus, "term", "idf", "avgdl")
+    j = q.join(ts, [corpus, "term"]).join(p, [corpus, "term"])
+    return j.groupBy(qid, "docid").agg(F.sum(_part(k1, b)).alias("score"))
+
+
+def _part(k1: float, b: float):
+    tf = F.col("tf")
+    return F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+
+
+def _top(scores: DataFrame, qid: str, k: int) -> DataFrame:
+    # ranks on the score rounded to 9 places so float summation order cannot flip ties
+    w = Window.partitionBy(qid).orderBy(F.desc(F.round("score", 9)), "docid")
+    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def bm25_search(index: dict[str, DataFrame], queries: DataFrame, k: int = 20,
                 max_terms: int | None = 1024, qid: str = "qid", corpus: str = "corpus",
-                text: str = "query", k1: float = K1, b: float = B) -> DataFrame:
-    """R2: (qid, rank, docid, score) — the k best documents of the query's corpus."""
+                text: str = "query", k1: float = K1, b: float = B,
+                common_share: float | None = 0.05, prune_above: int = 20_000_000) -> DataFrame:
+    """R2: (qid, rank, docid, score) — the k best documents of the query's corpus.
+
+    Common terms (in more than ``common_share`` of a corpus's documents) have
+    postings in most documents, so joining them exhaustively costs
+    queries × documents.  The search is exact without that join:
+
+    1. candidates = documents holding at least one of the query's other terms;
+       their full scores are computed from (candidate, query term) lookups;
+    2. a document holding only common terms scores at most
+       Σ qtf·idf·(k1+1)·max_tfn over the common terms (``max_tfn`` = the largest
+       tf-part the term reaches in any document, kept in the index; < 1 for
+       other k1/b); when the k-th candidate score is above that bound, the
+       candidates' top k is the answer;
+    3. queries where the bound does not hold are scored exhaustively.
+
+    The pruned plan pays off when common-term postings dominate; one
+    aggregate (a single number read on the driver) estimates the postings an
+    exhaustive plan would join for common terms, and the pruned plan is used
+    only above ``prune_above``.  ``common_share=None`` always scores
+    exhaustively."""
     q = queries.select(qid, corpus, F.explode(truncate_query(F.col(text), max_terms)).alias("term"))
     # query term frequencies count every use of a kept term
     qtf = queries.select(qid, F.explode(terms(F.col(text))).alias("term")) \
         .groupBy(qid, "term").agg(F.count(F.lit(1)).alias("qtf"))
     q = q.join(qtf, [qid, "term"])
+    if common_share is None:
+        return _top(_scored(q, index, qid, corpus, k1, b), qid, k).select(qid, "rank", "docid", "score")
+
+    ts = index["term_stats"].select(corpus, "term", "df", "n_docs", "idf", "avgdl", "max_tfn")
+    qs = q.join(ts, [corpus, "term"]).withColumn("common", F.col("df") > F.col("n_docs") * common_share)
+    est = qs.where("common").agg(F.sum("df")).first()[0] or 0
+    if est <= prune_above:
+        return _top(_scored(q, index, qid, corpus, k1, b), qid, k).select(qid, "rank", "docid", "score")
+    # 1. candidates from the uncommon terms, then their exact scores
+    cand = qs.where(~F.col("common")).select(qid, corpus, "term") \
+        .join(index["postings"].select(corpus, "term", "docid"), [corpus, "term"]).select(qid, corpus, "docid").distinct()
+    triples = cand.join(qs.select(qid, "term", "qtf", "idf", "avgdl"), qid)
     p = index["postings"].join(index["doc_len"], [corpus, "docid"])
-    ts = index["term_stats"].select(corpus, "term", "idf", "avgdl")
-    j = q.join(ts, [corpus, "term"]).join(p, [corpus, "term"])
-    tf = F.col("tf")
-    part = F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (
-        tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scores = j.groupBy(qid, "docid").agg(F.sum(part).alias("score"))
-    # ranks on the score rounded to 9 places so float summation order cannot flip ties
-    w = Window.partitionBy(qid).orderBy(F.desc(F.round("score", 9)), "docid")
-    ranked = scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select(qid, "rank", "docid", "score")
+    exact = triples.join(p, [corpus, "term", "docid"]).groupBy(qid, "docid").agg(F.sum(_part(k1, b)).alias("score"))
+    top = _top(exact, qid, k)
+    # 2. the bound for documents holding only common terms
+    tf_bound = F.col("max_tfn") if (k1, b) == (K1, B) else F.lit(1.0)
+    bound = qs.groupBy(qid).agg(F.sum(F.when(F.col("common"), F.col("qtf") * F.col("idf") * (k1 + 1) * tf_bound)
+                                      .otherwise(F.lit(0.0))).alias("ub"))
+    kth = top.groupBy(qid).agg(F.count(F.lit(1)).alias("n"), F.min(F.round("score", 9)).alias("kth"))
+    # strict: a document at the bound could tie the k-th score
+    ok = bound.join(kth, qid, "left").where(
+        (F.col("ub") == 0) | ((F.col("n") == k) & (F.col("kth") > F.round(F.col("ub"), 9)))).select(qid)
+    # 3. exhaustive scoring only for the queries the bound does not settle
+    rest = q.join(ok, qid, "left_anti")
+    fallback = _top(_scored(rest, index, qid, corpus, k1, b), qid, k)
+    return top.join(ok, qid, "left_semi").unionByName(fallback).select(qid, "rank", "docid", "score")
 
 
 def search_all(index: dict[str, DataFrame], queries: DataFrame, k: int = 20,
