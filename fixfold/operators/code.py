@@ -155,27 +155,35 @@ def import_edges(files: DataFrame, key: str = "instance_id", path: str = "path",
     return first.join(py, [key, "dir"]).select(key, "src", "dst").distinct()
 
 
-def reachable(edges: DataFrame, roots: DataFrame, max_rounds: int = 1000, checkpoint_every: int = 4) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, max_rounds: int = 1000, compact_every: int = 8) -> DataFrame:
     """(root, node) for every node reachable from a root (the root itself
     included), cycle-safe.  Breadth-first: the frontier joins the edges, new
     nodes are those not yet visited (anti-join); the loop stops when the
-    frontier is empty.  Each frontier (and every few rounds the visited set) is
-    written as a reliable checkpoint in the cluster's checkpoint folder, so
-    lineage stays short and a lost executor does not replay earlier rounds."""
-    ensure_checkpoint_dir(edges.sparkSession)
-    e = edges.select(F.col("src").alias("node"), F.col("dst")).distinct()
-    visited = roots.select(F.col("root"), F.col("root").alias("node")).distinct()
-    frontier = visited
-    for i in range(max_rounds):
+    frontier is empty.  Every frontier is written as a parquet table in the
+    shared checkpoint folder and read back (lineage stays one round long, a
+    lost executor never replays earlier rounds); the visited set is rewritten
+    as one table every few rounds."""
+    from fixfold.streaming.jobs import scratch
+
+    spark = edges.sparkSession
+    base = scratch(spark, "closure")
+    # the edge table is read every round: written once, read back from the table
+    edges.select(F.col("src").alias("node"), F.col("dst")).distinct().write.parquet(f"{base}/edges")
+    e = spark.read.parquet(f"{base}/edges")
+    roots.select(F.col("root"), F.col("root").alias("node")).distinct().write.parquet(f"{base}/r0")
+    frontier = spark.read.parquet(f"{base}/r0")
+    visited = frontier
+    for i in range(1, max_rounds + 1):
         nxt = frontier.join(e, "node").select("root", F.col("dst").alias("node")).distinct() \
             .join(visited, ["root", "node"], "left_anti")
-        nxt = nxt.checkpoint(eager=True)
-        if nxt.isEmpty():
+        nxt.write.parquet(f"{base}/r{i}")
+        frontier = spark.read.parquet(f"{base}/r{i}")
+        if frontier.isEmpty():
             break
-        visited = visited.unionByName(nxt)
-        if (i + 1) % checkpoint_every == 0:
-            visited = visited.checkpoint(eager=True)
-        frontier = nxt
+        visited = visited.unionByName(frontier)
+        if i % compact_every == 0:
+            visited.write.parquet(f"{base}/v{i}")
+            visited = spark.read.parquet(f"{base}/v{i}")
     return visited
 
 
