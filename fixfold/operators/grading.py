@@ -63,52 +63,61 @@ def applied_logs(logs: DataFrame, content: str = "content") -> DataFrame:
         "test_output", F.when(F.col("applied"), F.substring_index(c, PRED_MARKER, -1)))
 
 
+def _blob_emissions(rule, text):
+    """Whole-log matches as (ord, test, status): framed headers come before every
+    line (negative order), the verbose runner's multi-line patterns after every
+    line (order above any line)."""
+    et = "array<struct<ord:bigint,test:string,status:string>>"
+    empty = F.array().cast(et)
+    framed = F.transform(
+        F.arrays_zip(F.regexp_extract_all(text, F.lit(L.FRAMED_PATTERN), 2).alias("a"),
+                     F.regexp_extract_all(text, F.lit(L.FRAMED_PATTERN), 3).alias("b")),
+        lambda m, i: F.struct((F.lit(-1_000_000_000) + i).cast("bigint").alias("ord"),
+                              F.concat(m["a"], F.lit(".py:"), m["b"]).alias("test"),
+                              F.lit("FAILED").alias("status")))
+    def passed_at(base):
+        return lambda x, i: F.struct((F.lit(base) + i).cast("bigint").alias("ord"), x.alias("test"),
+                                     F.lit("PASSED").alias("status"))
+
+    verbose = [F.transform(F.regexp_extract_all(text, F.lit(p), 1), passed_at(1_000_000_000_000 * (k + 1)))
+               for k, p in enumerate(L.VERBOSE_BLOB_PATTERNS)]
+    return (F.when(rule == "framed", framed.cast(et))
+            .when(rule == "verbose", F.concat(*verbose).cast(et))
+            .otherwise(empty))
+
+
 def parse_logs(logs: DataFrame, keys=("instance_id",), text: str = "test_output",
                rule: str = "rule") -> DataFrame:
     """(keys..., test_case, status) with the last emission per test winning.
 
-    Line emissions are ordered by (line position, order within the line); the
-    framed rule's whole-log header matches come before every line, the verbose
-    rule's multi-line matches after every line.
+    One pass over each log: the whole-log matches are computed on the log row,
+    its lines are exploded once (the verbose rule's carried test name is a
+    window over one log's lines), each line's emissions get an order
+    (position, index in the line), the whole-log matches ride on line 0, and a
+    single explode feeds ``max_by(status, order)`` per (log, test).
     """
     keys = list(keys)
-    lines = logs.where(F.col(text).isNotNull()).select(
-        *keys, F.col(rule).alias("rule"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"))
+    base = logs.where(F.col(text).isNotNull()).select(
+        *keys, F.col(rule).alias("rule"), _blob_emissions(F.col(rule), F.col(text)).alias("blob"),
+        F.col(text).alias("_t"))
+    lines = base.select(*keys, "rule", "blob", F.posexplode(F.split(F.col("_t"), "\n", -1)).alias("pos", "line"))
+    lines = lines.withColumn("blob", F.when(F.col("pos") == 0, F.col("blob")))
     # verbose rule: the test of the latest " ... " line so far (window over one log's lines)
     w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     prev = F.when(F.col("rule") == "verbose",
                   F.last(L.verbose_prev_marker(F.col("line")), ignorenulls=True).over(w))
     lines = lines.withColumn("prev_test", prev)
-    staged = lines.select(*keys, "pos", "rule", "line", "prev_test",
+    staged = lines.select(*keys, "pos", "rule", "line", "prev_test", "blob",
                           *L.stage1(F.col("rule"), F.col("line")))
     staged = staged.select("*", *L.stage2())
-    line_em = staged.select(
-        *keys, "pos",
-        F.posexplode(L.stage3(F.col("rule"), F.col("line"), F.col("prev_test"))).alias("sub", "em"))
-    line_em = line_em.select(*keys, (F.col("pos") * 1000 + F.col("sub")).alias("ord"),
-                             F.col("em.test").alias("test_case"), F.col("em.status").alias("status"))
-
-    blob = logs.where(F.col(text).isNotNull()).select(*keys, F.col(rule).alias("rule"),
-                                                      F.col(text).alias("t"))
-    framed = blob.where(F.col("rule") == "framed").select(
-        *keys,
-        F.posexplode(F.arrays_zip(
-            F.regexp_extract_all("t", F.lit(L.FRAMED_PATTERN), 2).alias("a"),
-            F.regexp_extract_all("t", F.lit(L.FRAMED_PATTERN), 3).alias("b"))).alias("sub", "m"))
-    framed = framed.select(*keys, (F.lit(-1_000_000_000) + F.col("sub")).alias("ord"),
-                           F.concat(F.col("m.a"), F.lit(".py:"), F.col("m.b")).alias("test_case"),
-                           F.lit("FAILED").alias("status"))
-    verbose_parts = []
-    for i, pat in enumerate(L.VERBOSE_BLOB_PATTERNS):
-        v = blob.where(F.col("rule") == "verbose").select(
-            *keys, F.posexplode(F.regexp_extract_all("t", F.lit(pat), 1)).alias("sub", "test_case"))
-        verbose_parts.append(v.select(
-            *keys, (F.lit(1_000_000_000_000) * (i + 1) + F.col("sub")).alias("ord"),
-            "test_case", F.lit("PASSED").alias("status")))
-    em = line_em.unionByName(framed)
-    for v in verbose_parts:
-        em = em.unionByName(v)
-    return em.groupBy(*keys, "test_case").agg(F.max_by("status", "ord").alias("status"))
+    em = F.transform(L.stage3(F.col("rule"), F.col("line"), F.col("prev_test")),
+                     lambda e, i: F.struct((F.col("pos") * 1000 + i).cast("bigint").alias("ord"),
+                                           e["test"].alias("test"), e["status"].alias("status")))
+    allem = F.concat(em, F.coalesce(F.col("blob"), F.array().cast(
+        "array<struct<ord:bigint,test:string,status:string>>")))
+    ex = staged.select(*keys, F.explode(allem).alias("e"))
+    return ex.groupBy(*keys, F.col("e.test").alias("test_case")).agg(
+        F.max_by(F.col("e.status"), F.col("e.ord")).alias("status"))
 
 
 def status_map(status_rows: DataFrame, keys=("instance_id",), order: str = "line_no") -> DataFrame:

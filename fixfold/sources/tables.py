@@ -14,7 +14,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 # Tables with per-row work heavy enough that every core should get a share.
-SPREAD = ("documents", "pages", "conversations", "lineitem", "orders", "events", "customer")
+SPREAD = ("documents", "pages", "conversations")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
