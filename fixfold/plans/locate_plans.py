@@ -73,10 +73,14 @@ def q_edit_diff(spark, sf):
 
 
 def q_found_files(spark, sf):
+    """P13 + L3 over file-localisation answers: each task's answer lists, inside
+    a fence, its own module, a blank line and five more names."""
     f = A.code_files(spark, sf)
-    answers = f.groupBy("repo").agg(F.concat(F.lit("```\n"), F.array_join(F.array_sort(F.collect_list("path")), "\n"),
-                                             F.lit("\n```")).alias("answer"))
-    return answers.select("repo", F.array_join(LC.top_files(LC.fenced_list(F.col("answer")), 5), ",").alias("files"))
+    others = F.concat_ws("\n", *[F.concat(F.lit(f"pkg{j}/__init__.py")) for j in range(4)])
+    answers = f.select("instance_id", F.concat(F.lit("Files:\n```\n"), F.col("path"), F.lit("\n\n"), others,
+                                                F.lit("\nsetup.py\n```\nDone.")).alias("answer"))
+    return answers.select("instance_id", F.array_join(LC.top_files(LC.fenced_list(F.col("answer")), 5), ",")
+                          .alias("files"))
 
 
 def q_with_content(spark, sf):
@@ -99,7 +103,7 @@ def q_code_skeleton(spark, sf):
 
 def q_skeleton_bundle(spark, sf):
     sk = CD.code_skeleton(A.code_files(spark, sf))
-    return CD.skeleton_bundle(sk.select("repo", "path", "skeleton"), key="repo")
+    return CD.skeleton_bundle(sk.select("instance_id", "path", "skeleton"), key="instance_id")
 
 
 def q_import_edges(spark, sf):
@@ -317,7 +321,11 @@ _EV = ["code_lines", "code_files", "edit_answers"]
 ORACLE["parse_edits"] = with_views(_EV, _EDITS) + "\nSELECT * FROM edits"
 ORACLE["apply_edits"] = with_views(_EV, _EDITS) + "\nSELECT * FROM applied"
 ORACLE["found_files"] = with_views(["code_lines", "code_files"]) + """
-SELECT repo, array_to_string(list_sort(list(path))[1:5], ',') AS files FROM code_files GROUP BY repo"""
+SELECT instance_id, array_to_string(list_filter(string_split(string_split(
+         'Files:' || chr(10) || '```' || chr(10) || path || chr(10) || chr(10) || 'pkg0/__init__.py' || chr(10)
+         || 'pkg1/__init__.py' || chr(10) || 'pkg2/__init__.py' || chr(10) || 'pkg3/__init__.py' || chr(10)
+         || 'setup.py' || chr(10) || '```' || chr(10) || 'Done.', '```')[2], chr(10)), lambda x: x <> '')[1:5], ',') AS files
+FROM code_files"""
 ORACLE["with_content"] = with_views(["code_lines", "code_files"]) + "\nSELECT instance_id, path, text FROM code_files"
 ORACLE["encode_documents"] = with_views(["code_lines", "code_files"]) + \
     "\nSELECT instance_id, path, concat_ws(chr(10), path, text) AS contents FROM code_files"
