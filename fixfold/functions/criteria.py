@@ -27,6 +27,9 @@ MEDIA = rf"(?i){WORD}\.({'|'.join(IMAGE_EXTS + VIDEO_EXTS)})($|{NOT_WORD})"
 # Keywords that close an issue.
 ISSUE_KEYWORDS = ("close", "closes", "closed", "fix", "fixes", "fixed", "resolve", "resolves", "resolved")
 ISSUE_REF = rf"({WORD}+)\s+#(\d+)"
+# The same matches, tried only at word starts (a match never begins inside a word);
+# Java regex reads the look-behind, so Spark skips the in-word retries.
+ISSUE_REF_AT_WORD = rf"(?<!{WORD}){ISSUE_REF}"
 GITLAB_ISSUES = r"https?://gitlab.com/(.*)/issues"
 BARE_REF = r"#(\d+)"
 
@@ -89,7 +92,7 @@ def contains_image(text) -> Column:
 
 def keyword_reference(text) -> Column:
     """F7 (a): ``<word> #n`` where the word is a closing keyword."""
-    words = F.regexp_extract_all(col_(text), F.lit(ISSUE_REF), 1)
+    words = F.regexp_extract_all(col_(text), F.lit(ISSUE_REF_AT_WORD), 1)
     return F.exists(words, lambda w: F.lower(w).isin(*ISSUE_KEYWORDS))
 
 

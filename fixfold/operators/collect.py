@@ -16,6 +16,8 @@ from fixfold.functions.text import PY_WS, col_
 
 COMMENT_BLOCK = r"(?s)<!--.*?-->"
 REF_PAIR = rf"({WORD}+){PY_WS}+#(\d+)"
+# tried only at word starts: the same matches, without retrying inside each word
+REF_PAIR_AT_WORD = rf"(?<!{WORD}){REF_PAIR}"
 
 
 def instance_id(repo, number) -> Column:
@@ -45,8 +47,8 @@ def issue_refs(text, per_word: bool = True) -> Column:
     in order of the word's first appearance ("fixes #1, fixes #2" → [2]);
     otherwise every keyword reference is kept in text order."""
     t = F.regexp_replace(col_(text), COMMENT_BLOCK, "")
-    words = F.regexp_extract_all(t, F.lit(REF_PAIR), 1)
-    nums = F.regexp_extract_all(t, F.lit(REF_PAIR), 2)
+    words = F.regexp_extract_all(t, F.lit(REF_PAIR_AT_WORD), 1)
+    nums = F.regexp_extract_all(t, F.lit(REF_PAIR_AT_WORD), 2)
     pairs = F.arrays_zip(words.alias("w"), nums.alias("n"))
     is_kw = lambda w: F.lower(w).isin(*ISSUE_KEYWORDS)
     if not per_word:
