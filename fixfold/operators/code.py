@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from fixfold.session import ensure_checkpoint_dir
 
 
 def _skeleton(src: str, keep_constant: bool = True) -> str:
