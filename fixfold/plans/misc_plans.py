@@ -222,6 +222,16 @@ def q_revalidate(spark, sf):
                     F.array_join("p2p_new", ",").alias("p2p_new"), "changed_f2p", "changed_p2p")
 
 
+def q_revalidate_no_log(spark, sf):
+    """A23 ``no_log`` class: each configuration of the sweep covers both stand-in
+    repositories (a fourth configuration produced no logs at all); pairs without
+    a log are reported."""
+    inst, st, logs, _ = _reval_inputs(spark, sf)
+    configs = spark.createDataFrame([(c, r) for c in ("c0", "c1", "c2", "c3") for r in ("repo0", "repo1")],
+                                    "config string, repo string")
+    return RV.no_log_pairs(inst, configs, logs).select("config", "instance_id", "status")
+
+
 def q_best_config(spark, sf):
     inst, st, logs, order = _reval_inputs(spark, sf)
     return RV.best_config(RV.revalidate(inst, st, logs), order)
@@ -282,7 +292,7 @@ QUERIES.update({
     "import_error_logs": q_import_error_logs, "extract_ticket": q_extract_ticket,
     "pick_repo_link": q_pick_repo_link, "top_packages": q_top_packages, "parse_issue_url": q_parse_issue_url,
     "issue_text": q_issue_text, "with_columns": q_with_columns, "revalidate": q_revalidate,
-    "best_config": q_best_config, "rebuild_dataset": q_rebuild_dataset, "lost_pairs": q_lost_pairs,
+    "best_config": q_best_config, "revalidate_no_log": q_revalidate_no_log, "rebuild_dataset": q_rebuild_dataset, "lost_pairs": q_lost_pairs,
     "distinct_pairs": q_distinct_pairs, "union_ids": q_union_ids, "restrict_ids": q_restrict_ids,
     "unknown_ids": q_unknown_ids, "drop_missing_text": q_drop_missing_text, "backfill": q_backfill,
 })
@@ -526,3 +536,9 @@ def q_run_inference(spark, sf):
 
 
 QUERIES["run_inference"] = q_run_inference
+
+ORACLE["revalidate_no_log"] = "WITH " + _REVAL.strip() + """
+SELECT c.config, i.instance_id, 'no_log' AS status
+FROM (SELECT * FROM (VALUES ('c0'), ('c1'), ('c2'), ('c3')) AS a(config), (VALUES ('repo0'), ('repo1')) AS b(repo)) c
+JOIN rinst i ON i.repo = c.repo
+WHERE NOT EXISTS (SELECT 1 FROM rlogs l WHERE l.config = c.config AND l.instance_id = i.instance_id)"""
