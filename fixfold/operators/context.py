@@ -59,11 +59,12 @@ def pandas_tokenizer(fn, return_type: str = "array<int>"):
     ``pandas_udf``; the tokenizer object is created once per Python worker."""
     import pandas as pd
 
-    @F.pandas_udf(return_type)
-    def _tok(s: pd.Series) -> pd.Series:
+    def _tok(s):
         return s.map(lambda t: None if t is None else list(fn(t)))
 
-    return _tok
+    # real (not postponed) annotations: they select the Series → Series form
+    _tok.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return F.pandas_udf(_tok, return_type)
 
 
 def pick_readmes(files: DataFrame, group: str = "corpus", path: str = "docid",

@@ -62,3 +62,24 @@ def test_new_file_is_not_modified(spark):
     text = "diff --git a/n.py b/n.py\nnew file mode 100644\n--- /dev/null\n+++ b/n.py\n@@ -0,0 +1 @@\n+x\n"
     _, files, _ = _patch(spark, text)
     assert files.collect()[0]["change"] == "added"
+
+
+def test_named_predicate_cascade(spark):
+    from fixfold.functions import registry as REG
+    from fixfold.operators.curate import cascade_counts
+
+    df = spark.createDataFrame([("a " * 50, "x/y", "+t", "p"), ("short", "x/y", "+t", "p"),
+                                ("b " * 50 + " see http://z", "x/y", "+t", "p")],
+                               "problem_statement string, repo string, test_patch string, patch string")
+    names = ["statement_long_enough", "statement_without_links", "has_tests"]
+    c = cascade_counts(REG.with_predicates(df, names), names).collect()[0]
+    assert (c["n_start"], c["after_statement_long_enough"], c["after_statement_without_links"],
+            c["after_has_tests"]) == (3, 2, 1, 1)
+
+
+def test_custom_tokenizer_registry(spark):
+    from fixfold.functions import registry as REG
+
+    REG.register_tokenizer("chars", fn=lambda t: [ord(ch) for ch in t])
+    df = spark.createDataFrame([("ab",)], "t string")
+    assert df.select(REG.TOKENIZERS["chars"](F.col("t")).alias("x")).collect()[0]["x"] == [97, 98]
