@@ -122,7 +122,10 @@ def span_text(spans: DataFrame, locs: DataFrame, file_lines: DataFrame, key: str
     the way the repair prompt expects."""
     files = locs.where(F.col("file").endswith(".py")).groupBy(key, "file").agg(F.min("loc_pos").alias("first"))
     fl = file_lines.select(key, F.col("path").alias("file"), "line_no", "text")
-    sl = spans.join(fl, [key, "file"]).where((F.col("line_no") >= F.col("start")) & (F.col("line_no") <= F.col("end")))
+    # each span becomes its own line numbers, so the join is an equi-join whose
+    # output is exactly the printed lines (no span × whole-file pairs)
+    each = spans.select("*", F.explode(F.sequence("start", "end")).alias("line_no"))
+    sl = each.join(fl, [key, "file", "line_no"])
     chunk = sl.groupBy(key, "file", "start", "loc_pos", "line_pos", "sub").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]),
                      "\n").alias("t"))
