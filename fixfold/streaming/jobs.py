@@ -1,10 +1,12 @@
 """Structured Streaming forms of the append-and-resume jobs.
 
-Sources are file streams (parquet folders that grow); sinks are written by
-``foreachBatch`` into per-epoch partitions with dynamic partition overwrite,
-so a retried micro-batch replaces its own output instead of duplicating it.
-Every job keeps its offsets and state in a checkpoint folder under the
-cluster's ``spark.checkpoint.dir``.
+Sources are file streams (parquet folders that grow).  Append-style jobs
+(T1, T4, T5 stalls) write each micro-batch through ``foreachBatch`` into its
+own ``epoch=<id>`` partition with dynamic partition overwrite, so a retried
+micro-batch replaces its own output instead of duplicating it; aggregate jobs
+(T2, T3, T5 progress) run in complete mode and each micro-batch overwrites the
+sink with the full snapshot.  Every job keeps its offsets and state in a
+checkpoint folder under the cluster's ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
