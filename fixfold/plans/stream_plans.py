@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fixfold.operators import grading as G
 from fixfold.operators import infer as I
 from fixfold.plans import grade_plans as GP
 from fixfold.plans import misc_plans as MP
@@ -39,10 +38,7 @@ def q_stream_once(spark, sf):
 
 
 def q_stream_status(spark, sf):
-    ap = G.applied_logs(G.with_rule(A.logs(spark, sf), spark)).where(F.col("rule") != "verbose")
-    lines = ap.where(F.col("test_output").isNotNull()).select(
-        "instance_id", "rule", F.posexplode(F.split("test_output", "\n", -1)).alias("pos", "line"))
-    src, schema = _stage(spark, lines, "status-src", ["instance_id", "pos"])
+    src, schema = _stage(spark, A.logs(spark, sf), "status-src", ["instance_id"])
     return S.stream_status(spark, src, schema, S.scratch(spark, "status-out"))
 
 
@@ -80,8 +76,7 @@ QUERIES.update({
 
 ORACLE["stream_once"] = with_views(["attempts"]) + """
 SELECT DISTINCT l_orderkey AS instance_id, 'r' || CAST(l_suppkey % 12 AS VARCHAR) AS run_id FROM lineitem"""
-ORACLE["stream_status"] = with_views(["logs"], GP._PARSE_CTES) + """
-SELECT * FROM parsed WHERE instance_id IN (SELECT instance_id FROM ruled WHERE rule <> 'verbose')"""
+ORACLE["stream_status"] = GP.ORACLE["parse_logs"]
 ORACLE["stream_vote"] = VP.ORACLE["vote_decision"]
 ORACLE["stream_budget"] = MP.ORACLE["within_budget"]
 ORACLE["stream_progress"] = """

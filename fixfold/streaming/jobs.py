@@ -1,10 +1,10 @@
 """Structured Streaming forms of the append-and-resume jobs.
 
 Sources are file streams (parquet folders that grow).  Append-style jobs
-(T1, T4, T5 stalls) write each micro-batch through ``foreachBatch`` into its
+(T1, T2, T4, T5 stalls) write each micro-batch through ``foreachBatch`` into its
 own ``epoch=<id>`` partition with dynamic partition overwrite, so a retried
 micro-batch replaces its own output instead of duplicating it; aggregate jobs
-(T2, T3, T5 progress) run in complete mode and each micro-batch overwrites the
+(T3, T5 progress) run in complete mode and each micro-batch overwrites the
 sink with the full snapshot.  Every job keeps its offsets and state in a
 checkpoint folder under the cluster's ``spark.checkpoint.dir``.
 """
@@ -98,30 +98,25 @@ def stream_snapshot(spark: SparkSession, sdf: DataFrame, out: str, finish=None)
     return spark.read.parquet(out)
 
 
-def stream_status(spark: SparkSession, lines_path: str, schema, out: str) -> DataFrame:
-    """Log lines arrive; each line is parsed on arrival (line-local rules)
-    and the newest emission per (instance, test) wins — a streaming ``max_by``
-    aggregation whose complete snapshot is written after every micro-batch."""
-    from fixfold.functions import logs as L
-
-    s = read_stream(spark, lines_path, schema)
-    staged = s.select("instance_id", "pos", "rule", "line", F.lit(None).cast("string").alias("prev_test"),
-                      *L.stage1(F.col("rule"), F.col("line")))
-    staged = staged.select("*", *L.stage2())
-    em = staged.select("instance_id", "pos", F.posexplode(L.stage3(F.col("rule"), F.col("line"),
-                                                                   F.col("prev_test"))).alias("sub", "em"))
-    em = em.select("instance_id", (F.col("pos") * 1000 + F.col("sub")).alias("ord"),
-                   F.col("em.test").alias("test_case"), F.col("em.status").alias("status"))
-    framed = s.where(F.col("rule") == "framed").select(
-        "instance_id", "pos", F.posexplode(F.arrays_zip(
-            F.regexp_extract_all("line", F.lit(L.FRAMED_PATTERN), 2).alias("a"),
-            F.regexp_extract_all("line", F.lit(L.FRAMED_PATTERN), 3).alias("b"))).alias("sub", "m"))
-    framed = framed.select("instance_id", (F.lit(-1_000_000_000_000) + F.col("pos") * 1000 + F.col("sub")).alias("ord"),
-                           F.concat(F.col("m.a"), F.lit(".py:"), F.col("m.b")).alias("test_case"),
-                           F.lit("FAILED").alias("status"))
-    agg = em.unionByName(framed).groupBy("instance_id", "test_case").agg(
-        F.max_by("status", "ord").alias("status"))
-    return stream_snapshot(spark, agg, out)
+def stream_status(spark: SparkSession, logs_path: str, schema, out: str, keys=("instance_id",)) -> DataFrame:
+    """Evaluation logs arrive as whole files (one row per log); every
+    micro-batch is parsed with the batch parser (all dialects, the verbose
+    runner's carried state and multi-line patterns included) and written to its
+    epoch partition.  A log that arrives again replaces the earlier result: the
+    reader keeps each key's latest epoch."""
+    from fixfold.operators import grading as G
+
+    keys = list(keys)
+    s = read_stream(spark, logs_path, schema)
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        parsed = G.parse_logs(G.applied_logs(G.with_rule(batch, spark)), keys)
+        _epoch_writer(out)(parsed, epoch_id)
+
+    _run(s, write, out + "_ckpt")
+    res = spark.read.parquet(out)
+    latest = res.groupBy(*keys).agg(F.max("epoch").alias("epoch"))
+    return res.join(latest, keys + ["epoch"]).drop("epoch")
 
 
 def stream_vote(spark: SparkSession, attempts_path: str, schema, out: str) -> DataFrame:

@@ -19,3 +19,8 @@ def test_stream_budget_equals_batch(spark):
 def test_stream_once_is_distinct(spark):
     out = entry.queries()["stream_once"](spark, SF)
     assert out.count() == out.distinct().count()
+
+
+def test_stream_status_equals_batch_parse(spark):
+    q = entry.queries()
+    assert rows(q["stream_status"](spark, SF)) == rows(q["parse_logs"](spark, SF))
