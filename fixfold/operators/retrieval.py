@@ -42,27 +42,30 @@ def bm25_index(docs: DataFrame, corpus: str = "corpus", docid: str = "docid",
     """Postings, document lengths and term statistics for all corpora.
 
     The corpus is tokenized once: the postings are written as a parquet table
-    in the shared ``spark.checkpoint.dir`` folder and document lengths,
-    corpus statistics and document frequencies are aggregates of that table,
-    so every later use reads the index instead of re-tokenizing the corpus."""
+    in the shared ``spark.checkpoint.dir`` folder, document lengths, corpus
+    statistics and term statistics are aggregates of that table and are written
+    next to it, so every later use reads the index instead of recomputing it."""
+    spark = docs.sparkSession
     postings = docs.select(corpus, docid, F.explode(terms(F.col(contents))).alias("term")) \
         .groupBy(corpus, "term", docid).agg(F.count(F.lit(1)).alias("tf"))
+    base = None
     if materialize:
         from fixfold.streaming.jobs import scratch
 
-        path = scratch(docs.sparkSession, "bm25-postings")
-        postings.write.mode("overwrite").parquet(path)
-        postings = docs.sparkSession.read.parquet(path)
+        base = scratch(spark, "bm25-index")
+        postings.write.mode("overwrite").parquet(f"{base}/postings")
+        postings = spark.read.parquet(f"{base}/postings")
     doc_len = postings.groupBy(corpus, docid).agg(F.sum("tf").alias("dl"))
     corpus_stats = doc_len.groupBy(corpus).agg(F.count(F.lit(1)).alias("n_docs"),
                                                F.avg("dl").alias("avgdl"))
-    # per term: document frequency and the largest tf-part any document gives it
-    # (at the default k1, b) — the exact bound the pruned search relies on
-    tfn = postings.join(doc_len, [corpus, docid]).join(corpus_stats, corpus).select(
-        corpus, "term", (F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("tfn"))
-    term_stats = tfn.groupBy(corpus, "term").agg(F.count(F.lit(1)).alias("df"), F.max("tfn").alias("max_tfn")) \
+    term_stats = postings.groupBy(corpus, "term").agg(F.count(F.lit(1)).alias("df")) \
         .join(corpus_stats, corpus) \
         .withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    if materialize:
+        for name, df in (("doc_len", doc_len), ("corpus_stats", corpus_stats), ("term_stats", term_stats)):
+            df.write.mode("overwrite").parquet(f"{base}/{name}")
+        doc_len, corpus_stats, term_stats = (spark.read.parquet(f"{base}/{n}")
+                                             for n in ("doc_len", "corpus_stats", "term_stats"))
     return {"postings": postings, "doc_len": doc_len, "corpus_stats": corpus_stats,
             "term_stats": term_stats}
 
@@ -106,8 +109,8 @@ def bm25_search(index: dict[str, DataFrame], queries: DataFrame, k: int = 20,
        their full scores are computed from (candidate, query term) lookups;
     2. a document holding only common terms scores at most
        Σ qtf·idf·(k1+1)·max_tfn over the common terms (``max_tfn`` = the largest
-       tf-part the term reaches in any document, kept in the index; < 1 for
-       other k1/b); when the k-th candidate score is above that bound, the
+       tf-part the term reaches in any document, an aggregate over that term's
+       postings); when the k-th candidate score is above that bound, the
        candidates' top k is the answer;
     3. queries where the bound does not hold are scored exhaustively.
 
@@ -124,11 +127,18 @@ def bm25_search(index: dict[str, DataFrame], queries: DataFrame, k: int = 20,
     if common_share is None:
         return _top(_scored(q, index, qid, corpus, k1, b), qid, k).select(qid, "rank", "docid", "score")
 
-    ts = index["term_stats"].select(corpus, "term", "df", "n_docs", "idf", "avgdl", "max_tfn")
+    ts = index["term_stats"].select(corpus, "term", "df", "n_docs", "idf", "avgdl")
     qs = q.join(ts, [corpus, "term"]).withColumn("common", F.col("df") > F.col("n_docs") * common_share)
     est = qs.where("common").agg(F.sum("df")).first()[0] or 0
     if est <= prune_above:
         return _top(_scored(q, index, qid, corpus, k1, b), qid, k).select(qid, "rank", "docid", "score")
+    # the largest tf-part each common query term reaches in any document
+    common_terms = qs.where("common").select(corpus, "term").distinct()
+    tfn = index["postings"].join(common_terms, [corpus, "term"], "left_semi") \
+        .join(index["doc_len"], [corpus, "docid"]).join(index["corpus_stats"], corpus) \
+        .groupBy(corpus, "term").agg(F.max(F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
+                                     .alias("max_tfn"))
+    qs = qs.join(tfn, [corpus, "term"], "left")
     # 1. candidates from the uncommon terms, then their exact scores
     cand = qs.where(~F.col("common")).select(qid, corpus, "term") \
         .join(index["postings"].select(corpus, "term", "docid"), [corpus, "term"]).select(qid, corpus, "docid").distinct()
@@ -137,8 +147,7 @@ def bm25_search(index: dict[str, DataFrame], queries: DataFrame, k: int = 20,
     exact = triples.join(p, [corpus, "term", "docid"]).groupBy(qid, "docid").agg(F.sum(_part(k1, b)).alias("score"))
     top = _top(exact, qid, k)
     # 2. the bound for documents holding only common terms
-    tf_bound = F.col("max_tfn") if (k1, b) == (K1, B) else F.lit(1.0)
-    bound = qs.groupBy(qid).agg(F.sum(F.when(F.col("common"), F.col("qtf") * F.col("idf") * (k1 + 1) * tf_bound)
+    bound = qs.groupBy(qid).agg(F.sum(F.when(F.col("common"), F.col("qtf") * F.col("idf") * (k1 + 1) * F.col("max_tfn"))
                                       .otherwise(F.lit(0.0))).alias("ub"))
     kth = top.groupBy(qid).agg(F.count(F.lit(1)).alias("n"), F.min(F.round("score", 9)).alias("kth"))
     # strict: a document at the bound could tie the k-th score
