@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
-import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -68,16 +66,10 @@ def map_rows(df: DataFrame, columns: list[str], make, fields: list[tuple[str, st
     return df.mapInArrow(run, schema)
 
 
-def joined_spans(spans: Iterable[tuple[str, int, int]]) -> str:
-    return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
-
-
-def sha256_hex(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
-
-
-def crc32(text: str) -> int:
-    return zlib.crc32(text.encode())
+def span_list(spans: Column) -> Column:
+    """``kind:start:end`` of an array of span structs, comma-joined in its order."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(
+        ":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
 def free_name(taken: Iterable[str], wanted: str) -> str:

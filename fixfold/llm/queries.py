@@ -5,8 +5,9 @@ from __future__ import annotations
 import functools
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fixfold.llm import common, packing
+from fixfold.llm import common, packing, secret_scan
 
 
 def tokenizer():
@@ -22,8 +23,20 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.documents(spark, sf_dir), tokenizer())
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents: counts and digest of the base findings, and all spans."""
+    found = secret_scan.scan_documents(common.documents(spark, sf_dir).select("doc_id", "text"))
+    base = F.filter("secret_spans", lambda x: x["base"])
+    count = lambda kind: F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{k}") for k in secret_scan.KINDS],
+        F.sha2(common.span_list(base), 256).alias("base_sha256"),
+        common.span_list(F.col("secret_spans")).alias("spans"))
+
+
 QUERIES = {
     "op3_packing": op3_packing,
+    "op5_secrets": op5_secrets,
 }
 
 #: Queries that SQL can express.
