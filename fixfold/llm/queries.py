@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fixfold.llm import common, packing, secret_scan
+from fixfold.llm import common, language_id, packing, secret_scan
 
 
 def tokenizer():
@@ -34,9 +34,19 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         common.span_list(F.col("secret_spans")).alias("spans"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the text and lang of those outside fold 1 of 3."""
+    docs = common.documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held_out = common.fold_of(F.col("doc_id"), 3) == 1
+    model = language_id.fit(docs.where(~held_out))
+    return language_id.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 QUERIES = {
     "op3_packing": op3_packing,
     "op5_secrets": op5_secrets,
+    "op10_language": op10_language,
 }
 
 #: Queries that SQL can express.
