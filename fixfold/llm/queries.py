@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fixfold.llm import common, language_id, packing, secret_scan
+from fixfold.llm import common, language_id, packing, quality_rules, secret_scan
 
 
 def tokenizer():
@@ -34,6 +34,18 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         common.span_list(F.col("secret_spans")).alias("spans"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document, against references of all documents."""
+    docs = common.documents(spark, sf_dir)
+    measured = common.checkpointed(docs.select(
+        "doc_id", "lang", quality_rules.features(F.col("text")).alias("features")))  # no texts
+    judged = quality_rules.judged(measured, quality_rules.fit_references(measured), result_col="r")
+    return judged.select("doc_id", "r.n_words", "r.word_chars", "r.n_symbols", "r.n_dup_lines",
+                         "r.n_repeat_words", "r.base_failed", "r.kept",
+                         F.round("r.class_distance", 4).alias("class_distance"),
+                         F.round("r.word_distance", 4).alias("word_distance"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the text and lang of those outside fold 1 of 3."""
     docs = common.documents(spark, sf_dir).select("doc_id", "text", "lang")
@@ -46,6 +58,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_packing": op3_packing,
     "op5_secrets": op5_secrets,
+    "op8_quality_rules": op8_quality_rules,
     "op10_language": op10_language,
 }
 
