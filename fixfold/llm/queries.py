@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fixfold.llm import common, language_id, packing, quality_rules, secret_scan
+from fixfold.llm import common, language_id, packing, quality_rules, secret_scan, toxicity
 
 
 def tokenizer():
@@ -23,6 +23,20 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.documents(spark, sf_dir), tokenizer())
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.ToxicityModel:
+    """Learned from the labels outside fold 0 of 5 and the texts of ``docs``."""
+    labels = common.table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    return toxicity.fit(docs.select("doc_id", "text"), labels.where(common.fold_of(F.col("doc_id"), 5) != 0))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = common.documents(spark, sf_dir).select("doc_id", "text")
+    scored = toxicity.score_documents(docs, toxicity_model(spark, sf_dir, docs), score_col="score")
+    return scored.select("doc_id", (common.fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents: counts and digest of the base findings, and all spans."""
     found = secret_scan.scan_documents(common.documents(spark, sf_dir).select("doc_id", "text"))
@@ -57,6 +71,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_packing": op3_packing,
+    "op4_toxicity": op4_toxicity,
     "op5_secrets": op5_secrets,
     "op8_quality_rules": op8_quality_rules,
     "op10_language": op10_language,
