@@ -182,20 +182,32 @@ def corpus_trigrams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def _word_table(sample: DataFrame) -> DataFrame:
-    """(word, toxic texts, other texts) over the sample."""
+    """(word, a, b) over the sample: toxic texts, and other texts.
+
+    Near copies of one toxic text repeat its words in the same places, so ``a``
+    is at most the number of different words that stand before the word.
+    """
     def run(batches):
-        toxic, clean = Counter(), Counter()
+        toxic, clean, before = Counter(), Counter(), set()
         for b in batches:
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found = {w for t in set((text or "").lower().split()) for w in words_of(t, lambda _: "")}
+                tokens = (text or "").lower().split()
+                of = {t: words_of(t, lambda _: "") for t in set(tokens)}
+                found = {w for words in of.values() for w in words}
                 (toxic if label else clean).update(found)
-        words = sorted(set(toxic) | set(clean))
+                if label:
+                    before.update((w, prev) for prev, t in zip(["", *tokens], tokens) for w in of[t])
+        words, pairs = sorted(set(toxic) | set(clean)), sorted(before)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(words, type=pa.string()), pa.array([toxic[w] for w in words], type=pa.int64()),
-             pa.array([clean[w] for w in words], type=pa.int64())], names=["word", "a", "b"])
+            [pa.array(words + [w for w, _ in pairs], type=pa.string()),
+             pa.array([None] * len(words) + [x for _, x in pairs], type=pa.string()),
+             pa.array([toxic[w] for w in words] + [1] * len(pairs), type=pa.int64()),
+             pa.array([clean[w] for w in words] + [0] * len(pairs), type=pa.int64())],
+            names=["word", "prev", "a", "b"])
 
-    return sample.select("text", "label").mapInArrow(run, "word string, a long, b long").groupBy("word").agg(
-        F.sum("a").alias("a"), F.sum("b").alias("b"))
+    rows = sample.select("text", "label").mapInArrow(run, "word string, prev string, a long, b long")
+    return rows.groupBy("word", "prev").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).groupBy("word").agg(
+        F.least(F.max(F.when(F.col("prev").isNull(), F.col("a"))), F.count("prev")).alias("a"), F.sum("b").alias("b"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 25) -> tuple[np.ndarray, float]:
@@ -241,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
     gain = a * F.log(a / (n1 * (a + b) / (n1 + n0))) + b * F.log(b / (n0 * (a + b) / (n1 + n0)))
     table = _word_table(sample).where((F.col("a") >= 3) & (F.length("word") > 1) & (a * n0 > 3 * b * n1)).withColumn("gain", gain)
-    words = [r["word"] for r in table.where("gain > 6").orderBy(F.desc("gain"), "word").limit(max_words).collect()]
+    words = [r["word"] for r in table.where("gain > 10").orderBy(F.desc("gain"), "word").limit(max_words).collect()]
     learned = sum((trigram_counts(w) for w in words), np.zeros(_SIZE ** 3, dtype=np.int64))
     mixed = counts / max(1, counts.sum()) + learned / max(1, learned.sum())
     model = ToxicityModel(dict.fromkeys(words, 0.0), 0.0,
