@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fixfold.llm import common, language_id, packing, quality_rules, secret_scan, toxicity
+from fixfold.llm import common, language_id, packing, quality_model, quality_rules, secret_scan, toxicity
 
 
 def tokenizer():
@@ -48,6 +48,16 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         common.span_list(F.col("secret_spans")).alias("spans"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from the labels outside fold 0 of 5."""
+    docs = common.documents(spark, sf_dir).select("doc_id", "text")
+    labels = common.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = quality_model.fit(docs, labels.where(common.fold_of(F.col("doc_id"), 5) != 0))
+    scored = quality_model.score_documents(docs, model, score_col="score")
+    return scored.select("doc_id", (common.fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document, against references of all documents."""
     docs = common.documents(spark, sf_dir)
@@ -73,6 +83,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
     "op5_secrets": op5_secrets,
+    "op7_quality": op7_quality,
     "op8_quality_rules": op8_quality_rules,
     "op10_language": op10_language,
 }
