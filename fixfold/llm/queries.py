@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fixfold.llm import common, language_id, packing, quality_model, quality_rules, secret_scan, toxicity
+from fixfold.llm import common, language_id, packing, pii, quality_model, quality_rules, secret_scan, toxicity
 
 
 def tokenizer():
@@ -37,15 +37,25 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def span_digest(found: DataFrame, spans: str, kinds: tuple[str, ...]) -> DataFrame:
+    """Per document: counts and digest of the base findings, and all spans."""
+    base = F.filter(spans, lambda x: x["base"])
+    count = lambda kind: F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long")
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in kinds],
+                        F.sha2(common.span_list(base), 256).alias("base_sha256"),
+                        common.span_list(F.col(spans)).alias("spans"))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents: counts and digest of the base findings, and all spans."""
+    docs = common.documents(spark, sf_dir).select("doc_id", "text")
+    return span_digest(pii.scan_documents(docs, pii.fit(docs)), "pii_spans", pii.KINDS)
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents: counts and digest of the base findings, and all spans."""
     found = secret_scan.scan_documents(common.documents(spark, sf_dir).select("doc_id", "text"))
-    base = F.filter("secret_spans", lambda x: x["base"])
-    count = lambda kind: F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long")
-    return found.select(
-        "doc_id", *[count(k).alias(f"n_{k}") for k in secret_scan.KINDS],
-        F.sha2(common.span_list(base), 256).alias("base_sha256"),
-        common.span_list(F.col("secret_spans")).alias("spans"))
+    return span_digest(found, "secret_spans", secret_scan.KINDS)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +90,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_pii": op2_pii,
     "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
     "op5_secrets": op5_secrets,
