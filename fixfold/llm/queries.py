@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fixfold.llm import common, language_id, packing, pii, quality_model, quality_rules, secret_scan, toxicity
+from fixfold.llm import common, language_id, packing, pii, quality_model, quality_rules, secret_scan, sentencepiece_fst, toxicity
 
 
 def tokenizer():
@@ -58,6 +58,14 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(found, "secret_spans", secret_scan.KINDS)
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document, encoded and decoded: their number, the ids' checksum, and whether the text came back."""
+    import public_tokenizers as P
+
+    docs = common.documents(spark, sf_dir).select("doc_id", "text")
+    return sentencepiece_fst.round_trip(docs, str(P.path("piece_bpe_32k.model"))).drop("text")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from the labels outside fold 0 of 5."""
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
@@ -94,6 +102,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
     "op5_secrets": op5_secrets,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_quality": op7_quality,
     "op8_quality_rules": op8_quality_rules,
     "op10_language": op10_language,
