@@ -34,7 +34,8 @@ from fixfold.llm.common import map_rows
 MARK = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _UNIGRAM, _BPE = 1, 2
-_LETTER_END = re.compile(r"[^\W\d_][\W\d_]")
+_LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+_LETTER_END = re.compile(f"[{_LATIN}][^{_LATIN}]")
 _INFINITY = float("inf")
 #: What an unknown character costs beyond the worst piece of a unigram model.
 _UNKNOWN_PENALTY = 10.0
@@ -105,11 +106,11 @@ class Transducer:
             raise ValueError("pieces that go on beyond a word mark are not supported")
         inside = {c for p in self.ids if len(p) > 1 for c in p}
         alone = "".join(c for c in "\n\r\t" if c not in inside)  # never part of a longer piece
-        other = f"(?:(?![{MARK}{alone}])[\\W\\d_])"  # neither letter nor mark
+        other = f"[^{_LATIN}{MARK}{alone}]"
         if any(_LETTER_END.search(p) for p in self.ids):
             stretch = f"{MARK}*[^{MARK}{alone}]+"
         else:  # no piece goes on after a word's last letter
-            stretch = f"{MARK}*{other}*[^\\W\\d_]+|{MARK}*{other}+"
+            stretch = f"{MARK}*{other}*[{_LATIN}]+|{MARK}*{other}+"
         self.stretch = re.compile(f"{stretch}|{MARK}+" + (f"|[{alone}]" if alone else ""))
         self.texts = [b"" if kind == _CONTROL else b" \xe2\x81\x87 " if kind == _UNKNOWN
                       else bytes([int(p[3:5], 16)]) if kind == _BYTE else p.replace(MARK, " ").encode()
