@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fixfold.llm import common, language_id, packing, pii, quality_model, quality_rules, secret_scan, sentencepiece_fst, toxicity
+from fixfold.llm import common, embed_dedup, language_id, near_dedup, packing, pii, quality_model, quality_rules, secret_scan, sentencepiece_fst, toxicity
 
 
 def tokenizer():
@@ -37,6 +37,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose five-word shingles agree at 0.85 or more, as components."""
+    return near_dedup.near_duplicates(common.documents(spark, sf_dir).select("doc_id", "text"), percent=85)
+
+
 def span_digest(found: DataFrame, spans: str, kinds: tuple[str, ...]) -> DataFrame:
     """Per document: counts and digest of the base findings, and all spans."""
     base = F.filter(spans, lambda x: x["base"])
@@ -88,6 +93,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.round("r.word_distance", 4).alias("word_distance"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings with a cosine of 0.9 or more, as link counts and components."""
+    return embed_dedup.near_duplicates(common.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the text and lang of those outside fold 1 of 3."""
     docs = common.documents(spark, sf_dir).select("doc_id", "text", "lang")
@@ -98,6 +108,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_pii": op2_pii,
     "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
@@ -105,6 +116,7 @@ QUERIES = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_quality": op7_quality,
     "op8_quality_rules": op8_quality_rules,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_language": op10_language,
 }
 
