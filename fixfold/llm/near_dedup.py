@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fixfold.llm.common import checkpointed
+from fixfold.llm.common import checkpointed, free_name
 from fixfold.llm.components import connected_components
 
 _NIBBLES = np.array([((x & 15) > 0) + ((x >> 4) > 0) for x in range(256)], dtype=np.uint8)
@@ -393,3 +393,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.unionByName(alone).select(
         F.col("id").alias(id_col), "n_shingles", "component_id",
         F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """One row of each near-duplicate component of ``docs`` (its smallest id), columns unchanged.
+
+    Texts without words are linked with nothing and stay.  Of repeated rows of
+    an id, the one whose text has the smallest hash stays; rows with a null id
+    all stay.
+    """
+    kept = near_duplicates(docs, id_col, text_col, percent).where(F.col("kept") & F.col(id_col).isNotNull())
+    rank = free_name(docs.columns, "rank")
+    first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
+    rows = docs.join(kept.select(id_col).distinct(), id_col, "left_semi").withColumn(rank, first)
+    return rows.where(F.col(rank) == 1).drop(rank).unionByName(docs.where(F.col(id_col).isNull()))
