@@ -21,8 +21,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fixfold.llm.common import free_name
-
 #: The ASCII white space that ends words.
 BLANKS = r"\x20\x09-\x0D"
 #: Frequent function words of English, German, French and Spanish.
@@ -182,12 +180,13 @@ def fit_references(measured: DataFrame, lang_col: str = "lang", features_col: st
     What comes to the driver is one row per language, at most ``max_languages``
     (the most frequent ones).  Texts without a word are left out.
     """
+    # no filter on the features: it would be pushed below them and compute them twice
     f = F.col(features_col)
-    rows = measured.where(F.col(lang_col).isNotNull() & (f["n_words"] > 0)).select(
-        F.col(lang_col).alias("lang"), f["classes"].alias("c"), f["words"].alias("w"))
-    bins = ([F.percentile_approx(F.col("c")[k], 0.5, 200).alias(f"c{k}") for k in range(CLASS_BINS)]
-            + [F.percentile_approx(F.col("w")[k], 0.5, 200).alias(f"w{k}") for k in range(WORD_BINS)])
-    found = rows.groupBy("lang").agg(F.count("*").alias("n"), *bins).orderBy(F.desc("n"), "lang").limit(max_languages)
+    rows = measured.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), _let(f, lambda x: F.when(
+        x["n_words"] > 0, F.struct(x["classes"].alias("c"), x["words"].alias("w")))).alias("f"))
+    bins = ([F.percentile_approx(F.col("f.c")[k], 0.5, 200).alias(f"c{k}") for k in range(CLASS_BINS)]
+            + [F.percentile_approx(F.col("f.w")[k], 0.5, 200).alias(f"w{k}") for k in range(WORD_BINS)])
+    found = rows.groupBy("lang").agg(F.count("f").alias("n"), *bins).where("n > 0").orderBy(F.desc("n"), "lang").limit(max_languages)
 
     def shares(r, key, n):
         x = [max(0.0, r[f"{key}{k}"]) for k in range(n)]
@@ -225,34 +224,44 @@ def verdict(m: Column, min_words: int = 50, max_repeat: float = 0.5, class_limit
     return failed, ~failed & classes_ok & words_ok
 
 
-def judged(measured: DataFrame, references: References, features_col: str = "features",
-           result_col: str = "quality_rules", **limits) -> DataFrame:
-    """``measured`` with a struct column: the base counts, distances, ``base_failed`` and ``kept``."""
-    f, raw = F.col(features_col), free_name(measured.columns, "with_distances")
-    by_class, by_word = distances(f, references)
-    out = measured.withColumn(raw, F.struct(
-        *[f[c] for c in ("n_words", "chars", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-        by_class.alias("class_distance"), by_word.alias("word_distance")))
-    failed, kept = verdict(F.col(raw), **limits)
-    return out.withColumn(result_col, F.struct(f"{raw}.*", failed.alias("base_failed"), kept.alias("kept"))).drop(raw)
+def judgement(f: Column, references: References, **limits) -> Column:
+    """Struct of the base counts, distances, ``base_failed`` and ``kept`` of a ``features`` struct.
+
+    Every part is bound once, so the expression may stand in a filter as well.
+    """
+    counts = ("n_words", "chars", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    distant = ("class_distance", "word_distance")
+
+    def of(x):
+        found = F.struct(*[x[c].alias(c) for c in counts], *[d.alias(n) for d, n in zip(distances(x, references), distant)])
+
+        def on(m):
+            failed, kept = verdict(m, **limits)
+            return F.struct(*[m[c].alias(c) for c in (*counts, *distant)], failed.alias("base_failed"), kept.alias("kept"))
+        return _let(found, on)
+    return _let(f, of)
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
           result_col: str = "quality_rules", **limits) -> DataFrame:
-    """``docs`` with the struct column of ``judged``, against references from all of ``docs``.
+    """``docs`` with the struct column of ``judgement``, against references from all of ``docs``.
 
     Two passes over the texts (shares for the references, then the verdicts)
     and no shuffle of rows.  Null and empty texts: no words, so ``base_failed``.
     Texts of any length are judged whole.  Repeated rows: each its own verdict.
     Empty table: empty.  Without any language only the base rules count.
     """
-    name = free_name(docs.columns, "features")
-    shares = docs.select(F.col(lang_col).alias("lang"), features(F.col(text_col), counts=False).alias("features"))
-    measured = docs.withColumn(name, features(F.col(text_col)))
-    return judged(measured, fit_references(shares), name, result_col, **limits).drop(name)
+    references = corpus_references(docs, text_col, lang_col)
+    return docs.withColumn(result_col, judgement(features(F.col(text_col)), references, **limits))
+
+
+def corpus_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> References:
+    """``fit_references`` over the texts themselves."""
+    return fit_references(docs.select(
+        F.col(lang_col).alias("lang"), features(F.col(text_col), counts=False).alias("features")))
 
 
 def keep_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", **limits) -> DataFrame:
     """The rows of ``docs`` that the rules keep, columns unchanged."""
-    name = free_name(docs.columns, "verdict")
-    return judge(docs, text_col, lang_col, name, **limits).where(F.col(name)["kept"]).drop(name)
+    references = corpus_references(docs, text_col, lang_col)
+    return docs.where(judgement(features(F.col(text_col)), references, **limits)["kept"])

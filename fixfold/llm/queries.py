@@ -86,7 +86,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     measured = common.checkpointed(docs.select(
         "doc_id", "lang", quality_rules.features(F.col("text")).alias("features")))  # no texts
-    judged = quality_rules.judged(measured, quality_rules.fit_references(measured), result_col="r")
+    references = quality_rules.fit_references(measured)
+    judged = measured.select("doc_id", quality_rules.judgement(F.col("features"), references).alias("r"))
     return judged.select("doc_id", "r.n_words", "r.word_chars", "r.n_symbols", "r.n_dup_lines",
                          "r.n_repeat_words", "r.base_failed", "r.kept",
                          F.round("r.class_distance", 4).alias("class_distance"),
