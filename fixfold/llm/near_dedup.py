@@ -162,20 +162,20 @@ def _distance(one: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 def _span(n: int, near) -> list[tuple[int, int]]:
-    """Edges that connect each component of ``n`` items; ``near(i, rest)`` marks the neighbours of i in rest.
+    """(first, other) for the other items of each component of ``n`` items; ``near(i, rest)`` marks the neighbours of i in rest.
 
     Only items that are not yet reached are compared with, so one dense group
     costs one comparison for each of its items.
     """
     rest, edges = np.arange(n), []
     while len(rest) > 1:
-        work, rest = [int(rest[0])], rest[1:]
+        first, rest = int(rest[0]), rest[1:]
+        work = [first]
         while work and len(rest):
-            i = work.pop()
-            hit = near(i, rest)
+            hit = near(work.pop(), rest)
             if hit.any():
                 found = rest[hit].tolist()
-                edges += [(i, j) for j in found]
+                edges += [(first, j) for j in found]
                 work += found
                 rest = rest[~hit]
     return edges
@@ -224,7 +224,7 @@ def candidate_edges(signed: DataFrame, index: Index, whole_run: int = 20_000) ->
     confirmed later, so the answer is the same.
     """
     kind = signed.schema["id"].dataType
-    rows = signed.select("id", "sig", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key")
+    rows = signed.select("id", "sig", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key", "id")
 
     def run(batches):
         for t in _runs(batches, ["key"]):
@@ -332,34 +332,38 @@ def link_components(rows: DataFrame, percent: int, size: int, block_rows: int) -
     if large.isEmpty():
         return connected_components(edges)
 
-    def labelled():
-        found = connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("label"))
-        return large.join(found, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    # each row was in one block, whose links all start at the smallest id of the linked rows: its label so far
+    first = edges.select(F.col("b").alias("id"), F.col("a").alias("label")).distinct()
+    large = checkpointed(large.join(first, "id", "left").withColumn("label", F.coalesce("label", "id")))
 
     # one row of each block's largest label: these connect the bulk of the blocks, level by level
-    sizes = labelled().groupBy("component", "block", "label").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    sizes = large.groupBy("component", "block", "label").agg(F.count("*").alias("n"))
     best = F.row_number().over(Window.partitionBy("component", "block").orderBy(F.desc("n"), "label"))
-    heads = sizes.withColumn("best", best).where("best = 1").select("component", "id", F.col("block").alias("of"))
-    heads = checkpointed(large.drop("block", "blocks").join(heads, ["component", "id"]))
+    heads = sizes.withColumn("best", best).where("best = 1").select(
+        "component", F.col("label").alias("id"), F.col("block").alias("of"))
+    heads = checkpointed(large.select("component", "id", "text").join(heads, ["component", "id"]).dropDuplicates(["component", "id"]))
+    labels = large.select("component", "id", "label", "block", "blocks", "text")
     while True:
         level = heads.withColumn("block", F.floor(F.col("of") / block_rows).cast("int"))
-        edges = checkpointed(edges.unionByName(_confirmed(
-            level.select("component", "block", "id", label, "text"), percent, size)))
+        links = checkpointed(_confirmed(level.select("component", "block", "id", label, "text"), percent, size))
+        edges = edges.unionByName(links)
+        higher = links.select(F.col("b").alias("label"), F.col("a").alias("higher")).distinct()
+        labels = labels.join(higher, "label", "left").withColumn("label", F.coalesce("higher", "label")).drop("higher")
         if level.agg(F.max("block")).first()[0] == 0:
             break
+        joined = level.join(higher.withColumnRenamed("label", "id"), "id", "left_anti")  # those that no other one took over
         best = F.row_number().over(Window.partitionBy("component", "block").orderBy("id"))
-        heads = checkpointed(level.withColumn("best", best).where("best = 1").select(
+        heads = checkpointed(joined.withColumn("best", best).where("best = 1").select(
             "component", "id", "text", F.col("block").alias("of")))
 
     # what is outside the component's largest label goes to all of its blocks
-    second = checkpointed(labelled())
-    sizes = second.groupBy("component", "label").agg(F.count("*").alias("n"))
+    labels = checkpointed(labels)
+    sizes = labels.groupBy("component", "label").agg(F.count("*").alias("n"))
     best = F.row_number().over(Window.partitionBy("component").orderBy(F.desc("n"), "label"))
     main = sizes.withColumn("best", best).where("best = 1").select("component", F.col("label").alias("main"))
-    second = second.join(main, "component")
-    others = second.where("label != main")
-    sent = others.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = second.where("label = main").select("component", "block", "id", "label", "text").unionByName(
+    labels = labels.join(main, "component")
+    sent = labels.where("label != main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = labels.where("label = main").select("component", "block", "id", "label", "text").unionByName(
         sent.select("component", "block", "id", "label", "text"))
     return connected_components(edges.unionByName(_confirmed(dealt, percent, size)))
 
