@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from fixfold.functions.paths import NON_TEST_EXTS
 from fixfold.functions.text import col_
@@ -19,7 +20,7 @@ FALSE_WORDS = ("no", "false", "f", "n", "0")
 def test_directives(test_patch, repo) -> Column:
     """P10: changed files after ``diff --git a/.. b/`` minus non-test suffixes; for
     the module-style repository ``tests/x/y.py`` becomes ``x.y``."""
-    files = F.regexp_extract_all(col_(test_patch), F.lit(r"diff --git a/.* b/(.*)"), 1)
+    files = F.regexp_extract_all(col_(test_patch), F.lit(r"(?d)diff --git a/.* b/(.*)"), 1)
 
     def keep(d):
         c = F.lit(True)
@@ -33,9 +34,13 @@ def test_directives(test_patch, repo) -> Column:
     return F.when(col_(repo) == MODULE_STYLE_REPO, dotted).otherwise(kept)
 
 
-def json_list(col) -> Column:
-    """A JSON-encoded list of strings (or NULL) as ``array<string>``."""
-    return F.from_json(col_(col), "array<string>")
+def json_list(col, of: DataFrame | None = None) -> Column:
+    """A JSON-encoded list of strings (or NULL) as ``array<string>``; with
+    ``of`` (the frame the column is in) a column that holds lists is taken as it is."""
+    c = col_(col)
+    if of is not None and isinstance(of.select(c).schema[0].dataType, ArrayType):
+        return c.cast("array<string>")
+    return F.from_json(c, "array<string>")
 
 
 def fingerprint(col, n: int = 22) -> Column:
@@ -53,7 +58,7 @@ def to_bool(col) -> Column:
 
 def rename_env(col, name) -> Column:
     """Replace every line starting with ``name:`` by ``name: <name>``."""
-    return F.regexp_replace(col_(col), r"(?m)^name:.*$", F.concat(F.lit("name: "), col_(name)))
+    return F.regexp_replace(col_(col), r"(?dm)^name:.*$", F.concat(F.lit("name: "), col_(name)))
 
 
 def effective_commit(setup="environment_setup_commit", base="base_commit") -> Column:

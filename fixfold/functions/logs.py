@@ -113,7 +113,7 @@ def _strip_suffix(s: Column, suffix: str) -> Column:
     (found as the first occurrence of the reversed suffix in the reversed text)."""
     rs = F.reverse(s)
     at = F.instr(rs, suffix[::-1])
-    return F.when(at > 0, F.reverse(F.substr(rs, at + len(suffix), F.lit(1 << 30)))).otherwise(s)
+    return F.when(at > 0, F.reverse(F.substr(rs, at + len(suffix)))).otherwise(s)
 
 
 def verbose_prev_marker(line: Column) -> Column:
@@ -144,7 +144,7 @@ def stage2() -> list[Column]:
     cut = F.when(s.endswith("[FAIL]") | s.endswith("[OK]"),
                  strip(F.regexp_replace(s, r"\[[^\[]*$", ""))).otherwise(s)
     special = s.startswith(DJANGO_SPECIAL_PREFIX)
-    after_first = F.substr(s, F.instr(s, "...") + 3, F.lit(1 << 30))
+    after_first = F.substr(s, F.instr(s, "...") + 3)
     return [
         starts_with_status(pre).alias("sw"),
         ends_with_status(pre).alias("ew"),

@@ -154,7 +154,7 @@ def import_edges(files: DataFrame, key: str = "instance_id", path: str = "path",
     return first.join(py, [key, "dir"]).select(key, "src", "dst").distinct()
 
 
-def reachable(edges: DataFrame, roots: DataFrame, max_rounds: int = 1000, compact_every: int = 8) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, compact_every: int = 8) -> DataFrame:
     """(root, node) for every node reachable from a root (the root itself
     included), cycle-safe.  Breadth-first: the frontier joins the edges, new
     nodes are those not yet visited (anti-join); the loop stops when the
@@ -172,7 +172,9 @@ def reachable(edges: DataFrame, roots: DataFrame, max_rounds: int = 1000, compac
     roots.select(F.col("root"), F.col("root").alias("node")).distinct().write.parquet(f"{base}/r0")
     frontier = spark.read.parquet(f"{base}/r0")
     visited = frontier
-    for i in range(1, max_rounds + 1):
+    i = 0
+    while True:
+        i += 1
         nxt = frontier.join(e, "node").select("root", F.col("dst").alias("node")).distinct() \
             .join(visited, ["root", "node"], "left_anti")
         nxt.write.parquet(f"{base}/r{i}")

@@ -83,9 +83,10 @@ def pack_context(hits: DataFrame, sizes: DataFrame, base: DataFrame, budget: int
                  key: str = "qid") -> DataFrame:
     """Walk each instance's hits in rank order and keep a file when the
     running total plus its size stays *below* the budget; otherwise skip it and
-    go on.  ``sizes`` (docid, size) per file, ``base`` (key, base) per instance.
+    go on.  ``sizes`` ([corpus,] docid, size) per file (a path occurs in many corpora), ``base`` (key, base) per instance.
     Returns (key, files array<string> in rank order, total)."""
-    h = hits.join(sizes, ["docid"] + ([c for c in sizes.columns if c == key])).select(
+    same = [c for c in ("corpus", key, "docid") if c in hits.columns and c in sizes.columns]
+    h = hits.join(sizes, same).select(
         key, F.struct("rank", "docid", "size").alias("x"))
     arr = h.groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("xs"))
     j = base.join(arr, key, "left").withColumn("xs", F.coalesce("xs", F.array().cast(arr.schema["xs"].dataType)))

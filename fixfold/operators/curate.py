@@ -50,7 +50,7 @@ def references_issue(instances: DataFrame, issues: DataFrame, key: str = "instan
     t = F.col(text)
     direct = instances.select(key, (C.keyword_reference(t) | C.gitlab_reference(t)).alias("d"))
     bare = instances.select(key, "repo", F.explode(C.bare_references(t)).alias("n")) \
-        .select(key, "repo", F.col("n").cast("long").alias("number"))
+        .select(key, "repo", F.col("n").try_cast("long").alias("number"))
     known = issues.select("repo", "number").distinct()
     hit = bare.join(known, ["repo", "number"], "left_semi").select(key).distinct() \
         .withColumn("b", F.lit(True))

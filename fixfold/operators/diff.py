@@ -1,9 +1,7 @@
 """Unified-diff jobs: explode, classify, split, renumber, minimise.
 
-A patch is parsed as a *line table*: ``posexplode`` its lines, number the files
-and hunks with running counts of header lines (a window over one patch's
-lines — bounded by the patch, never by the table), then aggregate per hunk and
-per file.  Nothing is parsed twice: every diff-based predicate reads the same
+A patch is one row: a fold over its lines numbers the files and hunks inside the
+row, the lines are exploded from there, then aggregated per hunk and per file.  Nothing is parsed twice: every diff-based predicate reads the same
 hunk/file tables.
 """
 
@@ -18,33 +16,59 @@ DEV_NULL = "/dev/null"
 HUNK_HEADER = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 
 
+def _parse(patch: Column) -> Column:
+    """One struct (line, file_idx, hunk_idx, kind) per line, by a fold over the lines of the row.
+
+    The fold carries what the open hunk still has to come on either side.  In a
+    patch without ``diff --git`` lines, ``--- `` opens a file only if ``+++ ``
+    follows and no hunk is open: inside a hunk it is a removed line."""
+    lines = F.split(patch, "\n", -1)
+    pairs = F.transform(lines, lambda x, i: F.struct(x.alias("line"), F.coalesce(F.get(lines, i + 1), F.lit("")).alias("next")))
+    has_git = patch.rlike(r"(?m)^diff --git ")
+    kinds = "array<struct<line:string,file_idx:bigint,hunk_idx:bigint,kind:string>>"
+    zero = F.lit(0).cast("long")
+    init = F.struct(zero.alias("file"), zero.alias("hunk"), zero.alias("src"), zero.alias("tgt"),
+                    F.array().cast(kinds).alias("out"))
+
+    def length(line, group):
+        n = F.regexp_extract(line, HUNK_HEADER, group)
+        start = F.regexp_extract(line, HUNK_HEADER, group - 1)
+        return F.when(n != "", F.coalesce(n.try_cast("long"), zero)).when(start != "", F.lit(1).cast("long")).otherwise(zero)
+
+    def step(acc, x):
+        line = x["line"]
+        opened = (acc["src"] > 0) | (acc["tgt"] > 0)
+        starts = F.when(has_git, line.startswith("diff --git ")).otherwise(
+            line.startswith("--- ") & x["next"].startswith("+++ ") & ~opened)
+        is_hunk = line.startswith("@@ ")
+        hunk = F.when(starts, zero).when(is_hunk, acc["hunk"] + 1).otherwise(acc["hunk"])
+        file = F.when(starts, acc["file"] + 1).otherwise(acc["file"])
+        first = F.substring(line, 1, 1)
+        src = F.when(starts, zero).when(is_hunk, length(line, 2)).when(
+            first.isin("+", "\\"), acc["src"]).otherwise(F.greatest(acc["src"] - 1, zero))
+        tgt = F.when(starts, zero).when(is_hunk, length(line, 4)).when(
+            first.isin("-", "\\"), acc["tgt"]).otherwise(F.greatest(acc["tgt"] - 1, zero))
+        kind = (F.when(hunk == 0, F.lit("header")).when(is_hunk, F.lit("hunk")).when(first == "+", F.lit("added"))
+                .when(first == "-", F.lit("removed")).when(first == " ", F.lit("context")).otherwise(F.lit("other")))
+        row = F.struct(line.alias("line"), file.alias("file_idx"), hunk.alias("hunk_idx"), kind.alias("kind"))
+        return F.struct(file.alias("file"), hunk.alias("hunk"), src.alias("src"), tgt.alias("tgt"),
+                        F.array_append(acc["out"], row).alias("out"))
+
+    return F.aggregate(pairs, init, step, lambda acc: acc["out"])
+
+
 def patch_lines(df: DataFrame, keys, patch: str = "patch") -> DataFrame:
     """X1 (line level): (keys, pos, line, file_idx, hunk_idx, kind).
 
-    ``kind`` is one of: header, hunk, added, removed, context, other.
-    A file starts at ``diff --git``; a patch without such lines starts files
-    at ``--- ``.  A hunk starts at ``@@``; lines before the first hunk of a
-    file are its header."""
+    ``kind`` is one of: header, hunk, added, removed, context, other.  A file
+    starts at ``diff --git``; a patch without such lines starts files at
+    ``--- `` followed by ``+++ `` outside of a hunk.  A hunk starts at ``@@``;
+    lines before the first hunk of a file are its header.  Each patch is parsed
+    in its own row: no shuffle."""
     keys = list(keys)
-    base = df.select(*keys, F.col(patch).alias("_p")).where(F.col("_p").isNotNull())
-    base = base.withColumn("_has_git", F.col("_p").rlike(r"(?m)^diff --git "))
-    lines = base.select(*keys, "_has_git",
-                        F.posexplode(F.split(F.col("_p"), "\n", -1)).alias("pos", "line"))
-    file_start = F.when(F.col("_has_git"), F.col("line").startswith("diff --git "))\
-        .otherwise(F.col("line").startswith("--- "))
-    w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("file_idx", F.sum(file_start.cast("int")).over(w))
-    wf = Window.partitionBy(*keys, "file_idx").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    is_hunk = F.col("line").startswith("@@ ")
-    lines = lines.withColumn("hunk_idx", F.sum(is_hunk.cast("int")).over(wf))
-    first = F.substring(F.col("line"), 1, 1)
-    kind = (F.when(F.col("hunk_idx") == 0, F.lit("header"))
-            .when(is_hunk, F.lit("hunk"))
-            .when(first == "+", F.lit("added"))
-            .when(first == "-", F.lit("removed"))
-            .when(first == " ", F.lit("context"))
-            .otherwise(F.lit("other")))
-    return lines.select(*keys, "pos", "line", "file_idx", "hunk_idx", kind.alias("kind"))
+    base = df.where(F.col(patch).isNotNull())
+    lines = base.select(*keys, F.posexplode(_parse(F.col(patch))).alias("pos", "_l"))
+    return lines.select(*keys, "pos", "_l.line", "_l.file_idx", "_l.hunk_idx", "_l.kind")
 
 
 def patch_hunks(lines: DataFrame, keys) -> DataFrame:
@@ -62,7 +86,7 @@ def patch_hunks(lines: DataFrame, keys) -> DataFrame:
 
     def num(i, default=None):
         g = F.regexp_extract(F.col("header"), HUNK_HEADER, i)
-        v = F.when(g != "", g.cast("long"))
+        v = F.when(g != "", g.try_cast("long"))
         return F.coalesce(v, F.lit(default)) if default is not None else v
 
     return agg.select(*keys, "file_idx", "hunk_idx",
@@ -79,9 +103,9 @@ def patch_files(lines: DataFrame, keys) -> DataFrame:
     line = F.col("line")
     hdr = F.col("kind") == "header"
     src = F.max(F.when(hdr & line.startswith("--- "),
-                       F.regexp_replace(F.substring(line, 5, 1 << 20), r"^a/", "")))
+                       F.regexp_replace(F.substr(line, F.lit(5)), r"^a/", "")))
     tgt = F.max(F.when(hdr & line.startswith("+++ "),
-                       F.regexp_replace(F.substring(line, 5, 1 << 20), r"^b/", "")))
+                       F.regexp_replace(F.substr(line, F.lit(5)), r"^b/", "")))
     git = F.max(F.when(hdr & line.startswith("diff --git "), line))
     agg = f.groupBy(*keys, "file_idx").agg(
         src.alias("source"), tgt.alias("target"), git.alias("git_line"),
@@ -131,7 +155,13 @@ def max_hunks(n: int = 3) -> Column:
 
 def modified_files(patch) -> Column:
     """Paths after ``--- a/`` in order of appearance, distinct."""
-    return F.array_distinct(F.regexp_extract_all(col_(patch), F.lit(r"(?m)^--- a/(.*)$"), 1))
+    return F.array_distinct(F.regexp_extract_all(col_(patch), F.lit(r"(?dm)^--- a/(.*)$"), 1))
+
+
+def oracle_files(patch) -> Column:
+    """Source files of a patch, sorted and distinct, without ``a/``; a new file has none."""
+    src = F.regexp_extract_all(col_(patch), F.lit(r"(?dm)^--- (?:a/)?(.*)$"), 1)
+    return F.array_sort(F.array_distinct(F.filter(src, lambda x: x != DEV_NULL)))
 
 
 def split_patch(lines: DataFrame, files: DataFrame, keys, rule=None) -> DataFrame:
@@ -183,7 +213,7 @@ def _hunk_arrays(lines: DataFrame, keys) -> DataFrame:
     hdr = l.where(F.col("kind") == "hunk").select(
         *keys, "file_idx", "hunk_idx", F.col("pos").alias("hpos"),
         F.regexp_extract("line", FULL_HUNK, 1).alias("a"), F.regexp_extract("line", FULL_HUNK, 5).alias("rest"))
-    hdr = hdr.where(F.col("a") != "").withColumn("a", F.col("a").cast("long"))
+    hdr = hdr.withColumn("a", F.col("a").try_cast("long")).where(F.col("a").isNotNull())
     b = body.groupBy(*keys, "file_idx", "hunk_idx").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]).alias("body"))
     return hdr.join(b, keys + ["file_idx", "hunk_idx"], "left").withColumn(
@@ -219,8 +249,8 @@ def repair_patch(lines: DataFrame, keys) -> DataFrame:
     (keys, repaired)."""
     keys = list(keys)
     h = _hunk_arrays(lines, keys)
-    # counts use the body without the empty line that separates hunks
-    ctx, add, sub = _counts(F.col("body"))
+    # counted on the body as text without its outer newlines (blank lines between files are no context)
+    ctx, add, sub = _counts(F.split(F.regexp_replace(F.array_join("body", "\n"), r"^\n+|\n+$", ""), "\n", -1))
     h = h.withColumn("pre_len", ctx + sub).withColumn("post_len", ctx + add)
     wf = Window.partitionBy(*keys, "file_idx").orderBy("hunk_idx").rowsBetween(Window.unboundedPreceding, -1)
     h = h.withColumn("post", F.col("a") + F.coalesce(F.sum(F.col("post_len") - F.col("pre_len")).over(wf), F.lit(0)))

@@ -36,7 +36,7 @@ def clean_requirements(reqs: DataFrame, key: str = "instance_id", main: str = "r
     m = lines.where(F.col("file") == main)
     inc = m.where(strip(F.col("line")).startswith("-r")).select(
         key, F.col("pos").alias("inc_pos"),
-        strip(F.substring(strip(F.col("line")), 3, 1 << 20)).alias("file"))
+        strip(F.substr(strip(F.col("line")), F.lit(3))).alias("file"))
     extra = inc.join(lines.where(~_excluded(F.col("line"))), [key, "file"]).select(
         key, F.struct("inc_pos", "pos", "line").alias("x"))
     own = m.where(~strip(F.col("line")).startswith("-r") & ~_excluded(F.col("line"))).select(

@@ -40,15 +40,19 @@ def repo_of(instance_id) -> "F.Column":
 
 
 def rules_table(spark) -> DataFrame:
-    """J8 dimension repo → parser rule (a fixed literal table: safe to broadcast)."""
-    return spark.createDataFrame(sorted(L.REPO_RULES.items()), "repo string, rule string")
+    """J8 dimension repo → parser rule: the fixed table and what was registered (U4)."""
+    from fixfold.functions.registry import rules_frame
 
+    return rules_frame(spark)
 
-def with_rule(logs: DataFrame, spark=None) -> DataFrame:
-    """Attach the parser rule of each log's repository (broadcast lookup)."""
+
+def with_rule(logs: DataFrame, spark=None, rules: DataFrame | None = None) -> DataFrame:
+    """Attach the parser rule of each log's repository (broadcast lookup);
+    ``rules`` (repo, rule) defaults to the registered ones (U4)."""
     spark = spark or logs.sparkSession
+    rules = rules_table(spark) if rules is None else rules
     df = logs if "repo" in logs.columns else logs.withColumn("repo", repo_of("instance_id"))
-    return df.join(F.broadcast(rules_table(spark)), "repo", "left")
+    return df.join(rules, "repo", "left")
 
 
 def applied_logs(logs: DataFrame, content: str = "content") -> DataFrame:
@@ -70,8 +74,8 @@ def _blob_emissions(rule, text):
     et = "array<struct<ord:bigint,test:string,status:string>>"
     empty = F.array().cast(et)
     framed = F.transform(
-        F.arrays_zip(F.regexp_extract_all(text, F.lit(L.FRAMED_PATTERN), 2).alias("a"),
-                     F.regexp_extract_all(text, F.lit(L.FRAMED_PATTERN), 3).alias("b")),
+        F.arrays_zip(F.regexp_extract_all(text, F.lit("(?d)" + L.FRAMED_PATTERN), 2).alias("a"),
+                     F.regexp_extract_all(text, F.lit("(?d)" + L.FRAMED_PATTERN), 3).alias("b")),
         lambda m, i: F.struct((F.lit(-1_000_000_000) + i).cast("bigint").alias("ord"),
                               F.concat(m["a"], F.lit(".py:"), m["b"]).alias("test"),
                               F.lit("FAILED").alias("status")))
@@ -79,7 +83,7 @@ def _blob_emissions(rule, text):
         return lambda x, i: F.struct((F.lit(base) + i).cast("bigint").alias("ord"), x.alias("test"),
                                      F.lit("PASSED").alias("status"))
 
-    verbose = [F.transform(F.regexp_extract_all(text, F.lit(p), 1), passed_at(1_000_000_000_000 * (k + 1)))
+    verbose = [F.transform(F.regexp_extract_all(text, F.lit("(?d)" + p), 1), passed_at(1_000_000_000_000 * (k + 1)))
                for k, p in enumerate(L.VERBOSE_BLOB_PATTERNS)]
     return (F.when(rule == "framed", framed.cast(et))
             .when(rule == "verbose", F.concat(*verbose).cast(et))
@@ -93,29 +97,29 @@ def parse_logs(logs: DataFrame, keys=("instance_id",), text: str = "test_output"
     One pass over each log: the whole-log matches are computed on the log row,
     its lines are exploded once (the verbose rule's carried test name is a
     window over one log's lines), each line's emissions get an order
-    (position, index in the line), the whole-log matches ride on line 0, and a
-    single explode feeds ``max_by(status, order)`` per (log, test).
+    (position, index in the line), the whole-log matches have orders of their
+    own before or after all lines, and the union feeds ``max_by(status, order)`` per (log, test).
     """
     keys = list(keys)
     base = logs.where(F.col(text).isNotNull()).select(
         *keys, F.col(rule).alias("rule"), _blob_emissions(F.col(rule), F.col(text)).alias("blob"),
         F.col(text).alias("_t"))
-    lines = base.select(*keys, "rule", "blob", F.posexplode(F.split(F.col("_t"), "\n", -1)).alias("pos", "line"))
-    lines = lines.withColumn("blob", F.when(F.col("pos") == 0, F.col("blob")))
-    # verbose rule: the test of the latest " ... " line so far (window over one log's lines)
+    verbose = F.coalesce(F.col("rule") == "verbose", F.lit(False))
+    exploded = F.posexplode(F.split(F.col("_t"), "\n", -1)).alias("pos", "line")
+    # verbose rule: the test of the latest " ... " line so far (window over one log's lines);
+    # the lines of all other rules need no neighbours, so they are not shuffled
     w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    prev = F.when(F.col("rule") == "verbose",
-                  F.last(L.verbose_prev_marker(F.col("line")), ignorenulls=True).over(w))
-    lines = lines.withColumn("prev_test", prev)
-    staged = lines.select(*keys, "pos", "rule", "line", "prev_test", "blob",
+    carried = base.where(verbose).select(*keys, "rule", exploded).withColumn(
+        "prev_test", F.last(L.verbose_prev_marker(F.col("line")), ignorenulls=True).over(w))
+    plain = base.where(~verbose).select(*keys, "rule", exploded).withColumn("prev_test", F.lit(None).cast("string"))
+    lines = carried.unionByName(plain)
+    staged = lines.select(*keys, "pos", "rule", "line", "prev_test",
                           *L.stage1(F.col("rule"), F.col("line")))
     staged = staged.select("*", *L.stage2())
     em = F.transform(L.stage3(F.col("rule"), F.col("line"), F.col("prev_test")),
                      lambda e, i: F.struct((F.col("pos") * 1000 + i).cast("bigint").alias("ord"),
                                            e["test"].alias("test"), e["status"].alias("status")))
-    allem = F.concat(em, F.coalesce(F.col("blob"), F.array().cast(
-        "array<struct<ord:bigint,test:string,status:string>>")))
-    ex = staged.select(*keys, F.explode(allem).alias("e"))
+    ex = staged.select(*keys, F.explode(em).alias("e")).unionByName(base.select(*keys, F.explode("blob").alias("e")))
     return ex.groupBy(*keys, F.col("e.test").alias("test_case")).agg(
         F.max_by(F.col("e.status"), F.col("e.ord")).alias("status"))
 
@@ -187,24 +191,24 @@ def instance_reports(predictions: DataFrame, logs: DataFrame, expected: DataFram
     the log gate (F28), ``resolved`` = applied and FULL; test lists per
     category and outcome.  Statuses only count for applied logs."""
     keys = list(keys)
-    gate = logs.select(*keys, "applied")
-    preds = predictions.select(*keys, "model_patch")
-    base = preds.join(gate, keys, "inner")
-    applied_ids = base.where(F.col("applied") & F.col("model_patch").isNotNull()).select(*keys)
-    graded = grade_tests(expected.join(applied_ids, keys, "left_semi"),
-                         statuses, keys, to_fail)
-    res = resolution(test_rates(graded, applied_ids, keys))
-    lists = _test_lists(graded, keys)
-    out = (base.join(res, keys, "left").join(lists, keys, "left")
-           .select(*keys,
-                   F.col("model_patch").isNull().alias("patch_is_null"),
-                   F.col("model_patch").isNotNull().alias("patch_exists"),
-                   (F.col("model_patch").isNotNull() & F.col("applied")).alias("patch_applied"),
-                   F.coalesce((F.col("model_patch").isNotNull() & F.col("applied")
-                               & (F.col("resolution") == FULL)), F.lit(False)).alias("resolved"),
-                   *[F.coalesce(F.col(f"{n}_{o}"), F.array().cast("array<string>")).alias(f"{n}_{o}")
-                     for n in ("f2p", "p2p", "f2f", "p2f") for o in ("success", "failure")]))
-    return out
+    names = [f"{n}_{o}" for n in ("f2p", "p2p", "f2f", "p2f") for o in ("success", "failure")]
+    lists = _test_lists(grade_tests(expected, statuses, keys, to_fail), keys)
+    base = predictions.select(*keys, "model_patch").join(logs.select(*keys, "applied"), keys)
+    j = base.join(lists, keys, "left")
+    has_patch = F.col("model_patch").isNotNull()
+    counted = has_patch & F.coalesce(F.col("applied"), F.lit(False))
+    none = F.array().cast("array<string>")
+    lists_ = {n: F.when(counted, F.coalesce(F.col(n), none)).otherwise(none) for n in names}
+
+    def rate(n):
+        s, f = F.size(lists_[f"{n}_success"]), F.size(lists_[f"{n}_failure"])
+        return F.when(s + f == 0, F.lit(1.0)).otherwise(s / (s + f))
+
+    # both rates 1 is RESOLVED_FULL
+    return j.select(*keys, (~has_patch).alias("patch_is_null"), has_patch.alias("patch_exists"),
+                    (has_patch & F.col("applied")).alias("patch_applied"),
+                    (counted & (rate("f2p") == 1) & (rate("p2p") == 1)).alias("resolved"),
+                    *[lists_[n].alias(n) for n in names])
 
 
 def run_report(dataset: DataFrame, predictions: DataFrame, reports: DataFrame,

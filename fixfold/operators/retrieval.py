@@ -1,18 +1,17 @@
 """BM25 retrieval and its evaluation.
 
-Index: one table of postings for every corpus at once —
-(corpus, term, docid, tf) with per-document lengths and per-term document
-frequencies.  ``write_index`` stores it partitioned by corpus, so a search
-that touches some corpora prunes the others at the scan.
-
-Search: the distinct terms of each query (R3 keeps the first ``max_terms``)
-join the postings on (corpus, term); scores are summed per (query, doc); the
-top k per query come from a ``row_number() <= k`` filter, which Spark plans
-as a partial group limit before the shuffle, so a query with millions of
-candidate documents never sits whole in one task.  Terms that occur in a
-large share of a corpus are not joined exhaustively: an exact upper bound on
-what they can add decides when the other terms' candidates already hold the
-top k (see ``bm25_search``).
+Index: one postings table for every corpus at once — (corpus, term, salt,
+docid, tf, dl, idf, avgdl), written bucketed and sorted by (corpus, term,
+salt).  Everything a score needs is in the posting, so a search joins its few
+query terms with the buckets and the postings themselves are never shuffled.
+``salt`` is a hash of the document: the postings of a term that occurs in most
+documents lie in ``SALTS`` buckets instead of one.
+
+Search: the distinct terms of each query join the postings on (corpus, term,
+salt); scores are summed per (query, doc); the top k per query come from a
+``row_number() <= k`` filter, which Spark plans as a partial group limit before
+the shuffle, so a query with millions of candidate documents never sits whole
+in one task.  There is one plan for all sizes and no cap on terms.
 
 The analyser is a documented lower-case word tokenizer (``[\\p{L}\\p{N}_]+``),
 so scores are this library's BM25 (k1=0.9, b=0.4, idf = ln(1 + (N-df+0.5)/(df+0.5))),
@@ -37,37 +36,46 @@ def terms(text) -> Column:
     return F.regexp_extract_all(F.lower(col_(text)), F.lit(TOKEN), 0)
 
 
+#: Buckets over which the postings of one term are spread.
+SALTS = 8
+
+
+def _salt(docid: str) -> Column:
+    return F.pmod(F.xxhash64(docid), F.lit(SALTS)).cast("int")
+
+
 def bm25_index(docs: DataFrame, corpus: str = "corpus", docid: str = "docid",
-               contents: str = "contents", materialize: bool = True) -> dict[str, DataFrame]:
-    """Postings, document lengths and term statistics for all corpora.
+               contents: str = "contents", buckets: int | None = None) -> dict[str, DataFrame]:
+    """``postings``, ``corpus_stats`` and ``term_stats`` for all corpora.
+
+    The corpus is tokenized once; term frequencies are written, the statistics
+    are aggregates of that table, and the final postings carry them along.  The
+    tables lie in the shared ``spark.checkpoint.dir`` folder; every later use
+    reads them."""
+    from fixfold.streaming.jobs import scratch
 
-    The corpus is tokenized once: the postings are written as a parquet table
-    in the shared ``spark.checkpoint.dir`` folder, document lengths, corpus
-    statistics and term statistics are aggregates of that table and are written
-    next to it, so every later use reads the index instead of recomputing it."""
     spark = docs.sparkSession
-    postings = docs.select(corpus, docid, F.explode(terms(F.col(contents))).alias("term")) \
-        .groupBy(corpus, "term", docid).agg(F.count(F.lit(1)).alias("tf"))
-    base = None
-    if materialize:
-        from fixfold.streaming.jobs import scratch
-
-        base = scratch(spark, "bm25-index")
-        postings.write.mode("overwrite").parquet(f"{base}/postings")
-        postings = spark.read.parquet(f"{base}/postings")
-    doc_len = postings.groupBy(corpus, docid).agg(F.sum("tf").alias("dl"))
-    corpus_stats = doc_len.groupBy(corpus).agg(F.count(F.lit(1)).alias("n_docs"),
-                                               F.avg("dl").alias("avgdl"))
-    term_stats = postings.groupBy(corpus, "term").agg(F.count(F.lit(1)).alias("df")) \
-        .join(corpus_stats, corpus) \
-        .withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    if materialize:
-        for name, df in (("doc_len", doc_len), ("corpus_stats", corpus_stats), ("term_stats", term_stats)):
-            df.write.mode("overwrite").parquet(f"{base}/{name}")
-        doc_len, corpus_stats, term_stats = (spark.read.parquet(f"{base}/{n}")
-                                             for n in ("doc_len", "corpus_stats", "term_stats"))
-    return {"postings": postings, "doc_len": doc_len, "corpus_stats": corpus_stats,
-            "term_stats": term_stats}
+    base = scratch(spark, "bm25-index")
+    toks = docs.select(corpus, docid, terms(F.col(contents)).alias("t"))
+    toks.select(corpus, docid, F.size("t").alias("dl"), F.explode("t").alias("term")) \
+        .groupBy(corpus, docid, "dl", "term").agg(F.count(F.lit(1)).alias("tf")) \
+        .write.parquet(f"{base}/frequencies")
+    freq = spark.read.parquet(f"{base}/frequencies")
+    doc_len = freq.select(corpus, docid, "dl").distinct()
+    doc_len.groupBy(corpus).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")) \
+        .write.parquet(f"{base}/corpus_stats")
+    corpus_stats = spark.read.parquet(f"{base}/corpus_stats")
+    freq.groupBy(corpus, "term").agg(F.count(F.lit(1)).alias("df")).join(corpus_stats, corpus) \
+        .withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))) \
+        .write.parquet(f"{base}/term_stats")
+    term_stats = spark.read.parquet(f"{base}/term_stats")
+    key = [corpus, "term", "salt"]
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = "bm25_" + base.rsplit("-", 1)[1]
+    (freq.join(term_stats.select(corpus, "term", "idf", "avgdl"), [corpus, "term"])
+     .withColumn("salt", _salt(docid)).repartition(n, *key)
+     .write.bucketBy(n, *key).sortBy(*key).option("path", f"{base}/postings").saveAsTable(table))
+    return {"postings": spark.table(table), "corpus_stats": corpus_stats, "term_stats": term_stats}
 
 
 def truncate_query(text, max_terms: int | None = None) -> Column:
@@ -76,93 +84,35 @@ def truncate_query(text, max_terms: int | None = None) -> Column:
     return t if max_terms is None else F.slice(t, 1, max_terms)
 
 
-def _scored(q: DataFrame, index: dict[str, DataFrame], qid: str, corpus: str, k1: float, b: float) -> DataFrame:
-    """Exhaustive scores of the query terms ``q`` (qid, corpus, term, qtf)."""
-    p = index["postings"].join(index["doc_len"], [corpus, "docid"])
-    ts = index["term_stats"].select(corpus, "term", "idf", "avgdl")
-    j = q.join(ts, [corpus, "term"]).join(p, [corpus, "term"])
-    return j.groupBy(qid, "docid").agg(F.sum(_part(k1, b)).alias("score"))
-
-
 def _part(k1: float, b: float):
     tf = F.col("tf")
     return F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
 
 
-def _top(scores: DataFrame, qid: str, k: int) -> DataFrame:
-    # ranks on the score rounded to 9 places so float summation order cannot flip ties
-    w = Window.partitionBy(qid).orderBy(F.desc(F.round("score", 9)), "docid")
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def bm25_search(index: dict[str, DataFrame], queries: DataFrame, k: int = 20,
-                max_terms: int | None = 1024, qid: str = "qid", corpus: str = "corpus",
-                text: str = "query", k1: float = K1, b: float = B,
-                common_share: float | None = 0.05, prune_above: int = 20_000_000) -> DataFrame:
-    """R2: (qid, rank, docid, score) — the k best documents of the query's corpus.
-
-    Common terms (in more than ``common_share`` of a corpus's documents) have
-    postings in most documents, so joining them exhaustively costs
-    queries × documents.  The search is exact without that join:
-
-    1. candidates = documents holding at least one of the query's other terms;
-       their full scores are computed from (candidate, query term) lookups;
-    2. a document holding only common terms scores at most
-       Σ qtf·idf·(k1+1)·max_tfn over the common terms (``max_tfn`` = the largest
-       tf-part the term reaches in any document, an aggregate over that term's
-       postings); when the k-th candidate score is above that bound, the
-       candidates' top k is the answer;
-    3. queries where the bound does not hold are scored exhaustively.
-
-    The pruned plan pays off when common-term postings dominate; one
-    aggregate (a single number read on the driver) estimates the postings an
-    exhaustive plan would join for common terms, and the pruned plan is used
-    only above ``prune_above``.  ``common_share=None`` always scores
-    exhaustively."""
-    q = queries.select(qid, corpus, F.explode(truncate_query(F.col(text), max_terms)).alias("term"))
+                max_terms: int | None = None, qid: str = "qid", corpus: str = "corpus",
+                text: str = "query", k1: float = K1, b: float = B) -> DataFrame:
+    """R2: (qid, corpus, rank, docid, score) — the k best documents of the query's corpus.
+
+    All query terms count; ``max_terms`` is the explicit truncation of R3."""
+    toks = queries.select(qid, corpus, terms(F.col(text)).alias("t"),
+                          truncate_query(F.col(text), max_terms).alias("kept"))
     # query term frequencies count every use of a kept term
-    qtf = queries.select(qid, F.explode(terms(F.col(text))).alias("term")) \
-        .groupBy(qid, "term").agg(F.count(F.lit(1)).alias("qtf"))
-    q = q.join(qtf, [qid, "term"])
-    if common_share is None:
-        return _top(_scored(q, index, qid, corpus, k1, b), qid, k).select(qid, "rank", "docid", "score")
-
-    ts = index["term_stats"].select(corpus, "term", "df", "n_docs", "idf", "avgdl")
-    qs = q.join(ts, [corpus, "term"]).withColumn("common", F.col("df") > F.col("n_docs") * common_share)
-    est = qs.where("common").agg(F.sum("df")).first()[0] or 0
-    if est <= prune_above:
-        return _top(_scored(q, index, qid, corpus, k1, b), qid, k).select(qid, "rank", "docid", "score")
-    # the largest tf-part each common query term reaches in any document
-    common_terms = qs.where("common").select(corpus, "term").distinct()
-    tfn = index["postings"].join(common_terms, [corpus, "term"], "left_semi") \
-        .join(index["doc_len"], [corpus, "docid"]).join(index["corpus_stats"], corpus) \
-        .groupBy(corpus, "term").agg(F.max(F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
-                                     .alias("max_tfn"))
-    qs = qs.join(tfn, [corpus, "term"], "left")
-    # 1. candidates from the uncommon terms, then their exact scores
-    cand = qs.where(~F.col("common")).select(qid, corpus, "term") \
-        .join(index["postings"].select(corpus, "term", "docid"), [corpus, "term"]).select(qid, corpus, "docid").distinct()
-    triples = cand.join(qs.select(qid, "term", "qtf", "idf", "avgdl"), qid)
-    p = index["postings"].join(index["doc_len"], [corpus, "docid"])
-    exact = triples.join(p, [corpus, "term", "docid"]).groupBy(qid, "docid").agg(F.sum(_part(k1, b)).alias("score"))
-    top = _top(exact, qid, k)
-    # 2. the bound for documents holding only common terms
-    bound = qs.groupBy(qid).agg(F.sum(F.when(F.col("common"), F.col("qtf") * F.col("idf") * (k1 + 1) * F.col("max_tfn"))
-                                      .otherwise(F.lit(0.0))).alias("ub"))
-    kth = top.groupBy(qid).agg(F.count(F.lit(1)).alias("n"), F.min(F.round("score", 9)).alias("kth"))
-    # strict: a document at the bound could tie the k-th score
-    ok = bound.join(kth, qid, "left").where(
-        (F.col("ub") == 0) | ((F.col("n") == k) & (F.col("kth") > F.round(F.col("ub"), 9)))).select(qid)
-    # 3. exhaustive scoring only for the queries the bound does not settle
-    rest = q.join(ok, qid, "left_anti")
-    fallback = _top(_scored(rest, index, qid, corpus, k1, b), qid, k)
-    return top.join(ok, qid, "left_semi").unionByName(fallback).select(qid, "rank", "docid", "score")
+    q = toks.select(qid, corpus, "kept", F.explode("t").alias("term")).where(F.array_contains("kept", F.col("term"))) \
+        .groupBy(qid, corpus, "term").agg(F.count(F.lit(1)).alias("qtf"))
+    q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    scores = q.join(index["postings"], [corpus, "term", "salt"]).groupBy(qid, corpus, "docid").agg(
+        F.sum(_part(k1, b)).alias("score"))
+    # ranks on the score rounded to 9 places so float summation order cannot flip ties
+    w = Window.partitionBy(qid).orderBy(F.desc(F.round("score", 9)), "docid")
+    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
+        .select(qid, corpus, "rank", "docid", "score")
 
 
 def search_all(index: dict[str, DataFrame], queries: DataFrame, k: int = 20,
                qid: str = "qid", corpus: str = "corpus", text: str = "query") -> tuple[DataFrame, DataFrame]:
     """Hits for the queries whose corpus is indexed, and the skipped queries."""
-    known = index["postings"].select(corpus).distinct()
+    known = index["corpus_stats"].select(corpus)
     ok = queries.join(known, corpus, "left_semi")
     skipped = queries.join(known, corpus, "left_anti").select(qid, corpus)
     return bm25_search(index, ok, k, qid=qid, corpus=corpus, text=text), skipped
@@ -181,16 +131,16 @@ def recall_metrics(retrieved: DataFrame, gold: DataFrame, key: str = "qid",
     """Mean recall, share with any gold file, share with all gold files.
     Instances without gold or without retrieved files are skipped; a leading
     README (first retrieved file) is not counted."""
-    first = retrieved.groupBy(key).agg(F.min(rank).alias("_first"))
-    r = retrieved.join(first, key).where(
-        ~((F.col(rank) == F.col("_first")) & F.lower(F.col(docid)).contains(README_PREFIX)))
-    r = r.select(key, docid).distinct()
-    g = gold.select(key, docid).distinct()
-    g_n = g.groupBy(key).agg(F.count(F.lit(1)).alias("n_gold"))
-    r_n = r.groupBy(key).agg(F.count(F.lit(1)).alias("n_ret"))
-    hit = r.join(g, [key, docid]).groupBy(key).agg(F.count(F.lit(1)).alias("n_hit"))
-    per = g_n.join(r_n, key).join(hit, key, "left") \
-        .select(key, (F.coalesce("n_hit", F.lit(0)) / F.col("n_gold")).alias("recall"))
+    # rank of the first file rides along, so the retrieved rows are read once
+    w = Window.partitionBy(key).orderBy(rank)
+    r = retrieved.withColumn("_first", F.row_number().over(w) == 1).where(
+        ~(F.col("_first") & F.lower(F.col(docid)).contains(README_PREFIX)))
+    r = r.select(key, docid).distinct().withColumn("_r", F.lit(1))
+    g = gold.select(key, docid).distinct().withColumn("_g", F.lit(1))
+    n = r.join(g, [key, docid], "full_outer").groupBy(key).agg(
+        F.count("_r").alias("n_ret"), F.count("_g").alias("n_gold"), F.count_if(
+            F.col("_r").isNotNull() & F.col("_g").isNotNull()).alias("n_hit"))
+    per = n.where("n_ret > 0 and n_gold > 0").select(key, (F.col("n_hit") / F.col("n_gold")).alias("recall"))
     return per.agg(F.round(F.avg("recall"), 6).alias("avg_recall"),
                    F.round(F.avg((F.col("recall") > 0).cast("double")), 6).alias("any_recall"),
                    F.round(F.avg((F.col("recall") == 1).cast("double")), 6).alias("all_recall"),
@@ -212,27 +162,29 @@ def containing_docs(index: dict[str, DataFrame], docs: DataFrame, passages: Data
 
     Exact without comparing every pair: a document that contains the passage
     contains each *interior* token of it (not the first or last, which may be
-    cut from a longer word) as a token of its own.  Each passage therefore
-    probes the postings of its rarest interior token only, and containment is
-    verified on the full texts.  Passages with fewer than three tokens have no
-    interior token and are not matched."""
+    cut from a longer word) as a token of its own, so each passage probes the
+    postings of its rarest interior token.  A passage of one or two tokens
+    probes those terms that its longest token is a part of.  A passage without
+    tokens is looked for in every document of its corpus.  Containment is
+    verified on the full texts in all cases."""
     toks = terms(F.col(passage))
-    ps = passages.where(F.size(toks) >= 3).select(
-        pid, corpus, passage, F.explode(F.slice(toks, 2, F.size(toks) - 2)).alias("term"))
+    p = passages.where(F.col(passage).isNotNull()).select(pid, corpus, passage, toks.alias("_t"))
+    ps = p.where(F.size("_t") >= 3).select(
+        pid, corpus, passage, F.explode(F.slice("_t", 2, F.size("_t") - 2)).alias("term"))
     rare = ps.join(index["term_stats"].select(corpus, "term", "df"), [corpus, "term"]) \
         .groupBy(pid, corpus, passage).agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    cand = rare.join(index["postings"].select(corpus, "term", "docid"), [corpus, "term"])
-    return cand.join(docs.select(corpus, "docid", "contents"), [corpus, "docid"]) \
-        .where(F.instr(F.col("contents"), F.col(passage)) > 0).select(pid, "docid", corpus).distinct()
-
-
-def write_index(index: dict[str, DataFrame], path: str, corpus: str = "corpus") -> None:
-    """Persist an index: each table partitioned by corpus under ``path``."""
-    for name, df in index.items():
-        df.write.mode("overwrite").partitionBy(corpus).parquet(f"{path}/{name}")
-
-
-def read_index(spark, path: str) -> dict[str, DataFrame]:
-    """Read back an index written by ``write_index``."""
-    return {name: spark.read.parquet(f"{path}/{name}")
-            for name in ("postings", "doc_len", "corpus_stats", "term_stats")}
+    short = p.where(F.size("_t").between(1, 2))
+    if not short.isEmpty():  # only then every term's parts are listed
+        longest = F.array_max(F.transform("_t", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+        part = F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.length("term")), lambda i: F.transform(
+            F.sequence(F.lit(1), F.length("term") - i + 1), lambda n: F.substr("term", i, n)))))
+        parts = index["term_stats"].select(corpus, "term", part.alias("part")).distinct()
+        rare = rare.unionByName(short.select(pid, corpus, passage, longest.alias("part")).join(
+            parts, [corpus, "part"]).drop("part"))
+    salted = rare.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    cand = salted.join(index["postings"].select(corpus, "term", "salt", "docid"), [corpus, "term", "salt"]) \
+        .select(pid, corpus, passage, "docid")
+    found = cand.join(docs.select(corpus, "docid", "contents"), [corpus, "docid"])
+    bare = p.where(F.size("_t") == 0).drop("_t").join(docs.select(corpus, "docid", "contents"), corpus)
+    return found.unionByName(bare).where(F.contains(F.col("contents"), F.col(passage))) \
+        .select(pid, "docid", corpus).distinct()

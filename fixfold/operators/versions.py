@@ -1,10 +1,7 @@
 """Versions: release lists, as-of assignment, version text.
 
-As-of join at scale: a window over each repository's whole history would put a
-busy repository in one task, so time is cut into buckets (a month by default).
-Inside a (repo, bucket) partition a window finds the latest earlier release;
-a small table with one row per (repo, bucket) carries the latest release of
-all earlier buckets.  The answer is the in-bucket release, else the carry.
+As-of join at scale: the version depends on (repository, date) only, so the
+window runs over distinct dates and releases, never over tasks.
 """
 
 from __future__ import annotations
@@ -67,7 +64,7 @@ def find_version(files: DataFrame, key: str = "instance_id", text: str = "text")
     spark = files.sparkSession
     pats = patterns_table(spark, files)
     body = files.withColumn("_t", F.regexp_replace(F.col(text), DOCSTRING, ""))
-    j = body.join(F.broadcast(pats), "repo")  # one row per repository pattern: bounded
+    j = body.join(pats, "repo")
     # the pattern is a column (one per repository), so these are SQL expressions
     hit = F.expr("regexp_extract(_t, pattern, 1)")
     matched = F.expr("_t RLIKE pattern")
@@ -82,7 +79,7 @@ def parse_tracker_time(col) -> Column:
     """A tracker timestamp in one of two formats (prefix removed); neither
     format → error."""
     c = col_(col)
-    s = F.when(c.startswith(TRACKER_PREFIX), F.substring(c, len(TRACKER_PREFIX) + 1, 1 << 16)).otherwise(c)
+    s = F.when(c.startswith(TRACKER_PREFIX), F.substr(c, F.lit(len(TRACKER_PREFIX) + 1))).otherwise(c)
     a = F.when(s.contains("/"), F.try_to_timestamp(s, F.lit(TRACKER_FORMATS[0])))
     b = F.when(~s.contains("/") & s.contains(","), F.try_to_timestamp(s, F.lit(TRACKER_FORMATS[1])))
     parsed = F.coalesce(a, b)
@@ -109,38 +106,31 @@ def version_cutoffs(releases: DataFrame) -> DataFrame:
 
 
 def asof_version(tasks: DataFrame, releases: DataFrame, ts: str = "created_at",
-                 policy: str = "null", bucket: str = "month") -> DataFrame:
+                 policy: str = "null") -> DataFrame:
     """``version`` = the release with the latest date strictly before the
     task's date (same repository); equal dates pick the larger version.  With no
     earlier release: NULL (``policy='null'``) or the oldest release
-    (``policy='oldest'``)."""
+    (``policy='oldest'``).
+
+    The answer depends on (repository, date) alone: distinct pairs and releases
+    meet in one window per repository (at most a row for each day and release),
+    and the tasks join the answers by equality."""
     t = tasks.withColumn("_d", F.to_date(F.col(ts)))
-    t = t.withColumn("_b", F.date_trunc(bucket, F.col("_d")))
-    r = releases.select("repo", F.col("released_at").cast("date").alias("_d"), "version") \
-        .withColumn("_b", F.date_trunc(bucket, F.col("_d")))
-    # latest release in each (repo, bucket): feeds the carry table
-    rb = r.groupBy("repo", "_b").agg(F.max(F.struct("_d", "version")).alias("_last"))
-    tb = t.select("repo", "_b").distinct()
-    u = (tb.select("repo", "_b", F.lit(0).alias("_k"), F.lit(None).cast(rb.schema["_last"].dataType).alias("_last"))
-         .unionByName(rb.select("repo", "_b", F.lit(1).alias("_k"), "_last")))
-    wc = Window.partitionBy("repo").orderBy("_b", "_k").rowsBetween(Window.unboundedPreceding, -1)
-    carry = u.withColumn("_carry", F.last("_last", ignorenulls=True).over(wc)) \
-        .where(F.col("_k") == 0).select("repo", "_b", F.col("_carry.version").alias("_carry"))
-    # inside a (repo, bucket): tasks sort before releases of the same date (strictly before);
-    # task rows carry their own columns through the union, so no row id or self-join is needed
-    side = t.withColumn("_k", F.lit(0)).withColumn("_v", F.lit(None).cast("string")).unionByName(
-        r.withColumn("_k", F.lit(1)).withColumnRenamed("version", "_v"), allowMissingColumns=True)
-    wi = Window.partitionBy("repo", "_b").orderBy("_d", "_k", "_v").rowsBetween(Window.unboundedPreceding, 0)
-    inb = side.withColumn("_in", F.last("_v", ignorenulls=True).over(wi)).where(F.col("_k") == 0) \
-        .drop("_k", "_v")
-    out = inb.join(carry, ["repo", "_b"], "left").withColumn("version", F.coalesce("_in", "_carry"))
+    r = releases.groupBy("repo", F.col("released_at").cast("date").alias("_d")).agg(F.max("version").alias("_v"))
+    days = t.select("repo", "_d").distinct()
+    # days sort before releases of the same date (strictly before)
+    both = days.withColumn("_k", F.lit(0)).withColumn("_v", F.lit(None).cast("string")).unionByName(
+        r.withColumn("_k", F.lit(1)))
+    w = Window.partitionBy("repo").orderBy("_d", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("version", F.last("_v", ignorenulls=True).over(w)).where("_k = 0").select("repo", "_d", "version")
+    out = t.join(found, (t["repo"] == found["repo"]) & t["_d"].eqNullSafe(found["_d"]), "left").drop(found["repo"]).drop(found["_d"])
     if policy == "oldest":
         oldest = releases.groupBy("repo").agg(
             F.min(F.struct(F.col("released_at").cast("date").alias("d"), F.col("version").alias("v")))
             .alias("_old"))
         out = out.join(oldest, "repo", "left").withColumn(
             "version", F.coalesce("version", F.col("_old.v"))).drop("_old")
-    return out.drop("_d", "_b", "_in", "_carry")
+    return out.drop("_d")
 
 
 def group_by_version(df: DataFrame) -> DataFrame:

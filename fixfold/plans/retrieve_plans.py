@@ -11,6 +11,7 @@ from fixfold.operators import retrieval as R
 from fixfold.plans.views_sql import VIEWS, with_views
 from fixfold.sources import adapters as A
 from fixfold.sources.tables import Tables
+from fixfold.streaming.jobs import scratch
 
 QUERIES = {}
 ORACLE = {}
@@ -18,19 +19,33 @@ K_HITS = 20
 BUDGET = 6000
 
 
+_WRITTEN = {}
+
+
+def _once(spark, sf, name, make):
+    """Made once for a session and folder; the tables lie in the shared checkpoint folder."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = make()
+    return _WRITTEN[key]
+
+
 def _index(spark, sf):
-    return R.bm25_index(A.corpus_docs(spark, sf))
+    return _once(spark, sf, "index", lambda: R.bm25_index(A.corpus_docs(spark, sf)))
 
 
 def _hits(spark, sf):
-    hits, _ = R.search_all(_index(spark, sf), A.search_queries(spark, sf), K_HITS)
-    return hits
+    def make():
+        path = scratch(spark, "bm25-hits")
+        R.search_all(_index(spark, sf), A.search_queries(spark, sf), K_HITS)[0].write.parquet(path)
+        return spark.read.parquet(path)
+    return _once(spark, sf, "hits", make)
 
 
 def _gold(spark, sf, index=None):
     q = A.search_queries(spark, sf).withColumnRenamed("query", "text")
     docs = A.corpus_docs(spark, sf)
-    return R.containing_docs(index or R.bm25_index(docs), docs, q, pid="qid", passage="text", corpus="corpus")
+    return R.containing_docs(index or _index(spark, sf), docs, q, pid="qid", passage="text", corpus="corpus")
 
 
 def _readmes(spark, sf):
@@ -50,7 +65,7 @@ def _base(spark, sf):
 
 def _sizes(spark, sf):
     d = A.corpus_docs(spark, sf)
-    return d.select("docid", CX.token_count(CX.file_block(F.col("docid"), F.col("contents"))).alias("size"))
+    return d.select("corpus", "docid", CX.token_count(CX.file_block(F.col("docid"), F.col("contents"))).alias("size"))
 
 
 def _packed(spark, sf):
@@ -59,7 +74,8 @@ def _packed(spark, sf):
 
 def _bundles(spark, sf):
     files = _packed(spark, sf).select("qid", F.explode("files").alias("docid"))
-    return CX.code_bundle(files.join(A.corpus_docs(spark, sf), "docid"), "qid")
+    files = files.join(A.search_queries(spark, sf).select("qid", "corpus"), "qid")
+    return CX.code_bundle(files.join(A.corpus_docs(spark, sf), ["corpus", "docid"]), "qid")
 
 
 def _prompt_inputs(spark, sf):
@@ -90,9 +106,7 @@ def q_containing_docs(spark, sf):
 
 
 def q_recall_metrics(spark, sf):
-    idx = _index(spark, sf)
-    hits, _ = R.search_all(idx, A.search_queries(spark, sf), K_HITS)
-    return R.recall_metrics(hits, _gold(spark, sf, idx))
+    return R.recall_metrics(_hits(spark, sf), _gold(spark, sf))
 
 
 def q_with_hits(spark, sf):
@@ -241,11 +255,10 @@ hits AS (
                         row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, docid) AS rank
                  FROM scores) WHERE rank <= {K_HITS})"""
 
-_TOK0 = WORD + "+"
 _GOLD = """
 gold AS (
   SELECT DISTINCT q.qid, d.docid FROM search_queries q JOIN corpus_docs d ON d.corpus = q.corpus
-  WHERE len(regexp_extract_all(lower(q.query), '""" + _TOK0 + """')) >= 3 AND strpos(d.contents, q.query) > 0)"""
+  WHERE strpos(d.contents, q.query) > 0)"""
 
 _PROMPT = f"""
 readme_pick AS (

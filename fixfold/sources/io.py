@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from fixfold.functions.text import strip
+from fixfold.session import ensure_checkpoint_dir
 
 # The string fields of a task instance.
 INSTANCE_FIELDS = ("repo", "instance_id", "base_commit", "patch", "test_patch", "problem_statement",
@@ -44,10 +45,11 @@ def read_split(spark: SparkSession, root: str, split: str, aliases: dict | None
     the known ones (the distinct split values — a handful of rows)."""
     root = (aliases or {}).get(root, root)
     df = spark.read.parquet(root)
-    known = sorted(r["split"] for r in df.select("split").distinct().collect())
-    if split not in known:
+    out = df.where(F.col("split") == split)
+    if out.isEmpty():  # only then the names are read
+        known = sorted(r["split"] for r in df.select("split").distinct().collect())
         raise ValueError(f"unknown split {split!r}; available: {', '.join(known)}")
-    return df.where(F.col("split") == split)
+    return out
 
 
 def read_predictions(spark: SparkSession, path: str, instances: DataFrame | None = None) -> DataFrame:
@@ -66,7 +68,7 @@ def read_predictions(spark: SparkSession, path: str, instances: DataFrame | None
     else:
         raise ValueError('predictions path must be "gold", .json, or .jsonl')
     df = df.withColumn("_order", F.struct(F.col("_metadata.file_path").alias("f"),
-                                          F.monotonically_increasing_id().alias("i")))
+                                          F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")))
     last = df.groupBy("instance_id").agg(F.max_by(F.struct(*PREDICTION_SCHEMA.fieldNames()), "_order").alias("p"))
     return last.select("p.*")
 
@@ -124,24 +126,33 @@ def read_source_tree(spark: SparkSession, root: str, include_tests: bool = False
 
 
 def decode_content(content) -> "F.Column":
-    """Bytes → text when valid UTF-8, else the binary placeholder."""
+    """Bytes → text.  A byte-order mark names the encoding; else valid UTF-8;
+    else, without a NUL byte, a single-byte encoding (ISO-8859-1, which maps
+    every byte); what holds a NUL byte is the binary placeholder."""
     s = content.cast("string")
-    return F.when(F.is_valid_utf8(s), s).otherwise(F.lit(BINARY_PLACEHOLDER))
+    head = F.hex(F.substring(content, 1, 3))
+    nul = F.position(F.lit(b"\0"), content) > 0
+    return (F.when(head == "EFBBBF", F.substring(content, 4, F.octet_length(content)).cast("string"))
+            .when(F.substring(head, 1, 4).isin("FFFE", "FEFF"), F.decode(content, "UTF-16"))
+            .when(F.is_valid_utf8(s) & ~nul, s)
+            .when(nul, F.lit(BINARY_PLACEHOLDER))
+            .otherwise(F.decode(content, "ISO-8859-1")))
 
 
-def flatten_structure(structures: DataFrame, key: str = "instance_id", text: str = "structure",
-                      max_depth: int = 64) -> tuple[DataFrame, DataFrame]:
+def flatten_structure(structures: DataFrame, key: str = "instance_id", text: str = "structure") -> tuple[DataFrame, DataFrame]:
     """A repository structure (nested JSON: directories map names to
     children, a file is an object with exactly ``classes``, ``functions`` and
     ``text``) → ``files(key, path, text array<string>)`` and
     ``symbols(key, path, kind, cls, name, start, end)``.
 
     Each level is one explode of the current directories' JSON maps; the
-    loop runs once per tree level (bounded by the tree depth), never per row."""
+    loop runs once per tree level until no directory is left; each level is
+    checkpointed, so no level is parsed twice."""
+    ensure_checkpoint_dir(structures.sparkSession)
     leaf_keys = F.array_sort(F.map_keys(F.from_json(F.col("v"), "map<string,string>")))
     level = structures.select(key, F.lit("").alias("prefix"), F.col(text).alias("v"))
     files = None
-    for _ in range(max_depth):
+    while True:
         ent = level.select(key, "prefix", F.explode(F.from_json("v", "map<string,string>")).alias("name", "v"))
         ent = ent.withColumn("path", F.when(F.col("prefix") == "", F.col("name"))
                              .otherwise(F.concat_ws("/", "prefix", "name")))
@@ -149,7 +160,7 @@ def flatten_structure(structures: DataFrame, key: str = "instance_id", text: str
         is_leaf = is_obj & (leaf_keys == F.array(F.lit("classes"), F.lit("functions"), F.lit("text")))
         leaves = ent.where(is_leaf).select(key, "path", "v")
         files = leaves if files is None else files.unionByName(leaves)
-        level = ent.where(is_obj & ~is_leaf).select(key, F.col("path").alias("prefix"), "v")
+        level = ent.where(is_obj & ~is_leaf).select(key, F.col("path").alias("prefix"), "v").checkpoint()
         if level.isEmpty():
             break
     file_schema = ("struct<text: array<string>, functions: array<struct<name: string, start_line: int, "
