@@ -16,7 +16,7 @@ DEV_NULL = "/dev/null"
 HUNK_HEADER = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 
 
-def _parse(patch: Column) -> Column:
+def _parse(patch: Column, lenient: bool = False) -> Column:
     """One struct (line, file_idx, hunk_idx, kind) per line, by a fold over the lines of the row.
 
     The fold carries what the open hunk still has to come on either side.  In a
@@ -39,7 +39,7 @@ def _parse(patch: Column) -> Column:
         line = x["line"]
         opened = (acc["src"] > 0) | (acc["tgt"] > 0)
         starts = F.when(has_git, line.startswith("diff --git ")).otherwise(
-            line.startswith("--- ") & x["next"].startswith("+++ ") & ~opened)
+            line.startswith("--- ") & x["next"].startswith("+++ ") & (F.lit(lenient) | ~opened))
         is_hunk = line.startswith("@@ ")
         hunk = F.when(starts, zero).when(is_hunk, acc["hunk"] + 1).otherwise(acc["hunk"])
         file = F.when(starts, acc["file"] + 1).otherwise(acc["file"])
@@ -57,17 +57,18 @@ def _parse(patch: Column) -> Column:
     return F.aggregate(pairs, init, step, lambda acc: acc["out"])
 
 
-def patch_lines(df: DataFrame, keys, patch: str = "patch") -> DataFrame:
+def patch_lines(df: DataFrame, keys, patch: str = "patch", lenient: bool = False) -> DataFrame:
     """X1 (line level): (keys, pos, line, file_idx, hunk_idx, kind).
 
     ``kind`` is one of: header, hunk, added, removed, context, other.  A file
     starts at ``diff --git``; a patch without such lines starts files at
     ``--- `` followed by ``+++ `` outside of a hunk.  A hunk starts at ``@@``;
     lines before the first hunk of a file are its header.  Each patch is parsed
-    in its own row: no shuffle."""
+    in its own row: no shuffle.  ``lenient`` is for patches whose hunk headers
+    are wrong (X4, X5): the file's two lines open it wherever they stand."""
     keys = list(keys)
     base = df.where(F.col(patch).isNotNull())
-    lines = base.select(*keys, F.posexplode(_parse(F.col(patch))).alias("pos", "_l"))
+    lines = base.select(*keys, F.posexplode(_parse(F.col(patch), lenient)).alias("pos", "_l"))
     return lines.select(*keys, "pos", "_l.line", "_l.file_idx", "_l.hunk_idx", "_l.kind")
 
 

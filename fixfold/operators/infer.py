@@ -183,7 +183,10 @@ def complete(df: DataFrame, fn, text: str = "text", key: str = "instance_id",
         last = None
         for attempt in range(retries):
             try:
-                return list(fn(texts)), None
+                out = list(fn(texts))
+                if len(out) != len(texts):
+                    raise ValueError(f"{len(out)} answers for {len(texts)} texts")
+                return out, None
             except Exception as e:  # noqa: BLE001
                 last = e
                 if backoff:
@@ -199,8 +202,8 @@ def complete(df: DataFrame, fn, text: str = "text", key: str = "instance_id",
                 outs = []
                 for i, t in enumerate(texts):
                     o, e = call([t])
-                    outs.append(o[0] if o else None)
-                    errors[i] = None if o else f"{type(e).__name__}: {e}"
+                    outs.append(o[0] if o is not None else None)
+                    errors[i] = None if o is not None else f"{type(e).__name__}: {e}"
             yield pd.DataFrame({
                 key: pdf[key],
                 "output": outs,

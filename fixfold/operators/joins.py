@@ -50,8 +50,11 @@ def common_ids(a: DataFrame, b: DataFrame, key: str = "instance_id") -> DataFram
     return _ids(a, key).intersect(_ids(b, key))
 
 
-def restrict_ids(df: DataFrame, ids: DataFrame, key: str = "instance_id") -> DataFrame:
-    """rows whose id is listed."""
+def restrict_ids(df: DataFrame, ids: DataFrame, key: str = "instance_id", strict: bool = False) -> DataFrame:
+    """rows whose id is listed; ``strict`` is an error that names listed ids not in the data."""
+    if strict and (unknown := [r[key] for r in unknown_ids(df, ids, key).orderBy(key).limit(21).collect()]):
+        more = ", ..." if len(unknown) > 20 else ""
+        raise ValueError(f"ids not in the data: {', '.join(map(str, unknown[:20]))}{more}")
     return df.join(_ids(ids, key), key, "left_semi")
 
 
@@ -92,13 +95,22 @@ def exclude_exact(df: DataFrame, evaluation: DataFrame, line: str = "line") -> D
 
 
 def backfill(df: DataFrame, first: DataFrame, second_fn, key: str = "instance_id",
-             value: str = "version") -> DataFrame:
+             value: str = "version", check: bool = False) -> DataFrame:
     """Rows resolved by method one keep its value; the rest go through method
-    two (a DataFrame → DataFrame function); both parts are recombined."""
+    two (a DataFrame → DataFrame function); both parts are recombined.  ``check``
+    compares the row counts (two counts, no rows) and raises if any were lost."""
     got = df.join(first.select(key, value).where(F.col(value).isNotNull()), key, "inner")
     rest = df.join(got.select(key), key, "left_anti")
-    return got.withColumn("method", F.lit(1)).unionByName(
+    out = got.withColumn("method", F.lit(1)).unionByName(
         second_fn(rest).withColumn("method", F.lit(2)))
+    if check and (had := df.count()) != (has := out.count()):
+        raise ValueError(f"{had} rows went in, {has} came out")
+    return out
+
+
+def drop_missing(df: DataFrame, columns=("text", "model_patch")) -> DataFrame:
+    """rows with a NULL in any of the columns go (those the frame has)."""
+    return df.na.drop(subset=[c for c in columns if c in df.columns])
 
 
 def with_hits(df: DataFrame, hits: DataFrame, k: int, key: str = "instance_id",

@@ -92,14 +92,15 @@ def within_budget(df: DataFrame, cost: str, cap: float, order: list) -> DataFram
     ensure_checkpoint_dir(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    exact = F.col(cost).cast("decimal(18,8)")  # sums must not depend on how the rows are partitioned
     tagged = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
               .select("*", F.spark_partition_id().alias("_pid"),
                       F.monotonically_increasing_id().alias("_mid"))
               .checkpoint(eager=True))
-    sums = tagged.groupBy("_pid").agg(F.sum(cost).alias("_s"))
+    sums = tagged.groupBy("_pid").agg(F.sum(exact).alias("_s"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("_pid", F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_off"))
     wl = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("_off") + F.coalesce(F.sum(cost).over(wl), F.lit(0))
+    before = F.col("_off") + F.coalesce(F.sum(exact).over(wl), F.lit(0))
     j = tagged.join(F.broadcast(offsets), "_pid").withColumn("_before", before)
     return j.where(F.col("_before") < cap).select(*df.columns)

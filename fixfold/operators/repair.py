@@ -35,26 +35,55 @@ def fill(template: str, **cols: Column) -> Column:
     return F.concat(*out)
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """Written once to the shared folder and read back: what was paid for is not asked again."""
+    from fixfold.streaming.jobs import scratch
+
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def run_inference(df: DataFrame, fn, model: str, done: DataFrame | None = None, max_cost: float | None = None,
-                  key: str = "instance_id", text: str = "text") -> DataFrame:
+                  key: str = "instance_id", text: str = "text", wave_rows: int = 10_000) -> DataFrame:
     """Shortest texts first (L1), skip ids already done (J1), keep texts
     that fit the model (F19), call the model in tasks (I1), extract the diff
-    (P12), price each call (P23) and stop at the spend cap (W4, in the same
-    order).  Returns predictions with cost and error columns."""
+    (P12) and price each call (P23).  Returns predictions with cost and error
+    columns.
+
+    With ``max_cost`` the calls go out in waves of ``wave_rows`` in that order;
+    a wave starts only while less than the cap is spent, so what may be spent
+    beyond it is bounded by one wave, and every paid answer is kept.  Each wave's
+    answers are written before the next one starts.  A model without a price is
+    an error."""
+    if max_cost is not None and (model not in I.MODEL_COST_PER_INPUT or model not in I.MODEL_COST_PER_OUTPUT):
+        raise ValueError(f"no price for model {model!r}")
     d = df.select(key, text)
     if done is not None:
         d = J.skip_existing(d, done, key)
     d = d.withColumn("model", F.lit(model)).withColumn("n_tokens", token_count(F.col(text))) \
         .withColumn("_len", F.length(text))
-    d = I.fits_model(d, "n_tokens", "model")
-    out = I.complete(d, fn, text, key).withColumn("model", F.lit(model))
-    priced = I.with_cost(out).join(d.select(key, "_len"), key)
-    preds = priced.select(key, F.col("model").alias("model_name_or_path"), F.col("output").alias("full_output"),
-                          I.extract_diff(F.col("output")).alias("model_patch"), "cost", "error", "_len")
-    if max_cost is not None:
-        preds = OR.within_budget(preds.withColumn("cost", F.coalesce("cost", F.lit(0.0))), "cost", max_cost,
-                                 ["_len", key])
-    return preds.drop("_len")
+    d = I.fits_model(d, "n_tokens", "model").select(key, text, "_len")
+
+    def call(part: DataFrame) -> DataFrame:
+        priced = I.with_cost(I.complete(part, fn, text, key).withColumn("model", F.lit(model)))
+        return priced.select(key, F.col("model").alias("model_name_or_path"), F.col("output").alias("full_output"),
+                             I.extract_diff(F.col("output")).alias("model_patch"), "cost", "error")
+
+    if max_cost is None:
+        return _kept(call(d), "answers")
+    order = _kept(OR.global_row_number(d, ["_len", key], "_rn").withColumn(
+        "_wave", F.floor((F.col("_rn") - 1) / wave_rows)), "waves")
+    waves = order.agg(F.max("_wave")).first()[0]
+    spent, answers = 0.0, []
+    for wave in range(0 if waves is None else waves + 1):
+        if spent >= max_cost:
+            break
+        answers.append(_kept(call(order.where(F.col("_wave") == wave)), f"answers-{wave}"))
+        spent += float(answers[-1].agg(F.sum(F.col("cost").cast("decimal(18,8)"))).first()[0] or 0)
+    if not answers:
+        return call(order)  # no rows
+    return answers[0] if len(answers) == 1 else J.union_all(answers)
 
 
 def repair_chain(instances: DataFrame, files: DataFrame, symbols: DataFrame, file_lines: DataFrame, fn,
@@ -63,7 +92,8 @@ def repair_chain(instances: DataFrame, files: DataFrame, symbols: DataFrame, fil
     prompt → model → first ``n_files`` listed files (P13, L3) → their skeletons
     (X7, P20) → symbol-localisation prompt → model → locations (P15) → spans
     (J9, W3, W1, W2) → repair prompt → model → search/replace edits (P14) →
-    patched files and their diff (X6).  ``instances``: (key, problem_statement);
+    patched files and their diff (X6).  Each of the three answers is written once,
+    so the model is called once for each row and step.  ``instances``: (key, problem_statement);
     ``files``: (key, path, text); ``symbols`` and ``file_lines`` as for
     ``locate.resolve_locations``.  Returns (key, attempt, model_patch)."""
     src = files.where(is_python_source(F.col("path"), F.col(key)))
@@ -72,14 +102,14 @@ def repair_chain(instances: DataFrame, files: DataFrame, symbols: DataFrame, fil
         key, "problem_statement",
         strip(fill(LOCATE_FILES_PROMPT, structure=strip(F.col("tree")),
                    problem_statement=F.col("problem_statement"))).alias("prompt"))
-    a1 = I.complete(p1, fn, "prompt", key)
+    a1 = _kept(I.complete(p1, fn, "prompt", key), "files-answers")
     found = a1.select(key, F.posexplode(LC.top_files(LC.fenced_list(F.col("output")), n_files)).alias("pos", "path"))
     sk = CD.code_skeleton(src.join(found.select(key, "path"), [key, "path"]))
     bundle = CD.skeleton_bundle(sk.select(key, "path", "skeleton"), key)
     p2 = instances.join(bundle, key, "left").select(
         key, strip(fill(LOCATE_SYMBOLS_PROMPT, file_skeleton=F.col("file_skeleton"),
                         problem_statement=F.col("problem_statement"))).alias("prompt"))
-    a2 = I.complete(p2, fn, "prompt", key).select(key, F.col("output").alias("answer"))
+    a2 = _kept(I.complete(p2, fn, "prompt", key), "symbols-answers").select(key, F.col("output").alias("answer"))
     locs = LC.parse_locations(a2, key)
     spans = LC.resolve_locations(LC.location_lines(locs, key), symbols, file_lines, key)
     kept = LC.kept_locations(spans, locs, 5, key)
@@ -88,6 +118,7 @@ def repair_chain(instances: DataFrame, files: DataFrame, symbols: DataFrame, fil
     p3 = instances.join(code, key, "left").select(
         key, fill(REPAIR_PROMPT, code_content=F.col("code_content"),
                   problem_statement=F.col("problem_statement")).alias("prompt"))
-    a3 = I.complete(p3, fn, "prompt", key).select(key, F.lit(0).alias("attempt"), F.col("output").alias("answer"))
+    a3 = _kept(I.complete(p3, fn, "prompt", key), "edits-answers").select(
+        key, F.lit(0).alias("attempt"), F.col("output").alias("answer"))
     edits = LC.parse_edits(a3, files.select(key, "path"), key)
     return LC.edit_diff(LC.apply_edits(edits, files.select(key, "path", "text"), key), key)

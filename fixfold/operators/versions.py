@@ -18,6 +18,9 @@ VERSION_PATTERNS = {
                           r"VERSION = \((.*)\)"),
     "matplotlib/matplotlib": (r"""__version__ = ['"](.*)['"]""",
                               r"""__version__ = version = ['"](.*)['"]""", r"VERSION = \((.*)\)"),
+    "Qiskit/qiskit": (r"(.*)",),
+    # no group: the whole match is the version text
+    "pyvista/pyvista": (r"version_info = [\d]+,[\d\s]+,",),
 }
 DOCSTRING = r'(?s)""".*?"""'
 
@@ -25,8 +28,44 @@ DOCSTRING = r'(?s)""".*?"""'
 TRACKER_PREFIX = "See timeline at "
 TRACKER_FORMATS = ("MM/dd/yy HH:mm:ss", "MMM d, yyyy, h:mm:ss a")
 
-# Changelog anchor pattern of a documentation page.
+# Where each site's release pages name a version and its date:
+# (pattern, text of the version, text of the date, date formats, what a date in no format does).
 CHANGELOG_ANCHOR = r'<a class="reference internal nav-link" href="#version-([^"]*)">Version ([^ <]*) \(([^)<]*)\)</a>'
+SITES = {
+    "anchors": (CHANGELOG_ANCHOR, 2, 3, ("yyyy-MM-dd", "MMMM d, yyyy", "d MMMM yyyy"), "raise"),
+    "dashed": (r'<a class="reference internal nav-link(?: active)?" href="#v([^"\n]*)">v([^<\n]*) \(([^)\n]*)\)</a>', 1, 1,
+               ("MMMM d yyyy", "d MMMM yyyy"), "drop"),
+    "padded": (r'<a class="reference internal nav-link" href="#([^"\n]*)">\n\s+v([^\n]*)\n\s+</a>', 2, 2,
+               ("MMMM d, yyyy",), "raise"),
+    "notes": (r"""<a class="reference internal" href="prev_whats_new/whats_new_([^"\n]*)\.html">What's new in Matplotlib ([^<\n]*)</a>""",
+              1, 2, ("MMM d, yyyy",), "raise"),
+    "table": (r"(?s)<tr[^>]*>\s*<td[^>]*>(.*?)</td>\s*<td[^>]*>(.*?)</td>\s*<td[^>]*>.*?</td>\s*</tr>", 1, 2,
+              ("MMMM yyyy", "MMM yyyy"), "raise"),
+}
+# Release names of the sixth site, whose date may stand in the name.
+RELEASE_NAME_PREFIXES = ("SQLFluff ", "Bugfix Release ")
+DATED_NAME = r"\[[\d.\w]*\] - \d*-\d*-\d*"
+PLAIN_NAME = r"\d\.\d\.[\d.]*"
+
+# Files that hold a repository's version, tried in order.
+VERSION_PATHS = {
+    "dbt-labs/dbt-core": ("core/dbt/version.py", "core/dbt/__init__.py"),
+    "django/django": ("django/__init__.py",),
+    "huggingface/transformers": ("src/transformers/__init__.py",),
+    "marshmallow-code/marshmallow": ("src/marshmallow/__init__.py",),
+    "mwaskom/seaborn": ("seaborn/__init__.py",),
+    "pallets/flask": ("src/flask/__init__.py", "flask/__init__.py"),
+    "psf/requests": ("requests/__version__.py", "requests/__init__.py"),
+    "pyca/cryptography": ("src/cryptography/__about__.py", "src/cryptography/__init__.py"),
+    "pylint-dev/astroid": ("astroid/__pkginfo__.py", "astroid/__init__.py"),
+    "pylint-dev/pylint": ("pylint/__pkginfo__.py", "pylint/__init__.py"),
+    "pytest-dev/pytest": ("src/_pytest/_version.py", "_pytest/_version.py"),
+    "pyvista/pyvista": ("pyvista/_version.py", "pyvista/__init__.py"),
+    "Qiskit/qiskit": ("qiskit/VERSION.txt",),
+    "scikit-learn/scikit-learn": ("sklearn/__init__.py",),
+    "sphinx-doc/sphinx": ("sphinx/__init__.py",),
+    "sympy/sympy": ("sympy/release.py", "sympy/__init__.py"),
+}
 
 
 def major_minor(col, sep: str = ".") -> Column:
@@ -57,6 +96,22 @@ def patterns_table(spark, repos: DataFrame) -> DataFrame:
     return fixed.unionByName(other)
 
 
+def version_candidates(files: DataFrame, key: str = "instance_id", path: str = "path") -> DataFrame:
+    """The files that may hold the version, with ``file_pos``: the
+    repository's listed paths in order; of other repositories all files, as given."""
+    listed = files.sparkSession.createDataFrame(
+        [(r, i, p) for r, ps in VERSION_PATHS.items() for i, p in enumerate(ps)], "repo string, file_pos int, _path string")
+    known = listed.select("repo").distinct()
+    hit = files.join(listed, "repo").where(F.col(path) == F.col("_path")).drop("_path")
+    return hit.unionByName(files.join(known, "repo", "left_anti").withColumn("file_pos", F.lit(0)))
+
+
+def spec_lookup(tasks: DataFrame, specs: DataFrame, key=("repo", "version")) -> DataFrame:
+    """The installation spec of each task's (repo, version); ``specs`` is a
+    table of one row per pair.  Tasks without a spec keep nulls."""
+    return tasks.join(specs, list(key), "left")
+
+
 def find_version(files: DataFrame, key: str = "instance_id", text: str = "text") -> DataFrame:
     """Version of each file text: docstrings removed, the first pattern of
     the repository's list that matches, its group 1 without spaces, cleaned.
@@ -66,7 +121,7 @@ def find_version(files: DataFrame, key: str = "instance_id", text: str = "text")
     body = files.withColumn("_t", F.regexp_replace(F.col(text), DOCSTRING, ""))
     j = body.join(pats, "repo")
     # the pattern is a column (one per repository), so these are SQL expressions
-    hit = F.expr("regexp_extract(_t, pattern, 1)")
+    hit = F.expr("regexp_extract(_t, pattern, if(contains(pattern, '('), 1, 0))")
     matched = F.expr("_t RLIKE pattern")
     j = j.where(matched).withColumn("raw", F.replace(hit, F.lit(" "), F.lit("")))
     order = [F.col("file_pos"), F.col("pattern_pos")] if "file_pos" in files.columns else [F.col("pattern_pos")]
@@ -87,16 +142,60 @@ def parse_tracker_time(col) -> Column:
         F.raise_error(F.concat(F.lit("Timestamp format not recognized: "), s)))
 
 
-def extract_releases(pages: DataFrame, repo: str = "repo", html: str = "html") -> DataFrame:
-    """(repo, version, released_at) from changelog anchors: all anchor
-    matches, deduplicated, version cut to major.minor, date parsed."""
-    m = pages.select(repo, F.posexplode(F.arrays_zip(
-        F.regexp_extract_all(F.col(html), F.lit(CHANGELOG_ANCHOR), 2).alias("v"),
-        F.regexp_extract_all(F.col(html), F.lit(CHANGELOG_ANCHOR), 3).alias("d"))).alias("i", "m"))
+def _parsed_date(text: Column, formats, otherwise: str) -> Column:
+    """The date in the first format that fits (any case of month names)."""
+    t = F.initcap(F.trim(text))
+    found = F.coalesce(*[F.try_to_date(t, f) for f in formats])
+    if otherwise == "drop":
+        return found
+    return F.when(found.isNotNull() | t.isNull(), found).otherwise(
+        F.raise_error(F.concat(F.lit("Release date not recognized: "), text)).cast("date"))
+
+
+def extract_releases(pages: DataFrame, repo: str = "repo", html: str = "html", site: str = "anchors") -> DataFrame:
+    """(repo, version, released_at) of a site's release page: all matches of
+    the site's pattern, deduplicated, version cut to major.minor, date parsed in
+    any of the site's formats (a date in none is an error, or left out where the
+    site mixes in other anchors)."""
+    pattern, v, d, formats, otherwise = SITES[site]
+    m = pages.select(repo, F.explode(F.arrays_zip(
+        F.regexp_extract_all(F.col(html), F.lit(pattern), v).alias("v"),
+        F.regexp_extract_all(F.col(html), F.lit(pattern), d).alias("d"))).alias("m"))
     m = m.select(repo, F.col("m.v").alias("v"), F.col("m.d").alias("d")).distinct()
-    return m.select(repo, major_minor(F.col("v")).alias("version"),
-                    F.try_to_date(F.col("d"), "yyyy-MM-dd").alias("released_at")) \
-        .where(F.col("released_at").isNotNull())
+    ver, date = F.col("v"), F.col("d")
+    if site == "dashed":  # the anchor itself: 0-20-0-may-1-2021
+        parts = F.split(date, "-", -1)
+        ver = F.array_join(F.slice(parts, 1, 2), ".")
+        date = F.array_join(F.slice(parts, 4, F.greatest(F.size(parts), F.lit(1))), " ")
+    elif site == "padded":  # 0.9.0 (September 1, 2021)
+        ver, date = F.substring_index(ver, " (", 1), F.regexp_extract(date, r" \((.*?)\)?$", 1)
+        ver = F.regexp_replace(ver, r"\.[^.]*$", "")
+    elif site == "notes":  # releases without a date are left out
+        m = m.where(date.contains("("))
+        date = F.regexp_extract(date, r"\(([^)]*)\)", 1)
+    elif site == "table":  # cells of text; the month's first day
+        tags = r"<[^>]*>"
+        ver, date = F.trim(F.regexp_replace(ver, tags, "")), F.trim(F.regexp_replace(date, tags, ""))
+        date = F.regexp_replace(date, r"^~+|~+$", "")
+    out = m.select(repo, major_minor(ver).alias("version") if site not in ("padded", "table") else ver.alias("version"),
+                   _parsed_date(date, formats, otherwise).alias("released_at"))
+    return out.where(F.col("released_at").isNotNull())
+
+
+def releases_from_names(releases: DataFrame, repo: str = "repo", name: str = "name",
+                        published: str = "published_at") -> DataFrame:
+    """P9, sixth site: (repo, version, released_at) from release names.  A name
+    ``[1.2.3] - 2021-01-05`` holds its date, else the publication date counts;
+    the version loses its last part; names without a version are left out; the
+    latest date of each version."""
+    n = F.regexp_replace(F.col(name), "^" + RELEASE_NAME_PREFIXES[0], "")
+    dated, plain = n.rlike(DATED_NAME), F.regexp_extract(n, PLAIN_NAME, 0)
+    first = F.regexp_replace(F.substring_index(n, " - ", 1), r"[\[\]]", "")
+    ver = F.when(dated, first).when(plain != "", plain)
+    ver = F.regexp_replace(F.regexp_replace(ver, r"\.[^.]*$", ""), "^" + RELEASE_NAME_PREFIXES[1], "")
+    date = F.when(dated, F.try_element_at(F.split(n, " - ", -1), F.lit(2))).otherwise(F.col(published).cast("string"))
+    got = releases.select(repo, ver.alias("version"), F.to_date(F.substring(date, 1, 10)).alias("d"))
+    return got.where(F.col("version").isNotNull()).groupBy(repo, "version").agg(F.max("d").alias("released_at"))
 
 
 def version_cutoffs(releases: DataFrame) -> DataFrame:

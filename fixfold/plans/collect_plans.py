@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fixfold.functions import criteria as C
+from fixfold.functions.harness import effective_commit
 from fixfold.functions.text import PY_WS
 from fixfold.operators import collect as CO
 from fixfold.operators import ordering as OR
@@ -79,7 +80,7 @@ def q_funnel(spark, sf):
 
 def q_effective_commit(spark, sf):
     p = A.pulls(spark, sf)
-    return p.select("repo", "number", F.coalesce("environment_setup_commit", "base_commit").alias("commit"))
+    return p.select("repo", "number", effective_commit().alias("commit"))
 
 
 def q_bounded_feed(spark, sf):
@@ -94,6 +95,17 @@ def q_releases_from_pages(spark, sf):
     return _releases(spark, sf)
 
 
+def q_releases_by_site(spark, sf):
+    """All six sites' markup of the same releases, each read by its own rule."""
+    pages = A.site_pages(spark, sf)
+    out = None
+    for site in VE.SITES:
+        r = VE.extract_releases(pages.where(F.col("site") == site), site=site).withColumn("site", F.lit(site))
+        out = r if out is None else out.unionByName(r)
+    names = VE.releases_from_names(A.release_names(spark, sf)).withColumn("site", F.lit("names"))
+    return out.unionByName(names).select("site", "repo", "version", "released_at")
+
+
 def q_version_cutoffs(spark, sf):
     return VE.version_cutoffs(_releases(spark, sf))
 
@@ -160,6 +172,7 @@ QUERIES.update({
     "bounded_feed": q_bounded_feed,
     "bounded_feed_inclusive": q_bounded_feed_inclusive,
     "releases_from_pages": q_releases_from_pages,
+    "releases_by_site": q_releases_by_site,
     "version_cutoffs": q_version_cutoffs,
     "asof_version": q_asof_version,
     "asof_version_oldest": q_asof_version_oldest,
@@ -369,6 +382,14 @@ oldest AS (SELECT repo, arg_min(version, (released_at, version)) AS v0 FROM rele
 
 _RV = ["changelog_pages", "release_tasks"]
 ORACLE["releases_from_pages"] = with_views(_RV, _REL) + "\nSELECT repo, version, released_at FROM releases"
+_REL_DAY = """
+WITH d AS (SELECT o_orderpriority AS repo, year(o_orderdate) AS y, month(o_orderdate) AS m, CAST(max(o_orderdate) AS DATE) AS day
+           FROM orders GROUP BY 1, 2, 3)"""
+ORACLE["releases_by_site"] = _REL_DAY + """
+SELECT site, repo, y || '.' || m AS version, CASE WHEN site = 'table' THEN date_trunc('month', day) ELSE day END AS released_at
+FROM d, (VALUES ('anchors'), ('dashed'), ('padded'), ('notes')) AS s(site)
+UNION ALL SELECT 'table', repo, y || '.' || m || '.0', CAST(date_trunc('month', day) AS DATE) FROM d
+UNION ALL SELECT 'names', repo, (y % 10) || '.' || (m % 10), max(day) FROM d GROUP BY repo, y % 10, m % 10"""
 ORACLE["version_cutoffs"] = with_views(_RV, _REL) + """
 SELECT repo, regexp_replace(array_to_string(string_split(trim(version), '.')[1:2], '.'), '[^0-9.]', '', 'g') AS version,
        max(released_at) AS released_at FROM releases GROUP BY ALL"""

@@ -335,11 +335,11 @@ FROM pfiles"""
 # --- X4 / X5 -------------------------------------------------------------------
 
 def q_repair_patch(spark, sf):
-    return D.repair_patch(_lines(spark, sf), K)
+    return D.repair_patch(D.patch_lines(_inst(spark, sf), K, "patch", lenient=True), K)
 
 
 def q_minimal_patch(spark, sf):
-    return D.minimal_patch(_lines(spark, sf), K)
+    return D.minimal_patch(D.patch_lines(_inst(spark, sf), K, "patch", lenient=True), K)
 
 
 QUERIES.update({"repair_patch": q_repair_patch, "minimal_patch": q_minimal_patch})

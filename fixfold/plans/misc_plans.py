@@ -12,6 +12,7 @@ from fixfold.functions.text import PY_WS
 from fixfold.operators import collect as CO
 from fixfold.operators import infer as I
 from fixfold.operators import joins as J
+from fixfold.operators import locate as LC
 from fixfold.operators import ordering as OR
 from fixfold.operators import pages as PG
 from fixfold.operators import revalidate as RV
@@ -28,6 +29,7 @@ ORACLE = {}
 CALL_MODELS = ("claude-2", "gpt-4-0613", "gpt-3.5-turbo-0613", "claude-3-haiku-20240307", "gpt-4-1106-preview")
 WORDS = r"\w+"
 BUDGET_CAP = 0.3
+WAVE_ROWS = 100
 
 
 def _calls(spark, sf):
@@ -82,10 +84,7 @@ def q_extract_diff(spark, sf):
 
 
 def q_fenced_list(spark, sf):
-    r = F.col("response")
-    block = F.try_element_at(F.split(r, "```", -1), F.lit(2))
-    items = F.filter(F.split(block, "\n", -1), lambda x: x != "")
-    return _calls(spark, sf).select("call_id", F.array_join(items, "|").alias("items"))
+    return _calls(spark, sf).select("call_id", F.array_join(LC.fenced_list(F.col("response")), "|").alias("items"))
 
 
 def q_repeating_tail(spark, sf):
@@ -270,7 +269,7 @@ def q_unknown_ids(spark, sf):
 
 
 def q_drop_missing_text(spark, sf):
-    return A.predictions(spark, sf).na.drop(subset=["model_patch"]).select("instance_id")
+    return J.drop_missing(A.predictions(spark, sf)).select("instance_id")
 
 
 def q_backfill(spark, sf):
@@ -531,11 +530,24 @@ def q_run_inference(spark, sf):
     conv = Tables(spark, sf).conversations
     done = conv.where(F.col("turn") == 0).select((F.col("conv_id") * 1000 + F.col("turn")).alias("instance_id"))
     echo = lambda ts: ["```diff\n" + t + "\n```" for t in ts]
-    out = run_inference(calls, echo, "gpt-4-0613", done=done, max_cost=BUDGET_CAP)
+    out = run_inference(calls, echo, "gpt-4-0613", done=done, max_cost=BUDGET_CAP, wave_rows=WAVE_ROWS)
     return out.select("instance_id", "model_name_or_path", "model_patch", F.round("cost", 9).alias("cost"))
 
 
 QUERIES["run_inference"] = q_run_inference
+# waves of calls, shortest prompts first, while less than the cap is spent
+ORACLE["run_inference"] = f"""
+WITH w AS (
+  SELECT conv_id * 1000 + turn AS instance_id, text, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS n
+  FROM conversations WHERE turn <> 0),
+r AS (
+  SELECT *, CAST(floor((row_number() OVER (ORDER BY length(text), instance_id) - 1) / {WAVE_ROWS}) AS BIGINT) AS wave,
+         n * {I.MODEL_COST_PER_INPUT["gpt-4-0613"]:.8f} + (n + 1) * {I.MODEL_COST_PER_OUTPUT["gpt-4-0613"]:.8f} AS cost
+  FROM w WHERE n <= {I.MODEL_LIMITS["gpt-4-0613"]}),
+s AS (SELECT wave, sum(CAST(cost AS DECIMAL(18, 8))) AS c FROM r GROUP BY wave),
+b AS (SELECT wave, coalesce(sum(c) OVER (ORDER BY wave ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s)
+SELECT instance_id, 'gpt-4-0613' AS model_name_or_path, text || chr(10) AS model_patch, round(CAST(cost AS DOUBLE), 9) AS cost
+FROM r JOIN b USING (wave) WHERE before < {BUDGET_CAP}"""
 
 ORACLE["revalidate_no_log"] = "WITH " + _REVAL.strip() + """
 SELECT c.config, i.instance_id, 'no_log' AS status

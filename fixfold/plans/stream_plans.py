@@ -86,15 +86,19 @@ FROM events GROUP BY 1"""
 
 
 def q_stream_stalls(spark, sf):
-    src, schema = _stage(spark, _results(spark, sf).withColumn("run", F.lit("r0")), "stalls-src", ["ts"])
-    return S.stream_stalls(spark, src, schema, S.scratch(spark, "stalls-out")).drop("run")
+    """A run is a user's stream of results."""
+    ev = Tables(spark, sf).events.select("ts", F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("run"))
+    src, schema = _stage(spark, ev, "stalls-src", ["ts"])
+    return S.stream_stalls(spark, src, schema, S.scratch(spark, "stalls-out"))
 
 
 QUERIES["stream_stalls"] = q_stream_stalls
 ORACLE["stream_stalls"] = """
-WITH g AS (SELECT ts, CASE WHEN lag(ts) OVER (ORDER BY ts) IS NULL
-                             OR ts - lag(ts) OVER (ORDER BY ts) >= INTERVAL 20 MINUTE THEN 1 ELSE 0 END AS new_s FROM events),
-s AS (SELECT ts, sum(new_s) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g),
-sess AS (SELECT sid, min(ts) AS s0, max(ts) + INTERVAL 20 MINUTE AS s1, count(*) AS n_events FROM s GROUP BY sid)
-SELECT strftime(s0, '%Y-%m-%d %H:%M:%S') AS session_start, strftime(s1, '%Y-%m-%d %H:%M:%S') AS session_end, n_events
-FROM sess WHERE sid < (SELECT max(sid) FROM sess)"""
+WITH g AS (SELECT 'r' || user_id AS run, ts,
+                  CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 20 MINUTE THEN 1 ELSE 0 END AS new_s
+           FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT run, ts, sum(new_s) OVER (PARTITION BY run ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g),
+sess AS (SELECT run, sid, min(ts) AS s0, max(ts) + INTERVAL 20 MINUTE AS s1, count(*) AS n_events FROM s GROUP BY run, sid)
+SELECT run, strftime(s0, '%Y-%m-%d %H:%M:%S') AS session_start, strftime(s1, '%Y-%m-%d %H:%M:%S') AS session_end, n_events,
+       s1 > (SELECT max(ts) FROM events) AS open
+FROM sess"""

@@ -7,8 +7,10 @@ Spark session opens by itself are used.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 # Settings a job needs to behave the same on a laptop and on a cluster.
@@ -25,14 +27,20 @@ DEFAULT_CONF = {
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "fixfold") -> SparkSession:
-    """Build (or reuse) a session.  ``master`` defaults to ``local[$BENCH_CPUS]``."""
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    builder = SparkSession.builder.master(master or f"local[{cpus}]").appName(app)
+    """Build (or reuse) a session.
+
+    A master, a shuffle width or a driver memory that the environment sets stays
+    as it is; without any master a local session of ``$BENCH_CPUS`` cores is made."""
+    conf = SparkConf()
+    builder = SparkSession.builder.appName(app)
     for k, v in DEFAULT_CONF.items():
         builder = builder.config(k, v)
-    builder = builder.config("spark.sql.shuffle.partitions",
-                             str(shuffle_partitions or int(cpus)))
-    builder = builder.config("spark.driver.memory", "16g")
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if master or not conf.contains("spark.master"):
+        builder = builder.master(master or f"local[{os.environ.get('BENCH_CPUS', '8')}]")
+        if not conf.contains("spark.driver.memory"):
+            builder = builder.config("spark.driver.memory", "16g")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -42,9 +50,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    The cluster's ``spark.checkpoint.dir`` wins.  Only when it is unset (a bare
-    local test session) is a fresh scratch folder chosen.
-    """
+    ``spark.checkpoint.dir`` wins.  Only a local session, whose tasks all run on
+    this machine, may go without it: it gets a fresh scratch folder.  On a
+    cluster the setting is needed, for a folder of one machine would not do."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -52,6 +60,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="fixfold-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -346,6 +346,47 @@ def changelog_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("\n</body></html>")).alias("html"))
 
 
+def _month_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, y, m, day): one release a month and order priority, on its last order's day."""
+    o = Tables(spark, sf_dir).orders
+    d = F.col("o_orderdate")
+    return o.groupBy(F.col("o_orderpriority").alias("repo"), F.year(d).alias("y"), F.month(d).alias("m")).agg(
+        F.max(d).cast("date").alias("day"))
+
+
+def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Release pages (site, repo, html) in the markup of five sites; each entry stands there twice."""
+    g = _month_releases(spark, sf_dir)
+    ver = F.concat_ws(".", _s(F.col("y")), _s(F.col("m")), F.lit("0"))
+    date = lambda f: F.date_format("day", f)
+    nav = '<a class="reference internal nav-link" href="#'
+    entry = {
+        "anchors": F.concat(F.lit(nav + "version-x\">Version "), ver, F.lit(" ("), date("d MMMM yyyy"), F.lit(")</a>")),
+        "dashed": F.concat(F.lit('<a class="reference internal nav-link active" href="#v'), F.replace(ver, F.lit("."), F.lit("-")),
+                           F.lit("-"), F.lower(date("MMMM-d-yyyy")), F.lit('">v'), ver, F.lit(" ("), date("MMMM d, yyyy"), F.lit(")</a>")),
+        "padded": F.concat(F.lit(nav + "v\">\n   v"), ver, F.lit(" ("), date("MMMM d, yyyy"), F.lit(")\n  </a>")),
+        "notes": F.concat(F.lit('<a class="reference internal" href="prev_whats_new/whats_new_'), ver,
+                          F.lit(".html\">What's new in Matplotlib "), ver, F.lit(" ("), date("MMM d, yyyy"), F.lit(")</a>")),
+        "table": F.concat(F.lit("<tr class=\"row\"><td><p>"), ver, F.lit("</p></td>\n<td><p>~"), date("MMMM yyyy"),
+                          F.lit("</p></td>\n<td><p>3.8, 3.9</p></td></tr>")),
+    }
+    out = None
+    for site, e in entry.items():
+        x = g.select(F.lit(site).alias("site"), "repo", F.struct("y", "m", F.concat(e, F.lit("\n"), e).alias("e")).alias("x"))
+        out = x if out is None else out.unionByName(x)
+    return out.groupBy("site", "repo").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list("x")), lambda v: v["e"]), "\n").alias("html"))
+
+
+def release_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Release names (repo, name, published_at): every other one holds its date itself."""
+    g = _month_releases(spark, sf_dir)
+    ver = F.concat_ws(".", _s(F.col("y") % 10), _s(F.col("m") % 10), F.lit("3"))
+    dated = F.concat(F.lit("["), ver, F.lit("] - "), F.date_format("day", "yyyy-MM-dd"))
+    return g.select("repo", F.when(F.col("m") % 2 == 0, dated).otherwise(F.concat(F.lit("SQLFluff "), ver)).alias("name"),
+                    F.date_format("day", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published_at"))
+
+
 def release_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V5 tasks: line items with their order's priority as repository and the
     ship date as creation time."""

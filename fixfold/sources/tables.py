@@ -13,23 +13,11 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
-# Tables with per-row work heavy enough that every core should get a share.
-SPREAD = ("documents", "pages", "conversations")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one table.  A scan that yields fewer splits than the cluster has
-    cores (a small file written as one row group) is spread round-robin over
-    ``defaultParallelism`` partitions; a large table already scans in many
-    splits and is left alone, so no shuffle is added at scale."""
+    """Read one table; how it is split is up to the scan (``spark.sql.files.maxPartitionBytes``)."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}; known: {', '.join(TABLES)}")
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if name in SPREAD:
-        par = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < par:
-            df = df.repartition(par)
-    return df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 class Tables:

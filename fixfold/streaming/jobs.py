@@ -1,12 +1,12 @@
 """Structured Streaming forms of the append-and-resume jobs.
 
-Sources are file streams (parquet folders that grow).  Append-style jobs
-(T1, T2, T4, T5 stalls) write each micro-batch through ``foreachBatch`` into its
-own ``epoch=<id>`` partition with dynamic partition overwrite, so a retried
-micro-batch replaces its own output instead of duplicating it; aggregate jobs
-(T3, T5 progress) run in complete mode and each micro-batch overwrites the
-sink with the full snapshot.  Every job keeps its offsets and state in a
-checkpoint folder under the cluster's ``spark.checkpoint.dir``.
+Sources are file streams (parquet folders that grow).  Every job writes each
+micro-batch through ``foreachBatch`` into its own ``epoch=<id>`` partition with
+dynamic partition overwrite, so a retried micro-batch replaces its own output
+instead of duplicating it.  Aggregate jobs (T3, T5) run in complete mode: each
+epoch holds the full snapshot and readers take the latest one.  Every job keeps
+its offsets and state in a checkpoint folder under the cluster's
+``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -25,6 +25,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base}/fixfold-stream/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, asked of its own file system (faults are raised)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def stage_files(df: DataFrame, path: str, n_files: int, order: list) -> None:
     """Land ``df`` in ``path`` as a feed would: ``n_files`` ranges of ``order``,
     each appended by its own write, so the files' arrival order (which a file
@@ -38,11 +44,8 @@ def stage_files(df: DataFrame, path: str, n_files: int, order: list) -> None:
      .withColumn("_range", F.spark_partition_id()).write.mode("overwrite").partitionBy("_range").parquet(staging))
     spark = df.sparkSession
     for i in range(n_files):
-        try:
-            part = spark.read.parquet(f"{staging}/_range={i}")
-        except Exception:  # noqa: BLE001 - an empty range writes no folder
-            continue
-        part.coalesce(1).write.mode("append").parquet(path)
+        if exists(spark, f"{staging}/_range={i}"):  # an empty range writes no folder
+            spark.read.parquet(f"{staging}/_range={i}").coalesce(1).write.mode("append").parquet(path)
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -64,59 +67,70 @@ def _epoch_writer(path: str):
     return write
 
 
-def stream_once(spark: SparkSession, source: str, schema, key: list, ts: str, out: str,
-                delay: str = "3650 days") -> DataFrame:
-    """Each key written once across micro-batches and restarts.
+def stream_once(spark: SparkSession, source: str, schema, key: list, ts: str, out: str) -> DataFrame:
+    """Each key written once across micro-batches and restarts, however late it comes.
 
-    ``dropDuplicatesWithinWatermark`` removes repeats inside the watermark;
-    keys that come back after their state expired are caught by an anti-join
-    against what the sink already holds (earlier epochs)."""
-    s = read_stream(spark, source, schema).withWatermark(ts, delay).dropDuplicatesWithinWatermark(key)
+    A micro-batch keeps its distinct keys and drops those that earlier epochs
+    of the sink hold (an anti-join); no state and no watermark is involved."""
+    s = read_stream(spark, source, schema)
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        b = batch.select(*key, ts)
-        try:
-            seen = spark.read.parquet(out).where(F.col("epoch") < epoch_id).select(*key)
-            b = b.join(seen, key, "left_anti")
-        except Exception:  # noqa: BLE001 - first epoch: nothing written yet
-            pass
+        b = batch.select(*key, ts).dropDuplicates(key)
+        if exists(spark, out):
+            seen = spark.read.schema(f"{_ddl(batch, key)}, epoch int").parquet(out)
+            b = b.join(seen.where(F.col("epoch") < epoch_id).select(*key), key, "left_anti")
         _epoch_writer(out)(b, epoch_id)
 
     _run(s, write, out + "_ckpt")
     return spark.read.parquet(out).drop("epoch")
 
 
+def _ddl(df: DataFrame, columns: list) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
 def stream_snapshot(spark: SparkSession, sdf: DataFrame, out: str, finish=None) -> DataFrame:
     """Run a streaming aggregation in complete mode; each micro-batch's full
     result (optionally finished by ``finish``, a DataFrame → DataFrame function)
-    replaces the sink.  Returns the final snapshot."""
+    is an epoch of its own.  Returns the latest one."""
     def write(batch: DataFrame, epoch_id: int) -> None:
-        b = finish(batch) if finish else batch
-        b.write.mode("overwrite").parquet(out)
+        _epoch_writer(out)(finish(batch) if finish else batch, epoch_id)
 
     _run(sdf, write, out + "_ckpt", mode="complete")
-    return spark.read.parquet(out)
+    all_epochs = spark.read.parquet(out)
+    last = all_epochs.agg(F.max("epoch")).first()[0]
+    return all_epochs.where(F.col("epoch") == last).drop("epoch")
 
 
-def stream_status(spark: SparkSession, logs_path: str, schema, out: str, keys=("instance_id",)) -> DataFrame:
+def stream_status(spark: SparkSession, logs_path: str, schema, out: str, keys=("instance_id",),
+                  order: str | None = None) -> DataFrame:
     """Evaluation logs arrive as whole files (one row per log); every
     micro-batch is parsed with the batch parser (all dialects, the verbose
     runner's carried state and multi-line patterns included) and written to its
-    epoch partition.  A log that arrives again replaces the earlier result: the
-    reader keeps each key's latest epoch."""
+    epoch partition, with one row without a test for each log.  A log that
+    arrives again replaces the earlier result, also when it holds no test any
+    more: the reader keeps each key's latest epoch.  Of two logs of a key in one
+    micro-batch the one with the larger ``order`` column counts (without one:
+    the later row)."""
     from fixfold.operators import grading as G
 
     keys = list(keys)
     s = read_stream(spark, logs_path, schema)
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        parsed = G.parse_logs(G.applied_logs(G.with_rule(batch, spark)), keys)
-        _epoch_writer(out)(parsed, epoch_id)
+        later = F.col(order) if order else F.monotonically_increasing_id()
+        rest = [c for c in batch.columns if c not in keys]
+        one = batch.withColumn("_later", later).groupBy(*keys).agg(
+            F.max_by(F.struct(*rest), "_later").alias("_l")).select(*keys, "_l.*")
+        parsed = G.parse_logs(G.applied_logs(G.with_rule(one, spark)), keys)
+        none = F.lit(None).cast("string")
+        mark = one.select(*keys, none.alias("test_case"), none.alias("status"))
+        _epoch_writer(out)(parsed.unionByName(mark), epoch_id)
 
     _run(s, write, out + "_ckpt")
     res = spark.read.parquet(out)
     latest = res.groupBy(*keys).agg(F.max("epoch").alias("epoch"))
-    return res.join(latest, keys + ["epoch"]).drop("epoch")
+    return res.join(latest, keys + ["epoch"]).where("test_case is not null").drop("epoch")
 
 
 def stream_vote(spark: SparkSession, attempts_path: str, schema, out: str) -> DataFrame:
@@ -164,7 +178,7 @@ def stream_progress(spark: SparkSession, results_path: str, schema, out: str, ts
                     window: str = "5 minutes") -> DataFrame:
     """T5: results per time window (total / completed / errors), kept as a
     complete snapshot so late rows update their window."""
-    s = read_stream(spark, results_path, schema).withWatermark(ts, "1 day")
+    s = read_stream(spark, results_path, schema)
     agg = s.groupBy(F.window(ts, window).alias("w")).agg(
         F.count(F.lit(1)).alias("n_total"),
         F.count_if(F.col("status") == "error").alias("n_error"),
@@ -177,11 +191,17 @@ def stream_stalls(spark: SparkSession, results_path: str, schema, out: str, ts:
                   gap: str = "20 minutes", run: str = "run") -> DataFrame:
     """T5 stall detection: activity sessions per run with a 20-minute gap
     (``session_window``); a new session means no result came for the gap.
-    Sessions are emitted once the watermark closes them, so a still-open last
-    session is not reported."""
-    s = read_stream(spark, results_path, schema).withWatermark(ts, "0 seconds")
-    sess = s.groupBy(run, F.session_window(ts, gap).alias("s")).agg(F.count(F.lit(1)).alias("n_events"))
-    sess = sess.select(run, F.date_format("s.start", "yyyy-MM-dd HH:mm:ss").alias("session_start"),
-                       F.date_format("s.end", "yyyy-MM-dd HH:mm:ss").alias("session_end"), "n_events")
-    _run(sess, _epoch_writer(out), out + "_ckpt")
-    return spark.read.parquet(out).drop("epoch")
+
+    Complete mode: late rows still join their session.  A session is ``open``
+    while the latest result of all runs is within the gap after its last one."""
+    s = read_stream(spark, results_path, schema)
+    sess = s.groupBy(run, F.session_window(ts, gap).alias("s")).agg(
+        F.count(F.lit(1)).alias("n_events"), F.max(ts).alias("last"))
+
+    def finish(b: DataFrame) -> DataFrame:
+        latest = b.agg(F.max("last")).first()[0]
+        return b.select(run, F.date_format("s.start", "yyyy-MM-dd HH:mm:ss").alias("session_start"),
+                        F.date_format("s.end", "yyyy-MM-dd HH:mm:ss").alias("session_end"), "n_events",
+                        (F.col("s.end") > F.lit(latest)).alias("open"))
+
+    return stream_snapshot(spark, sess, out, finish)
