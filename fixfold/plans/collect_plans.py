@@ -386,7 +386,7 @@ _REL_DAY = """
 WITH d AS (SELECT o_orderpriority AS repo, year(o_orderdate) AS y, month(o_orderdate) AS m, CAST(max(o_orderdate) AS DATE) AS day
            FROM orders GROUP BY 1, 2, 3)"""
 ORACLE["releases_by_site"] = _REL_DAY + """
-SELECT site, repo, y || '.' || m AS version, CASE WHEN site = 'table' THEN date_trunc('month', day) ELSE day END AS released_at
+SELECT site, repo, y || '.' || m AS version, day AS released_at
 FROM d, (VALUES ('anchors'), ('dashed'), ('padded'), ('notes')) AS s(site)
 UNION ALL SELECT 'table', repo, y || '.' || m || '.0', CAST(date_trunc('month', day) AS DATE) FROM d
 UNION ALL SELECT 'names', repo, (y % 10) || '.' || (m % 10), max(day) FROM d GROUP BY repo, y % 10, m % 10"""
