@@ -47,7 +47,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of word shingles as sorted 64-bit hashes; word hashes are cached."""
 
-    def __init__(self, size: int = 5, cache_size: int = 1_000_000):
+    def __init__(self, size: int = 5, cache_size: int = 400_000):
         self.size, self.cache, self.cache_size = size, {}, cache_size
         self.factors = np.random.default_rng(101).integers(1, 1 << 63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 

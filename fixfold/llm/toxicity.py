@@ -145,7 +145,7 @@ class ToxicityModel:
         if not text:
             return set()
         out, cache, restore = set(), self.cache, Restorer(self.costs).restore
-        if len(cache) > 400_000:
+        if len(cache) > 200_000:
             cache.clear()
         low = text.lower()
         for token in set(low.split()):
