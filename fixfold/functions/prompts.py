@@ -125,6 +125,8 @@ TEMPLATES = {
                       ("col", "readmes_text"), ("col", "code_text"), "</code>", FULL_FILE_INSTRUCTIONS,
                       "<example>", FULL_GENERATION_EXAMPLE, "</example>"],
 }
+# the same parts; its code text is the edits-only excerpt
+TEMPLATES["style-2-edits-only"] = TEMPLATES["style-2"]
 
 # Prompts of the locate → edit repair chain ({name} marks an input column).
 LOCATE_FILES_PROMPT = """### Repository Structure ###

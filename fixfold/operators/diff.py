@@ -159,10 +159,13 @@ def modified_files(patch) -> Column:
     return F.array_distinct(F.regexp_extract_all(col_(patch), F.lit(r"(?dm)^--- a/(.*)$"), 1))
 
 
-def oracle_files(patch) -> Column:
-    """Source files of a patch, sorted and distinct, without ``a/``; a new file has none."""
-    src = F.regexp_extract_all(col_(patch), F.lit(r"(?dm)^--- (?:a/)?(.*)$"), 1)
-    return F.array_sort(F.array_distinct(F.filter(src, lambda x: x != DEV_NULL)))
+def oracle_files(lines: DataFrame, keys) -> DataFrame:
+    """(keys, files) — the distinct source files of a patch (a new file's is
+    ``/dev/null``), cut after the first ``a/``, sorted."""
+    keys = list(keys)
+    src = lines.where((F.col("kind") == "header") & F.col("line").startswith("--- "))
+    name = F.regexp_replace(F.substr("line", F.lit(5)), r"^.*?a/", "")
+    return src.groupBy(*keys).agg(F.array_sort(F.collect_set(name)).alias("files"))
 
 
 def split_patch(lines: DataFrame, files: DataFrame, keys, rule=None) -> DataFrame:

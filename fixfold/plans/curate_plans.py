@@ -446,6 +446,22 @@ def _doc_contents(spark, sf):
 QUERIES["edit_excerpt"] = q_edit_excerpt
 
 
+def q_prompt_edits_only(spark, sf):
+    from fixfold.operators.context import render_prompt
+
+    df = _inst(spark, sf).select("instance_id", "problem_statement").join(q_edit_excerpt(spark, sf), "instance_id") \
+        .withColumn("readmes_text", F.lit(""))
+    return df.select("instance_id", render_prompt(df, "style-2-edits-only").alias("prompt"))
+
+
+def q_oracle_files(spark, sf):
+    return D.oracle_files(_lines(spark, sf), K).select("instance_id", F.array_join("files", ",").alias("files"))
+
+
+QUERIES["prompt_edits_only"] = q_prompt_edits_only
+QUERIES["oracle_files"] = q_oracle_files
+
+
 def _num(c):
     return (f"list_transform(string_split({c}, chr(10)), lambda l, i: CAST(i AS VARCHAR) || ' ' || l)")
 
@@ -469,3 +485,25 @@ SELECT instance_id, regexp_replace(string_agg('[start of ' || path || ']' || chr
          || regexp_replace(body, '^\\n+|\\n+$', '', 'g') || chr(10) || '[end of ' || path || ']' || chr(10), '' ORDER BY path),
        '^\\n+|\\n+$', '', 'g') AS code_text
 FROM blocks GROUP BY instance_id"""
+
+
+def _edits_only_sql():
+    from fixfold.functions.prompts import TEMPLATES
+
+    def text(v):
+        return "'" + v.replace("'", "''") + "'"
+
+    cols = {"problem_statement": "coalesce(i.problem_statement, '')", "readmes_text": "''", "code_text": "coalesce(e.code_text, '')"}
+    parts = ", ".join(cols[p[1]] if isinstance(p, tuple) else text(p) for p in TEMPLATES["style-2-edits-only"])
+    return f"concat_ws(chr(10), {parts})"
+
+
+ORACLE["prompt_edits_only"] = with_views(_V) + f"""
+SELECT i.instance_id, {_edits_only_sql()} AS prompt
+FROM instances i JOIN ({ORACLE["edit_excerpt"]}) e USING (instance_id)"""
+ORACLE["oracle_files"] = with_views(_V) + """
+SELECT instance_id, array_to_string(list_sort(list_distinct(list_transform(
+         list_filter(string_split(patch, chr(10)), lambda l, i: starts_with(l, '--- ')
+                     AND starts_with(string_split(patch, chr(10))[i + 1], '+++ ')),
+         lambda l: CASE WHEN strpos(l, 'a/') > 0 THEN substr(l, strpos(l, 'a/') + 2) ELSE substr(l, 5) END))), ',') AS files
+FROM instances WHERE patch IS NOT NULL AND contains(patch, '--- ')"""
