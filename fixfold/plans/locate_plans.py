@@ -112,11 +112,12 @@ def q_import_edges(spark, sf):
 
 
 def _graph(spark, sf):
-    li = Tables(spark, sf).lineitem
-    edges = li.select((F.col("l_partkey") % 500).alias("src"),
-                      ((F.col("l_partkey") + F.col("l_suppkey")) % 500).alias("dst")).distinct()
-    roots = Tables(spark, sf).part.where(F.col("p_size") == 1).select((F.col("p_partkey") % 500).alias("root"))
-    return edges, roots.distinct()
+    """Orders as files that include each other: each by the order of a quarter of
+    its key, neighbours mutually (cycles).  Grows with the orders."""
+    o, k = Tables(spark, sf).orders, F.col("o_orderkey")
+    edges = o.select(F.floor(k / 4).alias("src"), k.alias("dst")).unionByName(
+        o.select(k.alias("src"), (k + 1 - 2 * (k % 2)).alias("dst")))
+    return edges, o.where(F.col("o_custkey") % 50 == 0).select(k.alias("root"))
 
 
 def q_reachable(spark, sf):
@@ -186,20 +187,18 @@ code_symbols AS (
   WHERE i % 12 IN (0, 2, 5, 8))"""
 
 
-def _block(k):
-    c = k * 12
-    return (f"'# ' || p || chr(10) || 'function: f{c + 8}' || chr(10) || chr(10) || chr(10) || '# ' || p || chr(10) "
-            f"|| 'class: C{c}' || chr(10) || 'method: m{c + 2}' || chr(10) || chr(10) || chr(10) || '# ' || p "
-            f"|| chr(10) || 'variable: V{c + 7}' || chr(10) || chr(10) || chr(10) || '# ' || p || chr(10) "
-            f"|| 'class: C{c + 12}'")
+_BLOCK = """'# ' || p || chr(10) || 'function: f' || (k * 12 + 8) || chr(10) || chr(10) || chr(10) || '# ' || p || chr(10)
+  || 'class: C' || (k * 12) || chr(10) || 'method: m' || (k * 12 + 2) || chr(10) || chr(10) || chr(10) || '# ' || p
+  || chr(10) || 'variable: V' || (k * 12 + 7) || chr(10) || chr(10) || chr(10) || '# ' || p || chr(10)
+  || 'class: C' || (k * 12 + 12)"""
 
 
 VIEWS["locate_answers"] = f"""
 locate_answers AS (
   SELECT instance_id, 'Here:' || chr(10) || '```' || chr(10) || '# docs/README.md' || chr(10) || 'function: x'
-         || chr(10) || chr(10) || chr(10) || concat_ws(chr(10) || chr(10) || chr(10), {", ".join(_block(k) for k in range(8))})
+         || chr(10) || chr(10) || chr(10) || array_to_string(list_transform(range(0, n), lambda k: {_BLOCK}), chr(10) || chr(10) || chr(10))
          || chr(10) || '```' || chr(10) AS answer
-  FROM (SELECT {_INST} AS instance_id, {_PATH} AS p FROM documents))"""
+  FROM (SELECT {_INST} AS instance_id, {_PATH} AS p, (len(string_split(text, chr(10))) + 11) // 12 AS n FROM documents))"""
 
 VIEWS["edit_answers"] = f"""
 edit_answers AS (
@@ -330,8 +329,9 @@ ORACLE["with_content"] = with_views(["code_lines", "code_files"]) + "\nSELECT in
 ORACLE["encode_documents"] = with_views(["code_lines", "code_files"]) + \
     "\nSELECT instance_id, path, concat_ws(chr(10), path, text) AS contents FROM code_files"
 ORACLE["reachable"] = """
-WITH RECURSIVE edges AS (SELECT DISTINCT l_partkey % 500 AS src, (l_partkey + l_suppkey) % 500 AS dst FROM lineitem),
-roots AS (SELECT DISTINCT p_partkey % 500 AS root FROM part WHERE p_size = 1),
+WITH RECURSIVE edges AS (SELECT o_orderkey // 4 AS src, o_orderkey AS dst FROM orders
+  UNION SELECT o_orderkey, o_orderkey + 1 - 2 * (o_orderkey % 2) FROM orders),
+roots AS (SELECT o_orderkey AS root FROM orders WHERE o_custkey % 50 = 0),
 r(root, node) AS (
   SELECT root, root FROM roots
   UNION

@@ -521,7 +521,7 @@ def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def locate_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Located-symbol answers (instance_id, answer): a non-Python location first,
-    then for cycles 0–7 of the module a function, a class with one method, a
+    then for each cycle of twelve lines of the module a function, a class with one method, a
     constant and a whole class."""
     d = Tables(spark, sf_dir).documents
     inst = F.concat(F.replace(_doc_repo(), F.lit("/"), F.lit("__")), F.lit("-"), _s(F.col("doc_id")))
@@ -533,7 +533,7 @@ def locate_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.lit("\nclass: C"), _s(c), F.lit("\nmethod: m"), _s(c + 2), F.lit("\n\n\n# "), p,
                         F.lit("\nvariable: V"), _s(c + 7), F.lit("\n\n\n# "), p, F.lit("\nclass: C"), _s(c + 12))
 
-    body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), block), "\n\n\n")
+    body = F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size(F.split("text", "\n", -1)) + 11) / 12).cast("int") - 1), block), "\n\n\n")
     return d.select(inst.alias("instance_id"),
                     F.concat(F.lit("Here:\n```\n# docs/README.md\nfunction: x\n\n\n"), body, F.lit("\n```\n"))
                     .alias("answer"))

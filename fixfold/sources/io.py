@@ -128,12 +128,18 @@ def read_source_tree(spark: SparkSession, root: str, include_tests: bool = False
 def decode_content(content) -> "F.Column":
     """Bytes → text.  A byte-order mark names the encoding; else valid UTF-8;
     else, without a NUL byte, a single-byte encoding (ISO-8859-1, which maps
-    every byte); what holds a NUL byte is the binary placeholder."""
+    every byte); other texts with a NUL byte, and UTF-16 with surrogate pairs or
+    an odd length, are the binary placeholder."""
     s = content.cast("string")
     head = F.hex(F.substring(content, 1, 3))
     nul = F.position(F.lit(b"\0"), content) > 0
+    size = F.octet_length(content)
+    # UTF-16 units that stand in pairs may be malformed, and decoding them an error
+    high = F.when(F.substring(head, 1, 4) == "FFFE", F.lit(2)).otherwise(F.lit(1))
+    paired = F.exists(F.sequence(F.lit(0), F.greatest(F.floor(size / 2).cast("int") - 1, F.lit(0))),
+                      lambda i: F.hex(F.substring(content, 2 * i + high, F.lit(1))).rlike("^D[89A-F]"))
     return (F.when(head == "EFBBBF", F.substring(content, 4, F.octet_length(content)).cast("string"))
-            .when(F.substring(head, 1, 4).isin("FFFE", "FEFF"), F.decode(content, "UTF-16"))
+            .when(F.substring(head, 1, 4).isin("FFFE", "FEFF") & (size % 2 == 0) & ~paired, F.decode(content, "UTF-16"))
             .when(F.is_valid_utf8(s) & ~nul, s)
             .when(nul, F.lit(BINARY_PLACEHOLDER))
             .otherwise(F.decode(content, "ISO-8859-1")))
