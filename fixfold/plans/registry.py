@@ -14,6 +14,7 @@ SLICES = (
     "fixfold.plans.misc_plans",
     "fixfold.plans.locate_plans",
     "fixfold.plans.stream_plans",
+    "fixfold.plans.io_plans",
 )
 
 
