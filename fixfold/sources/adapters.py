@@ -18,6 +18,12 @@ from fixfold.sources.tables import Tables
 NL = "\n"
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents dealt over the cores: the test table is one row group, which
+    a scan cannot split.  Only stand-ins do this; the readers leave a table as it is."""
+    return Tables(spark, sf_dir).documents.repartition(spark.sparkContext.defaultParallelism, "doc_id")
+
+
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1 attempts(instance_id, run_id, patch, resolved) from ``lineitem``."""
     li = Tables(spark, sf_dir).lineitem
@@ -190,7 +196,7 @@ def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V6 patches(doc_id, patch): every line of a document becomes a diff line
     (prefix by position: ' ', '+', '-'), six lines per hunk, hunks dealt over
     1–3 files; every 7th file is a new file.  Headers are consistent."""
-    d = Tables(spark, sf_dir).documents.select("doc_id", "text")
+    d = _documents(spark, sf_dir).select("doc_id", "text")
     lines = d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
     nf = F.col("doc_id") % 3 + 1
     h = F.expr("i div 6")
@@ -230,7 +236,7 @@ def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V4 task instances: one per document.  The statement is the whole text
     plus an issue marker chosen by doc_id % 4; the test patch is one of five
     shapes by doc_id % 5; the patch is V6."""
-    d = Tables(spark, sf_dir).documents.select("doc_id", "text", "lang", "source")
+    d = _documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
     k = _s(F.col("doc_id") % 50)
     m = F.col("doc_id") % 4
     marker = (F.when(m == 0, F.concat(F.lit(" fixes #"), k))
@@ -257,7 +263,7 @@ def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known issues (repo, number): every document is an issue of its repo."""
-    d = Tables(spark, sf_dir).documents
+    d = _documents(spark, sf_dir)
     return d.select(_doc_repo().alias("repo"), F.col("doc_id").alias("number"))
 
 
@@ -271,7 +277,7 @@ def pulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pull requests, one per document: title = first line, body = whole text
     plus a closing reference to the document's own number (doc_id % 3), every
     5th unmerged."""
-    d = Tables(spark, sf_dir).documents
+    d = _documents(spark, sf_dir)
     n = F.col("doc_id")
     ref = (F.when(n % 3 == 0, F.concat(F.lit(" fixes #"), _s(n)))
            .when(n % 3 == 1, F.concat(F.lit(" Closes #"), _s(n), F.lit(" <!-- closes #9 -->")))
@@ -322,7 +328,7 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def issue_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues (repo, number, title, body): every document."""
-    d = Tables(spark, sf_dir).documents
+    d = _documents(spark, sf_dir)
     return d.select(_doc_repo().alias("repo"), F.col("doc_id").alias("number"),
                     F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body"))
 
@@ -402,7 +408,7 @@ def release_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def version_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source files with version lines (instance_id, repo, file_pos, text): the
     document text plus a version assignment of one of four shapes."""
-    d = Tables(spark, sf_dir).documents
+    d = _documents(spark, sf_dir)
     n = F.col("doc_id")
     tail = (F.when(n % 4 == 0, F.concat(F.lit('\n__version__ = "'), _s(n % 7), F.lit("."), _s(n % 11),
                                         F.lit("."), _s(n), F.lit('"')))
@@ -433,7 +439,7 @@ CORPORA = ("de", "en", "es", "fr")
 def corpus_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V7 corpus (corpus, docid, contents): documents grouped by language; every
     50th document is a README."""
-    d = Tables(spark, sf_dir).documents
+    d = _documents(spark, sf_dir)
     n = F.col("doc_id")
     docid = F.when(n % 50 == 0, F.concat(F.col("source"), F.lit("/README_"), _s(n), F.lit(".md"))) \
         .otherwise(F.concat(F.col("source"), F.lit("/mod_"), _s(n), F.lit(".py")))
@@ -484,7 +490,7 @@ def _code_path():
 
 def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(instance_id, repo, path, line_no, text): every line of every module."""
-    d = Tables(spark, sf_dir).documents
+    d = _documents(spark, sf_dir)
     inst = F.concat(F.replace(_doc_repo(), F.lit("/"), F.lit("__")), F.lit("-"), _s(F.col("doc_id")))
     base = d.select(inst.alias("instance_id"), _doc_repo().alias("repo"), _code_path().alias("path"),
                     F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
@@ -503,7 +509,7 @@ def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(instance_id, path, kind, cls, name, start, end): the classes, methods and
     functions of each module with their line spans (what a repository
     structure dump lists)."""
-    d = Tables(spark, sf_dir).documents
+    d = _documents(spark, sf_dir)
     inst = F.concat(F.replace(_doc_repo(), F.lit("/"), F.lit("__")), F.lit("-"), _s(F.col("doc_id")))
     n = F.size(F.split("text", "\n", -1))
     base = d.select(inst.alias("instance_id"), _code_path().alias("path"), n.alias("n"),
@@ -523,7 +529,7 @@ def locate_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Located-symbol answers (instance_id, answer): a non-Python location first,
     then for each cycle of twelve lines of the module a function, a class with one method, a
     constant and a whole class."""
-    d = Tables(spark, sf_dir).documents
+    d = _documents(spark, sf_dir)
     inst = F.concat(F.replace(_doc_repo(), F.lit("/"), F.lit("__")), F.lit("-"), _s(F.col("doc_id")))
     p = _code_path()
 
@@ -543,7 +549,7 @@ def edit_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search/replace answers (instance_id, attempt, answer): two attempts per
     module; the first searches a line that is absent for every third module.
     Each answer also holds an edit of an unknown file and a blank search."""
-    d = Tables(spark, sf_dir).documents
+    d = _documents(spark, sf_dir)
     inst = F.concat(F.replace(_doc_repo(), F.lit("/"), F.lit("__")), F.lit("-"), _s(F.col("doc_id")))
     first_len = _s(F.length(F.split("text", "\n", -1)[0]))
     hit = F.concat(F.lit("        return "), first_len)
