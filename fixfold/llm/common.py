@@ -37,6 +37,13 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds), F.lit(0))
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices: Python objects of few rows at a time, however long the texts of a batch are."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def map_rows(df: DataFrame, columns: list[str], make, fields: list[tuple[str, str]]) -> DataFrame:
     """Append ``fields`` computed from ``columns`` row by row in Arrow batches.
 
@@ -57,7 +64,7 @@ def map_rows(df: DataFrame, columns: list[str], make, fields: list[tuple[str, st
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for b in batches:
+        for b in slices(batches):
             out = fn(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in columns))
             cols = list(zip(*out)) if out else [()] * len(names)
             arrays = list(b.columns) + [pa.array(list(c), type=t) for c, t in zip(cols, types)]

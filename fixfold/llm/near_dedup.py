@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fixfold.llm.common import checkpointed, free_name
+from fixfold.llm.common import checkpointed, free_name, slices
 from fixfold.llm.components import connected_components
 
 _NIBBLES = np.array([((x & 15) > 0) + ((x >> 4) > 0) for x in range(256)], dtype=np.uint8)
@@ -138,7 +138,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, index: Index, size
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, signer = Shingler(size), Signer(index)
-        for b in batches:
+        for b in slices(batches):
             n, fp, sig, keys = [], [], [], []
             for text in b.column(1).to_pylist():
                 s = shingler.shingles(text)

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from fixfold.llm.common import slices
+
 #: Characters on which both byte-level BPE implementations split alike whatever
 #: Unicode tables they carry; any other text goes to the reference library.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e¡-ɏ‐-‧€]*")
@@ -212,15 +214,13 @@ def pack_documents(docs: DataFrame, encoder, id_col: str = "doc_id", text_col: s
             return pa.RecordBatch.from_arrays(
                 [pa.array(list(c), type=t) for c, t in zip(columns, types)], names=schema.names)
 
-        for b in batches:
+        for b in slices(batches, 64):  # bounds what is encoded but not yet packed
             kind = b.schema.field(0).type
-            keys = b.column(0).to_pylist()
-            for k in range(0, len(keys), 64):  # bounds what is encoded but not yet packed
-                texts = [t or "" for t in b.column(1).slice(k, 64).to_pylist()]
-                for key, ids in zip(keys[k:k + 64], encode(texts)):
-                    emit(packer.add(key, np.array([*ids, end_id], dtype="<u4")))
-                if len(out) >= 4096:
-                    yield batch()
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for key, ids in zip(b.column(0).to_pylist(), encode(texts)):
+                emit(packer.add(key, np.array([*ids, end_id], dtype="<u4")))
+            if len(out) >= 4096:
+                yield batch()
         emit(packer.finish())
         if out:
             yield batch()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fixfold.llm.common import checkpointed, free_name, map_rows
+from fixfold.llm.common import checkpointed, free_name, map_rows, slices
 
 #: What letters a character may imitate.
 LOOKALIKES = {
@@ -167,10 +167,8 @@ def corpus_trigrams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Trigram counts over all texts: summed in each task, then by a shuffle of at most 28**3 keys a task."""
     def run(batches):
         total = np.zeros(_SIZE ** 3, dtype=np.int64)
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            for k in range(0, len(texts), 64):
-                total += trigram_counts(" ".join(t for t in texts[k:k + 64] if t))
+        for b in slices(batches, 64):
+            total += trigram_counts(" ".join(t for t in b.column(0).to_pylist() if t))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["k", "n"])
 
@@ -189,7 +187,7 @@ def _word_table(sample: DataFrame) -> DataFrame:
     """
     def run(batches):
         toxic, clean, before = Counter(), Counter(), set()
-        for b in batches:
+        for b in slices(batches):
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 tokens = (text or "").lower().split()
                 of = {t: words_of(t, lambda _: "") for t in set(tokens)}
