@@ -1,12 +1,15 @@
 """Secret scans through nested encodings: a recursive decoding worklist.
 
 A text is layer 0.  Every layer is scanned for the secret kinds, then decoded
-in two ways: escapes (percent, ``\\u``/``\\x``, character references) and
-base64 runs, which are opened further when they hold zlib, gzip, bzip2 or xz
-data.  Each decoded text is a new layer and goes back on the worklist until
-nothing new turns up; layers already seen (by digest) are not followed again,
-so cycles end.  A layer keeps, piece by piece, where its characters come from,
-and each finding is mapped back to a span of the original text.
+in three ways: escapes (percent, ``\\u``/``\\x``, character references),
+base64 runs, and base64 runs wrapped over lines.  What holds zlib, gzip, bzip2
+or xz data is inflated, all members, until it is no longer compressed.  Bytes
+are read as Latin-1: all that is looked for is ASCII, so other letters, control
+characters and broken bytes change nothing.  Each decoded text is a new layer
+and goes back on the worklist until nothing new turns up; layers already seen
+(by digest) are not followed again, so cycles end.  A layer keeps, piece by
+piece, where its characters come from, and each finding is mapped back to a
+span of the original text.
 """
 
 from __future__ import annotations
@@ -18,7 +21,10 @@ import html
 import lzma
 import re
 import zlib
+from array import array
 from bisect import bisect_right
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,9 +41,13 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2})+|&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|quot|amp|apos|lt|gt|equals|colon|lowbar|period|plus|sol|num);")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uUx]([0-9A-Fa-f]+)")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-_PRINTABLE = re.compile(r"[\t\n\r\x20-\x7e]*")
-#: A layer that would inflate beyond this many bytes stays shut (and is counted).
+#: A run over two or more lines (line breaks may be escaped, lines indented).
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[ \t]*+(?:\r?\n|\r|(?:\\r)?\\n)[ \t]*+[A-Za-z0-9+/_-]++)+={0,2}")
+_LINE = re.compile(r"(?:(?<=\\n)|(?<![A-Za-z0-9+/_\\-]))[A-Za-z0-9+/_-]+")
+_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+#: Content that inflates beyond this many bytes is not one layer: it is scanned in overlapping windows (and counted).
 MAX_INFLATED = 64 << 20
+WINDOW, OVERLAP = 8 << 20, 2 << 20
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -54,7 +64,12 @@ def scan(text: str) -> list[tuple[int, int, int]]:
 
 
 class Layer:
-    """A decoded text and the pieces it is made of: (start here, start and end in the parent, literal)."""
+    """A decoded text and the pieces it is made of: (start here, start and end in the parent, places).
+
+    ``places`` is None where the parent's characters stand unchanged, empty where
+    every character comes from the whole span, or else the positions in the parent
+    of the base64 characters that the piece was decoded from.
+    """
 
     def __init__(self, text: str, parent: Layer | None = None, pieces=(), depth: int = 0):
         self.text, self.parent, self.pieces, self.depth = text, parent, pieces, depth
@@ -65,7 +80,14 @@ class Layer:
         while layer.parent is not None:
             a = layer.pieces[bisect_right(layer.starts, start) - 1]
             b = layer.pieces[bisect_right(layer.starts, end - 1) - 1]
-            start, end = (a[1] + start - a[0] if a[3] else a[1]), (b[1] + end - b[0] if b[3] else b[2])
+            if a[3] is None:
+                start = a[1] + start - a[0]
+            else:
+                start = a[3][4 * (start - a[0]) // 3] if a[3] else a[1]
+            if b[3] is None:
+                end = b[1] + end - b[0]
+            else:
+                end = b[3][min(-(-4 * (end - b[0]) // 3), len(b[3])) - 1] + 1 if b[3] else b[2]
             layer = layer.parent
         return start, end
 
@@ -104,93 +126,190 @@ def _escapes(text: str) -> list[tuple[int, int, list[tuple[str, int, int]]]]:
     return [(m.start(), m.end(), got) for m in _ESCAPE.finditer(text) if (got := _escaped(m))]
 
 
-def _inflated(raw: bytes) -> tuple[bytes | None, bool]:
-    """The content of compressed bytes, or None; True if it is too large to open."""
-    if raw[:2] in (b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda", b"\x1f\x8b"):
-        d = zlib.decompressobj(47)
-    elif raw[:3] == b"BZh":
-        d = bz2.BZ2Decompressor()
-    elif raw[:6] == b"\xfd7zXZ\0":
-        d = lzma.LZMADecompressor()
-    else:
-        return None, False
-    try:
-        out = d.decompress(raw, MAX_INFLATED + 1)
-    except (zlib.error, OSError, lzma.LZMAError):
-        return None, False
-    return (None, True) if len(out) > MAX_INFLATED else (out, False)
-
-
-def _packed(text: str) -> tuple[list[tuple[int, int, list[tuple[str, int, int]]]], int]:
-    """Base64 runs that hold text, or compressed text; and how many were too large."""
-    edits, shut = [], 0
-    for m in _BASE64.finditer(text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
+def _decompressor(head: bytes):
+    if head[:2] in (b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda", b"\x1f\x8b"):
+        return zlib.decompressobj(47)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\0":
+        return lzma.LZMADecompressor()
+    return None
+
+
+def _members(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    """What compressed bytes hold, member by member, then what follows the last one; up to the first fault."""
+    chunks = iter(chunks)
+    data, d, members, got = next(chunks, b""), None, 0, False
+    while True:
+        if d is None:
+            while len(data) < 6 and (more := next(chunks, None)) is not None:
+                data += more
+            d = _decompressor(data) or _decompressor(data.lstrip(b"\0"))
+            if d is None:
+                yield data
+                yield from chunks
+                return
+            if not _decompressor(data):
+                data = data.lstrip(b"\0")
+            members, got = members + 1, False
+        try:
+            out = d.decompress(data, 1 << 20)
+        except (zlib.error, OSError, EOFError, lzma.LZMAError):
+            if members > 1 and not got:  # only looked like one more member
+                yield data
+                yield from chunks
+            return
+        if out:
+            got = True
+            yield out
+        if d.eof:
+            data, d = d.unused_data, None
+            if not data and (data := next(chunks, None)) is None:
+                return
             continue
-        raw = base64.b64decode(body + "=" * (-len(body) % 4))
-        content, large = _inflated(raw)
-        shut += large
-        if content is None:
-            content, whole = raw, False
-        else:
-            whole = True
+        data = getattr(d, "unconsumed_tail", b"")
+        if not data and not out and getattr(d, "needs_input", True) and (data := next(chunks, None)) is None:
+            return
+
+
+def _opened(raw: bytes) -> tuple[bytes, Iterator[bytes], bool]:
+    """The first ``MAX_INFLATED`` bytes or more of what ``raw`` holds, the others, and whether it was compressed."""
+    head, rest, opened, seen = raw, iter(()), False, set()
+    while _decompressor(head):
+        digest = hashlib.blake2b(head, digest_size=16).digest()
+        if digest in seen:  # archives that hold themselves
+            break
+        seen.add(digest)
+        stream, parts, size = _members(chain([head], rest)), [], 0
+        for part in stream:
+            parts.append(part)
+            size += len(part)
+            if size > MAX_INFLATED:
+                break
+        if not size:
+            break
+        head, rest, opened = b"".join(parts), stream, True
+    return head, rest, opened
+
+
+def _windows(chunks: Iterable[bytes]) -> Iterator[str]:
+    held = bytearray()
+    for c in chunks:
+        held += c
+        while len(held) > WINDOW:
+            yield held[:WINDOW].decode("latin-1")
+            del held[:WINDOW - OVERLAP]
+    yield held.decode("latin-1")
+
+
+def _worth(raw: bytes, out: str) -> bool:
+    """True for texts in any script, and for other bytes that hold a sign of a secret or of a further layer."""
+    if not _CONTROL.search(out):
         try:
-            out = content.decode()
+            raw.decode()
+            return True
         except UnicodeDecodeError:
-            continue
-        if not _PRINTABLE.fullmatch(out) or not out:
-            continue
-        s, e = m.start(), m.end()
-        if whole:
-            edits.append((s, e, [(out, s, e)]))
+            pass
+    low = out.lower()
+    return (any(w in low for w in _ASSIGN_WORDS) or "AKIA" in out or bool(_HEX.search(out))
+            or bool(_ESCAPE.search(out)) or bool(_BASE64.search(out)))
+
+
+def _packed(text: str, wrapped: bool) -> tuple[list, list]:
+    """Base64 runs (one line each, or ``wrapped``) that hold text, or compressed text; and those too large for a layer."""
+    edits, large = [], []
+    for m in (_WRAPPED if wrapped else _BASE64).finditer(text):
+        if wrapped:
+            lines = [x.span() for x in _LINE.finditer(text, m.start(), m.end())]
+            size = [e - s for s, e in lines]
+            even = next((k for k in range(len(lines) - 1) if size[k] == size[k + 1]), 0)
+            tries = [lines[k:] for k in sorted({0, 1, even})]  # a word may end the line before the run
         else:
-            edits.append((s, e, [(c, s + 4 * k // 3, min(e, s - (-4 * (k + 1) // 3))) for k, c in enumerate(out)]))
-    return edits, shut
+            tries = [[(m.start(), m.start() + len(m[0].rstrip("=")))]]
+        for lines in tries:
+            body = "".join([text[s:e] for s, e in lines]).replace("-", "+").replace("_", "/")
+            if len(body) % 4 == 1:
+                body = body[:-1]
+            content, rest, opened = _opened(base64.b64decode(body + "=" * (-len(body) % 4)))
+            s, e = lines[0][0], m.end()
+            if len(content) > MAX_INFLATED and opened:
+                large.append((s, e, hashlib.blake2b(content, digest_size=16).digest(), chain([content], rest)))
+                break
+            out = content.decode("latin-1")
+            if not out or not _worth(content, out):
+                continue
+            if opened:
+                places = ()
+            elif len(lines) == 1:
+                places = range(s, s + len(body))
+            else:
+                places = array("q", chain.from_iterable(range(*x) for x in lines))
+            edits.append((s, e, [(out, s, e, places)]))
+            break
+    return edits, large
 
 
 def _child(layer: Layer, edits) -> Layer:
     text, parts, pieces, at, size = layer.text, [], [], 0, 0
-    for s, e, chars in edits:
+    for s, e, decoded in edits:
         if s > at:
-            pieces.append((size, at, s, True))
+            pieces.append((size, at, s, None))
             parts.append(text[at:s])
             size += s - at
-        for c, a, b in chars:
-            pieces.append((size, a, b, False))
+        for c, a, b, *places in decoded:
+            pieces.append((size, a, b, places[0] if places else ()))
             parts.append(c)
             size += len(c)
         at = e
     if at < len(text):
-        pieces.append((size, at, len(text), True))
+        pieces.append((size, at, len(text), None))
         parts.append(text[at:])
     return Layer("".join(parts), layer, pieces, layer.depth + 1)
 
 
 def find_secrets(text: str | None) -> tuple[list[tuple[str, int, int, bool, int]], int]:
-    """((kind, start, end, base, depth) by start and kind, layers left shut as too large)."""
+    """((kind, start, end, base, depth) by start and kind, runs too large for a layer).
+
+    Content over ``MAX_INFLATED`` bytes is scanned and decoded in windows that
+    overlap by ``OVERLAP``; an encoded run inside it that is longer than that may
+    be cut by a window's end.
+    """
     if not text:
         return [], 0
     base = scan(text)
     found = {f: (True, 0) for f in base}
-    work, seen, shut = [Layer(text)], set(), 0
-    while work:
-        layer = work.pop()
-        packed, large = _packed(layer.text)
-        shut += large
-        for edits in (_escapes(layer.text), packed):
-            if not edits:
-                continue
-            child = _child(layer, edits)
-            digest = hashlib.blake2b(child.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            if digest in seen or not child.text:
-                continue
-            seen.add(digest)
-            for s, kind, e in scan(child.text):
-                start, end = child.to_root(s, e)
-                found.setdefault((start, kind, end), (False, child.depth))
-            work.append(child)
-    return [(KINDS[k], s, e, *found[s, k, e]) for s, k, e in sorted(found)], shut
+    seen, streamed = set(), set()
+
+    def visit(child: Layer, *where) -> bool:
+        digest = (hashlib.blake2b(child.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *where)
+        if digest in seen or not child.text:
+            return False
+        seen.add(digest)
+        for s, kind, e in scan(child.text):
+            start, end = child.to_root(s, e)
+            found.setdefault((start, kind, end), (False, child.depth))
+        return True
+
+    def follow(first: Layer):
+        work = [first]
+        while work:
+            layer = work.pop()
+            runs = [_packed(layer.text, wrapped) for wrapped in (False, True)]
+            for s, e, digest, stream in chain.from_iterable(large for _, large in runs):
+                where = layer.to_root(s, e)
+                if (where, digest) in streamed:
+                    continue
+                streamed.add((where, digest))
+                for window in _windows(stream):
+                    part = Layer(window, layer, [(0, s, e, ())], layer.depth + 1)
+                    if visit(part, where):
+                        follow(part)
+            for edits in (_escapes(layer.text), *(edits for edits, _ in runs)):
+                if edits and visit(child := _child(layer, edits)):
+                    work.append(child)
+
+    follow(Layer(text))
+    return [(KINDS[k], s, e, *found[s, k, e]) for s, k, e in sorted(found)], len({s for (s, _), _ in streamed})
 
 
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean,depth:int>>"

@@ -1,8 +1,10 @@
 """Personal data and secrets: base findings against plain regular expressions, added spans, edge rows."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import urllib.parse
@@ -95,6 +97,51 @@ def test_too_large_layers_are_counted(monkeypatch):
     assert secret_scan.find_secrets("x " + b64(zlib.compress(b"a" * 5000)))[1] == 1
 
 
+def hidden_kinds(hidden, text=None):
+    """Kinds of the added findings of ``hidden`` between words, all of which must lie inside it."""
+    text = text or f"some words {hidden} and more"
+    spans, _ = secret_scan.find_secrets(text)
+    at = text.index(hidden)
+    own = [s for s in spans if not s[3]]
+    assert all(at <= s and e <= at + len(hidden) for _, s, e, _, _ in own)
+    return {s[0] for s in own}
+
+
+@pytest.mark.parametrize("raw", [
+    "Grüße password=hunter22 für alle".encode(), "Grüße password=hunter22".encode("latin-1"), "пароль password=hunter22 ключ".encode(),
+    b"\x00\x01\xff bin password=hunter22 \xfe\x02" * 3, b"a\x07b password=hunter22", bytes(range(256)) + b"password=hunter22"])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, bz2.compress, lzma.compress, lambda b: gzip.compress(zlib.compress(bz2.compress(b)))])
+def test_layers_of_any_letters_and_bytes_are_scanned(raw, pack):
+    assert hidden_kinds(b64(pack(raw))) == {"assign"}
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress])
+def test_all_members_of_a_compressed_run(pack):
+    assert hidden_kinds(b64(pack(b"nothing here") + pack(b"password=hunter22"))) == {"assign"}
+    assert hidden_kinds(b64(pack(b"nothing here") + b"password=hunter22")) == {"assign"}
+
+
+@pytest.mark.parametrize("raw", [b"words " * 30 + b"password=hunter22 " + b"words " * 30, gzip.compress(random.Random(3).randbytes(300) + b" password=hunter22")])
+@pytest.mark.parametrize("brk", ["\n", "\r\n", "\n    ", "\\n"])
+def test_wrapped_base64(raw, brk):
+    code = b64(raw)
+    hidden = brk.join(code[k:k + 61] for k in range(0, len(code), 61))  # no line is whole quantums
+    assert hidden_kinds(hidden) == {"assign"}
+    assert hidden_kinds(hidden, f"a linethatendsinonelongword\n{hidden}\nand more") == {"assign"}
+
+
+def test_large_content_is_scanned_in_windows(monkeypatch):
+    for name, size in (("MAX_INFLATED", 1000), ("WINDOW", 400), ("OVERLAP", 100)):
+        monkeypatch.setattr(secret_scan, name, size)
+    for at in range(3000, 3400, 7):
+        inner = b64(b"password=hunter22") if at % 2 else "password=hunter22"
+        content = (". " * 2500)[:at] + inner + " ." * 900
+        for packed in (zlib.compress(content.encode()), gzip.compress(zlib.compress(content.encode()))):
+            hidden = b64(packed)
+            spans, large = secret_scan.find_secrets(f"x {hidden} y")
+            assert {s[:4] for s in spans} == {("assign", 2, 2 + len(hidden), False)} and large == 1
+
+
 def check_digest(found, order, brute):
     kinds = order
     for r in found:
