@@ -13,7 +13,8 @@
    passed on.  Their connected components hold every pair within the radius.
 4. Inside these components the links are confirmed on the full sets.  A large
    component is dealt into blocks; between blocks only what is not yet linked
-   is compared, so a group of copies costs about its size, not its square.
+   is compared, by pairs of blocks, so a group of copies costs about its size,
+   not its square, and no task holds more than two blocks of a component at once.
 5. Connected components of the confirmed links.
 """
 
@@ -259,9 +260,12 @@ def _confirmed(rows: DataFrame, percent: int, size: int) -> DataFrame:
     """(a, b): confirmed links that connect what is linked within each (component, block).
 
     ``rows``: component, block, id, label, text.  Rows of one label are known to
-    be connected and are not compared; a null label is a label of its own.
+    be connected and are not compared; a null label is a label of its own.  With
+    a column ``side``, where a block has rows of both sides only those of one
+    are compared with those of the other.
     """
     kind = rows.schema["id"].dataType
+    two_sided = "side" in rows.columns
 
     def linked(t: pa.Table, shingler: Shingler, a: list, b: list):
         ids, labels = t.column("id").to_pylist(), t.column("label").to_pylist()
@@ -288,23 +292,25 @@ def _confirmed(rows: DataFrame, percent: int, size: int) -> DataFrame:
         known: dict = {}
         for i, label in enumerate(labels):
             known.setdefault(("own", i) if label is None else ("label", label), []).append(i)
-        if len(known) == len(ids):
+        if len(known) == len(ids) and not two_sided:
             for i, j in _span(len(ids), near):
                 a.append(ids[i]), b.append(ids[j])
             return
-        # components that are known already: smaller ones look for a link to the rows of others
-        root = {i: k for k, own in known.items() for i in own}
-        order = sorted(known.values(), key=len)
-        for own in order[:-1]:
-            for i in own:
-                rest = np.array([j for j in range(len(ids)) if root[j] != root[i]])
-                if not len(rest):
-                    break
-                for j in rest[near(i, rest)].tolist():
-                    a.append(ids[i]), b.append(ids[j])
-                    if root[j] != root[i]:
-                        old, new = root[i], root[j]
-                        root.update({k: new for k, v in root.items() if v == old})
+        # components that are known already: smaller ones look for a link to the rows of others, each pair once
+        root, order = np.empty(len(ids), dtype=np.int64), sorted(known.values(), key=len)
+        for k, own in enumerate(order):
+            root[own] = k
+        side = t.column("side").to_numpy() if two_sided else np.zeros(len(ids), dtype=np.int32)
+        paired, left = side.min() != side.max(), np.ones(len(ids), dtype=bool)
+        for i in [i for own in order[:-1] for i in own]:
+            left[i] = False
+            rest = np.flatnonzero(left & (root != root[i]) & (side != side[i] if paired else True))
+            if not len(rest):
+                continue
+            for j in rest[near(i, rest)].tolist():
+                a.append(ids[i]), b.append(ids[j])
+                if root[j] != root[i]:
+                    root[root == root[i]] = root[j]
 
     def run(batches):
         shingler = Shingler(size)
@@ -356,15 +362,23 @@ def link_components(rows: DataFrame, percent: int, size: int, block_rows: int) -
         heads = checkpointed(joined.withColumn("best", best).where("best = 1").select(
             "component", "id", "text", F.col("block").alias("of")))
 
-    # what is outside the component's largest label goes to all of its blocks
+    # what is outside the component's largest label is compared with all rows, as pairs of blocks
     labels = checkpointed(labels)
     sizes = labels.groupBy("component", "label").agg(F.count("*").alias("n"))
     best = F.row_number().over(Window.partitionBy("component").orderBy(F.desc("n"), "label"))
     main = sizes.withColumn("best", best).where("best = 1").select("component", F.col("label").alias("main"))
-    labels = labels.join(main, "component")
-    sent = labels.where("label != main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = labels.where("label = main").select("component", "block", "id", "label", "text").unionByName(
-        sent.select("component", "block", "id", "label", "text"))
+    sent = sizes.join(main, "component").groupBy("component").agg(
+        F.first("main").alias("main"), F.sum(F.when(F.col("label") == F.col("main"), F.col("n"))).alias("n_main"),
+        F.sum(F.when(F.col("label") != F.col("main"), F.col("n"))).alias("n_sent")).where("n_sent > 0")
+    blocks = lambda n: F.ceil(F.col(n) / block_rows).cast("long")
+    sent = sent.select("component", "main", blocks("n_sent").alias("s"), blocks("n_main").alias("m"))
+    # blocks 0 to s - 1 are of the sent rows, s to s + m - 1 of the largest label; no pair of the latter is needed
+    rows = labels.select("component", "id", "label", "text").join(sent, "component")
+    outside, place = F.col("label") != F.col("main"), F.xxhash64("id")
+    rows = rows.withColumn("side", F.when(outside, F.pmod(place, F.col("s"))).otherwise(F.col("s") + F.pmod(place, F.col("m"))))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(outside, F.col("s") + F.col("m")).otherwise(F.col("s")) - 1)))
+    pair = F.least("side", "other") * (F.col("s") + F.col("m")) + F.greatest("side", "other")
+    dealt = rows.select("component", pair.alias("block"), "id", "label", "text", "side")
     return connected_components(edges.unionByName(_confirmed(dealt, percent, size)))
 
 

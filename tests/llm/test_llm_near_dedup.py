@@ -85,6 +85,28 @@ def test_blocks_of_a_large_group(spark):
     check(near_dedup.near_duplicates(frame(spark, rows), percent=85, block_rows=4), rows, 85)
 
 
+def test_near_misses_are_dealt_as_pairs_of_blocks(spark, monkeypatch):
+    """A component of near misses with few links: exact, and no group holds more than about two blocks."""
+    r, sizes, whole = random.Random(21), [], near_dedup._confirmed
+    base = [f"b{r.randrange(2000)}" for _ in range(150)]
+    rows = []
+    for k in range(90):  # one template, eight words filled in: about 0.6 alike
+        text = list(base)
+        for at in range(8, 150, 40):
+            text[at] = f"own{k // 2 if k % 6 < 2 else k}"
+        rows.append((k, " ".join(text), "en"))
+
+    def counted(rows, *args):
+        sizes.extend(x["count"] for x in rows.groupBy("component", "block").count().collect())
+        return whole(rows, *args)
+
+    monkeypatch.setattr(near_dedup, "_confirmed", counted)
+    rows += [(100 + k, edited(" ".join(base), r, 0.002), "en") for k in range(40)]
+    found = near_dedup.near_duplicates(frame(spark, rows), percent=85, block_rows=8)
+    check(found, rows, 85)
+    assert sum(n > 8 for n in sizes) > 20 and max(sizes) <= 2 * 2 * 8  # blocks are dealt by hash
+
+
 def test_index_guarantee():
     """All signature pairs within the radius share a key, whichever positions differ."""
     index = near_dedup.Index.for_threshold(0.85)
