@@ -14,6 +14,7 @@ three-word windows that occur twice or more.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -33,6 +34,8 @@ COMMON_WORDS = (
 #: characters (lower-case letters above all) are two more bins, counted without a scan of their own.
 CLASSES = ("A-Z", "0-9", r".,;:!?'\"()\-", r"\x{80}-\x{10FFFF}", r"\x00-\x08\x0E-\x1F#$%&*+/<=>@\[\\\]^_`{|}~\x7F")
 CLASS_BINS, WORD_BINS = len(CLASSES) + 2, len(COMMON_WORDS) + 1
+#: The references of up to so many languages are spelled out in the plan; more are an array that is walked.
+SPELLED_OUT = 50
 
 
 @dataclass
@@ -156,6 +159,24 @@ def divergence(shares: Column, reference: list[float]) -> Column:
     return F.greatest(F.lit(0.0), terms + (1 - covered) / 2)
 
 
+def least_divergence(shares: Column, references: list[list[float]]) -> Column:
+    """The least ``divergence`` from any of ``references``, an array literal: the plan does not grow with them."""
+    known = [[{"k": k, "q": q, "l": q * math.log2(q)} for k, q in enumerate(ref) if q > 0] for ref in references]
+    table = F.from_json(F.lit(json.dumps(known)), "array<array<struct<k:int,q:double,l:double>>>")
+
+    def xlog(x):
+        return F.when(x > 0, x * F.log2(x)).otherwise(F.lit(0.0))
+
+    def add(a, r):
+        p, q = F.get(shares, r["k"]), r["q"]
+        return F.struct((a["terms"] + (xlog(p) + r["l"] - (p + q) * F.log2((p + q) / 2)) / 2).alias("terms"),
+                        (a["covered"] + p).alias("covered"))
+
+    start = F.struct(F.lit(0.0).alias("terms"), F.lit(0.0).alias("covered"))
+    return F.array_min(F.transform(table, lambda ref: F.aggregate(
+        ref, start, add, lambda a: F.greatest(F.lit(0.0), a["terms"] + (1 - a["covered"]) / 2))))
+
+
 def features(text: Column, counts: bool = True) -> Column:
     """Struct of ``n_words`` and the shares ``classes`` and ``words``; with ``counts`` the base counts too."""
     def of(t):
@@ -173,12 +194,11 @@ def features(text: Column, counts: bool = True) -> Column:
     return _let(F.coalesce(text, F.lit("")), of)
 
 
-def fit_references(measured: DataFrame, lang_col: str = "lang", features_col: str = "features",
-                   max_languages: int = 50) -> References:
+def fit_references(measured: DataFrame, lang_col: str = "lang", features_col: str = "features") -> References:
     """Medians of the bins' shares over all documents of each language that has one.
 
-    What comes to the driver is one row per language, at most ``max_languages``
-    (the most frequent ones).  Texts without a word are left out.
+    What comes to the driver is one row per language, of all languages.  Texts
+    without a word are left out.
     """
     # no filter on the features: it would be pushed below them and compute them twice
     f = F.col(features_col)
@@ -186,7 +206,7 @@ def fit_references(measured: DataFrame, lang_col: str = "lang", features_col: st
         x["n_words"] > 0, F.struct(x["classes"].alias("c"), x["words"].alias("w")))).alias("f"))
     bins = ([F.percentile_approx(F.col("f.c")[k], 0.5, 200).alias(f"c{k}") for k in range(CLASS_BINS)]
             + [F.percentile_approx(F.col("f.w")[k], 0.5, 200).alias(f"w{k}") for k in range(WORD_BINS)])
-    found = rows.groupBy("lang").agg(F.count("f").alias("n"), *bins).where("n > 0").orderBy(F.desc("n"), "lang").limit(max_languages)
+    found = rows.groupBy("lang").agg(F.count("f").alias("n"), *bins).where("n > 0")
 
     def shares(r, key, n):
         x = [max(0.0, r[f"{key}{k}"]) for k in range(n)]
@@ -204,6 +224,8 @@ def distances(f: Column, references: References) -> tuple[Column, Column]:
     def nearest(shares, table):
         if not table:
             return F.lit(0.0)
+        if len(table) > SPELLED_OUT:
+            return F.sqrt(least_divergence(shares, [ref for _, ref in sorted(table.items())]))
         found = [F.sqrt(divergence(shares, ref)) for _, ref in sorted(table.items())]
         return F.least(*found) if len(found) > 1 else found[0]
 

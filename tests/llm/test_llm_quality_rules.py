@@ -92,6 +92,27 @@ def test_references_do_not_follow_a_minority(spark):
     assert max(abs(x - y) for x, y in zip(a.classes["en"], b.classes["en"])) < 0.02
 
 
+def test_every_language_has_its_references(spark):
+    """A language beyond the 50 most frequent ones is judged by its own medians, too."""
+    common = [(100 * k + c, prose(100 * k + c, 120), f"l{k}") for k in range(60) for c in range(3)]
+    rare = [(9000 + c, " ".join("zug" if w.islower() else "9Ω" for w in prose(c, 150).split()), "rare") for c in range(2)]
+    docs = frame(spark, common + rare)
+    references = q.corpus_references(docs)
+    assert len(references.classes) == len(references.words) == 61
+    judged = q.judge(docs, result_col="r")
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    own = {r["doc_id"]: r["r"] for r in judged.collect()}
+    assert all(own[d]["class_distance"] < 0.1 and own[d]["word_distance"] < 0.1 for d, _, _ in rare)
+
+
+def test_references_in_an_array_judge_the_same(spark, monkeypatch):
+    docs = frame(spark, corpus())
+    plain = q.judge(docs, result_col="r").select("doc_id", "r.*").orderBy("doc_id").collect()
+    monkeypatch.setattr(q, "SPELLED_OUT", 0)
+    assert q.judge(docs, result_col="r").select("doc_id", "r.*").orderBy("doc_id").collect() == plain
+
+
 def test_edge_rows(spark):
     got = q.judge(edge_docs(spark), result_col="r").collect()
     assert len(got) == len(edge_rows())
