@@ -220,12 +220,19 @@ def _starts(columns: list[np.ndarray]) -> np.ndarray:
 def candidate_edges(signed: DataFrame, index: Index, whole_run: int = 20_000) -> DataFrame:
     """(a, b) that connect all signatures within the radius that meet under a key.
 
-    A run of one key over ``whole_run`` rows is connected without a look at the
-    distances: components only grow by that, and every link inside them is
-    confirmed later, so the answer is the same.
+    The rows of a key that has over ``whole_run`` are connected with the smallest
+    id without a look at the distances: components only grow by that, and every
+    link inside them is confirmed later, so the answer is the same.  Such keys are
+    counted and joined without signatures and never gathered in a task.
     """
     kind = signed.schema["id"].dataType
-    rows = signed.select("id", "sig", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key", "id")
+    rows, keyed = (signed.select("id", *sig, F.explode("keys").alias("key")) for sig in (["sig"], []))
+    large = checkpointed(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a")).where(
+        F.col("n") > whole_run).select("key", "a"))
+    any_large = not large.isEmpty()
+    if any_large:
+        rows = rows.join(large, "key", "left_anti")
+    rows = rows.repartition("key").sortWithinPartitions("key", "id")
 
     def run(batches):
         for t in _runs(batches, ["key"]):
@@ -240,9 +247,6 @@ def candidate_edges(signed: DataFrame, index: Index, whole_run: int = 20_000) ->
             near = _distance(sig[two], sig[two + 1]) <= index.radius
             a, b = [ids[two][near]], [ids[two + 1][near]]
             for s, n in zip(at[:-1][size > 2].tolist(), size[size > 2].tolist()):
-                if n > whole_run:
-                    a.append(np.full(n - 1, ids[s])), b.append(ids[s + 1:s + n])
-                    continue
                 own = sig[s:s + n]
                 edges = _span(n, lambda i, rest: _distance(own[i], own[rest]) <= index.radius)  # noqa: B023
                 if edges:
@@ -253,7 +257,10 @@ def candidate_edges(signed: DataFrame, index: Index, whole_run: int = 20_000) ->
                 pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return rows.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+    near = rows.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+    if not any_large:
+        return near
+    return near.unionByName(keyed.join(large, "key").where("id != a").select("a", F.col("id").alias("b")))
 
 
 def _confirmed(rows: DataFrame, percent: int, size: int) -> DataFrame:

@@ -4,6 +4,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fixfold.llm import near_dedup
 from fixfold.llm.components import connected_components
@@ -107,6 +108,28 @@ def test_near_misses_are_dealt_as_pairs_of_blocks(spark, monkeypatch):
     assert sum(n > 8 for n in sizes) > 20 and max(sizes) <= 2 * 2 * 8  # blocks are dealt by hash
 
 
+def test_keys_of_many_rows_are_not_gathered(spark, monkeypatch):
+    """Rows of a key over ``whole_run`` are connected without coming into one task."""
+    r, gathered = random.Random(31), []
+    base = " ".join(f"b{r.randrange(2000)}" for _ in range(150))
+    docs = frame(spark, [(k, edited(base, r, 0.01), "en") for k in range(40)]
+                + [(100 + k, prose(k, 150), "en") for k in range(5)])
+    index = near_dedup.Index.for_threshold(0.85)
+    signed = near_dedup.checkpointed(near_dedup.fingerprints(docs, "doc_id", "text", index, 5).select("id", "sig", "keys"))
+    want = connected_components(near_dedup.candidate_edges(signed, index)).collect()
+    kind = type(docs)
+    whole = kind.mapInArrow
+
+    def counted(df, *args, **kw):
+        gathered.append(df.groupBy("key").count().agg(F.max("count")).first()[0])
+        return whole(df, *args, **kw)
+
+    monkeypatch.setattr(kind, "mapInArrow", counted)
+    got = connected_components(near_dedup.candidate_edges(signed, index, whole_run=6)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert max(gathered) <= 6
+
+
 def test_index_guarantee():
     """All signature pairs within the radius share a key, whichever positions differ."""
     index = near_dedup.Index.for_threshold(0.85)
