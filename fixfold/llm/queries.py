@@ -7,7 +7,8 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fixfold.llm import common, embed_dedup, language_id, near_dedup, packing, pii, quality_model, quality_rules, secret_scan, sentencepiece_fst, toxicity
+from fixfold.llm import (byte_bpe, common, embed_dedup, language_id, near_dedup, packing, periodic_runs, pii, quality_model,
+                         quality_rules, secret_scan, sentencepiece_fst, toxicity)
 
 
 def tokenizer():
@@ -108,6 +109,27 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the ranks and decoded again: number and digest of the ids, digest of the bytes."""
+    import public_tokenizers as P
+
+    coded = byte_bpe.round_trip(common.documents(spark, sf_dir).select("doc_id", "text"),
+                                str(P.path("byte_bpe_50k.tiktoken")), P.PATTERN)
+    return coded.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, with periodic tails written into a tenth of them."""
+    docs = periodic_runs.repeat_tails(common.documents(spark, sf_dir).select("doc_id", "text"))
+    found = periodic_runs.find_runs(docs).withColumn("best", periodic_runs.longest_run(F.col("runs")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(periodic_runs.run_lines(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_pii": op2_pii,
@@ -119,6 +141,8 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_language": op10_language,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 #: Queries that SQL can express.
