@@ -36,12 +36,16 @@ _SEQUENCES = 1 << 40
 
 
 @functools.lru_cache(maxsize=4)
-def byte_bpe_encoder(tokenizer_json: str, ranks: str | None = None, pattern: str | None = None):
+def byte_bpe_encoder(tokenizer_json: str, ranks: str | None = None, pattern: str | None = None,
+                     plain_specials: bool = False):
     """``encode(texts) -> list of id lists`` for a byte-level BPE tokenizer file.
 
+    The file is taken as it is: strings of its special tokens that stand in a
+    text give their ids.  With ``plain_specials`` they are ordinary text.
+
     With ``ranks`` (the same vocabulary as a rank file) and its split
-    ``pattern``, texts of well-known characters take the faster library; the
-    ids are the same (tests compare them).
+    ``pattern``, texts of well-known characters without such strings take the
+    faster library; the ids are the same (tests compare them).
     """
     import os
 
@@ -49,7 +53,8 @@ def byte_bpe_encoder(tokenizer_json: str, ranks: str | None = None, pattern: str
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(tokenizer_json)
-    slow.encode_special_tokens = True
+    slow.encode_special_tokens = plain_specials
+    special = [] if plain_specials else [t.content for t in slow.get_added_tokens_decoder().values()]
     fast = None
     if ranks:
         import base64
@@ -61,7 +66,7 @@ def byte_bpe_encoder(tokenizer_json: str, ranks: str | None = None, pattern: str
         fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
     def encode(texts: list[str]) -> list[list[int]]:
-        return [fast.encode_ordinary(t) if fast is not None and _PLAIN.fullmatch(t)
+        return [fast.encode_ordinary(t) if fast is not None and _PLAIN.fullmatch(t) and not any(x in t for x in special)
                 else slow.encode(t, add_special_tokens=False).ids for t in texts]
 
     return encode

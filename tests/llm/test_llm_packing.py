@@ -15,7 +15,6 @@ def reference_ids(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(str(P.path("byte_bpe_50k.json")))
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -77,7 +76,16 @@ def test_encoder_equals_the_library():
     encode = tokenizer()()
     texts = ["", "plain words don't", "é ñ ß “quoted” – dash", "a b c \u0085 x", "漢字 🙂 <|endoftext|>", "tabs\t\tand\n\n lines ", "ſK µ"]
     assert encode(texts) == [reference_ids(t) for t in texts]
-    assert byte_bpe_encoder is not None
+
+
+def test_special_tokens_as_the_file_has_them():
+    """Loaded as it is, the file gives the special id; as plain text it does not."""
+    import public_tokenizers as P
+
+    paths = str(P.path("byte_bpe_50k.json")), str(P.path("byte_bpe_50k.tiktoken")), P.PATTERN
+    assert 50256 in tokenizer()()(["a <|endoftext|> b"])[0] and len(tokenizer()()(["a <|endoftext|> b"])[0]) == 4
+    plain = byte_bpe_encoder(*paths, plain_specials=True)(["a <|endoftext|> b"])[0]
+    assert 50256 not in plain and len(plain) == 9
 
 
 def test_pack_edge_rows(spark):
