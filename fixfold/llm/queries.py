@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fixfold.llm import (byte_bpe, common, embed_dedup, language_id, near_dedup, packing, periodic_runs, pii, quality_model,
-                         quality_rules, secret_scan, sentencepiece_fst, toxicity)
+                         quality_rules, secret_scan, sentencepiece_fst, token_alignment, toxicity)
 
 
 def tokenizer():
@@ -119,6 +119,19 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers over every document aligned, with corpus-wide counts of the linked id pairs."""
+    import public_tokenizers as P
+
+    one = functools.partial(token_alignment.byte_level_side, str(P.path("byte_bpe_50k.json")),
+                            str(P.path("byte_bpe_50k.tiktoken")), P.PATTERN)
+    two = functools.partial(token_alignment.piece_side, str(P.path("piece_bpe_32k.model")))
+    linked = token_alignment.link_documents(
+        common.documents(spark, sf_dir), one, two, width=32_000,
+        groups_as=lambda g: F.when(g == "", F.lit("")).otherwise(F.sha2(g, 256)))
+    return linked.withColumnRenamed("groups", "groups_sha256")
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of every document, with periodic tails written into a tenth of them."""
     docs = periodic_runs.repeat_tails(common.documents(spark, sf_dir).select("doc_id", "text"))
@@ -142,6 +155,7 @@ QUERIES = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_language": op10_language,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_token_alignment": op12_token_alignment,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
