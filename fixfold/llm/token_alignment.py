@@ -20,6 +20,7 @@ from __future__ import annotations
 import functools
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -125,42 +126,49 @@ def group_pairs(label_a: np.ndarray, a: np.ndarray, label_b: np.ndarray, b: np.n
     together first, and the pairs are laid out in blocks, so a long group needs
     no more room than its distinct pairs.
     """
-    def distinct(label, ids):
-        key, times = np.unique(label * np.int64(1 << 32) + ids, return_counts=True)
-        return key >> 32, key & 0xFFFFFFFF, times
-
-    ga, ia, ta = distinct(label_a, a)
-    gb, ib, tb = distinct(label_b, b)
-    from_ = np.searchsorted(gb, ga, side="left")
-    count = np.searchsorted(gb, ga, side="right") - from_
+    ga, ia, ta = _distinct(label_a, a)
+    gb, ib, tb = _distinct(label_b, b)
+    upto_b = np.concatenate(([0], np.cumsum(np.bincount(gb, minlength=len(owner)))))
+    from_ = upto_b[ga]
+    count = upto_b[ga + 1] - from_
     upto = np.concatenate(([0], np.cumsum(count)))
-    keys, times = [], []
+    found = []
     row = 0
     while row < len(ga):
         stop = max(int(np.searchsorted(upto, upto[row] + _PAIRS_AT_ONCE, side="right")) - 1, row + 1)
         c = count[row:stop]
         left = np.repeat(np.arange(row, stop), c)
-        right = np.arange(len(left)) - np.repeat(upto[row:stop] - upto[row], c) + np.repeat(from_[row:stop], c)
-        k, t = _summed((owner[ga[left]], ia[left] * np.int64(width) + ib[right]), ta[left] * tb[right])
-        keys.append(k)
-        times.append(t)
+        right = np.arange(len(left)) + np.repeat(from_[row:stop] - (upto[row:stop] - upto[row]), c)
+        found.append(_summed(owner[ga[left]], ia[left] * np.int64(width) + ib[right], ta[left] * tb[right]))
         row = stop
-    if not keys:
+    if not found:
         none = np.empty(0, dtype=np.int64)
         return none, none, none
-    docs, pairs = (np.concatenate(c) for c in zip(*keys))
-    (docs, pairs), total = _summed((docs, pairs), np.concatenate(times)) if len(keys) > 1 else (keys[0], times[0])
-    return docs, pairs, total
+    return found[0] if len(found) == 1 else _summed(*(np.concatenate(c) for c in zip(*found)))
 
 
-def _summed(key: tuple[np.ndarray, np.ndarray], times: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-    """The distinct keys in order, with the sums of ``times``."""
-    order = np.lexsort((key[1], key[0]))
-    first, second, times = key[0][order], key[1][order], times[order]
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
-    starts = np.flatnonzero(new)
-    return (first[starts], second[starts]), np.add.reduceat(times, starts) if len(starts) else times
+def _distinct(label: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ids of each group and how often they occur; labels ascend already."""
+    order = np.flatnonzero(label[1:] == label[:-1])
+    if len(order):  # only groups of several tokens need sorting
+        key = label << np.int64(32) | ids
+        several = np.zeros(len(ids), dtype=bool)
+        several[order] = several[order + 1] = True
+        key[several] = np.sort(key[several])
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        starts = np.flatnonzero(new)
+        return key[starts] >> 32, key[starts] & 0xFFFFFFFF, np.diff(starts, append=len(key))
+    return label, ids, np.ones(len(ids), dtype=np.int64)
+
+
+def _summed(first: np.ndarray, second: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs in order, with the sums of ``times`` (both below 2**31 and 2**32)."""
+    key = first << np.int64(32) | second
+    order = np.argsort(key, kind="stable")
+    key, times = key[order], times[order]
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))[:len(key)])
+    total = np.add.reduceat(times, starts) if len(starts) else times
+    return key[starts] >> 32, key[starts] & 0xFFFFFFFF, total
 
 
 def aligned_texts(texts: list[str | None], one: Side, two: Side) -> dict:
@@ -179,8 +187,8 @@ def aligned_texts(texts: list[str | None], one: Side, two: Side) -> dict:
     n_a, n_b = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
     for k, x, y in kept:
         n_a[k], n_b[k] = len(x), len(y)
-    a = np.fromiter((i for _, x, _ in kept for i in x), dtype=np.int64, count=int(n_a.sum()))
-    b = np.fromiter((i for _, _, y in kept for i in y), dtype=np.int64, count=int(n_b.sum()))
+    a = np.fromiter(chain.from_iterable(x for _, x, _ in kept), dtype=np.int64, count=int(n_a.sum()))
+    b = np.fromiter(chain.from_iterable(y for _, _, y in kept), dtype=np.int64, count=int(n_b.sum()))
     label_a, label_b = group_labels(np.cumsum(one.size[a]), np.cumsum(two.size[b]))
     groups = int(label_a[-1]) + 1 if len(label_a) else 0
     in_a, in_b = np.bincount(label_a, minlength=groups), np.bincount(label_b, minlength=groups)
