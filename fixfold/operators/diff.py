@@ -1,8 +1,8 @@
 """Unified-diff jobs: explode, classify, split, renumber, minimise.
 
-A patch is one row: a fold over its lines numbers the files and hunks inside the
-row, the lines are exploded from there, then aggregated per hunk and per file.  Nothing is parsed twice: every diff-based predicate reads the same
-hunk/file tables.
+A patch is one row: its lines are exploded once, numbered by file and hunk with
+running sums, then aggregated per hunk and per file.  Nothing is parsed twice:
+every diff-based predicate reads the same hunk/file tables.
 """
 
 from __future__ import annotations
@@ -16,45 +16,11 @@ DEV_NULL = "/dev/null"
 HUNK_HEADER = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 
 
-def _parse(patch: Column, lenient: bool = False) -> Column:
-    """One struct (line, file_idx, hunk_idx, kind) per line, by a fold over the lines of the row.
-
-    The fold carries what the open hunk still has to come on either side.  In a
-    patch without ``diff --git`` lines, ``--- `` opens a file only if ``+++ ``
-    follows and no hunk is open: inside a hunk it is a removed line."""
-    lines = F.split(patch, "\n", -1)
-    pairs = F.transform(lines, lambda x, i: F.struct(x.alias("line"), F.coalesce(F.get(lines, i + 1), F.lit("")).alias("next")))
-    has_git = patch.rlike(r"(?m)^diff --git ")
-    kinds = "array<struct<line:string,file_idx:bigint,hunk_idx:bigint,kind:string>>"
-    zero = F.lit(0).cast("long")
-    init = F.struct(zero.alias("file"), zero.alias("hunk"), zero.alias("src"), zero.alias("tgt"),
-                    F.array().cast(kinds).alias("out"))
-
-    def length(line, group):
-        n = F.regexp_extract(line, HUNK_HEADER, group)
-        start = F.regexp_extract(line, HUNK_HEADER, group - 1)
-        return F.when(n != "", F.coalesce(n.try_cast("long"), zero)).when(start != "", F.lit(1).cast("long")).otherwise(zero)
-
-    def step(acc, x):
-        line = x["line"]
-        opened = (acc["src"] > 0) | (acc["tgt"] > 0)
-        starts = F.when(has_git, line.startswith("diff --git ")).otherwise(
-            line.startswith("--- ") & x["next"].startswith("+++ ") & (F.lit(lenient) | ~opened))
-        is_hunk = line.startswith("@@ ")
-        hunk = F.when(starts, zero).when(is_hunk, acc["hunk"] + 1).otherwise(acc["hunk"])
-        file = F.when(starts, acc["file"] + 1).otherwise(acc["file"])
-        first = F.substring(line, 1, 1)
-        src = F.when(starts, zero).when(is_hunk, length(line, 2)).when(
-            first.isin("+", "\\"), acc["src"]).otherwise(F.greatest(acc["src"] - 1, zero))
-        tgt = F.when(starts, zero).when(is_hunk, length(line, 4)).when(
-            first.isin("-", "\\"), acc["tgt"]).otherwise(F.greatest(acc["tgt"] - 1, zero))
-        kind = (F.when(hunk == 0, F.lit("header")).when(is_hunk, F.lit("hunk")).when(first == "+", F.lit("added"))
-                .when(first == "-", F.lit("removed")).when(first == " ", F.lit("context")).otherwise(F.lit("other")))
-        row = F.struct(line.alias("line"), file.alias("file_idx"), hunk.alias("hunk_idx"), kind.alias("kind"))
-        return F.struct(file.alias("file"), hunk.alias("hunk"), src.alias("src"), tgt.alias("tgt"),
-                        F.array_append(acc["out"], row).alias("out"))
-
-    return F.aggregate(pairs, init, step, lambda acc: acc["out"])
+def _header_length(line: Column, group: int) -> Column:
+    """A length of a hunk header: as given, 1 where it is left out, 0 without a header."""
+    n = F.regexp_extract(line, HUNK_HEADER, group)
+    start = F.regexp_extract(line, HUNK_HEADER, group - 1)
+    return F.when(n != "", F.coalesce(n.try_cast("long"), F.lit(0))).otherwise((start != "").cast("long"))
 
 
 def patch_lines(df: DataFrame, keys, patch: str = "patch", lenient: bool = False) -> DataFrame:
@@ -63,13 +29,47 @@ def patch_lines(df: DataFrame, keys, patch: str = "patch", lenient: bool = False
     ``kind`` is one of: header, hunk, added, removed, context, other.  A file
     starts at ``diff --git``; a patch without such lines starts files at
     ``--- `` followed by ``+++ `` outside of a hunk.  A hunk starts at ``@@``;
-    lines before the first hunk of a file are its header.  Each patch is parsed
-    in its own row: no shuffle.  ``lenient`` is for patches whose hunk headers
-    are wrong (X4, X5): the file's two lines open it wherever they stand."""
+    lines before the first hunk of a file are its header.  ``lenient`` is for
+    patches whose hunk headers are wrong (X4, X5): the file's two lines open it
+    wherever they stand.
+
+    The lines leave their row once and are numbered by running sums in the order
+    of the patch, so time grows with its lines.  What an open hunk still has to
+    come is its header's length less the lines counted since; it never
+    grows again before the next header, so a file can be seen to start from these
+    sums alone.  ``keys`` tell the patches apart.  The result is partitioned
+    by ``keys``: groupings by keys and more shuffle nothing.
+    """
     keys = list(keys)
-    base = df.where(F.col(patch).isNotNull())
-    lines = base.select(*keys, F.posexplode(_parse(F.col(patch), lenient)).alias("pos", "_l"))
-    return lines.select(*keys, "pos", "_l.line", "_l.file_idx", "_l.hunk_idx", "_l.kind")
+    text = F.col(patch)
+    line = F.col("line")
+    order = Window.partitionBy(*keys).orderBy("pos")
+    upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    # the flag in a step of its own: beside the generator it would be found again for every line
+    l = df.where(text.isNotNull()).select(*keys, text.rlike(r"(?m)^diff --git ").alias("_git"), F.split(text, "\n", -1).alias("_lines"))
+    l = l.select(*keys, "_git", F.posexplode("_lines").alias("pos", "line"))
+    first = F.substring(line, 1, 1)
+    l = l.withColumn("_first", first).withColumn("_hunk", line.startswith("@@ "))
+    running = {"_src": F.sum((~F.col("_first").isin("+", "\\")).cast("long")).over(upto),
+               "_tgt": F.sum((~F.col("_first").isin("-", "\\")).cast("long")).over(upto),
+               "_next": F.lead(line, 1, "").over(order)}
+    l = l.withColumns(running)
+    # where each side of the open hunk ends, as a number of counted lines
+    ends = F.when(F.col("_hunk"), F.struct((F.col("_src") + _header_length(line, 2)).alias("src"),
+                                           (F.col("_tgt") + _header_length(line, 4)).alias("tgt")))
+    l = l.withColumn("_end", F.last(ends, ignorenulls=True).over(before))
+    counted = lambda c: F.col(c) - F.when(F.col("_first").isin(*(("+", "\\") if c == "_src" else ("-", "\\"))), 0).otherwise(1)
+    opened = F.coalesce((F.col("_end.src") > counted("_src")) | (F.col("_end.tgt") > counted("_tgt")), F.lit(False))
+    starts = F.when(F.col("_git"), line.startswith("diff --git ")).otherwise(
+        line.startswith("--- ") & F.col("_next").startswith("+++ ") & (F.lit(lenient) | ~opened))
+    l = l.withColumn("_starts", starts)
+    l = l.withColumns({"file_idx": F.sum(F.col("_starts").cast("long")).over(upto),
+                       "_hunks": F.sum(F.col("_hunk").cast("long")).over(upto)})
+    l = l.withColumn("hunk_idx", F.col("_hunks") - F.coalesce(F.max(F.when(F.col("_starts"), F.col("_hunks"))).over(upto), F.lit(0)))
+    kind = (F.when(F.col("hunk_idx") == 0, F.lit("header")).when(F.col("_hunk"), F.lit("hunk"))
+            .when(F.col("_first") == "+", F.lit("added")).when(F.col("_first") == "-", F.lit("removed"))
+            .when(F.col("_first") == " ", F.lit("context")).otherwise(F.lit("other")))
+    return l.select(*keys, "pos", "line", "file_idx", "hunk_idx", kind.alias("kind"))
 
 
 def patch_hunks(lines: DataFrame, keys) -> DataFrame:
