@@ -154,37 +154,64 @@ def import_edges(files: DataFrame, key: str = "instance_id", path: str = "path",
     return first.join(py, [key, "dir"]).select(key, "src", "dst").distinct()
 
 
-def reachable(edges: DataFrame, roots: DataFrame, compact_every: int = 8) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, growth: int = 4) -> DataFrame:
     """(root, node) for every node reachable from a root (the root itself
-    included), cycle-safe.  Breadth-first: the frontier joins the edges, new
-    nodes are those not yet visited (anti-join); the loop stops when the
-    frontier is empty.  Every frontier is written as a parquet table in the
-    shared checkpoint folder and read back (lineage stays one round long, a
-    lost executor never replays earlier rounds); the visited set is rewritten
-    as one table every few rounds."""
+    included), cycle-safe.
+
+    First path lengths are doubled: level k holds the pairs of nodes that a walk of
+    2^k edges joins, as long as a level is made of at most ``growth`` times as many
+    walks as there are edges.  Then sweeps: a sweep takes its new (root, node) pairs
+    through all levels, the longest first, so it covers every walk of up to 2^levels - 1
+    edges, and afterwards one edge further; what was not visited before is
+    the next sweep's.  A chain of n edges takes about 2 log2(n) rounds, a dense
+    graph of small diameter a few sweeps with few levels.  Visited pairs are met
+    once a sweep, not once a round.
+
+    Levels, sweeps and visited pairs are parquet tables in the shared checkpoint
+    folder, so a lost executor never replays earlier rounds.  Null ends lead nowhere.
+    """
     from fixfold.streaming.jobs import scratch
 
     spark = edges.sparkSession
     base = scratch(spark, "closure")
-    # the edge table is read every round: written once, read back from the table
-    edges.select(F.col("src").alias("node"), F.col("dst")).distinct().write.parquet(f"{base}/edges")
-    e = spark.read.parquet(f"{base}/edges")
-    roots.select(F.col("root"), F.col("root").alias("node")).distinct().write.parquet(f"{base}/r0")
-    frontier = spark.read.parquet(f"{base}/r0")
-    visited = frontier
-    i = 0
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{base}/{name}")
+        return spark.read.parquet(f"{base}/{name}")
+
+    step = written(edges.select(F.col("src").alias("node"), F.col("dst")).where("node is not null and dst is not null")
+                   .distinct(), "level0")
+    levels, most = [step], growth * step.count()
     while True:
-        i += 1
-        nxt = frontier.join(e, "node").select("root", F.col("dst").alias("node")).distinct() \
-            .join(visited, ["root", "node"], "left_anti")
-        nxt.write.parquet(f"{base}/r{i}")
-        frontier = spark.read.parquet(f"{base}/r{i}")
-        if frontier.isEmpty():
+        last = levels[-1]
+        if last.isEmpty():
+            levels.pop()
+            break
+        if len(levels) > 1 and len(levels) >= most.bit_length():  # no shortest path is longer than the edges
+            break
+        # how many walks the next level joins, counted per middle node before they are made
+        into, out = last.groupBy(F.col("dst").alias("mid")).count(), last.groupBy(F.col("node").alias("mid")).count()
+        walks = into.join(out.withColumnRenamed("count", "n"), "mid").agg(F.sum(F.col("count") * F.col("n"))).first()[0] or 0
+        if walks > most:
+            break
+        far = last.select(F.col("node"), F.col("dst").alias("mid")).join(
+            last.select(F.col("node").alias("mid"), "dst"), "mid").select("node", "dst").distinct()
+        levels.append(written(far, f"level{len(levels)}"))
+    new = written(roots.select(F.col("root"), F.col("root").alias("node")).distinct(), "sweep0")
+    visited, sweeps = new, 0
+    while levels:
+        sweeps += 1
+        found = new
+        for k, level in enumerate(reversed(levels)):
+            further = found.join(level, "node").select("root", F.col("dst").alias("node"))
+            found = written(found.unionByName(further).distinct(), f"sweep{sweeps}-{k}")
+        found = written(found.join(visited, ["root", "node"], "left_anti"), f"found{sweeps}") if sweeps > 1 else found
+        visited = written(visited.unionByName(found).distinct() if sweeps > 1 else found, f"visited{sweeps}")
+        further = found.unionByName(new).join(step, "node").select("root", F.col("dst").alias("node")).distinct()
+        new = written(further.join(visited, ["root", "node"], "left_anti"), f"sweep{sweeps}")
+        if new.isEmpty():
             break
-        visited = visited.unionByName(frontier)
-        if i % compact_every == 0:
-            visited.write.parquet(f"{base}/v{i}")
-            visited = spark.read.parquet(f"{base}/v{i}")
+        visited = visited.unionByName(new)
     return visited
 
 
