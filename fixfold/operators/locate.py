@@ -201,6 +201,8 @@ def edit_diff(applied: DataFrame, key: str = "instance_id", attempt: str = "atte
                 continue
             f = getattr(r, "file")
             body = difflib.unified_diff(old.splitlines(True), new.splitlines(True), f"a/{f}", f"b/{f}")
+            # a last line without a line feed is marked, or the next line would run into it
+            body = [x if x.endswith("\n") else x + "\n\\ No newline at end of file\n" for x in body]
             out.append(f"diff --git a/{f} b/{f}\n" + "".join(body))
         return pd.DataFrame({key: [pdf[key].iloc[0]], attempt: [pdf[attempt].iloc[0]], "model_patch": ["".join(out)]})
 

@@ -200,21 +200,32 @@ locate_answers AS (
          || chr(10) || '```' || chr(10) AS answer
   FROM (SELECT {_INST} AS instance_id, {_PATH} AS p, (len(string_split(text, chr(10))) + 11) // 12 AS n FROM documents))"""
 
+def _block(search: str, repl: str) -> str:
+    return f"""'```python' || chr(10) || '### ' || p || chr(10) || '<<<<<<< SEARCH' || chr(10) || {search}
+  || chr(10) || '=======' || chr(10) || {repl} || chr(10) || '>>>>>>> REPLACE' || chr(10) || '```' || chr(10)"""
+
+
+def _searched(k: str, line: str) -> str:
+    return f"(CASE WHEN attempt = 0 AND (doc_id + {k}) % 3 = 0 THEN '        not present' ELSE {line} END)"
+
+
+_NAME, _BACK = "'class C' || (12 * (k - 1))", "'        return ' || n"
+
 VIEWS["edit_answers"] = f"""
 edit_answers AS (
-  WITH d AS (SELECT {_INST} AS instance_id, {_PATH} AS p, doc_id,
-                    '        return ' || CAST(length(string_split(text, chr(10))[1]) AS VARCHAR) AS hit FROM documents)
-  SELECT instance_id, attempt,
-         'I will edit.' || chr(10) || '```python' || chr(10) || '### ' || p || chr(10) || '<<<<<<< SEARCH' || chr(10)
-         || search || chr(10) || '=======' || chr(10) || repl || chr(10) || '>>>>>>> REPLACE' || chr(10) || '```'
-         || chr(10) || '```python' || chr(10) || '### other.py' || chr(10) || '<<<<<<< SEARCH' || chr(10) || 'x'
+  WITH d AS (SELECT {_INST} AS instance_id, {_PATH} AS p, doc_id, string_split(text, chr(10)) AS l FROM documents),
+  e AS (SELECT instance_id, p, doc_id, attempt, CASE attempt WHEN 0 THEN ' + 1' ELSE ' * 2' END AS mark,
+               list_transform(list_filter(l, lambda x, i: (i - 1) % 12 = 0), lambda x: length(x)) AS c,
+               list_transform(list_filter(l, lambda x, i: (i - 1) % 12 = 6), lambda x: length(x)) AS r
+        FROM d, (SELECT unnest([0, 1]) AS attempt))
+  SELECT instance_id, attempt, 'I will edit.' || chr(10)
+         || array_to_string(list_concat(
+              list_transform(c, lambda n, k: {_block(_searched("k - 1", _NAME + " || ':'"), _NAME + " || '(B):  # ' || n || mark")}),
+              list_transform(r, lambda n, k: {_block(_searched("k", _BACK), _BACK + " || mark")})), '')
+         || '```python' || chr(10) || '### other.py' || chr(10) || '<<<<<<< SEARCH' || chr(10) || 'x'
          || chr(10) || '=======' || chr(10) || 'y' || chr(10) || '>>>>>>> REPLACE' || chr(10) || '```' || chr(10)
-         || '```python' || chr(10) || '### ' || p || chr(10) || '<<<<<<< SEARCH' || chr(10) || '   ' || chr(10)
-         || '=======' || chr(10) || 'z' || chr(10) || '>>>>>>> REPLACE' || chr(10) || '```' AS answer
-  FROM (SELECT instance_id, p, 0 AS attempt,
-               CASE WHEN doc_id % 3 = 0 THEN '        not present' ELSE hit END AS search, hit || ' + 1' AS repl FROM d
-        UNION ALL
-        SELECT instance_id, p, 1 AS attempt, hit AS search, hit || ' * 2' AS repl FROM d))"""
+         || {_block("'   '", "'z'")} AS answer
+  FROM e)"""
 
 _LOC = f"""
 locs AS (

@@ -547,24 +547,32 @@ def locate_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edit_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search/replace answers (instance_id, attempt, answer): two attempts per
-    module; the first searches a line that is absent for every third module.
-    Each answer also holds an edit of an unknown file and a blank search."""
+    module.  For each cycle of twelve lines of the module a block renames the
+    class line, and one changes the return line where the cycle has it; the
+    first attempt searches an absent line in every third block.  Each answer also holds an
+    edit of an unknown file and a blank search."""
     d = _documents(spark, sf_dir)
     inst = F.concat(F.replace(_doc_repo(), F.lit("/"), F.lit("__")), F.lit("-"), _s(F.col("doc_id")))
-    first_len = _s(F.length(F.split("text", "\n", -1)[0]))
-    hit = F.concat(F.lit("        return "), first_len)
-    p = _code_path()
-
-    def ans(search, repl):
-        return F.concat(F.lit("I will edit.\n```python\n### "), p, F.lit("\n<<<<<<< SEARCH\n"), search,
-                        F.lit("\n=======\n"), repl, F.lit("\n>>>>>>> REPLACE\n```\n```python\n### other.py\n"
-                                                           "<<<<<<< SEARCH\nx\n=======\ny\n>>>>>>> REPLACE\n```\n"
-                                                           "```python\n### "), p,
-                        F.lit("\n<<<<<<< SEARCH\n   \n=======\nz\n>>>>>>> REPLACE\n```"))
-
-    miss = F.when(F.col("doc_id") % 3 == 0, F.lit("        not present")).otherwise(hit)
-    a0 = d.select(inst.alias("instance_id"), F.lit(0).alias("attempt"),
-                  ans(miss, F.concat(hit, F.lit(" + 1"))).alias("answer"))
-    a1 = d.select(inst.alias("instance_id"), F.lit(1).alias("attempt"),
-                  ans(hit, F.concat(hit, F.lit(" * 2"))).alias("answer"))
-    return a0.unionByName(a1)
+    base = d.select(inst.alias("instance_id"), _code_path().alias("p"), "doc_id", F.split("text", "\n", -1).alias("_l"))
+    lengths = lambda k: F.transform(F.filter("_l", lambda x, i: i % 12 == k), lambda x: F.length(x))
+    base = base.select("instance_id", "p", "doc_id", lengths(0).alias("c"), lengths(6).alias("r"))
+
+    def block(search, repl):
+        return F.concat(F.lit("```python\n### "), F.col("p"), F.lit("\n<<<<<<< SEARCH\n"), search, F.lit("\n=======\n"), repl,
+                        F.lit("\n>>>>>>> REPLACE\n```\n"))
+
+    def answer(attempt, mark):
+        def searched(k, line):
+            return F.when((F.col("doc_id") + k) % 3 == 0, F.lit("        not present")).otherwise(line) if attempt == 0 else line
+
+        name = lambda k: F.concat(F.lit("class C"), _s(12 * k))
+        back = lambda n: F.concat(F.lit("        return "), _s(n))
+        classes = F.transform("c", lambda n, k: block(searched(k, F.concat(name(k), F.lit(":"))),
+                                                      F.concat(name(k), F.lit("(B):  # "), _s(n), F.lit(mark))))
+        returns = F.transform("r", lambda n, k: block(searched(k + 1, back(n)), F.concat(back(n), F.lit(mark))))
+        return base.select("instance_id", F.lit(attempt).alias("attempt"), F.concat(
+            F.lit("I will edit.\n"), F.array_join(F.concat(classes, returns), ""),
+            F.lit("```python\n### other.py\n<<<<<<< SEARCH\nx\n=======\ny\n>>>>>>> REPLACE\n```\n"),
+            block(F.lit("   "), F.lit("z"))).alias("answer"))
+
+    return answer(0, " + 1").unionByName(answer(1, " * 2"))
