@@ -113,15 +113,56 @@ def parse_logs(logs: DataFrame, keys=("instance_id",), text: str = "test_output"
         "prev_test", F.last(L.verbose_prev_marker(F.col("line")), ignorenulls=True).over(w))
     plain = base.where(~verbose).select(*keys, "rule", exploded).withColumn("prev_test", F.lit(None).cast("string"))
     lines = carried.unionByName(plain)
-    staged = lines.select(*keys, "pos", "rule", "line", "prev_test",
-                          *L.stage1(F.col("rule"), F.col("line")))
+    ex = _line_emissions(lines, keys).unionByName(base.select(*keys, F.explode("blob").alias("e")))
+    return ex.groupBy(*keys, F.col("e.test").alias("test_case")).agg(
+        F.max_by(F.col("e.status"), F.col("e.ord")).alias("status"))
+
+
+def _line_emissions(lines: DataFrame, keys: list) -> DataFrame:
+    """(keys, e) for lines (keys, pos, rule, line, prev_test): ``e`` is (ord, test, status)."""
+    staged = lines.select(*keys, "pos", "rule", "line", "prev_test", *L.stage1(F.col("rule"), F.col("line")))
     staged = staged.select("*", *L.stage2())
     em = F.transform(L.stage3(F.col("rule"), F.col("line"), F.col("prev_test")),
                      lambda e, i: F.struct((F.col("pos") * 1000 + i).cast("bigint").alias("ord"),
                                            e["test"].alias("test"), e["status"].alias("status")))
-    ex = staged.select(*keys, F.explode(em).alias("e")).unionByName(base.select(*keys, F.explode("blob").alias("e")))
-    return ex.groupBy(*keys, F.col("e.test").alias("test_case")).agg(
-        F.max_by(F.col("e.status"), F.col("e.ord")).alias("status"))
+    return staged.select(*keys, F.explode(em).alias("e"))
+
+
+def line_gates(lines: DataFrame, keys=("instance_id",)) -> DataFrame:
+    """Per log what its lines (keys, pos, line) say about F28: ``bad`` marker seen, ``passed`` marker
+    seen, and ``start``, the line of the last prediction marker (NULL without one)."""
+    line = F.col("line")
+    bad = F.lit(False)
+    for m in NOT_APPLIED_MARKERS:
+        bad = bad | line.contains(m)
+    return lines.groupBy(*keys).agg(
+        F.bool_or(bad).alias("bad"), F.bool_or(F.lower(line).contains("applied patch")).alias("passed"),
+        F.max(F.when(line.contains(PRED_MARKER), F.col("pos"))).cast("long").alias("start"))
+
+
+def newest_lines(lines: DataFrame, keys=("instance_id",)) -> DataFrame:
+    """(keys, test_case, framed, ord, status): for each test the newest of the lines (keys, rule, pos,
+    line) that name it; framed headers, which any line outranks, are kept beside.
+    Not for the verbose rule, whose lines lean on their neighbours."""
+    keys = list(keys)
+    # a line with the marker counts from behind it
+    cut = lines.select(*keys, "rule", F.col("pos").cast("long").alias("pos"),
+                       F.substring_index("line", PRED_MARKER, -1).alias("line"), F.lit(None).cast("string").alias("prev_test"))
+    framed = F.transform(_blob_emissions(F.col("rule"), F.col("line")), lambda e, i: F.struct(
+        (F.col("pos") * 1000 + i).cast("bigint").alias("ord"), e["test"].alias("test"), e["status"].alias("status")))
+    heads = cut.where("rule = 'framed'").select(*keys, F.explode(framed).alias("e"))
+    both = _line_emissions(cut, keys).withColumn("framed", F.lit(False)).unionByName(heads.withColumn("framed", F.lit(True)))
+    return both.groupBy(*keys, F.col("e.test").alias("test_case"), "framed").agg(
+        F.max("e.ord").alias("ord"), F.max_by("e.status", "e.ord").alias("status"))
+
+
+def statuses_after(newest: DataFrame, starts: DataFrame, keys=("instance_id",)) -> DataFrame:
+    """(keys, test_case, status) of the newest lines that lie at or behind their log's ``start``."""
+    keys = list(keys)
+    valid = newest.join(starts.select(*keys, "start"), keys).where(
+        F.col("start").isNull() | (F.col("ord") >= F.col("start") * 1000))
+    return valid.groupBy(*keys, "test_case").agg(
+        F.max_by("status", F.struct((~F.col("framed")).alias("line"), "ord")).alias("status"))
 
 
 def status_map(status_rows: DataFrame, keys=("instance_id",), order: str = "line_no") -> DataFrame:

@@ -84,23 +84,35 @@ def merge_shards(shards: list[DataFrame], expected: int | None = None) -> DataFr
     return out
 
 
-def within_budget(df: DataFrame, cost: str, cap: float, order: list) -> DataFrame:
+def within_budget(df: DataFrame, cost: str, cap: float, order: list, by: list | None = None,
+                  carried: DataFrame | None = None) -> DataFrame:
     """Walk rows in order and stop once the running cost reaches ``cap``;
     the row that crosses the cap is kept.  Running sums over the global order use
-    the same two-phase scheme: per-partition sums, prefix offsets, local sums."""
+    the same two-phase scheme: per-partition sums, prefix offsets, local sums.
+
+    With ``by`` each group of these columns has a cap of its own; rows are
+    range-partitioned by group and order, so a large group is spread over
+    partitions and many small ones share one.  ``carried`` (by, spent) is what a
+    group has spent before."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
+    by = list(by or [])
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    cols = [F.col(c) if isinstance(c, str) else c for c in [*by, *order]]
     exact = F.col(cost).cast("decimal(18,8)")  # sums must not depend on how the rows are partitioned
     tagged = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
               .select("*", F.spark_partition_id().alias("_pid"),
                       F.monotonically_increasing_id().alias("_mid"))
               .checkpoint(eager=True))
-    sums = tagged.groupBy("_pid").agg(F.sum(exact).alias("_s"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("_pid", F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_off"))
-    wl = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("_off") + F.coalesce(F.sum(exact).over(wl), F.lit(0))
-    j = tagged.join(F.broadcast(offsets), "_pid").withColumn("_before", before)
-    return j.where(F.col("_before") < cap).select(*df.columns)
+    sums = tagged.groupBy("_pid", *by).agg(F.sum(exact).alias("_s"))
+    w = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_pid", *by, F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_off"))
+    wl = Window.partitionBy("_pid", *by).orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
+    local = tagged.withColumn("_before", F.coalesce(F.sum(exact).over(wl), F.lit(0)))
+    # one row for each partition (and group in it); without groups no more than partitions, which is a bound
+    j = local.join(offsets if by else F.broadcast(offsets), ["_pid", *by])
+    before = F.col("_before") + F.col("_off")
+    if carried is not None:
+        j = j.join(carried.select(*by, F.col("spent").cast("decimal(38,8)").alias("_spent")), by, "left")
+        before = before + F.coalesce("_spent", F.lit(0))
+    return j.where(before < cap).select(*df.columns)

@@ -42,6 +42,24 @@ def q_stream_status(spark, sf):
     return S.stream_status(spark, src, schema, S.scratch(spark, "status-out"))
 
 
+def q_stream_report(spark, sf):
+    """Each log's lines arrive in three parts, by their position in the log."""
+    lines = A.logs(spark, sf).select("instance_id", "repo", F.posexplode(F.split("content", "\n", -1)).alias("pos", "line"))
+    path = S.scratch(spark, "report-src")
+    S.stage_files(lines, path, 3, ["pos", "instance_id"])
+    r = S.stream_report(spark, path, spark.read.parquet(path).schema, A.predictions(spark, sf), A.expected_tests(spark, sf),
+                        S.scratch(spark, "report-out"))
+    lists = [F.array_join(F.col(c), ",").alias(c) for c in r.columns if c.endswith(("_success", "_failure"))]
+    return r.select("instance_id", "patch_is_null", "patch_exists", "patch_applied", "resolved", *lists)
+
+
+def q_stream_budget_jobs(spark, sf):
+    """A cap for each model's calls."""
+    c = I.with_cost(MP._calls(spark, sf)).select("call_id", "model", "cost")
+    src, schema = _stage(spark, c, "budget-jobs-src", ["call_id"])
+    return S.stream_budget(spark, src, schema, MP.BUDGET_CAP, S.scratch(spark, "budget-jobs-out"), job="model")
+
+
 def q_stream_vote(spark, sf):
     att = A.attempts(spark, sf)
     src, schema = _stage(spark, att, "vote-src", ["instance_id", "run_id"])
@@ -69,6 +87,8 @@ def q_stream_progress(spark, sf):
 QUERIES.update({
     "stream_once": q_stream_once,
     "stream_status": q_stream_status,
+    "stream_report": q_stream_report,
+    "stream_budget_jobs": q_stream_budget_jobs,
     "stream_vote": q_stream_vote,
     "stream_budget": q_stream_budget,
     "stream_progress": q_stream_progress,
@@ -77,6 +97,12 @@ QUERIES.update({
 ORACLE["stream_once"] = with_views(["attempts"]) + """
 SELECT DISTINCT l_orderkey AS instance_id, 'r' || CAST(l_suppkey % 12 AS VARCHAR) AS run_id FROM lineitem"""
 ORACLE["stream_status"] = GP.ORACLE["parse_logs"]
+ORACLE["stream_report"] = GP.ORACLE["instance_reports"]
+ORACLE["stream_budget_jobs"] = with_views(["calls"], MP._COST) + f"""
+SELECT call_id, model FROM (
+  SELECT call_id, model, coalesce(sum(CAST(cost AS DECIMAL(18, 8))) OVER (
+           PARTITION BY model ORDER BY call_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM costed) WHERE before < {MP.BUDGET_CAP}"""
 ORACLE["stream_vote"] = VP.ORACLE["vote_decision"]
 ORACLE["stream_budget"] = MP.ORACLE["within_budget"]
 ORACLE["stream_progress"] = """

@@ -3,9 +3,11 @@
 Sources are file streams (parquet folders that grow).  Every job writes each
 micro-batch through ``foreachBatch`` into its own ``epoch=<id>`` partition with
 dynamic partition overwrite, so a retried micro-batch replaces its own output
-instead of duplicating it.  Aggregate jobs (T3, T5) run in complete mode: each
-epoch holds the full snapshot and readers take the latest one.  Every job keeps
-its offsets and state in a checkpoint folder under the cluster's
+instead of duplicating it.  Aggregations run in update mode: an epoch holds the
+keys that its micro-batch changed, and readers take each key's latest epoch.
+What has to be looked up again is kept in a ``KeyedStore``: rows by bucket of
+their group, of which a micro-batch reads only the buckets it touches.  Every
+job keeps its offsets and state in a checkpoint folder under the cluster's
 ``spark.checkpoint.dir``.
 """
 
@@ -67,28 +69,69 @@ def _epoch_writer(path: str):
     return write
 
 
+class KeyedStore:
+    """Latest rows by ``key``, kept in folders by bucket of ``group`` (a part of the key) and epoch.
+    Of a key's rows the one with the largest ``order`` counts, of equal ones (or without ``order``) the
+    latest epoch's.
+
+    ``put`` appends a micro-batch's rows; ``touched`` gives the latest rows of all
+    keys in the groups of that epoch, reading only those groups' buckets.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, group: list, key: list, buckets: int = 16,
+                 order: str | None = None):
+        self.spark, self.path, self.group, self.key, self.buckets = spark, path, list(group), list(key), buckets
+        self.order = [order] if order else []
+        self.schema = None
+
+    def put(self, batch: DataFrame, epoch: int) -> None:
+        bucket = F.pmod(F.xxhash64(*self.group), F.lit(self.buckets)).cast("int")
+        rows = batch.withColumns({"bucket": bucket, "epoch": F.lit(epoch).cast("int")})
+        self.schema = rows.schema
+        # rebalanced: small buckets share a task, a bucket with a hot group is split over several
+        (rows.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("bucket", "epoch").parquet(self.path))
+
+    def touched(self, epoch: int) -> DataFrame:
+        stored = self.spark.read.schema(self.schema).parquet(self.path)
+        now = stored.where(F.col("epoch") == epoch)
+        buckets = [r[0] for r in now.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        known = stored.where(F.col("bucket").isin(buckets) & (F.col("epoch") <= epoch))
+        known = known.join(now.select(*self.group).distinct(), self.group, "left_semi")
+        rest = [c for c in stored.columns if c not in (*self.key, "bucket", "epoch")]
+        return known.groupBy(*self.key).agg(
+            F.max_by(F.struct(*rest), F.struct(*self.order, "epoch")).alias("_r")).select(*self.key, "_r.*")
+
+    def groups(self, epoch: int) -> DataFrame:
+        """The groups that an epoch touched."""
+        stored = self.spark.read.schema(self.schema).parquet(self.path)
+        return stored.where(F.col("epoch") == epoch).select(*self.group).distinct()
+
+
+def latest(spark: SparkSession, out: str, key: list) -> DataFrame:
+    """Each key's rows of its latest epoch."""
+    rows = spark.read.parquet(out)
+    last = rows.groupBy(*key).agg(F.max("epoch").alias("epoch"))
+    return rows.join(last, [*key, "epoch"]).select(*[c for c in rows.columns if c != "epoch"])
+
+
 def stream_once(spark: SparkSession, source: str, schema, key: list, ts: str, out: str) -> DataFrame:
     """Each key written once across micro-batches and restarts, however late it comes.
 
-    A micro-batch keeps its distinct keys and drops those that earlier epochs
-    of the sink hold (an anti-join); no state and no watermark is involved."""
-    s = read_stream(spark, source, schema)
+    The state store holds every key with the times of the first and the latest
+    micro-batch that had it; a key is new where both are this one's.  So the sink
+    is never read, and what a micro-batch costs does not grow with the epochs.
+    The event time written is the least of the key's first micro-batch."""
+    seen = read_stream(spark, source, schema).select(*key, ts, F.current_timestamp().alias("_batch"))
+    state = seen.groupBy(*key).agg(F.min(ts).alias(ts), F.min("_batch").alias("_first"), F.max("_batch").alias("_last"))
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        b = batch.select(*key, ts).dropDuplicates(key)
-        if exists(spark, out):
-            seen = spark.read.schema(f"{_ddl(batch, key)}, epoch int").parquet(out)
-            b = b.join(seen.where(F.col("epoch") < epoch_id).select(*key), key, "left_anti")
-        _epoch_writer(out)(b, epoch_id)
+        _epoch_writer(out)(batch.where(F.col("_first") == F.col("_last")).select(*key, ts), epoch_id)
 
-    _run(s, write, out + "_ckpt")
+    _run(state, write, out + "_ckpt", mode="update")
     return spark.read.parquet(out).drop("epoch")
 
 
-def _ddl(df: DataFrame, columns: list) -> str:
-    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
-
-
 def stream_snapshot(spark: SparkSession, sdf: DataFrame, out: str, finish=None) -> DataFrame:
     """Run a streaming aggregation in complete mode; each micro-batch's full
     result (optionally finished by ``finish``, a DataFrame → DataFrame function)
@@ -133,58 +176,116 @@ def stream_status(spark: SparkSession, logs_path: str, schema, out: str, keys=("
     return res.join(latest, keys + ["epoch"]).where("test_case is not null").drop("epoch")
 
 
+def stream_report(spark: SparkSession, lines_path: str, schema, predictions: DataFrame, expected: DataFrame, out: str,
+                  keys=("instance_id",), to_fail: bool = False) -> DataFrame:
+    """Log lines arrive piecemeal (keys, ``repo``, ``pos``, ``line``, in any order); every micro-batch
+    upserts the graded reports of the logs it touches.
+
+    For each (log, test) the state keeps the newest line that names the test, with its
+    position; for each log the markers of the gate and the position of the last
+    start of the output.  A test's line counts if it lies behind that start.  Lines of the
+    verbose runner lean on their neighbours, so for such logs the lines
+    themselves are the state and a touched log is parsed whole.  The statuses of
+    the touched logs meet the static expected tests and predictions, and the reports
+    (A12) are written to the epoch.  Returns each log's latest report; logs
+    without a prediction have none."""
+    from fixfold.operators import grading as G
+
+    keys = list(keys)
+    s = G.with_rule(read_stream(spark, lines_path, schema), spark)
+    newest = KeyedStore(spark, out + "_tests", keys, [*keys, "test_case", "framed"], order="ord")
+    gates = KeyedStore(spark, out + "_gates", keys, [*keys, "part"])
+    texts = KeyedStore(spark, out + "_lines", keys, [*keys, "pos"])
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        verbose = F.coalesce(F.col("rule") == "verbose", F.lit(False))
+        batch = batch.select(*keys, "rule", "pos", "line")
+        # a part of the gate for each epoch: they are put together when they are read
+        gates.put(G.line_gates(batch, keys).withColumn("part", F.lit(epoch_id)), epoch_id)
+        newest.put(G.newest_lines(batch.where(~verbose), keys), epoch_id)
+        texts.put(batch.where(verbose).select(*keys, "pos", "line"), epoch_id)
+        logs = gates.groups(epoch_id)
+        gate = gates.touched(epoch_id).groupBy(*keys).agg(
+            F.bool_or("bad").alias("bad"), F.bool_or("passed").alias("passed"), F.max("start").alias("start"))
+        gate = gate.select(*keys, (~F.col("bad") & F.col("passed")).alias("applied"), "start")
+        plain = G.statuses_after(newest.touched(epoch_id), gate.where("applied"), keys)
+        whole = texts.touched(epoch_id).groupBy(*keys).agg(F.array_join(F.transform(
+            F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("content"))
+        parsed = G.parse_logs(G.applied_logs(whole).withColumn("rule", F.lit("verbose")), keys)
+        of = lambda df: df.join(logs, keys, "left_semi")
+        reports = G.instance_reports(of(predictions), gate, of(expected), plain.unionByName(parsed), keys, to_fail)
+        _epoch_writer(out)(reports, epoch_id)
+
+    _run(s, write, out + "_ckpt")
+    return latest(spark, out, keys)
+
+
 def stream_vote(spark: SparkSession, attempts_path: str, schema, out: str) -> DataFrame:
     """Attempts arrive; vote counts per (instance, patch) are streaming
-    aggregates; after each micro-batch the leaders and the decision are
-    recomputed from the snapshot."""
+    aggregates in update mode.  A micro-batch's changed counts go to a store by
+    instance, and the leaders and the decision are found again for the
+    instances it touches, from their counts alone: what it writes is bounded by them."""
     from fixfold.operators import voting as V
 
-    s = read_stream(spark, attempts_path, schema)
-    votes = V.vote_counts(s)
-    return stream_snapshot(spark, votes, out, finish=lambda b: V.decide(V.vote_leaders(b)))
+    votes = V.vote_counts(read_stream(spark, attempts_path, schema))
+    counts = KeyedStore(spark, out + "_counts", ["instance_id"], ["instance_id", "patch"])
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        counts.put(batch, epoch_id)
+        _epoch_writer(out)(V.decide(V.vote_leaders(counts.touched(epoch_id))), epoch_id)
+
+    _run(votes, write, out + "_ckpt", mode="update")
+    return latest(spark, out, ["instance_id"])
 
 
 def stream_budget(spark: SparkSession, calls_path: str, schema, cap: float, out: str,
-                  order: str = "call_id", cost: str = "cost") -> DataFrame:
-    """T4: a spend cap across micro-batches: per job, calls are taken in order
-    until the running cost reaches ``cap`` (the crossing call kept); the spent
-    amount is the group state.  One job's calls are a sequential walk, so each
-    micro-batch of that job is one group."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    s = read_stream(spark, calls_path, schema).withColumn("job", F.lit("run"))
-    key_type = s.schema[order].dataType.simpleString()
-
-    def walk(key, pdfs, state):
-        spent = state.get[0] if state.exists else 0.0
-        keep = []
-        batch = pd.concat(list(pdfs), ignore_index=True)
-        for o, c in batch.sort_values(order)[[order, cost]].itertuples(index=False):
-            if spent < cap:
-                keep.append(o)
-                if not pd.isna(c):  # unknown price: counts as nothing, like a SQL sum
-                    spent += c
-        state.update((spent,))
-        yield pd.DataFrame({order: keep})
-
-    kept = s.groupBy("job").applyInPandasWithState(
-        walk, f"{order} {key_type}", "spent double", "append", GroupStateTimeout.NoTimeout)
-    _run(kept, _epoch_writer(out), out + "_ckpt")
+                  order: str = "call_id", cost: str = "cost", job: str | None = None) -> DataFrame:
+    """T4: a spend cap per job across micro-batches: a job's calls are taken in
+    order until its running cost reaches ``cap`` (the crossing call kept).
+
+    In a micro-batch the running costs are prefix sums over range partitions of (job,
+    order), so a job of any size is spread over them; what a job has spent before
+    is a balance of its own, carried from epoch to epoch in a store with one row for each
+    job.  Without a ``job`` column all calls are one job's.  Unknown costs count nothing."""
+    from fixfold.operators import ordering as OR
+
+    by = job or "_job"
+    s = read_stream(spark, calls_path, schema)
+    s = s if job else s.withColumn(by, F.lit(0))
+    balance = KeyedStore(spark, out + "_balance", [by], [by])
+    spent = F.coalesce(F.col(cost).cast("decimal(18,8)"), F.lit(0).cast("decimal(18,8)"))
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        calls = batch.select(by, order, spent.alias(cost)).checkpoint(eager=True)
+        balance.put(calls.groupBy(by).agg(F.sum(cost).alias("spent")).withColumn("part", F.lit(epoch_id)), epoch_id)
+        before = balance_before(epoch_id)
+        kept = OR.within_budget(calls, cost, cap, [order], by=[by], carried=before)
+        _epoch_writer(out)(kept.select(*([by] if job else []), order), epoch_id)
+
+    def balance_before(epoch_id: int) -> DataFrame:
+        # all costs of earlier epochs, kept or not: beyond the cap more changes nothing
+        stored = spark.read.schema(balance.schema).parquet(balance.path)
+        jobs = balance.groups(epoch_id)
+        return (stored.where(F.col("epoch") < epoch_id).join(jobs, by, "left_semi")
+                .groupBy(by).agg(F.sum("spent").alias("spent")))
+
+    ensure_checkpoint_dir(spark)
+    _run(s, write, out + "_ckpt")
     return spark.read.parquet(out).drop("epoch")
 
 
 def stream_progress(spark: SparkSession, results_path: str, schema, out: str, ts: str = "ts",
                     window: str = "5 minutes") -> DataFrame:
-    """T5: results per time window (total / completed / errors), kept as a
-    complete snapshot so late rows update their window."""
+    """T5: results per time window (total / completed / errors), in update mode: a
+    micro-batch writes the windows it changes, late rows' too."""
     s = read_stream(spark, results_path, schema)
     agg = s.groupBy(F.window(ts, window).alias("w")).agg(
         F.count(F.lit(1)).alias("n_total"),
         F.count_if(F.col("status") == "error").alias("n_error"),
         F.count_if(F.col("status") != "error").alias("n_completed"))
-    return stream_snapshot(spark, agg, out, finish=lambda b: b.select(
-        F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n_total", "n_error", "n_completed"))
+    agg = agg.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n_total", "n_error", "n_completed")
+    _run(agg, _epoch_writer(out), out + "_ckpt", mode="update")
+    return latest(spark, out, ["window_start"])
 
 
 def stream_stalls(spark: SparkSession, results_path: str, schema, out: str, ts: str = "ts",
