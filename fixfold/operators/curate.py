@@ -80,10 +80,40 @@ def md5_order(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
-def sample_n(df: DataFrame, n: int, seed: int = 42, key: str = "instance_id") -> DataFrame:
-    """L4: a seeded subset of n rows — the n smallest md5(seed:id).  A top-n,
-    so Spark keeps n rows per partition before the final merge."""
-    return df.withColumn("_o", md5_order(key, seed)).orderBy("_o", key).limit(n).drop("_o")
+def sample_n(df: DataFrame, n: int, seed: int = 42, key: str = "instance_id", few: int = 100_000) -> DataFrame:
+    """L4: a seeded subset of n rows — the n smallest md5(seed:id), ties by id.
+
+    The n-th smallest is found by counting, and the rows below it stay where they
+    are: a histogram over the next four hexadecimal digits tells the bin it lies in, until a
+    bin holds at most ``few`` rows (or the digits end), and only that bin is sorted.
+    Each histogram is at most 65,536 rows.  Rows of a null id come first; of equal
+    rows at the boundary as many as are missing."""
+    if n < 1:
+        return df.limit(0)
+    o = F.coalesce(md5_order(key, seed), F.lit(""))
+    order = df.select(o.alias("o"), F.col(key).alias("k"))
+    prefix, missing = "", n  # the wanted row is the missing-th one with this prefix
+    while True:
+        bins = order.where(F.col("o").startswith(prefix)).groupBy(
+            F.substr("o", F.lit(len(prefix) + 1), F.lit(4)).alias("d")).count().collect()
+        for d, count in sorted(bins):
+            if count >= missing:
+                break
+            missing -= count
+        else:
+            return df  # no more than n rows
+        prefix += d
+        if count <= few or d == "" or len(prefix) >= 32:
+            break
+    at = F.struct("o", "k")
+    last = order.where((F.col("o") == prefix) if d == "" else F.col("o").startswith(prefix)).orderBy("o", "k").limit(missing)
+    edge = last.groupBy(at.alias("at")).count().orderBy(F.desc("at")).first()
+    mine = F.struct(o.alias("o"), F.col(key).alias("k"))
+    bound = F.struct(F.lit(edge["at"]["o"]).alias("o"), F.lit(edge["at"]["k"]).cast(df.schema[key].dataType).alias("k"))
+    equal = o.eqNullSafe(F.lit(edge["at"]["o"])) & F.col(key).eqNullSafe(F.lit(edge["at"]["k"]))
+    if order.where(F.col("o").eqNullSafe(edge["at"]["o"]) & F.col("k").eqNullSafe(F.lit(edge["at"]["k"]))).count() == edge["count"]:
+        return df.where((mine < bound) | equal)
+    return df.where((mine < bound) & ~equal).unionByName(df.where(equal).limit(edge["count"]))
 
 
 def cap_per_group(df: DataFrame, group: str, n: int, seed: int = 42,

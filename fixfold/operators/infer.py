@@ -165,14 +165,19 @@ def parse_kv(col) -> Column:
     return F.transform_values(m, lambda k, v: typed(v))
 
 
+#: Error of rows that a task did not call any more.
+NOT_CALLED = "not called: too many failures"
+
+
 def complete(df: DataFrame, fn, text: str = "text", key: str = "instance_id",
-             retries: int = 3, backoff: float = 0.0) -> DataFrame:
+             retries: int = 3, backoff: float = 0.0, give_up: int | None = None) -> DataFrame:
     """Run ``fn(list[str]) -> list[str]`` over Arrow batches in the tasks.
 
     Each batch is retried up to ``retries`` times; if it still fails, rows are
     retried one by one and a row that keeps failing gets ``output`` NULL and its
-    error message — one bad row never fails the batch.  Output columns: key,
-    output, error, tokens_in, tokens_out (word counts)."""
+    error message — one bad row never fails the batch.  A task in which ``give_up``
+    rows have failed calls no more: its other rows get the error ``NOT_CALLED``.
+    Output columns: key, output, error, tokens_in, tokens_out (word counts)."""
     import re
 
     import pandas as pd
@@ -194,16 +199,23 @@ def complete(df: DataFrame, fn, text: str = "text", key: str = "instance_id",
         return None, last
 
     def run(batches):
+        failed = 0
         for pdf in batches:
             texts = pdf[text].fillna("").tolist()
-            outs, err = call(texts)
+            over = give_up is not None and failed >= give_up
+            outs, err = (None, None) if over else call(texts)
             errors = [None] * len(texts)
             if outs is None:
                 outs = []
                 for i, t in enumerate(texts):
+                    if give_up is not None and failed >= give_up:
+                        outs.append(None)
+                        errors[i] = NOT_CALLED
+                        continue
                     o, e = call([t])
                     outs.append(o[0] if o is not None else None)
                     errors[i] = None if o is not None else f"{type(e).__name__}: {e}"
+                    failed += o is None
             yield pd.DataFrame({
                 key: pdf[key],
                 "output": outs,

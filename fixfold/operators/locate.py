@@ -75,7 +75,11 @@ def resolve_locations(lines: DataFrame, symbols: DataFrame, file_lines: DataFram
                       key: str = "instance_id") -> DataFrame:
     """Spans (key, loc_pos, file, line_pos, sub, start, end):
     function/class by name, method by (class, name), variable = each file line
-    containing ``name=`` or ``name =`` → that line and the two after it."""
+    containing ``name=`` or ``name =`` → that line and the two after it.
+
+    Variables meet postings of the lines: what stands before each ``=`` of a line is
+    posted by its last one, two and three characters, a variable looks up its own
+    last ones.  So it meets the lines that assign to a name of this ending, never all of its file."""
     sym = symbols.select(key, F.col("path").alias("file"), "kind", "cls", "name", "start", "end")
     named = lines.where(F.col("kind").isin("function", "class"))
     a = named.join(sym.drop("cls"), [key, "file", "kind", "name"]).select(
@@ -84,8 +88,10 @@ def resolve_locations(lines: DataFrame, symbols: DataFrame, file_lines: DataFram
     b = meth.join(sym.where(F.col("kind") == "method").drop("kind"), [key, "file", "cls", "name"]).select(
         key, "loc_pos", "file", "line_pos", F.col("start").alias("sub"), "start", "end")
     var = lines.where(F.col("kind") == "variable")
-    fl = file_lines.select(key, F.col("path").alias("file"), "line_no", "text")
-    c = var.join(fl, [key, "file"]).where(
+    tails = F.array_distinct(F.concat(*[F.regexp_extract_all(F.col("text"), F.lit(f"(?s)(?=(.{{{n}}}) ?=)"), 1) for n in (1, 2, 3)]))
+    posted = file_lines.select(key, F.col("path").alias("file"), "line_no", "text").where(F.contains("text", F.lit("="))) \
+        .select("*", F.explode(tails).alias("tail"))
+    c = var.withColumn("tail", F.substr("name", F.greatest(F.length("name") - 2, F.lit(1)))).join(posted, [key, "file", "tail"]).where(
         F.col("text").contains(F.concat(F.col("name"), F.lit("="))) |
         F.col("text").contains(F.concat(F.col("name"), F.lit(" =")))).select(
         key, "loc_pos", "file", "line_pos", F.col("line_no").alias("sub"),

@@ -41,6 +41,42 @@ def extract_ticket(html) -> list[Column]:
     return [title.alias("title"), body.alias("body")]
 
 
+def tracker_tickets(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """P5 on the tracker's own markup: (key, title, body) of the ``div`` with id ``ticket`` —
+    the title of its ``h1.searchable``, the body of its first ``div.description``,
+    white space treated as in ``extract_ticket``; NULL where a part is missing.
+
+    Boxes nest, so a page is cut at its ``div`` tags and a running sum over the
+    pieces counts the depth; a box ends where the depth falls below its own.  The
+    pieces of a page meet in one window; comments are dropped first."""
+    opens, closes = r"(?i)^<div\b", r"(?i)^</div\s*>"
+    attr = lambda name, value: (
+        rf"""(?is)^<div\b[^>]*\s{name}\s*=\s*(?:"(?:[^"]*\s)?{value}(?:\s[^"]*)?"|'(?:[^']*\s)?{value}(?:\s[^']*)?'|{value}[\s>])""")
+    page = Window.partitionBy(key)
+    d = pages.select(key, F.split(F.regexp_replace(html, r"(?s)<!--.*?-->", ""), r"(?i)(?=<div\b|</div\s*>)", -1).alias("_p"))
+    d = d.select(key, F.posexplode_outer("_p").alias("pos", "piece"))
+    piece = F.col("piece")
+    turn = F.when(piece.rlike(opens), 1).when(piece.rlike(closes), -1).otherwise(0)
+    d = d.withColumn("depth", F.sum(turn).over(page.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    inside = F.lit(True)
+    for box, wanted in (("ticket", attr("id", "ticket")), ("description", attr("class", "description"))):
+        d = d.withColumn(f"_{box}", F.min(F.when(inside & piece.rlike(wanted), F.struct("pos", "depth"))).over(page))
+        end = F.min(F.when((F.col("pos") > F.col(f"_{box}.pos")) & (F.col("depth") < F.col(f"_{box}.depth")), F.col("pos"))).over(page)
+        d = d.withColumn(f"_{box}_end", end)
+        inside = (F.col("pos") >= F.col(f"_{box}.pos")) & (F.col(f"_{box}_end").isNull() | (F.col("pos") < F.col(f"_{box}_end")))
+        d = d.withColumn(f"_in_{box}", F.coalesce(inside, F.lit(False)))
+        inside = F.col(f"_in_{box}")
+    text = lambda flag: F.array_join(F.transform(F.array_sort(F.collect_list(
+        F.when(F.col(flag), F.struct("pos", "piece")))), lambda x: x["piece"]), "")
+    g = d.groupBy(key).agg(text("_in_ticket").alias("ticket"), text("_in_description").alias("description"),
+                           F.bool_or("_in_description").alias("has_body"))
+    head = r"""(?is)<h1\b[^>]*\sclass\s*=\s*["'](?:[^"']*\s)?searchable(?:\s[^"']*)?["'][^>]*>(.*?)</h1>"""
+    title = strip(F.regexp_replace(html_text(F.regexp_extract("ticket", head, 1)), PY_WS + "+", " "))
+    body = F.regexp_replace(F.regexp_replace(html_text("description"), r"\n+", "\n"), "    ", "\t")
+    return g.select(key, F.when(F.col("ticket").rlike(head), title).alias("title"),
+                    F.when(F.col("has_body"), strip(F.regexp_replace(body, "[ ]{2,}", " "))).alias("body"))
+
+
 ANCHOR = r'(?s)<a [^>]*href="([^"]*)"[^>]*>(.*?)</a>'
 
 

@@ -35,17 +35,18 @@ def fill(template: str, **cols: Column) -> Column:
     return F.concat(*out)
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """Written once to the shared folder and read back: what was paid for is not asked again."""
+def _kept(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Written once to the shared folder (in folders ``by`` a column) and read back: what was paid for is not asked again."""
     from fixfold.streaming.jobs import scratch
 
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
 def run_inference(df: DataFrame, fn, model: str, done: DataFrame | None = None, max_cost: float | None = None,
-                  key: str = "instance_id", text: str = "text", wave_rows: int = 10_000) -> DataFrame:
+                  key: str = "instance_id", text: str = "text", wave_rows: int = 10_000, max_failures: int | None = None,
+                  task_failures: int | None = None) -> DataFrame:
     """Shortest texts first (L1), skip ids already done (J1), keep texts
     that fit the model (F19), call the model in tasks (I1), extract the diff
     (P12) and price each call (P23).  Returns predictions with cost and error
@@ -54,8 +55,14 @@ def run_inference(df: DataFrame, fn, model: str, done: DataFrame | None = None,
     With ``max_cost`` the calls go out in waves of ``wave_rows`` in that order;
     a wave starts only while less than the cap is spent, so what may be spent
     beyond it is bounded by one wave, and every paid answer is kept.  Each wave's
-    answers are written before the next one starts.  A model without a price is
-    an error."""
+    answers are written before the next one starts, and a wave is a folder of its own, so it
+    reads its own rows.  A model without a price is an error.
+
+    With ``max_failures`` (I3) no wave starts once that many rows have failed, and
+    with ``task_failures`` a task stops calling after so many: with a model that
+    always fails the calls are bounded by the tasks of one wave.  Rows that were not
+    called are not in the result, so a later run with ``done`` takes them up;
+    ``infer.fail_budget`` of the result tells whether the run was aborted."""
     if max_cost is not None and (model not in I.MODEL_COST_PER_INPUT or model not in I.MODEL_COST_PER_OUTPUT):
         raise ValueError(f"no price for model {model!r}")
     d = df.select(key, text)
@@ -66,21 +73,25 @@ def run_inference(df: DataFrame, fn, model: str, done: DataFrame | None = None,
     d = I.fits_model(d, "n_tokens", "model").select(key, text, "_len")
 
     def call(part: DataFrame) -> DataFrame:
-        priced = I.with_cost(I.complete(part, fn, text, key).withColumn("model", F.lit(model)))
+        answered = I.complete(part, fn, text, key, give_up=task_failures)
+        answered = answered.where(~F.col("error").eqNullSafe(I.NOT_CALLED))
+        priced = I.with_cost(answered.withColumn("model", F.lit(model)))
         return priced.select(key, F.col("model").alias("model_name_or_path"), F.col("output").alias("full_output"),
                              I.extract_diff(F.col("output")).alias("model_patch"), "cost", "error")
 
-    if max_cost is None:
+    if max_cost is None and max_failures is None:
         return _kept(call(d), "answers")
     order = _kept(OR.global_row_number(d, ["_len", key], "_rn").withColumn(
-        "_wave", F.floor((F.col("_rn") - 1) / wave_rows)), "waves")
+        "_wave", F.floor((F.col("_rn") - 1) / wave_rows)), "waves", by="_wave")
     waves = order.agg(F.max("_wave")).first()[0]
-    spent, answers = 0.0, []
+    spent, failed, answers = 0.0, 0, []
     for wave in range(0 if waves is None else waves + 1):
-        if spent >= max_cost:
+        if (max_cost is not None and spent >= max_cost) or (max_failures is not None and failed >= max_failures):
             break
         answers.append(_kept(call(order.where(F.col("_wave") == wave)), f"answers-{wave}"))
-        spent += float(answers[-1].agg(F.sum(F.col("cost").cast("decimal(18,8)"))).first()[0] or 0)
+        cost, errors = answers[-1].agg(F.sum(F.col("cost").cast("decimal(18,8)")), F.count("error")).first()
+        spent += float(cost or 0)
+        failed += errors
     if not answers:
         return call(order)  # no rows
     return answers[0] if len(answers) == 1 else J.union_all(answers)

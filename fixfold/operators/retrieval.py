@@ -155,6 +155,15 @@ def files_in_text(text) -> Column:
     return F.regexp_extract_all(col_(text), F.lit(FILES_IN_TEXT), 1)
 
 
+#: Characters of a gram in the index of terms.
+GRAM = 3
+
+
+def _grams(term: Column, n: int) -> Column:
+    """All stretches of ``n`` characters, in one walk over the term."""
+    return F.regexp_extract_all(term, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
+
+
 def containing_docs(index: dict[str, DataFrame], docs: DataFrame, passages: DataFrame, pid: str = "qid",
                     passage: str = "text", corpus: str = "corpus") -> DataFrame:
     """(pid, docid, corpus) for documents of the passage's corpus whose text
@@ -164,7 +173,9 @@ def containing_docs(index: dict[str, DataFrame], docs: DataFrame, passages: Data
     contains each *interior* token of it (not the first or last, which may be
     cut from a longer word) as a token of its own, so each passage probes the
     postings of its rarest interior token.  A passage of one or two tokens
-    probes those terms that its longest token is a part of.  A passage without
+    probes those terms that its longest token is a part of: terms are found by
+    the rarest of the part's grams (three characters, or all of a shorter part) in an
+    index of the terms' grams, which grows with the terms' lengths.  A passage without
     tokens is looked for in every document of its corpus.  Containment is
     verified on the full texts in all cases."""
     toks = terms(F.col(passage))
@@ -174,13 +185,19 @@ def containing_docs(index: dict[str, DataFrame], docs: DataFrame, passages: Data
     rare = ps.join(index["term_stats"].select(corpus, "term", "df"), [corpus, "term"]) \
         .groupBy(pid, corpus, passage).agg(F.min_by("term", F.struct("df", "term")).alias("term"))
     short = p.where(F.size("_t").between(1, 2))
-    if not short.isEmpty():  # only then every term's parts are listed
-        longest = F.array_max(F.transform("_t", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-        part = F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.length("term")), lambda i: F.transform(
-            F.sequence(F.lit(1), F.length("term") - i + 1), lambda n: F.substr("term", i, n)))))
-        parts = index["term_stats"].select(corpus, "term", part.alias("part")).distinct()
-        rare = rare.unionByName(short.select(pid, corpus, passage, longest.alias("part")).join(
-            parts, [corpus, "part"]).drop("part"))
+    longest = F.array_max(F.transform("_t", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    parts = short.select(pid, corpus, passage, longest.alias("part"))
+    grams = index["term_stats"].select(corpus, "term", F.explode(F.array_distinct(
+        F.concat(*[_grams(F.col("term"), n) for n in (1, 2, GRAM)]))).alias("gram"))
+    size = F.least(F.length("part"), F.lit(GRAM))
+    probes = parts.select("*", F.explode(F.array_distinct(
+        F.when(size == 1, _grams(F.col("part"), 1)).when(size == 2, _grams(F.col("part"), 2))
+        .otherwise(_grams(F.col("part"), GRAM)))).alias("gram"))
+    counts = grams.join(probes.select(corpus, "gram").distinct(), [corpus, "gram"], "left_semi").groupBy(corpus, "gram").count()
+    rarest = probes.join(counts, [corpus, "gram"]).groupBy(pid, corpus, passage, "part").agg(
+        F.min_by("gram", F.struct("count", "gram")).alias("gram"))
+    rare = rare.unionByName(rarest.join(grams, [corpus, "gram"]).where(F.contains("term", "part"))
+                            .select(pid, corpus, passage, "term"))
     salted = rare.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     cand = salted.join(index["postings"].select(corpus, "term", "salt", "docid"), [corpus, "term", "salt"]) \
         .select(pid, corpus, passage, "docid")

@@ -156,6 +156,25 @@ def q_extract_ticket(spark, sf):
     return Tables(spark, sf).pages.select("page_id", *PG.extract_ticket(F.col("html")))
 
 
+def _tracker_pages(spark, sf):
+    """Each page as a tracker shows it: its title in the ticket's heading, its text in a nested description,
+    other boxes around."""
+    p = Tables(spark, sf).pages
+    title = F.regexp_extract("html", r"(?s)<h1[^>]*>(.*?)</h1>", 1)
+    inner = F.regexp_extract("html", r"(?s)<article>(.*?)</article>", 1)
+    deep = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<div>'), inner, F.lit('</div><div class="code"><div>x = 1</div></div>'))).otherwise(inner)
+    return p.select("page_id", F.concat(
+        F.lit('<html><div id="banner"><h1 class="searchable">Site</h1></div><!-- <div> --><div id="content">'
+              '<div class="box" id="ticket"><div class="date">today</div><h1 id="t" class="searchable">\n  '), title,
+        F.lit('\n</h1><div class="description">'), deep,
+        F.lit('    end</div><div class="attachments"><div>none</div></div></div><div class="description">other</div></div></html>')
+    ).alias("html"))
+
+
+def q_tracker_tickets(spark, sf):
+    return PG.tracker_tickets(_tracker_pages(spark, sf))
+
+
 def _pages_with_links(spark, sf):
     p = Tables(spark, sf).pages
     link = F.when(F.col("page_id") % 3 == 0, F.concat(
@@ -288,7 +307,7 @@ QUERIES.update({
     "repeating_tail": q_repeating_tail, "length_band": q_length_band, "test_directives": q_test_directives,
     "json_list": q_json_list, "fingerprint": q_fingerprint, "env_groups": q_env_groups,
     "route_by_list": q_route_by_list, "to_bool": q_to_bool, "rename_env": q_rename_env,
-    "import_error_logs": q_import_error_logs, "extract_ticket": q_extract_ticket,
+    "import_error_logs": q_import_error_logs, "extract_ticket": q_extract_ticket, "tracker_tickets": q_tracker_tickets,
     "pick_repo_link": q_pick_repo_link, "top_packages": q_top_packages, "parse_issue_url": q_parse_issue_url,
     "issue_text": q_issue_text, "with_columns": q_with_columns, "revalidate": q_revalidate,
     "best_config": q_best_config, "revalidate_no_log": q_revalidate_no_log, "rebuild_dataset": q_rebuild_dataset, "lost_pairs": q_lost_pairs,
@@ -416,6 +435,13 @@ SELECT page_id,
   {_strip("regexp_replace(" + _html_text("regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)") + ", '" + _WS + "+', ' ', 'g')")} AS title,
   {_strip("regexp_replace(replace(regexp_replace(" + _html_text("regexp_extract(html, '(?s)<article>.*?</h1>(.*?)</article>', 1)") + ", '\\n+', chr(10), 'g'), '    ', chr(9)), '[ ]{2,}', ' ', 'g')")} AS body
 FROM pages"""
+_INNER = "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
+_DEEP = f"CASE WHEN page_id % 3 = 0 THEN {_INNER} || 'x = 1' ELSE {_INNER} END || '    end'"
+ORACLE["tracker_tickets"] = f"""
+SELECT page_id,
+  {_strip("regexp_replace(" + _html_text("regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)") + ", '" + _WS + "+', ' ', 'g')")} AS title,
+  {_strip("regexp_replace(replace(regexp_replace(" + _html_text(_DEEP) + ", '\n+', chr(10), 'g'), '    ', chr(9)), '[ ]{2,}', ' ', 'g')")} AS body
+FROM pages"""
 ORACLE["pick_repo_link"] = f"""
 WITH p AS (
   SELECT page_id, html || CASE WHEN page_id % 3 = 0 THEN '<a class="tab" href="https://github.com/own'
@@ -534,6 +560,31 @@ def q_run_inference(spark, sf):
     return out.select("instance_id", "model_name_or_path", "model_patch", F.round("cost", 9).alias("cost"))
 
 
+def q_run_inference_abort(spark, sf):
+    """The stand-in model fails on prompts of a length divisible by seven; the run
+    ends after the wave in which the third row has failed."""
+    from fixfold.operators.repair import run_inference
+
+    def moody(texts):
+        if any(len(t) % 7 == 0 for t in texts):
+            raise RuntimeError("no answer")
+        return ["```diff\n" + t + "\n```" for t in texts]
+
+    calls = _calls(spark, sf).select(F.col("call_id").alias("instance_id"), F.col("prompt").alias("text"))
+    out = run_inference(calls, moody, "gpt-4-0613", max_failures=3, wave_rows=10)
+    return out.select("instance_id", "model_patch", F.col("error").isNotNull().alias("failed"))
+
+
+QUERIES["run_inference_abort"] = q_run_inference_abort
+ORACLE["run_inference_abort"] = f"""
+WITH r AS (
+  SELECT conv_id * 1000 + turn AS instance_id, text, length(text) % 7 = 0 AS failed,
+         (row_number() OVER (ORDER BY length(text), conv_id * 1000 + turn) - 1) // 10 AS wave
+  FROM conversations WHERE len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) <= {I.MODEL_LIMITS["gpt-4-0613"]}),
+s AS (SELECT wave, count(*) FILTER (failed) AS n FROM r GROUP BY wave),
+b AS (SELECT wave, coalesce(sum(n) OVER (ORDER BY wave ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s)
+SELECT instance_id, CASE WHEN NOT failed THEN text || chr(10) END AS model_patch, failed FROM r JOIN b USING (wave) WHERE before < 3"""
+
 QUERIES["run_inference"] = q_run_inference
 # waves of calls, shortest prompts first, while less than the cap is spent
 ORACLE["run_inference"] = f"""
