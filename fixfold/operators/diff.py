@@ -1,26 +1,52 @@
 """Unified-diff jobs: explode, classify, split, renumber, minimise.
 
-A patch is one row: its lines are exploded once, numbered by file and hunk with
-running sums, then aggregated per hunk and per file.  Nothing is parsed twice:
-every diff-based predicate reads the same hunk/file tables.
+A patch is one row: one walk numbers its lines by file and hunk, then they are
+aggregated per hunk and per file.  Nothing is parsed twice: every diff-based
+predicate reads the same hunk/file tables.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fixfold.functions.text import col_
 
 DEV_NULL = "/dev/null"
 HUNK_HEADER = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
-
-
-def _header_length(line: Column, group: int) -> Column:
-    """A length of a hunk header: as given, 1 where it is left out, 0 without a header."""
-    n = F.regexp_extract(line, HUNK_HEADER, group)
-    start = F.regexp_extract(line, HUNK_HEADER, group - 1)
-    return F.when(n != "", F.coalesce(n.try_cast("long"), F.lit(0))).otherwise((start != "").cast("long"))
+_HEADER = re.compile(HUNK_HEADER, re.ASCII).match
+_LINES_AT_ONCE = 1 << 15
+
+
+def _scan(patch: str, lenient: bool):
+    """(line, file_idx, hunk_idx, kind) of each line, in one walk that carries what the open hunk still has to come."""
+    lines = patch.split("\n")
+    has_git = any(x.startswith("diff --git ") for x in lines)
+    kinds = {"+": "added", "-": "removed", " ": "context"}
+    file = hunk = before = after = 0  # lines still to come on either side
+    for line, following in zip(lines, [*lines[1:], ""]):
+        if has_git:
+            starts = line.startswith("diff --git ")
+        else:
+            starts = line.startswith("--- ") and following.startswith("+++ ") and (lenient or not (before or after))
+        first = line[:1]
+        if starts:
+            file, hunk, before, after = file + 1, 0, 0, 0
+        elif line.startswith("@@ "):
+            hunk += 1
+            m = _HEADER(line)
+            before, after = (int(m[2] or 1), int(m[4] or 1)) if m else (0, 0)
+            yield line, file, hunk, "hunk"
+            continue
+        else:
+            before -= before > 0 and first not in ("+", "\\")
+            after -= after > 0 and first not in ("-", "\\")
+        yield line, file, hunk, kinds.get(first, "other") if hunk else "header"
 
 
 def patch_lines(df: DataFrame, keys, patch: str = "patch", lenient: bool = False) -> DataFrame:
@@ -33,43 +59,33 @@ def patch_lines(df: DataFrame, keys, patch: str = "patch", lenient: bool = False
     patches whose hunk headers are wrong (X4, X5): the file's two lines open it
     wherever they stand.
 
-    The lines leave their row once and are numbered by running sums in the order
-    of the patch, so time grows with its lines.  What an open hunk still has to
-    come is its header's length less the lines counted since; it never
-    grows again before the next header, so a file can be seen to start from these
-    sums alone.  ``keys`` tell the patches apart.  The result is partitioned
-    by ``keys``: groupings by keys and more shuffle nothing.
-    """
+    Each patch is walked once in an Arrow batch, in time linear in its lines (a fold in
+    column functions copies its output for every line, a window shuffles all
+    lines); no shuffle, so groupings combine lines before they send them."""
     keys = list(keys)
-    text = F.col(patch)
-    line = F.col("line")
-    order = Window.partitionBy(*keys).orderBy("pos")
-    upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
-    # the flag in a step of its own: beside the generator it would be found again for every line
-    l = df.where(text.isNotNull()).select(*keys, text.rlike(r"(?m)^diff --git ").alias("_git"), F.split(text, "\n", -1).alias("_lines"))
-    l = l.select(*keys, "_git", F.posexplode("_lines").alias("pos", "line"))
-    first = F.substring(line, 1, 1)
-    l = l.withColumn("_first", first).withColumn("_hunk", line.startswith("@@ "))
-    running = {"_src": F.sum((~F.col("_first").isin("+", "\\")).cast("long")).over(upto),
-               "_tgt": F.sum((~F.col("_first").isin("-", "\\")).cast("long")).over(upto),
-               "_next": F.lead(line, 1, "").over(order)}
-    l = l.withColumns(running)
-    # where each side of the open hunk ends, as a number of counted lines
-    ends = F.when(F.col("_hunk"), F.struct((F.col("_src") + _header_length(line, 2)).alias("src"),
-                                           (F.col("_tgt") + _header_length(line, 4)).alias("tgt")))
-    l = l.withColumn("_end", F.last(ends, ignorenulls=True).over(before))
-    counted = lambda c: F.col(c) - F.when(F.col("_first").isin(*(("+", "\\") if c == "_src" else ("-", "\\"))), 0).otherwise(1)
-    opened = F.coalesce((F.col("_end.src") > counted("_src")) | (F.col("_end.tgt") > counted("_tgt")), F.lit(False))
-    starts = F.when(F.col("_git"), line.startswith("diff --git ")).otherwise(
-        line.startswith("--- ") & F.col("_next").startswith("+++ ") & (F.lit(lenient) | ~opened))
-    l = l.withColumn("_starts", starts)
-    l = l.withColumns({"file_idx": F.sum(F.col("_starts").cast("long")).over(upto),
-                       "_hunks": F.sum(F.col("_hunk").cast("long")).over(upto)})
-    l = l.withColumn("hunk_idx", F.col("_hunks") - F.coalesce(F.max(F.when(F.col("_starts"), F.col("_hunks"))).over(upto), F.lit(0)))
-    kind = (F.when(F.col("hunk_idx") == 0, F.lit("header")).when(F.col("_hunk"), F.lit("hunk"))
-            .when(F.col("_first") == "+", F.lit("added")).when(F.col("_first") == "-", F.lit("removed"))
-            .when(F.col("_first") == " ", F.lit("context")).otherwise(F.lit("other")))
-    return l.select(*keys, "pos", "line", "file_idx", "hunk_idx", kind.alias("kind"))
+    d = df.where(F.col(patch).isNotNull()).select(*keys, F.col(patch).cast("string").alias("_patch"))
+    schema = T.StructType([d.schema[k] for k in keys] + [
+        T.StructField("pos", T.IntegerType()), T.StructField("line", T.StringType()), T.StructField("file_idx", T.LongType()),
+        T.StructField("hunk_idx", T.LongType()), T.StructField("kind", T.StringType())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[int] = []
+            found: list[tuple] = []
+            for i, text in enumerate(b.column(len(keys))):
+                for pos, x in enumerate(_scan(text.as_py(), lenient)):
+                    rows.append(i)
+                    found.append((pos, *x))
+                if len(rows) >= _LINES_AT_ONCE or i + 1 == b.num_rows:
+                    at = pa.array(rows, pa.int64())
+                    columns = zip(*found)
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(k).take(at) for k in range(len(keys))]
+                        + [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string()))],
+                        names=schema.names)
+                    rows, found = [], []
+
+    return d.mapInArrow(run, schema)
 
 
 def patch_hunks(lines: DataFrame, keys) -> DataFrame:
@@ -96,9 +112,14 @@ def patch_hunks(lines: DataFrame, keys) -> DataFrame:
                       "added", "removed", "context")
 
 
-def patch_files(lines: DataFrame, keys) -> DataFrame:
+def _joined(keep: Column) -> Column:
+    """The kept lines of a group, in the order of the patch."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("pos", "line")))), lambda x: x["line"]), "\n")
+
+
+def patch_files(lines: DataFrame, keys, text: str | None = None) -> DataFrame:
     """X1 (file level): paths, change kind (added / removed / modified), hunk and
-    line counts."""
+    line counts; ``text`` names a column for the file's part of the patch."""
     keys = list(keys)
     f = lines.where(F.col("file_idx") > 0)
     line = F.col("line")
@@ -115,6 +136,7 @@ def patch_files(lines: DataFrame, keys) -> DataFrame:
         F.max("hunk_idx").alias("n_hunks"),
         F.count_if(F.col("kind") == "added").alias("added"),
         F.count_if(F.col("kind") == "removed").alias("removed"),
+        *([_joined(~((F.col("kind") == "other") & (line == ""))).alias(text)] if text else []),
     )
     git_path = F.regexp_extract(F.col("git_line"), r" b/(.*)$", 1)
     path = F.coalesce(F.when(F.col("target") != DEV_NULL, F.col("target")),
@@ -124,7 +146,7 @@ def patch_files(lines: DataFrame, keys) -> DataFrame:
               .when((F.col("target") == DEV_NULL) | F.col("deleted_mode"), F.lit("removed"))
               .otherwise(F.lit("modified")))
     return agg.select(*keys, "file_idx", path.alias("path"), change.alias("change"),
-                      "n_hunks", "added", "removed")
+                      "n_hunks", "added", "removed", *([text] if text else []))
 
 
 def patch_stats(files: DataFrame, keys) -> DataFrame:
@@ -168,24 +190,20 @@ def oracle_files(lines: DataFrame, keys) -> DataFrame:
     return src.groupBy(*keys).agg(F.array_sort(F.collect_set(name)).alias("files"))
 
 
-def split_patch(lines: DataFrame, files: DataFrame, keys, rule=None) -> DataFrame:
+def split_patch(lines: DataFrame, keys) -> DataFrame:
     """Per patch, the text of non-test files (fix part) and of test files
     (test part), each in original order.  A file is a test file when its path
-    contains one of the test words (F15 substring rule)."""
+    contains one of the test words (F15 substring rule).  Path and text come from
+    one grouping, and a patch's lines are sent once, to the task that joins them."""
     from fixfold.functions.paths import is_test_path
 
     keys = list(keys)
-    cls = files.select(*keys, "file_idx", is_test_path(F.col("path"), "substring").alias("is_test"))
-    ftext = (lines.where((F.col("file_idx") > 0) & ~((F.col("kind") == "other") & (F.col("line") == "")))
-             .groupBy(*keys, "file_idx")
-             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))),
-                                           lambda x: x["line"]), "\n").alias("text")))
-    j = ftext.join(cls, keys + ["file_idx"])
+    files = patch_files(lines.repartition(*keys), keys, text="text").withColumn("is_test", is_test_path(F.col("path"), "substring"))
     part = lambda t: F.array_join(F.transform(
         F.array_sort(F.collect_list(F.when(t, F.struct("file_idx", "text")))),
         lambda x: F.concat(x["text"], F.lit("\n"))), "")
-    return j.groupBy(*keys).agg(part(~F.col("is_test")).alias("fix_patch"),
-                                part(F.col("is_test")).alias("test_patch"))
+    return files.groupBy(*keys).agg(part(~F.col("is_test")).alias("fix_patch"),
+                                    part(F.col("is_test")).alias("test_patch"))
 
 
 def renumber_hunks(hunks: DataFrame, keys) -> DataFrame:
@@ -205,23 +223,37 @@ FULL_HUNK = r"^@@\s+-(\d+),(\d+)\s+\+(\d+),(\d+)\s+@@(.*)$"
 
 
 def _hunk_arrays(lines: DataFrame, keys) -> DataFrame:
-    """Per hunk with a full header: its start, the text after the header's
-    closing ``@@`` and its body lines (a trailing empty line that ends the
-    patch is not part of the body)."""
+    """One row per file header (``hunk_idx`` 0) and hunk, from one grouping.
+
+    Header rows: ``src`` and ``tgt``, the lines ``--- a/`` and ``+++ b/``, and
+    ``diff_line`` only when it directly precedes ``--- a/``.  Hunks: the start ``a``, the
+    ``rest`` after the header's closing ``@@`` and the ``body`` lines (a trailing empty
+    line that ends the patch is not part of the body)."""
     keys = list(keys)
     w = Window.partitionBy(*keys)
-    last_pos = F.max("pos").over(w)
-    l = lines.withColumn("_last", last_pos)
-    body = l.where((F.col("file_idx") > 0) & (F.col("hunk_idx") > 0) & (F.col("kind") != "hunk")
-                   & ~((F.col("pos") == F.col("_last")) & (F.col("line") == "")))
-    hdr = l.where(F.col("kind") == "hunk").select(
-        *keys, "file_idx", "hunk_idx", F.col("pos").alias("hpos"),
-        F.regexp_extract("line", FULL_HUNK, 1).alias("a"), F.regexp_extract("line", FULL_HUNK, 5).alias("rest"))
-    hdr = hdr.withColumn("a", F.col("a").try_cast("long")).where(F.col("a").isNotNull())
-    b = body.groupBy(*keys, "file_idx", "hunk_idx").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]).alias("body"))
-    return hdr.join(b, keys + ["file_idx", "hunk_idx"], "left").withColumn(
-        "body", F.coalesce("body", F.array().cast("array<string>")))
+    line, hdr = F.col("line"), F.col("kind") == "header"
+    l = lines.withColumn("_last", F.max("pos").over(w)).withColumn("_next", F.lead("line", 1, "").over(w.orderBy("pos")))
+    in_body = (F.col("file_idx") > 0) & (F.col("hunk_idx") > 0) & (F.col("kind") != "hunk") \
+        & ~((F.col("pos") == F.col("_last")) & (line == ""))
+    g = l.groupBy(*keys, "file_idx", "hunk_idx").agg(
+        F.max(F.when(F.col("kind") == "hunk", line)).alias("head"),
+        F.transform(F.array_sort(F.collect_list(F.when(in_body, F.struct("pos", "line")))), lambda x: x["line"]).alias("body"),
+        F.max(F.when(hdr & line.startswith("--- a/"), line)).alias("src"),
+        F.max(F.when(hdr & line.startswith("+++ b/"), line)).alias("tgt"),
+        F.max(F.when(hdr & line.startswith("diff") & F.col("_next").startswith("--- a/"), line)).alias("diff_line"))
+    a = F.when(F.col("file_idx") > 0, F.regexp_extract("head", FULL_HUNK, 1).try_cast("long"))
+    return g.select("*", a.alias("a"), F.regexp_extract("head", FULL_HUNK, 5).alias("rest"))
+
+
+def _file_texts(hunks: DataFrame, keys, hunk_text: Column, end: str) -> DataFrame:
+    """Files with both header lines, and the texts of their full hunks in order, ended by ``end``."""
+    texts = F.when(F.col("a").isNotNull(), F.struct("hunk_idx", hunk_text.alias("t")))
+    g = hunks.groupBy(*keys, "file_idx").agg(
+        F.max("src").alias("src"), F.max("tgt").alias("tgt"), F.max("diff_line").alias("diff_line"),
+        F.transform(F.array_sort(F.collect_list(texts)), lambda x: x["t"]).alias("_h"))
+    # a file without hunks has none, not an empty text
+    return g.where(F.col("src").isNotNull() & F.col("tgt").isNotNull()).withColumn(
+        "hunks", F.when(F.size("_h") > 0, F.array_join("_h", end)))
 
 
 def _counts(ls):
@@ -231,20 +263,6 @@ def _counts(ls):
     return F.size(ls) - sub - add, add, sub
 
 
-def _file_headers(lines: DataFrame, keys) -> DataFrame:
-    """Files whose header has ``--- a/`` and ``+++ b/`` lines (others are dropped),
-    with the ``diff`` line kept only when it directly precedes ``--- a/``."""
-    keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy("pos")
-    l = lines.where(F.col("kind") == "header").withColumn("_next", F.lead("line").over(w))
-    g = l.groupBy(*keys, "file_idx").agg(
-        F.max(F.when(F.col("line").startswith("--- a/"), F.col("line"))).alias("src"),
-        F.max(F.when(F.col("line").startswith("+++ b/"), F.col("line"))).alias("tgt"),
-        F.max(F.when(F.col("line").startswith("diff") & F.coalesce(F.col("_next"), F.lit("")).startswith("--- a/"),
-                     F.col("line"))).alias("diff_line"))
-    return g.where(F.col("src").isNotNull() & F.col("tgt").isNotNull())
-
-
 def repair_patch(lines: DataFrame, keys) -> DataFrame:
     """Keep each file's headers (the ``diff`` line only when it directly
     precedes ``--- a/``), drop other header junk and files without ``--- a/``,
@@ -257,15 +275,12 @@ def repair_patch(lines: DataFrame, keys) -> DataFrame:
     ctx, add, sub = _counts(F.split(F.regexp_replace(F.array_join("body", "\n"), r"^\n+|\n+$", ""), "\n", -1))
     h = h.withColumn("pre_len", ctx + sub).withColumn("post_len", ctx + add)
     wf = Window.partitionBy(*keys, "file_idx").orderBy("hunk_idx").rowsBetween(Window.unboundedPreceding, -1)
-    h = h.withColumn("post", F.col("a") + F.coalesce(F.sum(F.col("post_len") - F.col("pre_len")).over(wf), F.lit(0)))
+    h = h.withColumn("post", F.col("a") + F.coalesce(F.sum(F.when(F.col("a").isNotNull(), F.col("post_len") - F.col("pre_len"))).over(wf), F.lit(0)))
     htext = F.array_join(F.concat(F.array(F.concat(
         F.lit("@@ -"), F.col("a").cast("string"), F.lit(","), F.col("pre_len").cast("string"), F.lit(" +"),
         F.col("post").cast("string"), F.lit(","), F.col("post_len").cast("string"), F.lit(" @@"), F.col("rest"))),
         F.col("body")), "\n")
-    files = _file_headers(lines, keys)
-    hunks = h.groupBy(*keys, "file_idx").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("hunk_idx", htext.alias("t")))), lambda x: x["t"]), "\n").alias("hunks"))
-    ftext = files.join(hunks, keys + ["file_idx"], "left").select(
+    ftext = _file_texts(h, keys, htext, "\n").select(
         *keys, "file_idx", F.concat_ws("\n", "diff_line", "src", "tgt", "hunks").alias("t"))
     return ftext.groupBy(*keys).agg(F.concat(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("file_idx", "t"))), lambda x: x["t"]), "\n"), F.lit("\n")).alias("repaired"))
@@ -298,14 +313,11 @@ def minimal_patch(lines: DataFrame, keys) -> DataFrame:
     ctx, add, sub = _counts(cl)
     h = h.withColumn("pre_len", ctx + sub).withColumn("post_len", ctx + add)
     wf = Window.partitionBy(*keys, "file_idx").orderBy("hunk_idx").rowsBetween(Window.unboundedPreceding, -1)
-    h = h.withColumn("post", F.col("pre") + F.coalesce(F.sum(F.col("post_len") - F.col("pre_len")).over(wf), F.lit(0)))
+    h = h.withColumn("post", F.col("pre") + F.coalesce(F.sum(F.when(F.col("a").isNotNull(), F.col("post_len") - F.col("pre_len"))).over(wf), F.lit(0)))
     htext = F.concat(F.lit("@@ -"), F.col("pre").cast("string"), F.lit(","), F.col("pre_len").cast("string"),
                      F.lit(" +"), F.col("post").cast("string"), F.lit(","), F.col("post_len").cast("string"),
                      F.lit(" @@\n"), F.array_join("kept", "\n"), F.lit("\n"))
-    files = _file_headers(lines, keys)
-    hunks = h.groupBy(*keys, "file_idx").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("hunk_idx", htext.alias("t")))), lambda x: x["t"]), "").alias("hunks"))
-    ftext = files.join(hunks, keys + ["file_idx"], "left").select(
+    ftext = _file_texts(h, keys, htext, "").select(
         *keys, "file_idx", F.concat(F.col("src"), F.lit("\n"), F.col("tgt"), F.lit("\n"),
                                     F.coalesce("hunks", F.lit(""))).alias("t"))
     return ftext.groupBy(*keys).agg(F.array_join(F.transform(

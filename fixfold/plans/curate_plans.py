@@ -117,7 +117,7 @@ def q_order_by_id(spark, sf):
 
 
 def q_split_patch(spark, sf):
-    return D.split_patch(_lines(spark, sf), _files(spark, sf), K)
+    return D.split_patch(_lines(spark, sf), K)
 
 
 def q_renumber_hunks(spark, sf):

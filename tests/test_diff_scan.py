@@ -80,7 +80,7 @@ def test_a_patch_of_100_000_lines_takes_seconds(spark):
     assert half < 20 and whole <= 2.5 * half
 
 
-def test_later_groupings_shuffle_nothing(spark):
+def test_text_is_sent_once(spark):
     lines = D.patch_lines(spark.createDataFrame([(1, "--- a\n+++ b")], "id long, patch string"), ["id"])
-    plan = D.patch_hunks(lines, ["id"])._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+    for out in (D.split_patch(lines, ["id"]), D.minimal_patch(lines, ["id"]), D.repair_patch(lines, ["id"])):
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
