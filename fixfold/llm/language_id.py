@@ -6,8 +6,8 @@ their embeddings and applies a linear softmax; it is trained by stochastic
 gradient descent in numpy on a bounded sample of labelled rows.  As the softmax
 is linear, embeddings and weights fold into one table of logits per bucket, so
 a prediction is one pass of array operations over the whole text.  A temperature
-fitted on held-out segments calibrates the score; below ``reject_below`` the
-answer is ``und``.
+fitted on held-out segments calibrates the score, and on the same segments a
+limit is fitted below which answers are rejected (``und``).
 """
 
 from __future__ import annotations
@@ -59,6 +59,7 @@ class LanguageModel:
     logits: np.ndarray  # bucket x language: embeddings times softmax weights
     bias: np.ndarray
     temperature: float = 1.0
+    reject_below: float = 0.0  # fitted: answers with at least this score reach the wanted precision
 
     def scores(self, text: str) -> np.ndarray:
         h = subwords(text, len(self.logits))
@@ -66,7 +67,9 @@ class LanguageModel:
         total = counts @ self.logits if counts is not None else self.logits[h].sum(0, dtype=np.float64)
         return (total / max(1, len(h)) + self.bias) / self.temperature
 
-    def predict(self, text: str | None, reject_below: float = 0.0) -> tuple[str, float]:
+    def predict(self, text: str | None, reject_below: float | None = None) -> tuple[str, float]:
+        """(language, score); ``und`` below the limit, the fitted one unless another is given."""
+        reject_below = self.reject_below if reject_below is None else reject_below
         if not text or not _LETTER.search(text) or not self.languages:
             return UNDETERMINED, 0.0
         z = np.exp((s := self.scores(text)) - s.max())
@@ -76,8 +79,11 @@ class LanguageModel:
 
 
 def train(segments: list[tuple[str, str]], buckets: int = 1 << 15, dim: int = 16, epochs: int = 4,
-          rate: float = 8.0, batch: int = 32, seed: int = 7) -> LanguageModel:
-    """Fit on (language, text) segments; every tenth one calibrates the temperature."""
+          rate: float = 8.0, batch: int = 32, seed: int = 7, precision: float = 0.99) -> LanguageModel:
+    """Fit on (language, text) segments; every tenth one calibrates the temperature and the limit of rejection.
+
+    The limit is the lowest score from which on answers are right in ``precision`` of the held-out segments.
+    """
     languages = sorted({x for x, _ in segments})
     number = {x: k for k, x in enumerate(languages)}
     data = [(number[x], *np.unique(subwords(t, buckets), return_counts=True)) for x, t in segments]
@@ -119,6 +125,12 @@ def train(segments: list[tuple[str, str]], buckets: int = 1 << 15, dim: int = 16
             return float((np.log(np.exp(s).sum(1)) - s[np.arange(len(y)), y]).mean())
 
         model.temperature = min(np.geomspace(0.05, 20, 60), key=loss)
+        z /= model.temperature
+        sure = 1 / np.exp(z - z.max(1, keepdims=True)).sum(1)
+        order = np.argsort(-sure, kind="stable")
+        right = np.cumsum((z.argmax(1) == y)[order])
+        good = np.flatnonzero(right >= precision * np.arange(1, len(y) + 1))
+        model.reject_below = float(sure[order][good[-1]]) if len(good) else 1.0
     return model
 
 
@@ -127,40 +139,53 @@ def _segmenter(segments: int, words: int):
         def fn(texts):
             out = []
             for t in texts:
-                w = (t or "").split()
-                n = max(1, min(segments, -(-len(w) // words)))
-                starts = [k * max(0, len(w) - words) // max(1, n - 1) for k in range(n)]
-                out.append(([" ".join(w[s:s + words]) for s in starts],))
+                t = t or ""
+                w = t.split()
+                if len(w) > len(t) // 20:  # usual words
+                    n = max(1, min(segments, -(-len(w) // words)))
+                    starts = [k * max(0, len(w) - words) // max(1, n - 1) for k in range(n)]
+                    found = [" ".join(w[s:s + words])[:10 * words] for s in starts]
+                else:  # no blanks, or very long words: passages of characters
+                    size = 6 * words
+                    n = max(1, min(segments, -(-len(t) // size)))
+                    found = [t[s:s + size] for s in (k * max(0, len(t) - size) // max(1, n - 1) for k in range(n))]
+                out.append((found,))
             return out
         return fn
     return make
 
 
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 3000,
-        max_languages: int = 200, segments: int = 4, words: int = 64, seed: int = 11, **training) -> LanguageModel:
-    """Train on a bounded sample of labelled rows.
-
-    Bounds: about ``per_language`` rows of each of the ``max_languages`` most
-    frequent languages, and of each row ``segments`` evenly spaced passages of
-    ``words`` words.  Rows without language are left out.
+        max_rows: int = 60_000, least: int = 20, segments: int = 4, words: int = 64, seed: int = 11,
+        **training) -> LanguageModel:
+    """Train on a bounded sample of labelled rows of every language.
+
+    Bounds: about ``per_language`` rows of a language, fewer where that would make more
+    than ``max_rows`` rows in all, but never fewer than ``least`` (so each value of the
+    column is learned, however many there are); of each row ``segments`` evenly
+    spaced passages of ``words`` words, or of six times as many characters of texts
+    with few blanks.  Rows without language are left out.
     """
     rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not counts:
+    counts = rows.groupBy("lang").agg(F.count("*").alias("_n"))
+    languages = counts.count()
+    if not languages:
         return LanguageModel([], np.zeros((1, 0)), np.zeros(0))
-    share: Column = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, per_language / r["count"])).otherwise(share)
-    sample = rows.where(F.rand(seed) < share)
+    wanted = max(least, min(per_language, max_rows // languages))
+    # a hash of the row decides, the same in every run; the few of a rare language all stay
+    sample = rows.join(counts, "lang").where(
+        F.col("_n") * (F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)) < wanted).drop("_n")
     got = map_rows(sample, ["text"], _segmenter(segments, words), [("segments", "array<string>")])
     data = sorted((r["lang"], s) for r in got.select("lang", "segments").collect() for s in r["segments"])
     return train(data, **training)
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str = "lang_pred",
-            score_col: str = "lang_score", reject_below: float = 0.0) -> DataFrame:
+            score_col: str = "lang_score", reject_below: float | None = None) -> DataFrame:
     """``docs`` with the predicted language and its calibrated score.
 
+    Below ``reject_below`` (the model's fitted limit if None; 0 rejects nothing) the language is ``und``.
+
     Whole texts are read.  Null texts and texts without a letter: ``und`` and 0.
     Ties go to the first language by name.  Repeated rows: each its own answer.
     Empty table: empty.  Column names are arguments; other columns pass unchanged.

@@ -169,3 +169,29 @@ def test_subwords_stay_inside_words():
     assert set(one) | set(language_id.subwords("cd", 1 << 20)) == set(two)
     assert set(language_id.subwords("AB\tcd\n", 1 << 20)) == set(two)
     assert len(language_id.subwords("", 8)) == 0
+
+
+def test_every_language_is_learned(spark):
+    """250 languages, no cap; texts without blanks are cut by characters."""
+    def word(k):
+        return f"q{chr(97 + k % 26)}{chr(97 + k // 26)}z"
+
+    rows = [(3 * k + j, " ".join([word(k)] * (4 + j)), f"l{k:03d}") for k in range(250) for j in range(16)]
+    model = language_id.fit(frame(spark, rows), epochs=25)
+    assert len(model.languages) == 250 and 0 <= model.reject_below <= 1
+    assert sum(model.predict(t, 0.0)[0] == lang for _, t, lang in rows) > 0.5 * len(rows)
+    made = language_id._segmenter(4, 64)()(["漢" * 100_000, "w " * 1000, "", None])
+    assert all(len(s) <= 640 for (found,) in made for s in found) and len(made[0][0]) == 4
+
+
+def test_rejection_is_fitted():
+    """Segments that carry no language are answered with a score below the limit."""
+    r = np.random.default_rng(3)
+    word = lambda letters: "".join(r.choice(list(letters), 5))
+    data = [(lang, " ".join(word(letters if r.random() < 0.9 else "mno") for _ in range(3)))
+            for lang, letters in (("a", "abcd"), ("b", "efgh")) for _ in range(300)]
+    data += [(lang, " ".join(word("mno") for _ in range(3))) for lang in "ab" for _ in range(100)]
+    model = language_id.train(data)
+    assert 0.5 < model.reject_below < 1
+    assert model.predict("mnomn onmon mnonm")[0] == "und" and model.predict("abcda dbcab cabda dacbd")[0] == "a"
+    assert model.predict("mnomn onmon mnonm", 0.0)[0] in "ab"
