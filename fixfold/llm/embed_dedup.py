@@ -38,6 +38,13 @@ def _hyperplanes(dim: int, count: int, seed: int) -> np.ndarray:
     return np.random.default_rng((seed, dim)).standard_normal((dim, count))
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """The vector by its largest component: squares neither overflow nor vanish, the direction stays.
+
+    Division by a power of two is exact, so ordinary vectors keep all their digits."""
+    return v / 2.0 ** min(max(math.frexp(np.abs(v).max())[1], -1000), 1000)
+
+
 def signatures(reps: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
     """(id, copies, dim, vec, buckets): the vector as doubles, and its bucket in each table."""
     schema = T.StructType([
@@ -47,7 +54,7 @@ def signatures(reps: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            vecs = [np.array(v, dtype=np.float64) for v in b.column(2).to_pylist()]
+            vecs = [_scaled(np.array(v, dtype=np.float64)) for v in b.column(2).to_pylist()]
             out: list = [None] * len(vecs)
             dims = np.array([len(v) for v in vecs])
             for d in np.unique(dims):

@@ -77,3 +77,12 @@ def test_plan_keeps_its_recall():
         bits, tables = embed_dedup.table_plan(rows, 0.9, 0.99)
         meet = (1 - np.arccos(0.9) / np.pi) ** bits
         assert 1 - (1 - meet) ** tables >= 0.99
+
+
+def test_very_large_and_very_small_components(spark):
+    rows = [(k, [x * scale for x in v]) for k, (v, scale) in enumerate(
+        [([1.0, 2.0, 3.0], 1e160), ([1.0, 2.0, 3.01], 1e160), ([1.0, 2.0, 3.0], 1e-170), ([1.0, 2.0, 3.02], 1e-310),
+         ([-1.0, 2.0, 0.5], 1e300), ([1.0, 2.0, 3.0], 1.0)])]
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [
+        (0, 4, 0), (1, 4, 0), (2, 4, 0), (3, 4, 0), (4, 0, 4), (5, 4, 0)]
