@@ -38,7 +38,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: A run of 24 and more starts where the run of any length starts, so this finds the same runs.
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
-_ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2})+|&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|quot|amp|apos|lt|gt|equals|colon|lowbar|period|plus|sol|num);")
+_ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2})+|(?:\\[0-3][0-7]{2})+|&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
+_OCTAL = re.compile(r"\\([0-3][0-7]{2})")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uUx]([0-9A-Fa-f]+)")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 #: A run over two or more lines (line breaks may be escaped, lines indented).
@@ -95,8 +96,13 @@ class Layer:
 def _escaped(m: re.Match) -> list[tuple[str, int, int]] | None:
     """(character, start, end) for each decoded character of an escape match."""
     s, at = m[0], m.start()
+    if s[0] == "\\" and s[1] not in "uUx":
+        raw = bytes(int(x, 8) for x in _OCTAL.findall(s))
+        return _inside(raw, at, m.end()) or [(chr(b), at + 4 * k, at + 4 * k + 4) for k, b in enumerate(raw)]
     if s[0] == "%":
         raw = bytes.fromhex(s.replace("%", ""))
+        if content := _inside(raw, at, m.end()):
+            return content
         try:
             chars, out, i = raw.decode(), [], 0
         except UnicodeDecodeError:
@@ -110,6 +116,8 @@ def _escaped(m: re.Match) -> list[tuple[str, int, int]] | None:
         c = html.unescape(s)
         return [(c, at, m.end())] if c != s else None
     units = [(int(u[1] or u[2], 16), at + u.start(), at + u.end()) for u in _UNICODE.finditer(s)]
+    if all(u[0] < 256 for u in units) and (content := _inside(bytes(u[0] for u in units), at, m.end())):
+        return content
     out, i = [], 0
     while i < len(units):
         code, a, e = units[i]
@@ -120,6 +128,38 @@ def _escaped(m: re.Match) -> list[tuple[str, int, int]] | None:
     return out
 
 
+def _inside(raw: bytes, start: int, end: int) -> list[tuple[str, int, int]] | None:
+    """The content of compressed bytes as one piece of the whole escape; None if they are not compressed or too large."""
+    if not _decompressor(raw):
+        return None
+    content, _, opened = _opened(raw)
+    return [(content.decode("latin-1"), start, end)] if opened and len(content) <= MAX_INFLATED else None
+
+
+def _wide(raw: bytes) -> str | None:
+    """UTF-16 text: by its mark, or if every other byte is zero nearly everywhere."""
+    if len(raw) < 8 or len(raw) % 2:
+        return None
+    marked = raw[:2] in (b"\xff\xfe", b"\xfe\xff")
+    even, odd = raw[::2].count(0), raw[1::2].count(0)
+    if not marked and max(even, odd) * 4 < len(raw):  # at least half of that side
+        return None
+    try:
+        return raw.decode("utf-16" if marked else "utf-16-le" if odd > even else "utf-16-be")
+    except UnicodeDecodeError:
+        return None
+
+
+def _deflated(raw: bytes) -> bytes | None:
+    """What a complete raw deflate stream without any header holds (up to ``MAX_INFLATED`` bytes)."""
+    d = zlib.decompressobj(-15)
+    try:
+        out = d.decompress(raw, MAX_INFLATED)
+    except zlib.error:
+        return None
+    return out if d.eof and len(d.unused_data) < 3 else None
+
+
 def _escapes(text: str) -> list[tuple[int, int, list[tuple[str, int, int]]]]:
     if "%" not in text and "\\" not in text and "&" not in text:
         return []
@@ -236,8 +276,13 @@ def _packed(text: str, wrapped: bool) -> tuple[list, list]:
                 large.append((s, e, hashlib.blake2b(content, digest_size=16).digest(), chain([content], rest)))
                 break
             out = content.decode("latin-1")
-            if not out or not _worth(content, out):
-                continue
+            if (wide := _wide(content)) is not None:
+                out, opened = wide, True
+            elif not out or not _worth(content, out):
+                raw = None if opened else _deflated(content)
+                if not raw or not _worth(raw, raw.decode("latin-1")):
+                    continue
+                out, opened = raw.decode("latin-1"), True
             if opened:
                 places = ()
             elif len(lines) == 1:

@@ -208,3 +208,52 @@ def test_boosting_fits_a_rule():
     y = ((x[:, 0] > 0.3) & (x[:, 2] < 0.5)).astype(float)
     trees = pii.boost(x[:1500], y[:1500])
     assert ((trees.margin(x[1500:]) > 0) == (y[1500:] > 0)).mean() > 0.97
+
+
+def layers():
+    import base64
+    import gzip
+    import zlib
+
+    secret = "my password=hunter22 is here"
+    raw = zlib.compressobj(9, zlib.DEFLATED, -15)
+    packed = gzip.compress(secret.encode())
+    return {
+        "percent gzip": "".join(f"%{b:02x}" for b in packed), "x gzip": "".join(f"\\x{b:02x}" for b in packed),
+        "octal": "".join(f"\\{b:03o}" for b in secret.encode()), "octal gzip": "".join(f"\\{b:03o}" for b in packed),
+        "utf-16": base64.b64encode(secret.encode("utf-16")).decode(), "utf-16-be": base64.b64encode(secret.encode("utf-16-be")).decode(),
+        "raw deflate": base64.b64encode(raw.compress(secret.encode()) + raw.flush()).decode(),
+        "entities": "my api&UnderBar;key=hunter22 is here", "entity": secret.replace("=", "&equals;")}
+
+
+@pytest.mark.parametrize("name", list(layers()))
+def test_layers_of_other_kinds(name):
+    """Bytes of any decoder are opened; the span maps to the encoded run."""
+    packed = layers()[name]
+    text = f"before {packed} after"
+    found, _ = secret_scan.find_secrets(text)
+    mine = [f for f in found if f[0] == "assign"]
+    assert mine and all(7 <= s < e <= 7 + len(packed) for _, s, e, *_ in mine) and not mine[0][3]
+
+
+def test_pii_of_a_corpus_full_of_phones_and_addresses(spark):
+    """Personal data in the training passages does not teach the trees to leave it alone."""
+    def dirty(k):
+        r = random.Random(k)
+        return prose(k, 30) + " " + " ".join("".join(pii._positive(r)[1:]) for _ in range(3)) + " +49 30 1234567 a@b.cc " + prose(k + 1, 20)
+
+    model = pii.fit(frame(spark, [(k, dirty(k), "en") for k in range(200)]), examples=3000)
+    r, hits, wrong = random.Random(5), 0, 0
+    for _ in range(300):
+        _, cue, data = pii._positive(r)
+        text = f"{prose(r.randrange(10 ** 6), 12)} {cue}{data} {prose(r.randrange(10 ** 6), 12)}"
+        at = text.index(data)
+        hits += any(s < at + len(data) and at < e for _, s, e, _, _ in model.spans(text))
+        cue, data = pii._other_lookalike(r)
+        wrong += any(not b for _, _, _, b, _ in model.spans(f"{prose(r.randrange(10 ** 6), 12)} {cue}{data}"))
+    assert hits > 270 and wrong < 6 and max(model.thresholds.values()) > 0
+
+
+def test_pii_passages_are_bounded_in_characters(spark):
+    docs = frame(spark, [(k, "漢字" * 20_000, "zh") for k in range(5)])
+    assert pii.fit(docs, examples=100).spans("mail a@b.cc")[0][3]
