@@ -84,18 +84,6 @@ def clean_version(raw) -> Column:
     return F.regexp_replace(r3, r"[^0-9.]", "")
 
 
-def patterns_table(spark, repos: DataFrame) -> DataFrame:
-    """(repo, pattern_pos, pattern) for the given repositories: their fixed list
-    or the default one.  One row per repository and pattern."""
-    fixed = spark.createDataFrame(
-        [(r, i, p) for r, ps in VERSION_PATTERNS.items() for i, p in enumerate(ps)],
-        "repo string, pattern_pos int, pattern string")
-    default = F.posexplode(F.array(*[F.lit(p) for p in DEFAULT_VERSION_PATTERNS]))
-    other = repos.select("repo").distinct().join(fixed.select("repo").distinct(), "repo", "left_anti") \
-        .select("repo", default.alias("pattern_pos", "pattern"))
-    return fixed.unionByName(other)
-
-
 def version_candidates(files: DataFrame, key: str = "instance_id", path: str = "path") -> DataFrame:
     """The files that may hold the version, with ``file_pos``: the
     repository's listed paths in order; of other repositories all files, as given."""
@@ -116,14 +104,15 @@ def find_version(files: DataFrame, key: str = "instance_id", text: str = "text")
     """Version of each file text: docstrings removed, the first pattern of
     the repository's list that matches, its group 1 without spaces, cleaned.
     Candidate files of one key are tried in ``file_pos`` order when present."""
-    spark = files.sparkSession
-    pats = patterns_table(spark, files)
-    body = files.withColumn("_t", F.regexp_replace(F.col(text), DOCSTRING, ""))
-    j = body.join(pats, "repo")
-    # the pattern is a column (one per repository), so these are SQL expressions
-    hit = F.expr("regexp_extract(_t, pattern, if(contains(pattern, '('), 1, 0))")
-    matched = F.expr("_t RLIKE pattern")
-    j = j.where(matched).withColumn("raw", F.replace(hit, F.lit(" "), F.lit("")))
+    lists = F.create_map(*[x for r, ps in VERSION_PATTERNS.items() for x in (F.lit(r), F.array(*map(F.lit, ps)))])
+    default = F.array(*map(F.lit, DEFAULT_VERSION_PATTERNS))
+    body = files.withColumn("_t", F.regexp_replace(F.col(text), DOCSTRING, "")).withColumn(
+        "_patterns", F.coalesce(F.try_element_at(lists, F.col("repo")), default))
+    # the patterns are tried in the row, so a text is never sent to them
+    tried = F.expr("""transform(_patterns, (p, i) -> struct(i as pattern_pos,
+        if(_t rlike p, replace(regexp_extract(_t, p, if(contains(p, '('), 1, 0)), ' ', ''), null) as raw))""")
+    j = body.withColumn("_hit", F.try_element_at(F.filter(tried, lambda x: x["raw"].isNotNull()), F.lit(1)))
+    j = j.where(F.col("_hit").isNotNull()).select("*", "_hit.raw", "_hit.pattern_pos")
     order = [F.col("file_pos"), F.col("pattern_pos")] if "file_pos" in files.columns else [F.col("pattern_pos")]
     best = j.groupBy(key).agg(F.min_by("raw", F.struct(*order)).alias("raw"))
     return files.select(key).distinct().join(best, key, "left").select(
@@ -187,14 +176,15 @@ def releases_from_names(releases: DataFrame, repo: str = "repo", name: str = "na
     """P9, sixth site: (repo, version, released_at) from release names.  A name
     ``[1.2.3] - 2021-01-05`` holds its date, else the publication date counts;
     the version loses its last part; names without a version are left out; the
-    latest date of each version."""
+    latest date of each version.  A name whose date is none (month 13) counts by its publication."""
     n = F.regexp_replace(F.col(name), "^" + RELEASE_NAME_PREFIXES[0], "")
     dated, plain = n.rlike(DATED_NAME), F.regexp_extract(n, PLAIN_NAME, 0)
     first = F.regexp_replace(F.substring_index(n, " - ", 1), r"[\[\]]", "")
     ver = F.when(dated, first).when(plain != "", plain)
     ver = F.regexp_replace(F.regexp_replace(ver, r"\.[^.]*$", ""), "^" + RELEASE_NAME_PREFIXES[1], "")
     date = F.when(dated, F.try_element_at(F.split(n, " - ", -1), F.lit(2))).otherwise(F.col(published).cast("string"))
-    got = releases.select(repo, ver.alias("version"), F.to_date(F.substring(date, 1, 10)).alias("d"))
+    got = releases.select(repo, ver.alias("version"), F.coalesce(
+        F.try_to_date(F.substring(date, 1, 10)), F.try_to_date(F.substring(F.col(published).cast("string"), 1, 10))).alias("d"))
     return got.where(F.col("version").isNotNull()).groupBy(repo, "version").agg(F.max("d").alias("released_at"))
 
 

@@ -19,27 +19,15 @@ K_HITS = 20
 BUDGET = 6000
 
 
-_WRITTEN = {}
-
-
-def _once(spark, sf, name, make):
-    """Made once for a session and folder; the tables lie in the shared checkpoint folder."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _WRITTEN:
-        _WRITTEN[key] = make()
-    return _WRITTEN[key]
-
-
 def _index(spark, sf):
-    return _once(spark, sf, "index", lambda: R.bm25_index(A.corpus_docs(spark, sf)))
+    return R.bm25_index(A.corpus_docs(spark, sf))
 
 
-def _hits(spark, sf):
-    def make():
-        path = scratch(spark, "bm25-hits")
-        R.search_all(_index(spark, sf), A.search_queries(spark, sf), K_HITS)[0].write.parquet(path)
-        return spark.read.parquet(path)
-    return _once(spark, sf, "hits", make)
+def _hits(spark, sf, index=None):
+    """Written, as plans read them more than once; made anew for every query, from its own tables."""
+    path = scratch(spark, "bm25-hits")
+    R.search_all(index or _index(spark, sf), A.search_queries(spark, sf), K_HITS)[0].write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _gold(spark, sf, index=None):
@@ -106,7 +94,8 @@ def q_containing_docs(spark, sf):
 
 
 def q_recall_metrics(spark, sf):
-    return R.recall_metrics(_hits(spark, sf), _gold(spark, sf))
+    index = _index(spark, sf)
+    return R.recall_metrics(_hits(spark, sf, index), _gold(spark, sf, index))
 
 
 def q_with_hits(spark, sf):

@@ -111,3 +111,32 @@ def test_sample_is_the_n_smallest(spark):
         assert sorted(got, key=repr) == sorted(order[:n], key=repr), n
     plan = CU.sample_n(df, 1500)._jdf.queryExecution().executedPlan().toString()
     assert "Limit" not in plan and "TakeOrdered" not in plan
+
+
+def test_a_search_reads_its_tables_anew(spark, tmp_path):
+    """Two calls after the file has changed give the new answer."""
+    from fixfold.plans.retrieve_plans import QUERIES
+
+    def write(text):
+        spark.createDataFrame([(k, t, "en", "web", len(t)) for k, t in enumerate([text, "other words here"], 1)],
+                              "doc_id long, text string, lang string, source string, n_chars long").coalesce(1) \
+            .write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+
+    spark.createDataFrame([(k, "unique needle phrase") for k in range(1, 9)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    write("a unique needle phrase inside")
+    first = QUERIES["bm25_search"](spark, str(tmp_path)).count()
+    write("nothing of the kind")
+    spark.catalog.refreshByPath(f"{tmp_path}/documents.parquet")
+    assert QUERIES["bm25_search"](spark, str(tmp_path)).count() == 0 < first
+
+
+def test_malformed_dates_and_versions_in_the_row(spark):
+    from fixfold.operators import versions as VE
+
+    names = [("r", "[1.2.3] - 2021-13-45", "2021-02-03 00:00:00"), ("r", "[1.3.0] - 2021-04-05", "2022-01-01 00:00:00")]
+    got = VE.releases_from_names(spark.createDataFrame(names, "repo string, name string, published_at string"))
+    assert [(r["version"], str(r["released_at"])) for r in got.orderBy("version").collect()] == [("1.2", "2021-02-03"), ("1.3", "2021-04-05")]
+    files = spark.createDataFrame([("a", "nobody/else", '__version__ = "3.4.5"'), ("b", "nobody/else", "nothing"), ("c", None, "__version__ = '7.8'")],
+                                  "instance_id string, repo string, text string")
+    found = VE.find_version(files)
+    assert rows(found)[:2] == [("a", "3.4"), ("b", None)]
