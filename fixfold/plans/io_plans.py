@@ -6,7 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fixfold.operators import environment as EN
+from fixfold.functions.text import PY_WS
 from fixfold.operators import infer as I
+from fixfold.operators import versions as VE
 from fixfold.operators.curate import write_dual
 from fixfold.plans.views_sql import with_views
 from fixfold.sources import adapters as A
@@ -110,11 +112,55 @@ def q_fail_budget(spark, sf):
     return I.fail_budget(_answers(spark, sf))
 
 
+def q_decode_content(spark, sf):
+    """Document texts as bytes of three encodings, decoded again."""
+    d, k = Tables(spark, sf).documents, F.col("doc_id") % 3
+    raw = (F.when(k == 0, F.encode("text", "UTF-8")).when(k == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8")))
+           .otherwise(F.encode("text", "UTF-16")))
+    return d.select("doc_id", S.decode_content(raw).alias("text"))
+
+
+def q_clean_requirements(spark, sf):
+    """each document's lines as a requirements file that includes another one."""
+    d = Tables(spark, sf).documents
+    main = d.select("doc_id", F.lit("requirements.txt").alias("file"),
+                    F.concat(F.lit("# pinned\n-r dev.txt\n"), "text", F.lit("\n  -e .\n-r none.txt")).alias("text"))
+    dev = d.select("doc_id", F.lit("dev.txt").alias("file"), F.concat(
+        F.lit("pkg=="), F.col("n_chars").cast("string"), F.lit("\n# no\n.[test]\nlast ")).alias("text"))
+    return EN.clean_requirements(main.unionByName(dev), key="doc_id")
+
+
+def q_spec_lookup(spark, sf):
+    """The installation spec of each task's repository and version, where there is one."""
+    t = Tables(spark, sf)
+    tasks = t.customer.select(F.col("c_custkey").alias("instance_id"), F.col("c_nationkey").alias("repo"),
+                              F.concat((F.col("c_custkey") % 7).cast("string"), F.lit(".0")).alias("version"))
+    specs = t.nation.select(F.col("n_nationkey").alias("repo"), F.explode(F.sequence(F.lit(0), F.col("n_nationkey") % 6)).alias("v"), "n_name")
+    specs = specs.select("repo", F.concat(F.col("v").cast("string"), F.lit(".0")).alias("version"),
+                         F.concat(F.lit("pip install "), F.lower("n_name")).alias("install"))
+    return VE.spec_lookup(tasks, specs).select("instance_id", "repo", "version", "install")
+
+
 QUERIES.update({
+    "decode_content": q_decode_content, "clean_requirements": q_clean_requirements, "spec_lookup": q_spec_lookup,
     "read_instances": q_read_instances, "read_split": q_read_split, "read_predictions": q_read_predictions,
     "read_many": q_read_many, "flatten_structure": q_flatten_structure, "write_dual": q_write_dual,
     "replace_packages": q_replace_packages, "parse_kv": q_parse_kv, "complete": q_complete, "fail_budget": q_fail_budget})
 
+ORACLE["decode_content"] = f"""
+SELECT doc_id, CASE WHEN doc_id % 3 = 2 AND regexp_matches(text, '[\\x{{10000}}-\\x{{10FFFF}}]') THEN '{S.BINARY_PLACEHOLDER}'
+                    WHEN doc_id % 3 = 0 AND contains(text, chr(0)) THEN '{S.BINARY_PLACEHOLDER}' ELSE text END AS text
+FROM documents"""
+_KEPT = " AND ".join(f"NOT starts_with(regexp_replace(l, '^{PY_WS}+', ''), '{p}')" for p in ("-r", *EN.EXCLUDED_PREFIXES))
+ORACLE["clean_requirements"] = f"""
+SELECT doc_id, 'pkg==' || n_chars || chr(10) || 'last ' || chr(10)
+       || array_to_string(list_filter(string_split(text, chr(10)), lambda l: {_KEPT}), chr(10)) AS requirements
+FROM documents"""
+ORACLE["spec_lookup"] = """
+SELECT c_custkey AS instance_id, c_nationkey AS repo, (c_custkey % 7) || '.0' AS version,
+       CASE WHEN c_custkey % 7 <= c_nationkey % 6 THEN 'pip install ' || lower(n_name) END AS install
+FROM customer JOIN nation ON n_nationkey = c_nationkey"""
+
 _I = ["patches", "instances"]
 ORACLE["read_instances"] = with_views(_I) + """
 SELECT instance_id, repo, problem_statement, patch, CAST(NULL AS VARCHAR) AS version FROM instances"""

@@ -134,10 +134,10 @@ def decode_content(content) -> "F.Column":
     head = F.hex(F.substring(content, 1, 3))
     nul = F.position(F.lit(b"\0"), content) > 0
     size = F.octet_length(content)
-    # UTF-16 units that stand in pairs may be malformed, and decoding them an error
-    high = F.when(F.substring(head, 1, 4) == "FFFE", F.lit(2)).otherwise(F.lit(1))
-    paired = F.exists(F.sequence(F.lit(0), F.greatest(F.floor(size / 2).cast("int") - 1, F.lit(0))),
-                      lambda i: F.hex(F.substring(content, 2 * i + high, F.lit(1))).rlike("^D[89A-F]"))
+    # UTF-16 units that stand in pairs may be malformed, and decoding them an error; one walk over the units
+    unit = "(?:[0-9A-F]{4})*?"
+    paired = F.when(head.startswith("FF"), F.hex(content).rlike(f"^FFFE{unit}[0-9A-F]{{2}}D[89A-F]")).otherwise(
+        F.hex(content).rlike(f"^FEFF{unit}D[89A-F]"))
     return (F.when(head == "EFBBBF", F.substring(content, 4, F.octet_length(content)).cast("string"))
             .when(F.substring(head, 1, 4).isin("FFFE", "FEFF") & (size % 2 == 0) & ~paired, F.decode(content, "UTF-16"))
             .when(F.is_valid_utf8(s) & ~nul, s)

@@ -115,3 +115,16 @@ def test_write_dual_and_jsonl(spark, tmp_path):
     assert [r[0] for r in spark.read.json(str(tmp_path / "out")).select("instance_id").collect()] == ["a"]
     io.write_jsonl(df.select("instance_id"), str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 3
+
+
+def test_utf16_pairs_at_the_end_of_long_texts(spark):
+    from pyspark.sql import functions as F
+
+    from fixfold.sources import io as S
+
+    cases = [("x" * 200_000).encode("utf-16"), ("x" * 200_000 + "🙂").encode("utf-16-le"), ("﻿" + "é" * 50_000 + "🙂y").encode("utf-16-be"),
+             "﻿ØØÿ".encode("utf-16-be"), "﻿ࣘx".encode("utf-16-le")]
+    cases[1] = b"\xff\xfe" + cases[1]
+    df = spark.createDataFrame([(k, bytearray(c)) for k, c in enumerate(cases)], "k int, content binary")
+    got = {r["k"]: r["t"] for r in df.select("k", S.decode_content(F.col("content")).alias("t")).collect()}
+    assert got == {0: "x" * 200_000, 1: S.BINARY_PLACEHOLDER, 2: S.BINARY_PLACEHOLDER, 3: "ØØÿ", 4: "ࣘx"}
