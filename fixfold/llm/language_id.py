@@ -19,9 +19,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fixfold.llm.common import map_rows
+from fixfold.llm.common import checkpointed, map_rows
 
 UNDETERMINED = "und"
+#: Languages up to which their counts are broadcast (checked before).
+_FEW = 10_000
 _LETTER = re.compile(r"[^\W\d_]")
 _NGRAMS = (2, 3, 4)
 _BLANK = np.zeros(256, dtype=bool)
@@ -167,13 +169,14 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
     with few blanks.  Rows without language are left out.
     """
     rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("_n"))
+    counts = checkpointed(rows.groupBy("lang").agg(F.count("*").alias("_n")))
     languages = counts.count()
     if not languages:
         return LanguageModel([], np.zeros((1, 0)), np.zeros(0))
     wanted = max(least, min(per_language, max_rows // languages))
     # a hash of the row decides, the same in every run; the few of a rare language all stay
-    sample = rows.join(counts, "lang").where(
+    # a few languages are sent to the texts; a column with more values than that is joined by a shuffle
+    sample = rows.join(F.broadcast(counts) if languages <= _FEW else counts, "lang").where(
         F.col("_n") * (F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)) < wanted).drop("_n")
     got = map_rows(sample, ["text"], _segmenter(segments, words), [("segments", "array<string>")])
     data = sorted((r["lang"], s) for r in got.select("lang", "segments").collect() for s in r["segments"])
