@@ -174,10 +174,10 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
     if not languages:
         return LanguageModel([], np.zeros((1, 0)), np.zeros(0))
     wanted = max(least, min(per_language, max_rows // languages))
-    # a hash of the row decides, the same in every run; the few of a rare language all stay
+    # drawn by row, not by text, so copies of one text weigh no more than their number
+    share = F.least(F.lit(1.0), wanted / F.col("_n"))
     # a few languages are sent to the texts; a column with more values than that is joined by a shuffle
-    sample = rows.join(F.broadcast(counts) if languages <= _FEW else counts, "lang").where(
-        F.col("_n") * (F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)) < wanted).drop("_n")
+    sample = rows.join(F.broadcast(counts) if languages <= _FEW else counts, "lang").where(F.rand(seed) < share).drop("_n")
     got = map_rows(sample, ["text"], _segmenter(segments, words), [("segments", "array<string>")])
     data = sorted((r["lang"], s) for r in got.select("lang", "segments").collect() for s in r["segments"])
     return train(data, **training)
