@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The model file is compiled into three machines: the normaliser (a blank becomes
-the word mark, a mark is put in front), the piece lexicon, and a byte fallback
-for characters without a piece.  Composed with an input they give a lattice of
-piece arcs between character positions, and the encoding is its shortest path
-in the tropical semiring.
+The model file is compiled into three machines: the normaliser (the arcs of the
+model's character map, the longest first; a blank becomes the word mark, a mark
+is put in front), the piece lexicon, and a byte fallback for characters without
+a piece.  Composed with an input they give a lattice of piece arcs between
+character positions, and the encoding is its shortest path in the tropical
+semiring.
 
 * A unigram model weighs an arc with the piece's negative score.
 * A merge (BPE) model weighs a pair of neighbouring arcs: 0 if the merges of the
@@ -13,9 +14,15 @@ in the tropical semiring.
   so the path of finite weight is the encoding.  Each prefix has one such
   path too, so one last piece for each position is all the state there is.
 
-No piece runs on from a letter to a word mark, nor, in most models, to any
-character that is no letter (both checked when compiling), so paths are cached
-for each stretch between such places.
+In most models no piece runs on from a letter to a word mark or to any character
+that is no letter (both checked when compiling), so paths are cached for each
+stretch between such places.  Where pieces run on over a mark, the whole text is
+one stretch.
+
+User-defined pieces of merge models stand in the text as they are: the normaliser
+lets them pass, and the text is cut at them.  Refused with a ``ValueError``: word
+and character models, marks behind words, unigram models with user-defined pieces,
+and merge models with unused pieces.
 """
 
 from __future__ import annotations
@@ -34,6 +41,7 @@ from fixfold.llm.common import map_rows
 MARK = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _UNIGRAM, _BPE = 1, 2
+_SUFFIX_FIELD, _SURFACE_FIELD = 24, 44  # of the trainer's message
 _LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 _LETTER_END = re.compile(f"[{_LATIN}][^{_LATIN}]")
 _INFINITY = float("inf")
@@ -67,6 +75,85 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
+@functools.lru_cache(maxsize=8)
+def character_map(blob: bytes) -> dict[str, str]:
+    """{text: replacement} of a normaliser's map: a double-array trie of UTF-8 keys, then the replacements.
+
+    A unit's low byte is its label, bit 8 tells that a key ends there, and the
+    bits from 10 on (times 256 if bit 9 is set) lead to its children, whose place
+    differs from there by their label.
+    """
+    size, = struct.unpack_from("<I", blob)
+    units = np.frombuffer(blob, dtype="<u4", count=size // 4, offset=4).astype(np.int64)
+    texts = blob[4 + size:]
+    bases = np.arange(len(units)) ^ (units >> 10 << np.where(units & 0x200, 8, 0))
+    labels = np.arange(1, 256)
+    found: dict[str, str] = {}
+    todo = [(np.zeros(1, dtype=np.int64), [b""])]
+    while todo:  # up to 4096 nodes of one depth at a time
+        at, keys = todo.pop()
+        for i in np.flatnonzero(units[at] & 0x100).tolist():
+            start = int(units[bases[at[i]]]) & 0x7FFFFFFF
+            found[keys[i].decode()] = texts[start:texts.index(b"\0", start)].decode()
+        places = bases[at][:, None] ^ labels
+        inside = places < len(units)
+        node, label = np.nonzero(inside & (units[np.where(inside, places, 0)] & 0x800000FF == labels))
+        below = places[node, label]
+        names = [keys[i] + bytes([c]) for i, c in zip(node.tolist(), labels[label].tolist())]
+        todo += [(below[k:k + 4096], names[k:k + 4096]) for k in range(0, len(names), 4096)]
+    return found
+
+
+class Normaliser:
+    """Rewrites a text from left to right: a kept text as it is, else the longest key of the map, else the character."""
+
+    def __init__(self, rules: dict[str, str], keep: set[str], prefix: str, squeeze: bool, space: str):
+        # an arc for every key; a kept text goes before keys of any length
+        self.rules, self.keep = rules, keep
+        self.prefix, self.squeeze, self.space = prefix, squeeze, space
+        self.lengths: dict[str, list[tuple[int, dict[str, str]]]] = {}
+        for arcs in ({k: k for k in keep}, rules):
+            for first, size in sorted({(k[0], len(k)) for k in arcs}, key=lambda x: -x[1]):
+                self.lengths.setdefault(first, []).append((size, arcs))
+        self.starts = re.compile("[" + "".join(map(re.escape, sorted(self.lengths))) + "]") if self.lengths else None
+
+    def chunks(self, text: str) -> Iterator[tuple[bool, str]]:
+        """(rewritten as a whole, text) pieces of the output."""
+        done = 0
+        for m in self.starts.finditer(text) if self.starts else ():
+            at = m.start()
+            if at < done:
+                continue
+            for size, arcs in self.lengths[text[at]]:
+                new = arcs.get(text[at:at + size])
+                if new is not None and at + size <= len(text):
+                    if done < at:
+                        yield False, text[done:at]
+                    yield True, new
+                    done = at + size
+                    break
+        if done < len(text):
+            yield False, text[done:]
+
+    def __call__(self, text: str) -> str:
+        if not text:
+            return ""
+        if not self.squeeze:
+            if self.starts:
+                text = "".join([c for _, c in self.chunks(text)])
+            return self.prefix + text.replace(" ", self.space)
+        out, blank = [], True
+        for whole, c in self.chunks(text):
+            if not whole:
+                c = re.sub("  +", " ", c)
+            if blank:
+                c = c.lstrip(" ")
+            if c:
+                out.append(c)
+                blank = c[-1] == " "
+        return (self.prefix + "".join(out).replace(" ", self.space)).rstrip(self.space)
+
+
 class Transducer:
     """A compiled model: ``encode(text) -> ids`` and ``decode(ids) -> text``."""
 
@@ -80,30 +167,40 @@ class Transducer:
                 trainer = dict(_fields(value))
             elif number == 3:
                 normaliser = dict(_fields(value))
-        if normaliser.get(2):
-            raise ValueError("only models whose normaliser has no character map are supported")
-        if any(kind == _USER for _, _, kind in pieces):
-            raise ValueError("models with user-defined pieces are not supported")
+        if trainer.get(3, _UNIGRAM) not in (_UNIGRAM, _BPE):
+            raise ValueError("only unigram and merge models are supported")
+        if trainer.get(_SUFFIX_FIELD):
+            raise ValueError("models with marks behind words are not supported")
         self.merges = trainer.get(3, _UNIGRAM) == _BPE
-        self.prefix = MARK if normaliser.get(3, 1) else ""
         self.squeeze = bool(normaliser.get(4, 1))
-        self.ids = {p: i for i, (p, _, kind) in enumerate(pieces) if kind in (_NORMAL, _UNUSED)}
+        space = MARK if normaliser.get(5, 1) else " "
+        prefix = space if normaliser.get(3, 1) else ""
+        self.front = bool(prefix) or self.squeeze
+        user = {p for p, _, kind in pieces if kind == _USER}
+        if user and not self.merges:
+            raise ValueError("unigram models with user-defined pieces are not supported")
+        self.normalise = Normaliser(character_map(normaliser[2]) if normaliser.get(2) else {}, user, prefix, self.squeeze, space)
+        lexical = (_NORMAL, _UNUSED, _USER)
+        self.ids = {p: i for i, (p, _, kind) in enumerate(pieces) if kind in lexical}
+        self.marked = {i for i, (p, _, kind) in enumerate(pieces) if kind in lexical and p.startswith(MARK)}
         self.unknown = next(i for i, (_, _, kind) in enumerate(pieces) if kind == _UNKNOWN)
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == _BYTE}
         scores = {p: pieces[i][1] for p, i in self.ids.items()}
         self.rank = {p: -s for p, s in scores.items()}  # merges: the smaller first; unigram: the arc's weight
         self.unused = {p for p, i in self.ids.items() if pieces[i][2] == _UNUSED}
+        plain = [scores[p] for p, _, kind in pieces if kind == _NORMAL]
+        worst = min(plain, default=0.0)
+        # the text is cut at user-defined pieces
+        self.user = re.compile("(" + "|".join(map(re.escape, sorted(user, key=len, reverse=True))) + ")") if user else None
         self.trie: dict = {}
         for p in self.ids:
             node = self.trie
             for c in p:
                 node = node.setdefault(c, {})
             node[""] = p
-        self.unknown_weight = max(self.rank.values(), default=0.0) + _UNKNOWN_PENALTY
+        self.unknown_weight = _UNKNOWN_PENALTY - worst
         if self.merges and self.unused:
             raise ValueError("merge models with unused pieces are not supported")
-        if any(MARK in p.lstrip(MARK) for p in self.ids):
-            raise ValueError("pieces that go on beyond a word mark are not supported")
         inside = {c for p in self.ids if len(p) > 1 for c in p}
         alone = "".join(c for c in "\n\r\t" if c not in inside)  # never part of a longer piece
         other = f"[^{_LATIN}{MARK}{alone}]"
@@ -111,8 +208,10 @@ class Transducer:
             stretch = f"{MARK}*[^{MARK}{alone}]+"
         else:  # no piece goes on after a word's last letter
             stretch = f"{MARK}*{other}*[{_LATIN}]+|{MARK}*{other}+"
-        self.stretch = re.compile(f"{stretch}|{MARK}+" + (f"|[{alone}]" if alone else ""))
-        self.texts = [b"" if kind == _CONTROL else b" \xe2\x81\x87 " if kind == _UNKNOWN
+        run_on = any(space in p.lstrip(space) for p in self.ids if p not in user)
+        self.stretch = re.compile("(?s:.+)" if run_on else f"{stretch}|{MARK}+" + (f"|[{alone}]" if alone else ""))
+        surface = trainer.get(_SURFACE_FIELD, b" \xe2\x81\x87 ")
+        self.texts = [b"" if kind == _CONTROL else surface if kind == _UNKNOWN
                       else bytes([int(p[3:5], 16)]) if kind == _BYTE else p.replace(MARK, " ").encode()
                       for p, _, kind in pieces]
         self.pairs: dict[str, dict[str, float]] = {}
@@ -120,11 +219,6 @@ class Transducer:
         self.paths: dict[str, tuple[int, ...]] = {}
         self.cache_size = cache_size
 
-    def normalise(self, text: str) -> str:
-        if self.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
-        return self.prefix + text.replace(" ", MARK) if text else ""
-
     def merged(self, text: str) -> list[str]:
         """Merge neighbours, the best-ranked joint piece first, the leftmost of equals."""
         symbols = list(text)
@@ -217,9 +311,18 @@ class Transducer:
         return tuple(out)
 
     def encode(self, text: str) -> list[int]:
+        text = self.normalise(text)
+        if self.user is None:
+            return self._stretch_ids(text)
         out: list[int] = []
-        paths = self.paths
-        for stretch in self.stretch.findall(self.normalise(text)):
+        for k, part in enumerate(self.user.split(text)):
+            out += [self.ids[part]] if k % 2 else self._stretch_ids(part)
+        return out
+
+    def _stretch_ids(self, text: str) -> list[int]:
+        out: list[int] = []
+        paths, unknown = self.paths, self.unknown
+        for stretch in self.stretch.findall(text):
             ids = paths.get(stretch)
             if ids is None:
                 ids = self._path_ids(stretch)
@@ -227,13 +330,20 @@ class Transducer:
                     if len(paths) >= self.cache_size:
                         paths.clear()
                     paths[stretch] = ids
-            out += ids
+            out += ids[1:] if out and ids[0] == unknown == out[-1] else ids
         return out
 
     def decode(self, ids: list[int]) -> str:
-        """The output side of the machines; the mark put in front is taken off again."""
-        out = b"".join([self.texts[i] for i in ids]).decode("utf-8", "replace")
-        return out[1:] if self.prefix and out[:1] == " " else out
+        """The output side of the machines; marks in front are taken off: one, or all where blanks are squeezed."""
+        texts = [self.texts[i] for i in ids]
+        for k, i in enumerate(ids):
+            if self.front and i in self.marked:
+                texts[k] = texts[k][1:]
+                if not self.squeeze:
+                    break
+            if texts[k]:
+                break
+        return b"".join(texts).decode("utf-8", "replace")
 
 
 @functools.lru_cache(maxsize=4)
