@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from fixfold.functions.text import col_, strip
 
@@ -189,30 +190,28 @@ def apply_edits(edits: DataFrame, files: DataFrame, key: str = "instance_id",
 
 
 def edit_diff(applied: DataFrame, key: str = "instance_id", attempt: str = "attempt") -> DataFrame:
-    """X6 (diff part): unified diff of old vs new per file (Python ``difflib``
-    inside ``applyInPandas``, one group = one (key, attempt)), then the first
-    attempt whose diff is non-empty wins per key."""
+    """X6 (diff part): unified diff of old vs new per file (Python ``difflib``, a
+    row at a time on Arrow batches; unchanged files are not sent), joined per
+    (key, attempt) in file order, then the first attempt whose diff is non-empty
+    wins per key."""
     import difflib
 
     import pandas as pd
 
-    key_type = applied.schema[key].dataType.simpleString()
-    att_type = applied.schema[attempt].dataType.simpleString()
-
-    def diff(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in pdf.sort_values("file").itertuples(index=False):
-            old, new = getattr(r, "old"), getattr(r, "new")
-            if old == new:
-                continue
-            f = getattr(r, "file")
-            body = difflib.unified_diff(old.splitlines(True), new.splitlines(True), f"a/{f}", f"b/{f}")
-            # a last line without a line feed is marked, or the next line would run into it
-            body = [x if x.endswith("\n") else x + "\n\\ No newline at end of file\n" for x in body]
-            out.append(f"diff --git a/{f} b/{f}\n" + "".join(body))
-        return pd.DataFrame({key: [pdf[key].iloc[0]], attempt: [pdf[attempt].iloc[0]], "model_patch": ["".join(out)]})
-
-    d = applied.groupBy(key, attempt).applyInPandas(diff, f"{key} {key_type}, {attempt} {att_type}, model_patch string")
-    win = d.where(F.col("model_patch") != "").groupBy(key).agg(F.min_by("model_patch", attempt).alias("model_patch"),
-                                                                F.min(attempt).alias(attempt))
-    return win
+    def diff(old: str, new: str, f: str) -> str:
+        body = difflib.unified_diff(old.splitlines(True), new.splitlines(True), f"a/{f}", f"b/{f}")
+        # a last line without a line feed is marked, or the next line would run into it
+        body = [x if x.endswith("\n") else x + "\n\\ No newline at end of file\n" for x in body]
+        return f"diff --git a/{f} b/{f}\n" + "".join(body)
+
+    def run(batches):
+        for pdf in batches:
+            parts = [diff(o or "", n or "", f) for o, n, f in zip(pdf.pop("old"), pdf.pop("new"), pdf["file"])]
+            yield pdf.assign(part=pd.Series(parts, index=pdf.index, dtype=object))
+
+    changed = applied.select(key, attempt, "file", "old", "new").where(~F.col("old").eqNullSafe(F.col("new")))
+    schema = StructType([*(StructField(c, applied.schema[c].dataType) for c in (key, attempt, "file")),
+                         StructField("part", StringType())])
+    d = changed.mapInPandas(run, schema).groupBy(key, attempt).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("file", "part"))), lambda x: x["part"]), "").alias("model_patch"))
+    return d.groupBy(key).agg(F.min_by("model_patch", attempt).alias("model_patch"), F.min(attempt).alias(attempt))
