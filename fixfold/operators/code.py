@@ -118,14 +118,17 @@ def _imports(src: str) -> list[tuple[str, int]]:
     return out
 
 
-def import_edges(files: DataFrame, key: str = "instance_id", path: str = "path", text: str = "text") -> DataFrame:
+def import_edges(files: DataFrame, key: str = "instance_id", path: str = "path", text: str = "text",
+                 part: int = 2000) -> DataFrame:
     """(key, src, dst): a file imports every ``.py`` file of the directory
     its import names (relative imports drop ``level`` trailing components).
 
     Module names come from ``ast`` in ``mapInPandas``.  A directory matches a
     module when its path ends with the module's components; every directory is
     exploded into its component suffixes (as many as its depth) so matching is
-    an equi-join, and the first matching directory in path order is used."""
+    an equi-join, and the first matching directory in path order is used.  The edges
+    are as many as importers times files of a directory; they are made in parts
+    (``_all_pairs``) from distinct rows, so they need no shuffle of their own."""
     import pandas as pd
 
     def run(batches):
@@ -150,8 +153,30 @@ def import_edges(files: DataFrame, key: str = "instance_id", path: str = "path",
         key, "dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(comps)),
                                           lambda i: F.array_join(F.slice(comps, i, F.size(comps)), "/")))
         .alias("suffix"))
-    first = mods.join(suffixes, [key, "suffix"]).groupBy(key, "src", "suffix").agg(F.min("dir").alias("dir"))
-    return first.join(py, [key, "dir"]).select(key, "src", "dst").distinct()
+    first = mods.distinct().join(suffixes, [key, "suffix"]).groupBy(key, "src", "suffix").agg(F.min("dir").alias("dir"))
+    return _all_pairs(first.select(key, "dir", "src").distinct(), py.select(key, "dir", "dst").distinct(),
+                      [key, "dir"], "src", "dst", part).select(key, "src", "dst")
+
+
+def _all_pairs(left: DataFrame, right: DataFrame, keys: list, a: str, b: str, part: int) -> DataFrame:
+    """``left`` join ``right`` on ``keys``, where a key may have many rows on both sides.
+
+    The output is as large as it must be, but no task gets a whole key: each side is
+    dealt by a hash into parts of about ``part`` rows of the key, and a task joins one
+    part of the left with one of the right.  A row is copied once for each part of the
+    other side, so the copies are few beside the pairs that they make."""
+    def parts(df, name):
+        return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias(name))
+
+    n = parts(left, "_m").join(parts(right, "_n"), keys)
+
+    def deal(c, of):
+        return F.pmod(F.xxhash64(c), F.col(of)).cast("int")
+
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    x = left.join(n, keys).select(*keys, a, deal(a, "_m").alias("_i"), every("_n").alias("_j"))
+    y = right.join(n, keys).select(*keys, b, deal(b, "_n").alias("_j"), every("_m").alias("_i"))
+    return x.join(y, [*keys, "_i", "_j"])
 
 
 def reachable(edges: DataFrame, roots: DataFrame, growth: int = 4) -> DataFrame:

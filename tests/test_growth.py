@@ -1,6 +1,7 @@
 """Jobs whose cost has to grow with the input: one plan fact and the rows of each."""
 
 from conftest import rows
+from fixfold.operators import code as CD
 from fixfold.operators import locate as LC
 
 
@@ -19,3 +20,11 @@ def test_edit_diff_makes_no_python_group_per_answer(spark):
         "diff --git a/a.py b/a.py\n--- a/a.py\n+++ b/a.py\n@@ -1,2 +1,2 @@\n 1\n-2\n\\ No newline at end of file\n"
         "+3\n\\ No newline at end of file\n"
         "diff --git a/b.py b/b.py\n--- a/b.py\n+++ b/b.py\n@@ -1 +1 @@\n-x\n+y\n"))]
+
+
+def test_import_edges_of_a_hub_directory_are_made_in_parts(spark):
+    files = [("r", f"pkg/m{k}.py", "import pkg\nfrom pkg import x") for k in range(9)] * 2 + [("r", "tool.py", "import pkg"), ("q", "pkg/m0.py", "import pkg")]
+    f = spark.createDataFrame(files, "repo string, path string, text string")
+    e = CD.import_edges(f, key="repo", part=2)
+    want = [("q", "pkg/m0.py", "pkg/m0.py")] + [("r", s, f"pkg/m{k}.py") for s in [*(f"pkg/m{j}.py" for j in range(9)), "tool.py"] for k in range(9)]
+    assert rows(e) == sorted(want)
