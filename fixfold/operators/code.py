@@ -179,13 +179,44 @@ def _all_pairs(left: DataFrame, right: DataFrame, keys: list, a: str, b: str, pa
     return x.join(y, [*keys, "_i", "_j"])
 
 
+def _contracted(step: DataFrame, written) -> tuple[DataFrame, DataFrame | None]:
+    """Nodes with edges both ways are merged, again and again until none are left: the
+    graph of the merged nodes (node, dst) and (node, label) of the nodes that were merged.
+
+    Each node takes the label of the neighbour (or itself) that is least by a hash;
+    nodes of one label reach each other, so whatever reaches one of them reaches all."""
+    labels, k = None, 0
+    while True:
+        mutual = written(step.where("node != dst").join(step.select(F.col("dst").alias("node"), F.col("node").alias("dst")),
+                                                        ["node", "dst"]), f"mutual{k}")
+        if mutual.isEmpty():
+            return step, labels
+        rank = lambda c: F.struct(F.xxhash64(F.lit(k), F.col(c)), F.col(c).alias("l"))
+        to = mutual.groupBy("node").agg(F.min(F.least(rank("node"), rank("dst"))).alias("r")).select("node", F.col("r.l").alias("label"))
+        to = written(to.where("node != label"), f"label{k}")
+
+        def relabelled(df, c):
+            return df.join(to.select(F.col("node").alias(c), F.col("label").alias("_to")), c, "left").withColumn(
+                c, F.coalesce("_to", c)).drop("_to")
+
+        step = written(relabelled(relabelled(step, "node"), "dst").where("node != dst").distinct(), f"step{k}")
+        if labels is None:
+            labels = to
+        else:
+            later = relabelled(labels, "label")
+            labels = written(later.unionByName(to.join(labels, "node", "left_anti")), f"labels{k}")
+        k += 1
+
+
 def reachable(edges: DataFrame, roots: DataFrame, growth: int = 4) -> DataFrame:
     """(root, node) for every node reachable from a root (the root itself
     included), cycle-safe.
 
-    First path lengths are doubled: level k holds the pairs of nodes that a walk of
+    First nodes with edges both ways are merged (``_contracted``): the closure is made
+    for the merged nodes alone and spelled out at the end, by two joins.
+    Then path lengths are doubled: level k holds the pairs of nodes that a walk of
     2^k edges joins, as long as a level is made of at most ``growth`` times as many
-    walks as there are edges.  Then sweeps: a sweep takes its new (root, node) pairs
+    walks as there are edges.  Last come sweeps: a sweep takes its new (root, node) pairs
     through all levels, the longest first, so it covers every walk of up to 2^levels - 1
     edges, and afterwards one edge further; what was not visited before is
     the next sweep's.  A chain of n edges takes about 2 log2(n) rounds, a dense
@@ -205,12 +236,14 @@ def reachable(edges: DataFrame, roots: DataFrame, growth: int = 4) -> DataFrame:
         return spark.read.parquet(f"{base}/{name}")
 
     step = written(edges.select(F.col("src").alias("node"), F.col("dst")).where("node is not null and dst is not null")
-                   .distinct(), "level0")
-    levels, most = [step], growth * step.count()
+                   .distinct(), "edges")
+    step, labels = _contracted(step, written)
+    levels, most, whole = [step], growth * step.count(), False
     while True:
         last = levels[-1]
         if last.isEmpty():
             levels.pop()
+            whole = True  # no walk is longer than one sweep takes it
             break
         if len(levels) > 1 and len(levels) >= most.bit_length():  # no shortest path is longer than the edges
             break
@@ -222,6 +255,11 @@ def reachable(edges: DataFrame, roots: DataFrame, growth: int = 4) -> DataFrame:
         far = last.select(F.col("node"), F.col("dst").alias("mid")).join(
             last.select(F.col("node").alias("mid"), "dst"), "mid").select("node", "dst").distinct()
         levels.append(written(far, f"level{len(levels)}"))
+    starts = roots.select("root").distinct()
+    if labels is not None:
+        starts = written(starts.join(labels.withColumnRenamed("node", "root"), "root", "left").select(
+            "root", F.coalesce("label", "root").alias("label")), "starts")
+        roots = starts.select(F.col("label").alias("root"))
     new = written(roots.select(F.col("root"), F.col("root").alias("node")).distinct(), "sweep0")
     visited, sweeps = new, 0
     while levels:
@@ -231,13 +269,22 @@ def reachable(edges: DataFrame, roots: DataFrame, growth: int = 4) -> DataFrame:
             further = found.join(level, "node").select("root", F.col("dst").alias("node"))
             found = written(found.unionByName(further).distinct(), f"sweep{sweeps}-{k}")
         found = written(found.join(visited, ["root", "node"], "left_anti"), f"found{sweeps}") if sweeps > 1 else found
-        visited = written(visited.unionByName(found).distinct() if sweeps > 1 else found, f"visited{sweeps}")
+        visited = written(visited.unionByName(found).distinct(), f"visited{sweeps}") if sweeps > 1 else found
+        if whole:
+            break
         further = found.unionByName(new).join(step, "node").select("root", F.col("dst").alias("node")).distinct()
         new = written(further.join(visited, ["root", "node"], "left_anti"), f"sweep{sweeps}")
         if new.isEmpty():
             break
         visited = visited.unionByName(new)
-    return visited
+    if labels is None:
+        return visited
+    own = labels.select(F.col("label").alias("node")).distinct().join(labels, "node", "left_anti")
+    members = labels.select(F.col("label").alias("node"), F.col("node").alias("member")).unionByName(
+        own.select("node", F.col("node").alias("member")))
+    pairs = visited.withColumnRenamed("root", "label").join(members, "node", "left").select(
+        "label", F.coalesce("member", "node").alias("node"))
+    return starts.join(pairs, starts["label"].eqNullSafe(pairs["label"])).select("root", "node")
 
 
 def tree_listing(files: DataFrame, key: str = "instance_id", path: str = "path") -> DataFrame:

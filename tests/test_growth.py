@@ -1,8 +1,12 @@
 """Jobs whose cost has to grow with the input: one plan fact and the rows of each."""
 
+import glob
+import random
+
 from conftest import rows
 from fixfold.operators import code as CD
 from fixfold.operators import locate as LC
+from test_closure import closure, search
 
 
 def plan_of(df):
@@ -22,6 +26,24 @@ def test_edit_diff_makes_no_python_group_per_answer(spark):
         "diff --git a/b.py b/b.py\n--- a/b.py\n+++ b/b.py\n@@ -1 +1 @@\n-x\n+y\n"))]
 
 
+def test_closure_of_nodes_that_include_each_other(spark):
+    r = random.Random(7)
+    edges = [(r.randrange(30), r.randrange(30)) for _ in range(25)]
+    edges += [(b, a) for a, b in edges[::2]] + [(40 + k, 41 + k) for k in range(30)] + [(41 + k, 40 + k) for k in range(30)]
+    roots = [0, 3, 5, 5, 12, 29, 47, 99]
+    assert closure(spark, edges, roots) == search(edges, roots)
+
+
+def test_closure_of_a_tree_of_pairs_takes_one_sweep(spark):
+    base = spark.sparkContext.getCheckpointDir().replace("file:", "") + "/fixfold-stream/closure-*"
+    before = set(glob.glob(base))
+    k = range(2000)
+    edges = [(x // 4, x) for x in k] + [(x, x ^ 1) for x in k]
+    assert closure(spark, edges, [1, 2, 77]) == search(edges, [1, 2, 77])
+    made = set(glob.glob(base)) - before
+    assert len(made) == 1 and not glob.glob(made.pop() + "/sweep2-0")
+
+
 def test_import_edges_of_a_hub_directory_are_made_in_parts(spark):
     files = [("r", f"pkg/m{k}.py", "import pkg\nfrom pkg import x") for k in range(9)] * 2 + [("r", "tool.py", "import pkg"), ("q", "pkg/m0.py", "import pkg")]
     f = spark.createDataFrame(files, "repo string, path string, text string")
