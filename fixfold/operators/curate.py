@@ -86,12 +86,17 @@ def sample_n(df: DataFrame, n: int, seed: int = 42, key: str = "instance_id", fe
     The n-th smallest is found by counting, and the rows below it stay where they
     are: a histogram over the next four hexadecimal digits tells the bin it lies in, until a
     bin holds at most ``few`` rows (or the digits end), and only that bin is sorted.
-    Each histogram is at most 65,536 rows.  Rows of a null id come first; of equal
+    Each histogram is at most 65,536 rows.  The order is written once (hash and id), so ``df`` is
+    computed twice, whatever the rounds.  Rows of a null id come first; of equal
     rows at the boundary as many as are missing."""
+    from fixfold.streaming.jobs import scratch
+
     if n < 1:
         return df.limit(0)
     o = F.coalesce(md5_order(key, seed), F.lit(""))
-    order = df.select(o.alias("o"), F.col(key).alias("k"))
+    path = scratch(df.sparkSession, "sample")
+    df.select(o.alias("o"), F.col(key).alias("k")).write.parquet(path)
+    order = df.sparkSession.read.parquet(path)
     prefix, missing = "", n  # the wanted row is the missing-th one with this prefix
     while True:
         bins = order.where(F.col("o").startswith(prefix)).groupBy(

@@ -12,6 +12,7 @@ from fixfold.operators import diff as D
 from fixfold.operators import joins as J
 from fixfold.plans.views_sql import with_views
 from fixfold.sources import adapters as A
+from fixfold.streaming.jobs import scratch
 
 QUERIES = {}
 ORACLE = {}
@@ -87,7 +88,9 @@ def q_lite_set(spark, sf):
 
 
 def q_sample_n(spark, sf):
-    return CU.sample_n(_survivors(spark, sf), 300, 42).select("instance_id")
+    path = scratch(spark, "survivors")  # ids alone, written as the sample reads them twice
+    _survivors(spark, sf).select("instance_id").write.parquet(path)
+    return CU.sample_n(spark.read.parquet(path), 300, 42)
 
 
 def q_cap_per_group(spark, sf):

@@ -19,9 +19,9 @@ NL = "\n"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents dealt over the cores: the test table is one row group, which
-    a scan cannot split.  Only stand-ins do this; the readers leave a table as it is."""
-    return Tables(spark, sf_dir).documents.repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    """The documents dealt over tasks, more of them the larger the table: the test table
+    is one row group, which a scan cannot split.  Only stand-ins do this; the readers leave a table as it is."""
+    return Tables(spark, sf_dir).documents.repartition("doc_id")
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:

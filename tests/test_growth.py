@@ -5,6 +5,7 @@ import random
 
 from conftest import rows
 from fixfold.operators import code as CD
+from fixfold.operators import curate as CU
 from fixfold.operators import locate as LC
 from test_closure import closure, search
 
@@ -50,3 +51,16 @@ def test_import_edges_of_a_hub_directory_are_made_in_parts(spark):
     e = CD.import_edges(f, key="repo", part=2)
     want = [("q", "pkg/m0.py", "pkg/m0.py")] + [("r", s, f"pkg/m{k}.py") for s in [*(f"pkg/m{j}.py" for j in range(9)), "tool.py"] for k in range(9)]
     assert rows(e) == sorted(want)
+
+
+def test_sample_reads_its_rows_twice_at_most(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    ids = spark.range(500).selectExpr("id as instance_id")
+    got = rows(CU.sample_n(ids.mapInPandas(count, "instance_id long"), 20, few=10))
+    assert read.value <= 1000 and len(got) == 20 and got == rows(CU.sample_n(ids, 20))
