@@ -44,6 +44,15 @@ def _salt(docid: str) -> Column:
     return F.pmod(F.xxhash64(docid), F.lit(SALTS)).cast("int")
 
 
+def frequencies(docs: DataFrame, corpus: str = "corpus", docid: str = "docid", contents: str = "contents") -> DataFrame:
+    """(corpus, docid, dl, term, tf): documents are dealt as texts, the tokens are counted
+    where they are and not sent."""
+    toks = docs.select(corpus, docid, contents).repartition(corpus, docid).select(
+        corpus, docid, terms(F.col(contents)).alias("t"))
+    return toks.select(corpus, docid, F.size("t").alias("dl"), F.explode("t").alias("term")) \
+        .groupBy(corpus, docid, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def bm25_index(docs: DataFrame, corpus: str = "corpus", docid: str = "docid",
                contents: str = "contents", buckets: int | None = None) -> dict[str, DataFrame]:
     """``postings``, ``corpus_stats`` and ``term_stats`` for all corpora.
@@ -56,10 +65,7 @@ def bm25_index(docs: DataFrame, corpus: str = "corpus", docid: str = "docid",
 
     spark = docs.sparkSession
     base = scratch(spark, "bm25-index")
-    toks = docs.select(corpus, docid, terms(F.col(contents)).alias("t"))
-    toks.select(corpus, docid, F.size("t").alias("dl"), F.explode("t").alias("term")) \
-        .groupBy(corpus, docid, "dl", "term").agg(F.count(F.lit(1)).alias("tf")) \
-        .write.parquet(f"{base}/frequencies")
+    frequencies(docs, corpus, docid, contents).write.parquet(f"{base}/frequencies")
     freq = spark.read.parquet(f"{base}/frequencies")
     doc_len = freq.select(corpus, docid, "dl").distinct()
     doc_len.groupBy(corpus).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")) \
@@ -72,8 +78,9 @@ def bm25_index(docs: DataFrame, corpus: str = "corpus", docid: str = "docid",
     key = [corpus, "term", "salt"]
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = "bm25_" + base.rsplit("-", 1)[1]
-    (freq.join(term_stats.select(corpus, "term", "idf", "avgdl"), [corpus, "term"])
-     .withColumn("salt", _salt(docid)).repartition(n, *key)
+    # the statistics are copied for each salt, so that one shuffle serves the join and the buckets
+    each = term_stats.select(corpus, "term", "idf", "avgdl", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    (freq.withColumn("salt", _salt(docid)).repartition(n, *key).join(each, key)
      .write.bucketBy(n, *key).sortBy(*key).option("path", f"{base}/postings").saveAsTable(table))
     return {"postings": spark.table(table), "corpus_stats": corpus_stats, "term_stats": term_stats}
 

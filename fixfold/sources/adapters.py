@@ -439,7 +439,7 @@ CORPORA = ("de", "en", "es", "fr")
 def corpus_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V7 corpus (corpus, docid, contents): documents grouped by language; every
     50th document is a README."""
-    d = _documents(spark, sf_dir)
+    d = Tables(spark, sf_dir).documents  # not dealt anew: the index deals the texts itself
     n = F.col("doc_id")
     docid = F.when(n % 50 == 0, F.concat(F.col("source"), F.lit("/README_"), _s(n), F.lit(".md"))) \
         .otherwise(F.concat(F.col("source"), F.lit("/mod_"), _s(n), F.lit(".py")))

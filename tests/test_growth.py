@@ -7,6 +7,7 @@ from conftest import rows
 from fixfold.operators import code as CD
 from fixfold.operators import curate as CU
 from fixfold.operators import locate as LC
+from fixfold.operators import retrieval as R
 from test_closure import closure, search
 
 
@@ -64,3 +65,10 @@ def test_sample_reads_its_rows_twice_at_most(spark):
     ids = spark.range(500).selectExpr("id as instance_id")
     got = rows(CU.sample_n(ids.mapInPandas(count, "instance_id long"), 20, few=10))
     assert read.value <= 1000 and len(got) == 20 and got == rows(CU.sample_n(ids, 20))
+
+
+def test_index_sends_texts_and_not_tokens(spark):
+    d = spark.createDataFrame([("c", "a", "x y x"), ("c", "a", "y z w"), ("c", "b", "x"), (None, "n", "x")], "corpus string, docid string, contents string")
+    f = R.frequencies(d)
+    assert f._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert rows(f.where("corpus is not null")) == [("c", "a", 3, "w", 1), ("c", "a", 3, "x", 2), ("c", "a", 3, "y", 2), ("c", "a", 3, "z", 1), ("c", "b", 1, "x", 1)]
