@@ -54,6 +54,16 @@ def vote_counts(attempts: DataFrame, instance: str = "instance_id", run: str = "
     )
 
 
+def sum_counts(parts: DataFrame) -> DataFrame:
+    """The vote counts of all attempts from those of disjoint parts of them."""
+    return parts.groupBy("instance_id", "patch").agg(
+        F.sum("votes").cast(parts.schema["votes"].dataType).alias("votes"),
+        F.bool_or("resolved").alias("resolved"),
+        F.min("first_run").alias("first_run"),
+        F.sum("n_attempts").alias("n_attempts"),
+    )
+
+
 def _candidate(votes_df: DataFrame) -> DataFrame:
     # Struct order == candidate order (first three fields are unique per instance).
     return votes_df.withColumn(

@@ -23,8 +23,8 @@ N_FILES = 8
 
 def _stage(spark, df, name, order):
     path = S.scratch(spark, name)
-    S.stage_files(df, path, N_FILES, order)
-    return path, spark.read.parquet(path).schema
+    n = S.stage_files(df, path, N_FILES, order)
+    return path, spark.read.parquet(path).schema, n
 
 
 def q_stream_once(spark, sf):
@@ -32,23 +32,23 @@ def q_stream_once(spark, sf):
     att = li.select(F.col("l_orderkey").alias("instance_id"),
                     F.concat(F.lit("r"), (F.col("l_suppkey") % 12).cast("string")).alias("run_id"),
                     F.col("l_shipdate").alias("ts"))
-    src, schema = _stage(spark, att, "once-src", ["instance_id"])
+    src, schema, n = _stage(spark, att, "once-src", ["instance_id"])
     out = S.scratch(spark, "once-out")
-    return S.stream_once(spark, src, schema, ["instance_id", "run_id"], "ts", out).select("instance_id", "run_id")
+    return S.stream_once(spark, src, schema, ["instance_id", "run_id"], "ts", out, files_per_batch=n).select("instance_id", "run_id")
 
 
 def q_stream_status(spark, sf):
-    src, schema = _stage(spark, A.logs(spark, sf), "status-src", ["instance_id"])
-    return S.stream_status(spark, src, schema, S.scratch(spark, "status-out"))
+    src, schema, n = _stage(spark, A.logs(spark, sf), "status-src", ["instance_id"])
+    return S.stream_status(spark, src, schema, S.scratch(spark, "status-out"), files_per_batch=n)
 
 
 def q_stream_report(spark, sf):
     """Each log's lines arrive in three parts, by their position in the log."""
     lines = A.logs(spark, sf).select("instance_id", "repo", F.posexplode(F.split("content", "\n", -1)).alias("pos", "line"))
     path = S.scratch(spark, "report-src")
-    S.stage_files(lines, path, 3, ["pos", "instance_id"])
+    n = S.stage_files(lines, path, 3, ["pos", "instance_id"])
     r = S.stream_report(spark, path, spark.read.parquet(path).schema, A.predictions(spark, sf), A.expected_tests(spark, sf),
-                        S.scratch(spark, "report-out"))
+                        S.scratch(spark, "report-out"), files_per_batch=n)
     lists = [F.array_join(F.col(c), ",").alias(c) for c in r.columns if c.endswith(("_success", "_failure"))]
     return r.select("instance_id", "patch_is_null", "patch_exists", "patch_applied", "resolved", *lists)
 
@@ -56,14 +56,15 @@ def q_stream_report(spark, sf):
 def q_stream_budget_jobs(spark, sf):
     """A cap for each model's calls."""
     c = I.with_cost(MP._calls(spark, sf)).select("call_id", "model", "cost")
-    src, schema = _stage(spark, c, "budget-jobs-src", ["call_id"])
-    return S.stream_budget(spark, src, schema, MP.BUDGET_CAP, S.scratch(spark, "budget-jobs-out"), job="model")
+    src, schema, n = _stage(spark, c, "budget-jobs-src", ["call_id"])
+    return S.stream_budget(spark, src, schema, MP.BUDGET_CAP, S.scratch(spark, "budget-jobs-out"), job="model",
+                           files_per_batch=n)
 
 
 def q_stream_vote(spark, sf):
     att = A.attempts(spark, sf)
-    src, schema = _stage(spark, att, "vote-src", ["instance_id", "run_id"])
-    d = S.stream_vote(spark, src, schema, S.scratch(spark, "vote-out"))
+    src, schema, n = _stage(spark, att, "vote-src", ["instance_id", "run_id"])
+    d = S.stream_vote(spark, src, schema, S.scratch(spark, "vote-out"), files_per_batch=n)
     return d.select("instance_id", "n_candidates", "top_patch", F.col("top_votes").cast("double").alias("top_votes"),
                     "top_resolved", "second_patch", F.col("second_votes").cast("double").alias("second_votes"),
                     "best_resolved_rank", "pass1")
@@ -71,8 +72,8 @@ def q_stream_vote(spark, sf):
 
 def q_stream_budget(spark, sf):
     c = I.with_cost(MP._calls(spark, sf)).select("call_id", "cost")
-    src, schema = _stage(spark, c, "budget-src", ["call_id"])
-    return S.stream_budget(spark, src, schema, MP.BUDGET_CAP, S.scratch(spark, "budget-out"))
+    src, schema, n = _stage(spark, c, "budget-src", ["call_id"])
+    return S.stream_budget(spark, src, schema, MP.BUDGET_CAP, S.scratch(spark, "budget-out"), files_per_batch=n)
 
 
 def _results(spark, sf):
@@ -80,8 +81,8 @@ def _results(spark, sf):
 
 
 def q_stream_progress(spark, sf):
-    src, schema = _stage(spark, _results(spark, sf), "progress-src", ["ts"])
-    return S.stream_progress(spark, src, schema, S.scratch(spark, "progress-out"))
+    src, schema, n = _stage(spark, _results(spark, sf), "progress-src", ["ts"])
+    return S.stream_progress(spark, src, schema, S.scratch(spark, "progress-out"), files_per_batch=n)
 
 
 QUERIES.update({
@@ -114,8 +115,8 @@ FROM events GROUP BY 1"""
 def q_stream_stalls(spark, sf):
     """A run is a user's stream of results."""
     ev = Tables(spark, sf).events.select("ts", F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("run"))
-    src, schema = _stage(spark, ev, "stalls-src", ["ts"])
-    return S.stream_stalls(spark, src, schema, S.scratch(spark, "stalls-out"))
+    src, schema, n = _stage(spark, ev, "stalls-src", ["ts"])
+    return S.stream_stalls(spark, src, schema, S.scratch(spark, "stalls-out"), files_per_batch=n)
 
 
 QUERIES["stream_stalls"] = q_stream_stalls
