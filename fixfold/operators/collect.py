@@ -47,16 +47,16 @@ def issue_refs(text, per_word: bool = True) -> Column:
     in order of the word's first appearance ("fixes #1, fixes #2" → [2]);
     otherwise every keyword reference is kept in text order."""
     t = F.regexp_replace(col_(text), COMMENT_BLOCK, "")
-    words = F.regexp_extract_all(t, F.lit(REF_PAIR_AT_WORD), 1)
-    nums = F.regexp_extract_all(t, F.lit(REF_PAIR_AT_WORD), 2)
-    pairs = F.arrays_zip(words.alias("w"), nums.alias("n"))
-    is_kw = lambda w: F.lower(w).isin(*ISSUE_KEYWORDS)
+    # one walk over the text; word and number are taken from the short matches
+    pairs = F.transform(F.regexp_extract_all(t, F.lit(REF_PAIR_AT_WORD), 0), lambda m: F.struct(
+        F.regexp_extract(m, f"^{WORD}+", 0).alias("w"), F.substring_index(m, "#", -1).alias("n")))
+    refs = F.filter(pairs, lambda p: F.lower(p["w"]).isin(*ISSUE_KEYWORDS))
     if not per_word:
-        return F.transform(F.filter(pairs, lambda p: is_kw(p["w"])), lambda p: p["n"])
-    distinct_words = F.filter(F.array_distinct(words), is_kw)
-    return F.transform(distinct_words,
-                       lambda w: F.element_at(F.transform(F.filter(pairs, lambda p: p["w"] == w),
-                                                          lambda p: p["n"]), -1))
+        return F.transform(refs, lambda p: p["n"])
+    # bound as the only element of an array, or the text would be walked again for every word
+    return F.transform(F.array(refs), lambda r: F.transform(
+        F.array_distinct(F.transform(r, lambda p: p["w"])),
+        lambda w: F.element_at(F.filter(r, lambda p: p["w"] == w), -1)["n"]))[0]
 
 
 def resolved_issues(pulls: DataFrame, commits: DataFrame, keys=("repo", "number"),

@@ -13,6 +13,7 @@ from fixfold.operators import versions as VE
 from fixfold.operators.curate import funnel
 from fixfold.plans.views_sql import VIEWS, with_views
 from fixfold.sources import adapters as A
+from fixfold.streaming.jobs import scratch
 
 QUERIES = {}
 ORACLE = {}
@@ -22,6 +23,13 @@ def _pulls_ri(spark, sf, per_word=True):
     return CO.resolved_issues(A.pulls(spark, sf), A.commits(spark, sf), per_word=per_word)
 
 
+def _pulls_written(spark, sf):
+    """Written without its texts, as plans read it several times."""
+    path = scratch(spark, "pulls")
+    _pulls_ri(spark, sf).drop("title", "body").write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def _releases(spark, sf):
     return VE.extract_releases(A.changelog_pages(spark, sf))
 
@@ -30,8 +38,8 @@ def _versioned(spark, sf, policy="null"):
     return VE.asof_version(A.release_tasks(spark, sf), _releases(spark, sf), policy=policy)
 
 
-def _made(spark, sf):
-    p = _pulls_ri(spark, sf)
+def _made(spark, sf, p=None):
+    p = _pulls_written(spark, sf) if p is None else p
     iss = A.issue_texts(spark, sf)
     return CO.make_instances(p, CO.problem_statements(p, iss),
                              CO.hints_before(p, A.commits(spark, sf), A.comments(spark, sf), iss))
@@ -52,16 +60,16 @@ def q_valid_pulls(spark, sf):
 
 
 def q_problem_statements(spark, sf):
-    return CO.problem_statements(_pulls_ri(spark, sf), A.issue_texts(spark, sf))
+    return CO.problem_statements(_pulls_written(spark, sf), A.issue_texts(spark, sf))
 
 
 def q_hints_before(spark, sf):
-    p = _pulls_ri(spark, sf)
+    p = _pulls_written(spark, sf)
     return CO.hints_before(p, A.commits(spark, sf), A.comments(spark, sf), A.issue_texts(spark, sf))
 
 
 def q_hints_filter(spark, sf):
-    p = _pulls_ri(spark, sf)
+    p = _pulls_written(spark, sf)
     return CO.hints_before(p, A.commits(spark, sf), A.comments(spark, sf), A.issue_texts(spark, sf),
                            prefix=False)
 
@@ -74,8 +82,8 @@ def q_make_instances(spark, sf):
 
 
 def q_funnel(spark, sf):
-    p = _pulls_ri(spark, sf).withColumn("instance_id", CO.instance_id(F.col("repo"), F.col("number")))
-    return funnel(p, _made(spark, sf))
+    p = _pulls_written(spark, sf)
+    return funnel(p.withColumn("instance_id", CO.instance_id(F.col("repo"), F.col("number"))), _made(spark, sf, p))
 
 
 def q_effective_commit(spark, sf):
