@@ -1,8 +1,7 @@
 """BM25 retrieval and its evaluation.
 
 Index: one postings table for every corpus at once — (corpus, term, salt,
-docid, tf, dl, idf, avgdl), written bucketed and sorted by (corpus, term,
-salt).  Everything a score needs is in the posting, so a search joins its few
+docid, tf, dl, idf, avgdl), written bucketed by (corpus, term, salt).  Everything a score needs is in the posting, so a search joins its few
 query terms with the buckets and the postings themselves are never shuffled.
 ``salt`` is a hash of the document: the postings of a term that occurs in most
 documents lie in ``SALTS`` buckets instead of one.
@@ -23,17 +22,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fixfold.functions.criteria import WORD
+from fixfold.functions.criteria import NOT_WORD
 from fixfold.functions.text import col_
 
 K1, B = 0.9, 0.4
-TOKEN = f"{WORD}+"
 README_PREFIX = "readme"
 
 
 def terms(text) -> Column:
-    """Lower-cased word tokens of a text."""
-    return F.regexp_extract_all(F.lower(col_(text)), F.lit(TOKEN), 0)
+    """Lower-cased word tokens of a text: what lies between stretches of other characters."""
+    return F.array_remove(F.split(F.lower(col_(text)), f"{NOT_WORD}+", -1), "")
 
 
 #: Buckets over which the postings of one term are spread.
@@ -46,11 +44,12 @@ def _salt(docid: str) -> Column:
 
 def frequencies(docs: DataFrame, corpus: str = "corpus", docid: str = "docid", contents: str = "contents") -> DataFrame:
     """(corpus, docid, dl, term, tf): documents are dealt as texts, the tokens are counted
-    where they are and not sent."""
+    where they are and not sent.  (A plain explode would have the texts tokenized a second time
+    before they are dealt, by the filter on the array's size that Spark derives from it.)"""
     toks = docs.select(corpus, docid, contents).repartition(corpus, docid).select(
-        corpus, docid, terms(F.col(contents)).alias("t"))
-    return toks.select(corpus, docid, F.size("t").alias("dl"), F.explode("t").alias("term")) \
-        .groupBy(corpus, docid, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+        corpus, docid, terms(F.col(contents)).alias("t")).select(corpus, docid, F.size("t").alias("dl"), "t")
+    return toks.select(corpus, docid, "dl", F.explode_outer("t").alias("term")) \
+        .where(F.col("term").isNotNull()).groupBy(corpus, docid, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25_index(docs: DataFrame, corpus: str = "corpus", docid: str = "docid",
@@ -65,7 +64,8 @@ def bm25_index(docs: DataFrame, corpus: str = "corpus", docid: str = "docid",
 
     spark = docs.sparkSession
     base = scratch(spark, "bm25-index")
-    frequencies(docs, corpus, docid, contents).write.parquet(f"{base}/frequencies")
+    # the two large tables are packed closely, as they are as large as the texts
+    frequencies(docs, corpus, docid, contents).write.option("compression", "zstd").parquet(f"{base}/frequencies")
     freq = spark.read.parquet(f"{base}/frequencies")
     doc_len = freq.select(corpus, docid, "dl").distinct()
     doc_len.groupBy(corpus).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")) \
@@ -81,7 +81,7 @@ def bm25_index(docs: DataFrame, corpus: str = "corpus", docid: str = "docid",
     # the statistics are copied for each salt, so that one shuffle serves the join and the buckets
     each = term_stats.select(corpus, "term", "idf", "avgdl", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     (freq.withColumn("salt", _salt(docid)).repartition(n, *key).join(each, key)
-     .write.bucketBy(n, *key).sortBy(*key).option("path", f"{base}/postings").saveAsTable(table))
+     .write.bucketBy(n, *key).option("compression", "zstd").option("path", f"{base}/postings").saveAsTable(table))
     return {"postings": spark.table(table), "corpus_stats": corpus_stats, "term_stats": term_stats}
 
 

@@ -51,13 +51,15 @@ def _base(spark, sf):
     return b.select("qid", CX.token_count(CX.render_prompt(b, "style-2")).alias("base"))
 
 
-def _sizes(spark, sf):
-    d = A.corpus_docs(spark, sf)
+def _sizes(spark, sf, hits):
+    """Of the documents that were hit: no other size is looked up."""
+    d = A.corpus_docs(spark, sf).join(hits.select("corpus", "docid").distinct(), ["corpus", "docid"], "left_semi")
     return d.select("corpus", "docid", CX.token_count(CX.file_block(F.col("docid"), F.col("contents"))).alias("size"))
 
 
 def _packed(spark, sf):
-    return CX.pack_context(_hits(spark, sf), _sizes(spark, sf), _base(spark, sf), BUDGET)
+    hits = _hits(spark, sf)
+    return CX.pack_context(hits, _sizes(spark, sf, hits), _base(spark, sf), BUDGET)
 
 
 def _bundles(spark, sf):
